@@ -139,3 +139,27 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     names = {f"q{i}": p for i, p in enumerate(probs)}
     got = quantiles(long, ["feature"], "value", names, thin).collect()
     return {r["feature"]: [r[n] for n in names] for r in got}
+
+
+def weighted_quantiles(df: DataFrame, keys: Sequence[str], value: str, weight: str, probs: dict[str, float],
+                       thin: int | None = None) -> DataFrame:
+    """Quantiles by linear interpolation of the cumulative weight share in value order.
+
+    Rows with equal values enter in order of weight, so the ramp into a value spans its lightest row.
+    """
+    pre = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
+           .agg(F.sum(weight).alias("w"), F.min(weight).alias("w_min")))
+    r = running_sums(pre, keys, [value], {"w": F.col("w")}, thin)
+    aggs = []
+    for name, p in probs.items():
+        t = F.col("w_total") * float(p)
+        hit = (F.col("w_before") < t) & (t <= F.col("w_before") + F.col("w"))
+        frac = F.least(F.lit(1.0), (t - F.col("w_before")) / F.col("w_min"))
+        aggs += [F.max(F.when(hit, F.struct(F.col(value).alias("v"), frac.alias("f")))).alias(f"_h_{name}"),
+                 F.max(F.when(F.col("w_before") + F.col("w") < t, F.col(value))).alias(f"_p_{name}")]
+    g = r.groupBy(*keys).agg(*aggs)
+    out = []
+    for name in probs:
+        v, prev = F.col(f"_h_{name}.v"), F.coalesce(F.col(f"_p_{name}"), F.col(f"_h_{name}.v"))
+        out.append((prev + F.col(f"_h_{name}.f") * (v - prev)).alias(name))
+    return g.select(*keys, *out)

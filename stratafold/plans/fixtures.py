@@ -248,3 +248,19 @@ FROM regions""", "regions")
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
     order = ["okey", "line", "area", "cx", "price", "theta", "asp", "grey", "border"]
     return row_numbers(regions(spark, sf), ["img"], order, "label")
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def rounded_sql(names: str, keep: str, body: str, digits: int = 6) -> str:
+    """Oracle text with every column but ``keep`` rounded."""
+    sep = f"{keep}, " if keep else ""
+    ex = f" EXCLUDE ({keep})" if keep else ""
+    body = body.strip()
+    pre = ""
+    if body[:5].upper() == "WITH ":
+        cut = body.rindex("\nSELECT")
+        pre, body = body[:cut] + "\n", body[cut:]
+    return with_ctes(names, f"{pre}SELECT {sep}round(COLUMNS(*{ex}), {digits}) FROM ({body})") if names else f"{pre}SELECT {sep}round(COLUMNS(*{ex}), {digits}) FROM ({body})"

@@ -17,6 +17,7 @@ def local_session(cpus: int = 8, app: str = "stratafold") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.debug.maxToStringFields", "200")
         .getOrCreate()
     )
