@@ -23,6 +23,14 @@ def safe_div(a, b) -> Column:
     return F.when(b != 0, col(a) / b)
 
 
+def safe_corr(a, b) -> Column:
+    """Pearson correlation over complete pairs; NULL when either side is constant."""
+    a, b = col(a), col(b)
+    both = a.isNotNull() & b.isNotNull()
+    sd = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+    return F.when(sd > 0, F.covar_pop(a, b) / sd)
+
+
 def rmse_by(df: DataFrame, pred: str, y: str, sets: Sequence[Sequence[str]]) -> DataFrame:
     """RMSE and count for several groupings in one pass (GROUPING SETS); NULL marks "all"."""
     keys = list(dict.fromkeys(k for s in sets for k in s))
@@ -46,7 +54,7 @@ def profile(df: DataFrame, keys: Sequence[str], pred: str, y: str, c: str) -> Da
     r = F.col(y) - F.col(pred)
     a = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), rmse(pred, y).alias("rmse"), F.stddev_samp(y).alias("y_sd"), F.stddev_samp(pred).alias("pred_sd"),
-        F.avg(y).alias("y_mean"), F.avg(r).alias("resid_mean"), F.corr(pred, y).alias("corr"))
+        F.avg(y).alias("y_mean"), F.avg(r).alias("resid_mean"), safe_corr(pred, y).alias("corr"))
     return a.join(quantiles(df, keys, c, {"med": 0.5}).select(*keys, "med"), list(keys))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .metrics import safe_corr
 from ..functions.ranks import average_ranks, row_numbers, running_sums
 
 
@@ -19,7 +20,7 @@ def spearman(df: DataFrame, cols: Sequence[str], y: str) -> DataFrame:
     """Average-rank correlation of every column with the target: (feature, rho, n)."""
     long = unpivot(df, [y], cols).where("value is not null").withColumnRenamed(y, "_y")
     r = average_ranks(average_ranks(long, ["feature"], "value", "_rx"), ["feature"], "_y", "_ry")
-    return r.groupBy("feature").agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    return r.groupBy("feature").agg(safe_corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def top_by_abs(df: DataFrame, c: str, n: int, tie: str) -> DataFrame:
@@ -61,3 +62,56 @@ def share_position(df: DataFrame, keys: Sequence[str], order: Sequence, weight:
     """Adds the share of the group's weight before each row in the given order."""
     r = running_sums(df, keys, order, {"_w": F.col(weight)})
     return r.withColumn("share_before", F.col("_w_before") / F.col("_w_total"))
+
+
+def lag_correlation(df: DataFrame, key: str, value: str, lags: Sequence[int]) -> DataFrame:
+    """Autocorrelation in key order at each lag.
+
+    Rows get their position from a bucketed numbering and meet their successor by an equi-join on
+    the position, so no task ever holds the whole sequence.
+    """
+    r = row_numbers(df.select(key, value), [], [key], "_rn").select("_rn", F.col(value).alias("_a"))
+    later = r.withColumn("lag", F.explode(F.array(*[F.lit(k) for k in lags]))).select((F.col("_rn") - F.col("lag")).alias("_rn"), "lag", F.col("_a").alias("_b"))
+    return r.join(later, "_rn").groupBy("lag").agg(safe_corr("_a", "_b").alias("ac"), F.count(F.lit(1)).alias("n"))
+
+
+def missing_keys(df: DataFrame, key: str) -> DataFrame:
+    """Keys absent from the dense sequence first..last."""
+    lo, hi = df.agg(F.min(key), F.max(key)).first()
+    return df.sparkSession.range(lo, hi + 1).withColumnRenamed("id", key).join(df.select(key), key, "left_anti")
+
+
+def permute_blocks(blocks: DataFrame, maps: dict[int, Sequence[int]], key: str = "id") -> DataFrame:
+    """Block values under every index permutation: row (id, k, blk) holds the value of block maps[k][blk]."""
+    out = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(j).alias("blk"), F.lit(int(src)).alias("src"))
+                    for k, m in maps.items() for j, src in enumerate(m)])
+    per_src = F.filter(out, lambda s: s["src"] == F.col("_b"))
+    return blocks.select(key, F.col("blk").alias("_b"), "meas").select(key, "meas", F.explode(per_src).alias("t")).select(
+        key, "t.k", F.col("t.blk").alias("blk"), "meas")
+
+
+def dihedral_maps(side: int) -> dict[int, list[int]]:
+    """The eight symmetries of a side x side grid: maps[k][j] is the source index of target j."""
+    n = side - 1
+    pos = [lambda y, x: (y, x), lambda y, x: (x, n - y), lambda y, x: (n - y, n - x), lambda y, x: (n - x, y),
+           lambda y, x: (y, n - x), lambda y, x: (n - y, x), lambda y, x: (x, y), lambda y, x: (n - x, n - y)]
+    return {k: [f(j // side, j % side)[0] * side + f(j // side, j % side)[1] for j in range(side * side)] for k, f in enumerate(pos)}
+
+
+def binned_squares(df: DataFrame, x: str, r: str, n: int) -> DataFrame:
+    """Mean and standard error of the squared residual per quantile bin."""
+    from .metrics import quantile_bin
+
+    sq = F.pow(F.col(r), 2)
+    b = df.withColumn("qbin", quantile_bin(df, x, n))
+    return b.groupBy("qbin").agg(F.avg(x).alias("x_mean"), F.avg(sq).alias("r2_mean"),
+                                 (F.stddev_samp(sq) / F.sqrt(F.count(sq))).alias("r2_sem"), F.count(sq).alias("size"))
+
+
+def median_by_weight(df: DataFrame, keys: Sequence[str], value: str, weight: str) -> DataFrame:
+    """Smallest value whose cumulative weight share reaches one half."""
+    from ..functions.ranks import value_ranks
+
+    r = value_ranks(df, keys, value, weight)
+    hit = F.col("w_before") + F.col("w") >= 0.5 * F.col("w_total")
+    return r.groupBy(*keys).agg(F.min(F.when(hit, F.col(value))).alias("wmed"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import weighted_quantiles
 from ..operators import metrics as M
-from .fixtures import TRAIN, files, members, regions, rounded, rounded_sql, rows, samples, seq, table, variants, with_ctes
+from .fixtures import train_rows, files, members, regions, rounded, rounded_sql, rows, samples, seq, table, variants, with_ctes
 from .registry import query
 
 Q3 = "(SELECT quantile_cont({c}, {p}) FROM {t}{w})"
@@ -25,7 +25,7 @@ SELECT CAST((q1 >= {q3('q1', 1, w=' WHERE fold <> 4')})::INT + (q1 >= {q3('q1',
  sqrt(avg((p1 - y) ** 2)) AS rmse, count(*) AS n FROM members GROUP BY 1"""))
 def agg02(spark, sf):
     m = members(spark, sf)
-    d = m.withColumn("bin", M.tercile(m, "q1", TRAIN))
+    d = m.withColumn("bin", M.tercile(m, "q1", train_rows()))
     return rounded(d.groupBy("bin").agg(M.rmse("p1", "y").alias("rmse"), F.count(F.lit(1)).alias("n")))
 
 
@@ -138,7 +138,7 @@ def agg46(spark, sf):
     r = rows(spark, sf)
     fits = {k[0]: solve(g) for k, g in leave_out(gram(r, design_exprs(["x1"], "y"), ["fold"])).items()}
     models = F.array(*[F.struct(F.lit(k).alias("mf"), linear(fits[k][1:], ["x1"], fits[k][0]).alias("pred")) for k in (0, 1, 2)])
-    own = r.select("id", F.when(TRAIN, F.col("fold")).alias("fold"))
+    own = r.select("id", F.when(train_rows(), F.col("fold")).alias("fold"))
     return rounded(M.combine_folds(r.select("id", F.inline(models)), own, "id", "mf", "pred"))
 
 
@@ -147,7 +147,7 @@ WITH l AS (UNPIVOT (SELECT fold = 4 AS t, x1, x2, q1 FROM rows_) ON x1, x2, q1 I
 SELECT feature, median(CASE WHEN NOT t THEN value END) AS train_med, median(CASE WHEN t THEN value END) AS test_med,
  (avg(CASE WHEN t THEN value END) - avg(CASE WHEN NOT t THEN value END)) / stddev_samp(CASE WHEN NOT t THEN value END) AS smd FROM l GROUP BY feature"""))
 def agg47(spark, sf):
-    return rounded(M.shift_profile(rows(spark, sf), ["x1", "x2", "q1"], ~TRAIN))
+    return rounded(M.shift_profile(rows(spark, sf), ["x1", "x2", "q1"], ~train_rows()))
 
 
 _W = " WHERE fold <> 4"
@@ -158,7 +158,7 @@ WITH l AS (SELECT fold = 4 AS is_test, 'x1' AS feature, CAST((x1 >= {q3('x1', 1,
  UNION ALL SELECT fold = 4, 'q1', CAST((q1 >= {q3('q1', 1, w=_W)})::INT + (q1 >= {q3('q1', 2, w=_W)})::INT AS INTEGER) FROM rows_)
 SELECT feature, is_test, bin, n / sum(n) OVER (PARTITION BY feature, is_test) AS share FROM (SELECT feature, is_test, bin, count(*) AS n FROM l GROUP BY feature, is_test, bin)"""))
 def agg48(spark, sf):
-    return rounded(M.bin_shares(rows(spark, sf), ["x1", "q1"], ~TRAIN))
+    return rounded(M.bin_shares(rows(spark, sf), ["x1", "q1"], ~train_rows()))
 
 
 @query("agg49", rounded_sql("variants", "id", "SELECT id, stddev_pop(meas) AS sd, max(meas) - min(meas) AS rng, avg(meas) AS mean FROM variants GROUP BY id"))

@@ -35,8 +35,8 @@ def with_ctes(names: str, body: str) -> str:
     ctes = ",\n".join(f"{n} AS ({CTES[n][1]})" for n in done)
     body = body.strip()
     if body[:5].upper() == "WITH ":
-        return f"WITH {ctes},\n{body[5:]}"
-    return f"WITH {ctes}\n{body}"
+        return f"WITH RECURSIVE {ctes},\n{body[5:]}"
+    return f"WITH RECURSIVE {ctes}\n{body}"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -111,7 +111,11 @@ def rows(spark: SparkSession, sf: str) -> DataFrame:
     }))
 
 
-TRAIN = F.col("fold") != 4  # the last fold plays the unlabelled part
+def train_rows():
+    """The last fold plays the unlabelled part."""
+    return F.col("fold") != 4
+
+
 
 # ---------------------------------------------------------------- members
 _cte("memfit", """

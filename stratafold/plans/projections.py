@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import columns as C
 from ..operators import folds as FO
-from .fixtures import TRAIN, files, folds, members, rows, samples, table, with_ctes
+from .fixtures import train_rows, files, folds, members, rows, samples, table, with_ctes
 from .registry import query
 
 CUT = "(SELECT quantile_cont({c}, {p}) FROM rows_ WHERE fold <> 4)"
@@ -63,7 +63,7 @@ def prj05(spark, sf):
 SELECT id, CASE WHEN q1 > {cut('q1', '1/3')} AND q1 <= {cut('q1', '2/3')} THEN x1 END AS n2_x1,
   CASE WHEN q1 > {cut('q1', '1/3')} AND q1 <= {cut('q1', '2/3')} THEN x2 END AS n2_x2 FROM rows_"""))
 def prj06(spark, sf):
-    return C.band_columns(rows(spark, sf), ["x1", "x2"], "q1", TRAIN, 1 / 3, 2 / 3, "n2_")
+    return C.band_columns(rows(spark, sf), ["x1", "x2"], "q1", train_rows(), 1 / 3, 2 / 3, "n2_")
 
 
 @query("prj07", with_ctes("rows_", f"""
@@ -71,7 +71,7 @@ WITH c AS (SELECT {cut('q1', '1/3')} AS c1, {cut('q1', '2/3')} AS c2),
 t AS (SELECT id, x1, x2, greatest(0.0, least(1.0, (q1 - c1) / (c2 - c1))) AS t FROM rows_, c)
 SELECT id, round(x1 * t, 6) AS rmp_x1, round(x2 * t, 6) AS rmp_x2, round(t, 6) AS rmp_t FROM t"""))
 def prj07(spark, sf):
-    d = C.ramp_interaction(rows(spark, sf), ["x1", "x2"], "q1", TRAIN)
+    d = C.ramp_interaction(rows(spark, sf), ["x1", "x2"], "q1", train_rows())
     return d.select("id", *[F.round(c, 6).alias(c) for c in d.columns[1:]])
 
 
@@ -79,7 +79,7 @@ def prj07(spark, sf):
 WITH c AS (SELECT avg(q1) AS m, stddev_samp(q1) AS s FROM rows_ WHERE fold <> 4)
 SELECT id, round(x1 * (q1 - m) / s, 6) AS zi_x1, round((q1 - m) / s, 6) AS zi_t FROM rows_, c"""))
 def prj08(spark, sf):
-    d = C.z_interaction(rows(spark, sf), ["x1"], "q1", TRAIN)
+    d = C.z_interaction(rows(spark, sf), ["x1"], "q1", train_rows())
     return d.select("id", *[F.round(c, 6).alias(c) for c in d.columns[1:]])
 
 
@@ -109,7 +109,7 @@ t AS (SELECT id, x1, x2, CAST((q1 > c1)::INT + (q1 > c2)::INT AS INTEGER) AS grp
 SELECT id, grp, x1, x2, CASE WHEN grp = 1 THEN x1 END AS x1_own1, CASE WHEN grp = 1 THEN x2 END AS x2_own1,
  CASE WHEN grp = 2 THEN x1 END AS x1_own2, CASE WHEN grp = 2 THEN x2 END AS x2_own2 FROM t"""))
 def prj11(spark, sf):
-    return C.group_columns(rows(spark, sf), ["x1", "x2"], "q1", TRAIN, [1 / 3, 2 / 3])
+    return C.group_columns(rows(spark, sf), ["x1", "x2"], "q1", train_rows(), [1 / 3, 2 / 3])
 
 
 @query("prj12", with_ctes("rows_", "SELECT id, g FROM rows_"))
@@ -120,7 +120,7 @@ def prj12(spark, sf):
 @query("prj13", with_ctes("rows_", f"SELECT id, ln(x4) > ln({cut('x4', '0.5')}) AND q1 > {cut('q1', '0.5')} AS in_cell FROM rows_"))
 def prj13(spark, sf):
     r = rows(spark, sf)
-    return r.select("id", C.above_train_medians(r, ["x4", "q1"], TRAIN).alias("in_cell"))
+    return r.select("id", C.above_train_medians(r, ["x4", "q1"], train_rows()).alias("in_cell"))
 
 
 @query("prj14", with_ctes("samples", """
@@ -150,7 +150,7 @@ WITH o AS (SELECT id, fold, y - p1 AS o FROM members), m AS (SELECT max(abs(o))
 SELECT id, round(greatest(-m, least(m, o * 1.5)), 6) AS o FROM o, m"""))
 def prj17(spark, sf):
     d = members(spark, sf).select("id", "fold", (F.col("y") - F.col("p1")).alias("o"), ((F.col("y") - F.col("p1")) * 1.5).alias("o2"))
-    m = d.where(TRAIN).agg(F.max(F.abs("o")).alias("m")).first()["m"]
+    m = d.where(train_rows()).agg(F.max(F.abs("o")).alias("m")).first()["m"]
     return d.select("id", F.round(S.clip("o2", -m, m), 6).alias("o"))
 
 

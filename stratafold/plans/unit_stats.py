@@ -10,7 +10,10 @@ from ..operators import units as U
 from .fixtures import blocks, labelmap, mask, pixels, regions, rounded, rounded_sql, vectors, with_ctes
 from .registry import query
 
-DARK = F.col("grey") < 0.91
+def dark():
+    return F.col("grey") < 0.91
+
+
 TIE = ["okey", "line", "price", "cx"]
 LOGE = [math.log(10), math.log(25), math.log(40)]
 GRID16 = [(y, x) for y in range(32, 256, 64) for x in range(32, 256, 64)]
@@ -104,7 +107,7 @@ def _al(ph, cond):
 @query("agg15", rounded_sql("regions", "img", f"""
 SELECT img, {_al('all', 'true')}, {_al('dk', 'grey < 0.91')}, {_al('mx', 'grey >= 0.91')} FROM regions GROUP BY img""", 5))
 def agg15(spark, sf):
-    return rounded(U.alignment(regions(spark, sf), DARK), 5)
+    return rounded(U.alignment(regions(spark, sf), dark()), 5)
 
 
 def _frac():
@@ -118,14 +121,14 @@ def _frac():
 
 @query("agg16", rounded_sql("regions", "img", f"SELECT img, {_frac()} FROM regions GROUP BY img"))
 def agg16(spark, sf):
-    return rounded(U.size_phase_fractions(regions(spark, sf), DARK, [math.log(e) - 1e-9 for e in (10, 25, 40)]))
+    return rounded(U.size_phase_fractions(regions(spark, sf), dark(), [math.log(e) - 1e-9 for e in (10, 25, 40)]))
 
 
 @query("agg17", rounded_sql("regions", "img", "SELECT img, " + ", ".join(
     f"sum(CASE WHEN {c} THEN area * pow(ln(area) - 3, {p}) ELSE 0 END) / sum(area) AS s_{ph}_{p}"
     for ph, c in (("dk", "grey < 0.91"), ("mx", "grey >= 0.91")) for p in range(4)) + " FROM regions GROUP BY img"))
 def agg17(spark, sf):
-    return rounded(U.power_moments(regions(spark, sf), DARK, 3.0))
+    return rounded(U.power_moments(regions(spark, sf), dark(), 3.0))
 
 
 @query("agg18", rounded_sql("regions", "img", """
@@ -134,7 +137,7 @@ SELECT img, pow(sum(area), 2) / sum(area * area) AS neff, ln(pow(sum(area), 2) /
  CASE WHEN count(CASE WHEN grey >= 0.91 THEN 1 END) >= 2 THEN pow(sum(CASE WHEN grey >= 0.91 THEN area END), 2) / sum(CASE WHEN grey >= 0.91 THEN area * area END) ELSE 0 END AS neff_mx
 FROM regions GROUP BY img"""))
 def agg18(spark, sf):
-    return rounded(U.effective_numbers(regions(spark, sf), DARK))
+    return rounded(U.effective_numbers(regions(spark, sf), dark()))
 
 
 _INNER = """ni AS (SELECT img, count(CASE WHEN NOT border THEN 1 END) AS ni FROM regions GROUP BY img),
@@ -193,7 +196,7 @@ SELECT img, sum(pow(area, -0.25) * area) / sum(area) AS hp_area, avg(pow(area, -
   THEN ln(avg(CASE WHEN grey < 0.91 THEN area END) / avg(CASE WHEN grey >= 0.91 THEN area END)) END AS size_ratio,
  sum(pow(area, -0.25) * area) / sum(area) / pow(avg(area), -0.25) AS hp_excess FROM regions JOIN md USING (img) GROUP BY img"""))
 def agg23(spark, sf):
-    return rounded(U.inverse_root_stats(regions(spark, sf), DARK))
+    return rounded(U.inverse_root_stats(regions(spark, sf), dark()))
 
 
 @query("agg24", rounded_sql("regions", "img, N_all, N_in, N_bd, N_dark_in, N_mat_in", f"""
@@ -206,7 +209,7 @@ SELECT img, count(*) AS N_all, count(CASE WHEN NOT border THEN 1 END) AS N_in, c
  avg(CASE WHEN dk AND NOT border THEN d END) AS d_dark, avg(CASE WHEN NOT dk AND NOT border THEN d END) AS d_mat,
  coalesce({op('area * (asp - 1)')}, 0) AS S_align FROM d GROUP BY img"""))
 def agg24(spark, sf):
-    return rounded(U.phase_split_stats(regions(spark, sf), DARK))
+    return rounded(U.phase_split_stats(regions(spark, sf), dark()))
 
 
 @query("agg25", rounded_sql("blocks", "id", """
@@ -355,4 +358,4 @@ WITH r AS (SELECT *, sum(area) OVER (PARTITION BY img) AS t, row_number() OVER (
 SELECT img, """ + ", ".join(f"""max(CASE WHEN rn = {j + 1} THEN area / t END) AS big{j}_share, max(CASE WHEN rn = {j + 1} THEN CAST(grey < 0.91 AS INTEGER) END) AS big{j}_dark,
  max(CASE WHEN rn = {j + 1} THEN CAST(border AS INTEGER) END) AS big{j}_border, max(CASE WHEN rn = {j + 1} THEN asp END) AS big{j}_asp""" for j in range(3)) + " FROM r WHERE rn <= 3 GROUP BY img"))
 def agg55(spark, sf):
-    return rounded(U.largest_units(regions(spark, sf), DARK, TIE))
+    return rounded(U.largest_units(regions(spark, sf), dark(), TIE))
