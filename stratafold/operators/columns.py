@@ -41,8 +41,8 @@ def _long(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
         len(cols), ", ".join(f"'{c}', cast(`{c}` as double)" for c in cols))))
 
 
-def leave_out_medians(df: DataFrame, cols: Sequence[str], fold: str, folds: Sequence) -> dict:
-    """Median of every column over all rows outside each fold: {column: {fold: median}}.
+def leave_out_quantiles(df: DataFrame, cols: Sequence[str], fold: str, folds: Sequence, probs: Sequence[float]) -> dict:
+    """Quantiles of every column over all rows outside each fold: {column: {fold: [values]}}.
 
     Distinct values carry one count per fold; "outside fold k" is the total count minus that
     of fold k, so the rows are scanned and shuffled once for all folds.
@@ -55,15 +55,28 @@ def leave_out_medians(df: DataFrame, cols: Sequence[str], fold: str, folds: Sequ
     aggs = []
     for i, _ in enumerate(folds):
         before, here, tot = F.col(f"n{i}_before"), sums[f"n{i}"], F.col(f"n{i}_total")
-        for tag, k in (("a", F.floor((tot - 1) / 2)), ("b", F.ceil((tot - 1) / 2))):
-            aggs.append(F.max(F.when((before <= k) & (k < before + here), F.col("value"))).alias(f"{tag}{i}"))
+        aggs.append(F.max(tot).alias(f"t{i}"))
+        for q, p in enumerate(probs):
+            pos = F.lit(float(p)) * (tot - 1)
+            for tag, k in (("a", F.floor(pos)), ("b", F.ceil(pos))):
+                aggs.append(F.max(F.when((before <= k) & (k < before + here), F.col("value"))).alias(f"{tag}{i}_{q}"))
     out: dict = {c: {} for c in cols}
     for row in r.groupBy("feature").agg(*aggs).collect():
         for i, k in enumerate(folds):
-            out[row["feature"]][k] = (row[f"a{i}"] + row[f"b{i}"]) / 2
+            vals = []
+            for q, p in enumerate(probs):
+                pos = p * (row[f"t{i}"] - 1)
+                a, b = row[f"a{i}_{q}"], row[f"b{i}_{q}"]
+                vals.append(a + (pos - int(pos)) * (b - a))
+            out[row["feature"]][k] = vals
     return out
 
 
+def leave_out_medians(df: DataFrame, cols: Sequence[str], fold: str, folds: Sequence) -> dict:
+    q = leave_out_quantiles(df, cols, fold, folds, [0.5])
+    return {c: {k: v[0] for k, v in per.items()} for c, per in q.items()}
+
+
 def fold_standard_stats(df: DataFrame, cols: Sequence[str], fold: str, folds: Sequence) -> dict:
     """{column: {fold: (median, mean, sd)}} from the rows outside each fold, after median imputation."""
     med = leave_out_medians(df, cols, fold, folds)

@@ -10,42 +10,72 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import by_value, col, linear
 
-CHUNK = 400  # products per aggregate, keeps generated code below the JVM method limit
+NARROW = 13  # up to this many columns the products are plain aggregate expressions inside generated code
 
 
 def gram(df: DataFrame, cols: Sequence, by: Sequence[str] = (), weight=None) -> dict:
     """{group key: matrix of weighted cross products} for the given columns or expressions.
 
     ``by`` holds labels with few values (fold, cell, option, replicate). Rows with a NULL in any
-    used column are left out.
+    used column are left out. Few columns: one aggregate expression per product. Many columns: each
+    task multiplies its Arrow batches and sends one matrix per group, which Spark then adds up.
     """
     exprs = [col(c) for c in cols]
     k = len(exprs)
     w = F.lit(1.0) if weight is None else col(weight)
-    base = df.select(*by, w.alias("_w"), *[e.cast("double").alias(f"_c{i}") for i, e in enumerate(exprs)]).dropna(
-        subset=[f"_c{i}" for i in range(k)] + ["_w"])
+    names = [f"_c{i}" for i in range(k)]
+    base = df.select(*by, w.cast("double").alias("_w"), *[e.cast("double").alias(n) for e, n in zip(exprs, names)]).dropna(subset=[*names, "_w"])
+    if k > NARROW:
+        return _wide_gram(base, names, list(by))
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = [F.sum(F.col("_w") * F.col(f"_c{i}") * F.col(f"_c{j}")).alias(f"p{n}") for n, (i, j) in enumerate(pairs)]
     out: dict = {}
-    for start in range(0, len(pairs), CHUNK):
-        part = pairs[start:start + CHUNK]
-        rows = base.groupBy(*by).agg(
-            *[F.sum(F.col("_w") * F.col(f"_c{i}") * F.col(f"_c{j}")).alias(f"p{n}") for n, (i, j) in enumerate(part)]).collect()
-        for r in rows:
-            m = out.setdefault(tuple(r[b] for b in by), np.zeros((k, k)))
-            for n, (i, j) in enumerate(part):
-                m[i, j] = m[j, i] = r[f"p{n}"] if r[f"p{n}"] is not None else 0.0
+    for r in base.groupBy(*by).agg(*sums).collect():
+        m = out[tuple(r[b] for b in by)] = np.zeros((k, k))
+        for n, (i, j) in enumerate(pairs):
+            m[i, j] = m[j, i] = r[f"p{n}"] if r[f"p{n}"] is not None else 0.0
     return out
 
 
+def _wide_gram(base: DataFrame, names: Sequence[str], by: list[str]) -> dict:
+    k = len(names)
+
+    def partial(batches):
+        acc: dict = {}
+        for b in batches:
+            groups = b.groupby(by, dropna=False) if by else [((), b)]
+            for key, part in groups:
+                x = part[names].to_numpy(dtype=float)
+                key = key if isinstance(key, tuple) else (key,)
+                acc[key] = acc.get(key, 0.0) + (x * part["_w"].to_numpy(dtype=float)[:, None]).T @ x
+        for key, m in acc.items():
+            yield pd.DataFrame({**{c: [v] for c, v in zip(by, key)}, "m": [m.ravel()]})
+
+    kinds = dict(base.dtypes)
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in by] + ["m array<double>"])
+    parts = base.mapInPandas(partial, schema).select(*by, F.posexplode("m").alias("ij", "v"))
+    out: dict = {}
+    for r in parts.groupBy(*by, "ij").agg(F.sum("v").alias("v")).collect():
+        out.setdefault(tuple(r[b] for b in by), np.zeros(k * k))[r["ij"]] = r["v"]
+    return {key: m.reshape(k, k) for key, m in out.items()}
+
+
 def total(grams: dict) -> np.ndarray:
     return sum(grams.values())
 
 
+def outer_rows(df: DataFrame, fold: str, folds: Sequence, name: str = "outer") -> DataFrame:
+    """Every row once per fold it may train for, so that one grouping serves all outer folds."""
+    others = F.filter(F.array(*[F.lit(k) for k in folds]), lambda k: k != F.col(fold))
+    return df.withColumn(name, F.explode(others))
+
+
 def leave_out(grams: dict) -> dict:
     """Matrix of all other groups, per group."""
     t = total(grams)
