@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import add_all, by_value, digitize, linear, ramp
 from .columns import leave_out_quantiles
 from .folds import fold_ids
-from .gram import gram, leave_out, outer_rows, total
+from .gram import gram, leave_out, total
 from .linear import gram_sse
 
 
@@ -141,14 +141,11 @@ def covariate_blend(df: DataFrame, names: Sequence[str], y: str, covs: Sequence[
     def position(f):
         return [digitize(covs[0], cuts[covs[0]][f])] if kind == "tercile" else [ramp(c, *cuts[c][f]) for c in covs]
 
-    # one Gram for all outer folds; the covariate position depends on the outer fold's own cuts
-    rows_ = outer_rows(df, fold, folds)
-    rows_ = rows_.withColumns({f"_t{i}": by_value("outer", {f: position(f)[i] for f in folds}) for i in range(len(position(folds[0])))})
-    ts = [F.col(f"_t{i}") for i in range(len(position(folds[0])))]
-    gs = gram(rows_, [*_covariate_terms(kind, ts, names), *[F.col(n) for n in names], F.col(y) - mean, F.col(y)], ["outer"])
     preds = {}
     for f in folds:
-        t, g = position(f), gs[(f,)]
+        t = position(f)
+        fit = df.where(F.col(fold) != f)
+        g = total(gram(fit, [*_covariate_terms(kind, t, names), *[F.col(n) for n in names], F.col(y) - mean, F.col(y)]))
         d = len(maps[0][0])
         wg = simplex_weights(g[np.ix_([*range(d, d + k), -1], [*range(d, d + k), -1])])
         h, b = g[:d, :d].copy(), g[:d, d + k].copy()

@@ -10,21 +10,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import by_value, col, linear
 
-NARROW = 13  # up to this many columns the products are plain aggregate expressions inside generated code
+NARROW = 20  # up to this many columns the products are plain aggregate expressions inside generated code
 
 
 def gram(df: DataFrame, cols: Sequence, by: Sequence[str] = (), weight=None) -> dict:
     """{group key: matrix of weighted cross products} for the given columns or expressions.
 
     ``by`` holds labels with few values (fold, cell, option, replicate). Rows with a NULL in any
-    used column are left out. Few columns: one aggregate expression per product. Many columns: each
-    task multiplies its Arrow batches and sends one matrix per group, which Spark then adds up.
+    used column are left out. Few columns: one aggregate expression per product. Many columns: the
+    distributed covariance of Spark ML, one pass per group.
     """
     exprs = [col(c) for c in cols]
     k = len(exprs)
@@ -44,26 +45,23 @@ def gram(df: DataFrame, cols: Sequence, by: Sequence[str] = (), weight=None) ->
 
 
 def _wide_gram(base: DataFrame, names: Sequence[str], by: list[str]) -> dict:
+    """Cross products from Spark ML's distributed covariance: no generated code per product."""
     k = len(names)
-
-    def partial(batches):
-        acc: dict = {}
-        for b in batches:
-            groups = b.groupby(by, dropna=False) if by else [((), b)]
-            for key, part in groups:
-                x = part[names].to_numpy(dtype=float)
-                key = key if isinstance(key, tuple) else (key,)
-                acc[key] = acc.get(key, 0.0) + (x * part["_w"].to_numpy(dtype=float)[:, None]).T @ x
-        for key, m in acc.items():
-            yield pd.DataFrame({**{c: [v] for c, v in zip(by, key)}, "m": [m.ravel()]})
-
-    kinds = dict(base.dtypes)
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in by] + ["m array<double>"])
-    parts = base.mapInPandas(partial, schema).select(*by, F.posexplode("m").alias("ij", "v"))
+    rows = base.select(*by, *[(F.sqrt("_w") * F.col(n)).alias(n) for n in names])
+    v = VectorAssembler(inputCols=list(names), outputCol="v").transform(rows).select(*by, "v").persist()
+    stat = Summarizer.metrics("count", "mean", "variance").summary(F.col("v")).alias("s")
     out: dict = {}
-    for r in parts.groupBy(*by, "ij").agg(F.sum("v").alias("v")).collect():
-        out.setdefault(tuple(r[b] for b in by), np.zeros(k * k))[r["ij"]] = r["v"]
-    return {key: m.reshape(k, k) for key, m in out.items()}
+    for r in v.groupBy(*by).agg(stat).collect():
+        n, mu, sd = r["s"]["count"], r["s"]["mean"].toArray(), np.sqrt(r["s"]["variance"].toArray())
+        part = v
+        for c in by:
+            part = part.where(F.col(c) == F.lit(r[c]))
+        cov = np.zeros((k, k))
+        if n > 1:
+            cov = np.nan_to_num(Correlation.corr(part, "v").first()[0].toArray(), nan=0.0) * np.outer(sd, sd)
+        out[tuple(r[c] for c in by)] = cov * (n - 1) + n * np.outer(mu, mu)
+    v.unpersist()
+    return out
 
 
 def total(grams: dict) -> np.ndarray:
