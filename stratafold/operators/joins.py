@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -198,18 +199,21 @@ def knn(df: DataFrame, k: int, n_pivots: int = 32, chunk: int = 4096) -> DataFra
     for r in rows:
         u[r["cell"]], count[r["cell"]] = r["u"], r["n"]
         kth[r["cell"]] = r["kth"] if r["kth"] is not None else np.inf
-    n_all = count.sum()
-    blocks = {c: max(1, int(np.ceil(count[c] / chunk))) for c in range(m)}
-    q_blocks = max(1, int(np.ceil(n_all / chunk)))
-    nb = F.lit(1)
-    for c, n in blocks.items():
-        if n > 1:
-            nb = F.when(F.col("cell") == c, n).otherwise(nb)
     visits = df.mapInPandas(_nearest_pivots(pivots, u, kth), "id bigint, vec array<double>, cell int")
-    q = visits.withColumn("qb", F.floor(hash_uniform("q", F.col("id")) * q_blocks).cast("int")).withColumn(
-        "db", F.explode(F.sequence(F.lit(0), nb - 1)))
-    d = cells.select("id", "vec", "cell", F.floor(hash_uniform("d", F.col("id")) * nb).cast("int").alias("db")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    visitors = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def blocks(sizes: dict) -> Column:
+        n = F.lit(1)
+        for c, rows_ in sizes.items():
+            if rows_ > chunk:
+                n = F.when(F.col("cell") == c, math.ceil(rows_ / chunk)).otherwise(n)
+        return n
+
+    # a cell's rows and its visitors meet block by block; both block counts belong to the cell alone
+    n_data, n_query = blocks({c: int(v) for c, v in enumerate(count)}), blocks(visitors)
+    q = visits.withColumn("qb", F.floor(hash_uniform("q", F.col("id")) * n_query).cast("int")).withColumn("db", F.explode(F.sequence(F.lit(0), n_data - 1)))
+    d = cells.select("id", "vec", "cell", F.floor(hash_uniform("d", F.col("id")) * n_data).cast("int").alias("db")).withColumn(
+        "qb", F.explode(F.sequence(F.lit(0), n_query - 1)))
 
     def local(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
