@@ -3,13 +3,19 @@
 A group may hold a third of all rows, so a plain ``Window.partitionBy(group)`` is not safe.
 Every function here first cuts each group into ordered buckets. The bucket edges are a
 hash-thinned sample of the ordering values: a pure function of the data, so each re-run of
-a lost task sees the same edges. Totals per bucket are small; a window over them gives each
-bucket its offset, and only the rows of one bucket are sorted together.
+a lost task sees the same edges, and their number grows with the group. Totals per bucket are
+small; a window over them gives each bucket its offset, and only the rows of one bucket are
+sorted together.
+
+NULL policy: a NULL key is a group of its own. A NULL ordering value sorts first and keeps its
+row. ``value_ranks`` and quantiles look at non-NULL values only; ``average_ranks`` returns every
+input row and gives NULL values a NULL rank.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,35 +24,41 @@ from pyspark.sql import Window as W
 from .scalar import col
 
 THIN = 1 << 20  # about one edge per million rows of a group
-MAX_EDGES = 512
 
 
 def _named(order: Sequence) -> list[Column]:
     return [col(o) for o in order]
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys meet; the key columns of the left side stay."""
+    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(r, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def _position(edges: Column, value: Column) -> Column:
+    """Number of sorted edges at or below the value, by bisection."""
+    span = F.struct(F.lit(0).alias("lo"), F.size(edges).alias("hi"))
+    mid = lambda s: F.shiftright(s["lo"] + s["hi"], 1)
+
+    def step(s, _):
+        right = F.get(edges, mid(s)) <= value
+        return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(
+            F.when(right, mid(s) + 1).otherwise(s["lo"]).alias("lo"), F.when(right, s["hi"]).otherwise(mid(s)).alias("hi")))
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(edges) + F.lit(1.0))).cast("int"))
+    return F.when(F.size(edges) > 0, F.aggregate(steps, span, step, lambda s: s["lo"])).otherwise(F.lit(0))
+
+
 def bucketed(df: DataFrame, keys: Sequence[str], order: Sequence, thin: int | None = None) -> DataFrame:
     """Adds ``_b``, an ordered bucket number inside each key group."""
     thin = thin or THIN
     o = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_named(order))])
     sample = df.where(F.pmod(F.xxhash64(*_named(order)), F.lit(thin)) == 0)
-    step = F.greatest(F.lit(1), F.ceil(F.size("_e") / F.lit(float(MAX_EDGES))).cast("int"))
-    edges = (
-        sample.groupBy(*keys)
-        .agg(F.sort_array(F.collect_set(o)).alias("_e"))
-        .withColumn("_e", F.filter("_e", lambda e, i: i % step == 0))
-    )
-    if keys:
-        cut = df.join(edges, list(keys), "left")
-        return cut.withColumn(
-            "_b", F.coalesce(F.size(F.filter("_e", lambda e: e <= o)), F.lit(0))
-        ).withColumn("_b", F.greatest(F.col("_b"), F.lit(0))).drop("_e")
-    found = edges.first()
-    values = found["_e"] if found else []
-    if not values:
-        return df.withColumn("_b", F.lit(0))
-    lits = F.array(*[F.struct(*[F.lit(v).alias(f"o{i}") for i, v in enumerate(e)]) for e in values])
-    return df.withColumn("_b", F.size(F.filter(lits, lambda e: e <= o)))
+    edges = sample.groupBy(*keys).agg(F.sort_array(F.collect_set(o)).alias("_e"))
+    cut = null_safe_join(df, edges, keys, "left") if keys else df.crossJoin(edges)  # without keys: one row of edges
+    return cut.withColumn("_b", F.coalesce(_position(F.col("_e"), o), F.lit(0))).drop("_e")
 
 
 def running_sums(
@@ -54,12 +66,17 @@ def running_sums(
 ) -> DataFrame:
     """Adds ``<name>_before`` (sum over earlier rows of the group) and ``<name>_total``.
 
-    ``order`` must order the rows of a group completely for a repeatable result.
+    ``order`` must order the rows of a group completely for a repeatable result. The rows are
+    shuffled once: bucket totals and row sums read the same exchange.
     """
     keys = list(keys)
-    b = bucketed(df, keys, order, thin)
     bk = [*keys, "_b"]
-    totals = b.groupBy(*bk).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    local = W.partitionBy(*bk).orderBy(*_named(order))
+    before = local.rowsBetween(W.unboundedPreceding, -1)
+    b = bucketed(df, keys, order, thin)
+    x = b.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_l_{n}") for n, c in sums.items()],
+                 *[F.sum(c).over(W.partitionBy(*bk)).alias(f"_t_{n}") for n, c in sums.items()], F.row_number().over(local).alias("_i"))
+    totals = x.where("_i = 1").select(*bk, *[f"_t_{n}" for n in sums])
     over_all = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     earlier = over_all.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
@@ -67,10 +84,8 @@ def running_sums(
         *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums],
         *[F.sum(f"_t_{n}").over(over_all).alias(f"{n}_total") for n in sums],
     )
-    local = W.partitionBy(*bk).orderBy(*_named(order)).rowsBetween(W.unboundedPreceding, -1)
-    return b.join(offsets, bk).select(
-        *df.columns, *[F.col(f"{n}_total") for n in sums],
-        *[(F.col(f"_o_{n}") + F.coalesce(F.sum(c).over(local), F.lit(0))).alias(f"{n}_before") for n, c in sums.items()])
+    return null_safe_join(x, offsets, bk).select(
+        *df.columns, *[F.col(f"{n}_total") for n in sums], *[(F.col(f"_o_{n}") + F.col(f"_l_{n}")).alias(f"{n}_before") for n in sums])
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence, name: str = "rn", thin: int | None = None) -> DataFrame:
@@ -80,7 +95,7 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence, name: str =
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str, weight=None, thin: int | None = None) -> DataFrame:
-    """One row per distinct value of a group with its count, weight and running totals.
+    """One row per distinct non-NULL value of a group with its count, weight and running totals.
 
     Columns: keys, value, n, w, n_before, n_total, w_before, w_total.
     """
@@ -125,11 +140,12 @@ def global_quantiles(df: DataFrame, value: str, probs: Sequence[float], thin: in
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank", thin: int | None = None) -> DataFrame:
-    """Adds the average rank (ties share their mean rank) of ``value`` inside each group."""
+    """Adds the average rank (ties share their mean rank) of ``value`` inside each group; NULL for a NULL value."""
+    keys = list(keys)
     r = value_ranks(df, keys, value, thin=thin).select(
         *keys, value, (F.col("n_before") + (F.col("n") + 1) / 2).alias(name)
     )
-    return df.join(r, [*keys, value])
+    return null_safe_join(df, r, [*keys, value], "left")
 
 
 def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], thin: int | None = None) -> dict[str, list[float]]:

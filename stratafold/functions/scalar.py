@@ -47,7 +47,7 @@ def digitize(c, edges: Sequence[float]) -> Column:
 def cut(c, edges: Sequence[float]) -> Column:
     """Right-closed bins: the number of inner edges < value; equal edges count once."""
     c = col(c)
-    parts = [F.when(c > float(e), 1).otherwise(0) for e in sorted(set(edges))]
+    parts = [F.when(c > float(e), 1).otherwise(0) for e in sorted({e for e in edges if e is not None})]
     return F.when(c.isNotNull(), reduce(lambda a, b: a + b, parts, F.lit(0))).cast("int")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranks import global_quantiles, row_numbers
+from ..functions.ranks import global_quantiles, null_safe_join, row_numbers
 from ..functions.scalar import cut, hash_uniform
 
 
@@ -15,7 +15,8 @@ def stratified_folds(df: DataFrame, key: str, y: str, n_bins: int = 10, k: int =
                      thin: int | None = None) -> DataFrame:
     """Quantile bins of the target, then the rows of each bin are dealt to the folds in turn.
 
-    ``seed=None`` deals in key order; a seed deals in hash order. Adds ``bin`` and ``fold``.
+    ``seed=None`` deals in key order; a seed deals in hash order. Adds ``bin`` and ``fold``. Rows with a
+    NULL target form a bin of their own (``bin`` NULL) and are dealt like the others.
     """
     edges = global_quantiles(df, y, [i / n_bins for i in range(1, n_bins)], thin)
     b = df.withColumn("bin", cut(y, edges))
@@ -34,10 +35,10 @@ def stratified_resplits(df: DataFrame, key: str, stratum: str, n: int, k: int =
 
 
 def group_folds(df: DataFrame, source: str, k: int = 5, thin: int | None = None) -> DataFrame:
-    """Every row of one source gets the same fold; sources are dealt in key order."""
+    """Every row of one source gets the same fold; sources are dealt in key order, NULL as a source of its own."""
     src = row_numbers(df.select(source).distinct(), [], [source], "_rn", thin)
     src = src.select(source, ((F.col("_rn") - 1) % k).cast("int").alias("fold"))
-    return df.join(src, source)
+    return null_safe_join(df, src, [source])
 
 
 def fold_ids(df: DataFrame, fold: str = "fold") -> Sequence:

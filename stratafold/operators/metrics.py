@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.ranks import column_quantiles, global_quantiles, quantiles
+from ..functions.ranks import column_quantiles, global_quantiles, null_safe_join, quantiles
 from ..functions.scalar import by_value, col, cut, digitize
 
 
@@ -55,13 +55,13 @@ def profile(df: DataFrame, keys: Sequence[str], pred: str, y: str, c: str) -> Da
     a = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), rmse(pred, y).alias("rmse"), F.stddev_samp(y).alias("y_sd"), F.stddev_samp(pred).alias("pred_sd"),
         F.avg(y).alias("y_mean"), F.avg(r).alias("resid_mean"), safe_corr(pred, y).alias("corr"))
-    return a.join(quantiles(df, keys, c, {"med": 0.5}).select(*keys, "med"), list(keys))
+    return null_safe_join(a, quantiles(df, keys, c, {"med": 0.5}).select(*keys, "med"), list(keys), "left")
 
 
 def band_summary(df: DataFrame, keys: Sequence[str], means: Sequence[str], medians: Sequence[str]) -> DataFrame:
     out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in means])
     for c in medians:
-        out = out.join(quantiles(df, keys, c, {f"med_{c}": 0.5}).drop("n_total"), list(keys))
+        out = null_safe_join(out, quantiles(df, keys, c, {f"med_{c}": 0.5}).drop("n_total"), list(keys), "left")
     return out
 
 
