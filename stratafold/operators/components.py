@@ -87,22 +87,35 @@ def blob_table(table: DataFrame, size: int) -> DataFrame:
 def connected_components(vertices: DataFrame, edges: DataFrame, keys: Sequence[str] = ("img",), node: str = "node") -> DataFrame:
     """Components of an undirected graph of any size: adds ``comp``, the smallest node of the component.
 
-    Each round takes the smallest label among the neighbours (a combining aggregate, so a hub is no
-    hot task) and then the label of that label, which halves long paths. The labels are written to
-    the shared checkpoint folder after every round; the loop ends when no label changes.
+    Alternates two steps on the edge list until it is stable. Large star: every node ties its larger neighbours
+    to its smallest neighbour. Small star: every node ties its smaller neighbours to the smallest of them. Both are a
+    combining minimum and one inner join whose side of minima has one row per node, so a hub's edges can be split
+    over tasks. The edges are written to the shared checkpoint folder after every round.
     """
     keys = list(keys)
-    both = edges.select(*keys, "a", "b").unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
-    both = cut_lineage(both.distinct())
-    state = cut_lineage(vertices.select(*keys, node, F.col(node).alias("comp")))
-    while True:
-        msg = both.join(state.withColumnRenamed(node, "a"), [*keys, "a"]).groupBy(*keys, F.col("b").alias(node)).agg(F.min("comp").alias("m"))
-        step = state.join(msg, [*keys, node], "left").select(*keys, node, F.least("comp", F.coalesce("m", "comp")).alias("new"), F.col("comp").alias("old"))
-        jump = step.select(*keys, F.col(node).alias("new"), F.col("new").alias("up"))
-        step = cut_lineage(step.join(jump, [*keys, "new"]).select(*keys, node, F.least("new", "up").alias("comp"), "old"))
-        if not step.where("comp <> old").limit(1).count():
-            return step.select(*keys, node, "comp")
-        state = step.select(*keys, node, "comp")
+
+    def minima(e: DataFrame) -> DataFrame:
+        return e.groupBy(*keys, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+
+    def round_(e: DataFrame) -> DataFrame:
+        both = e.unionByName(e.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.join(minima(both), [*keys, "u"]).where("v > u").select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        tied = large.join(minima(large), [*keys, "u"]).where("v <> m").select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
+        return tied.unionByName(minima(large).select(*keys, "u", F.col("m").alias("v"))).distinct()
+
+    def state(e: DataFrame):
+        return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(20,0)"))).first()
+
+    e = edges.where("a <> b").select(*keys, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    e = cut_lineage(e)
+    now = state(e)
+    while now[0]:
+        e = cut_lineage(round_(e))
+        before, now = now, state(e)
+        if now == before:
+            break
+    root = e.select(*keys, F.col("u").alias(node), F.col("v").alias("comp"))
+    return vertices.select(*keys, node).join(root, [*keys, node], "left").select(*keys, node, F.coalesce("comp", node).alias("comp"))
 
 
 def relabel_pieces(px: DataFrame, label: str) -> DataFrame:
