@@ -7,8 +7,9 @@ strings of the ids. Null text counts as empty; empty text gives no ids.
 
 from __future__ import annotations
 
-import heapq
+import hashlib
 import json
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -67,11 +68,15 @@ class Tokenizer:
         back = {c: b for b, c in enumerate(shown)}
         self.first = [vocab[c] for c in shown]
         self.bytes = {i: bytes(back[c] for c in s) for s, i in vocab.items()}
-        self.ranks, self.made = {}, []
+        none: dict[int, int] = {}
+        self.ranks, self.made = [none] * (max(vocab.values()) + 1), []
         for rank, m in enumerate(j["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
-            self.ranks.setdefault(vocab[a] << 20 | vocab[b], rank)
+            if self.ranks[vocab[a]] is none:
+                self.ranks[vocab[a]] = {}
+            self.ranks[vocab[a]].setdefault(vocab[b], rank)
             self.made.append(vocab[a + b])
+        self.byte_pairs = [[self.ranks[a].get(b, -1) for b in self.first] for a in self.first]
         self.added = {t["content"]: t["id"] for t in j["added_tokens"]}
         self.bytes |= {i: s.encode() for s, i in self.added.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
@@ -84,31 +89,38 @@ class Tokenizer:
             return cls(f.read())
 
     def merge(self, word: bytes) -> list[int]:
-        sym = [self.first[b] for b in word]
-        n, rank_of, made = len(sym), self.ranks.get, self.made
+        first, pairs, made = self.first, self.byte_pairs, self.made
+        sym = [first[b] for b in word]
+        rank = [pairs[a][b] for a, b in zip(word, word[1:])]  # of the pair that begins here; -1: none
+        rank.append(-1)
+        n = len(sym)
         bits = n.bit_length()
-        low = (1 << bits) - 1
-        queue = [r << bits | i for i in range(n - 1) if (r := rank_of(sym[i] << 20 | sym[i + 1])) is not None]
+        queue = [r << bits | i for i, r in enumerate(rank) if r >= 0]
         if not queue:
             return sym
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        heapq.heapify(queue)
+        nxt, prv, ranks, low = list(range(1, n + 1)), list(range(-1, n - 1)), self.ranks, (1 << bits) - 1
+        heapify(queue)
         while queue:
-            top = heapq.heappop(queue)
-            rank, i = top >> bits, top & low
-            j = nxt[i]
-            if sym[i] < 0 or j >= n or rank_of(sym[i] << 20 | sym[j]) != rank:
+            top = heappop(queue)
+            i, r = top & low, top >> bits
+            if rank[i] != r:
                 continue  # stale: one of the two symbols has been merged since
-            new = sym[i] = made[rank]
-            sym[j] = -1
+            j = nxt[i]
+            new = sym[i] = made[r]
+            sym[j] = rank[j] = -1
             k = nxt[i] = nxt[j]
             if k < n:
                 prv[k] = i
-                if (r := rank_of(new << 20 | sym[k])) is not None:
-                    heapq.heappush(queue, r << bits | i)
+                r = rank[i] = ranks[new].get(sym[k], -1)
+                if r >= 0:
+                    heappush(queue, r << bits | i)
+            else:
+                rank[i] = -1
             h = prv[i]
-            if h >= 0 and (r := rank_of(sym[h] << 20 | new)) is not None:
-                heapq.heappush(queue, r << bits | h)
+            if h >= 0:
+                r = rank[h] = ranks[sym[h]].get(new, -1)
+                if r >= 0:
+                    heappush(queue, r << bits | h)
         return [s for s in sym if s >= 0]
 
     def _word(self, w: str) -> tuple[int, ...]:
@@ -128,13 +140,16 @@ class Tokenizer:
         chunks = self.chunk_ids
         return [*[words[w] for w in self.words.findall(first)], *[chunks[c] for c in rest]]
 
-    def encode(self, text: str) -> np.ndarray:
-        if self.split is None or not self.split.search(text):
-            return np.fromiter(chain.from_iterable(self._plain(text)), np.int32)
+    def ids(self, text: str) -> list[int]:
+        if not any(s in text for s in self.added):
+            return list(chain.from_iterable(self._plain(text)))
         parts = []
         for piece in self.split.split(text):
             parts += [(self.added[piece],)] if piece in self.added else self._plain(piece)
-        return np.fromiter(chain.from_iterable(parts), np.int32)
+        return list(chain.from_iterable(parts))
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.ids(text), np.int32)
 
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -148,7 +163,7 @@ def encode(df: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", text: str =
     def run(batches):
         t = shared.value
         for b in batches:
-            ids = [t.encode(x or "") for x in b.column(1).to_pylist()]
+            ids = [t.encode(x.as_py() or "") for x in b.column(1)]
             ends = np.cumsum([0] + [len(x) for x in ids], dtype=np.int64)
             values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.LargeListArray.from_arrays(pa.array(ends), values).cast(pa.list_(pa.int32()))], [key, "token_ids"])
@@ -166,8 +181,7 @@ def decode(df: DataFrame, tokenizer: Tokenizer, keep: list[str], ids: str = "tok
         t = shared.value
         for b in batches:
             lists = b.column(len(keep))
-            at, flat = np.asarray(lists.offsets), lists.values.to_pylist()
-            out = [t.decode(flat[i:j]) for i, j in zip(at[:-1], at[1:])]
+            out = [t.decode(x.values.to_numpy().tolist() if x.is_valid else ()) for x in lists]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(out, pa.string())], [*keep, "decoded"])
 
     kinds = ", ".join(f"`{k}` {d.schema[k].dataType.simpleString()}" for k in keep)
@@ -175,9 +189,21 @@ def decode(df: DataFrame, tokenizer: Tokenizer, keep: list[str], ids: str = "tok
 
 
 def round_trip(df: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Digest of encoding and decoding: (key, n_tokens, ids_sha256, decoded_sha256)."""
-    e = encode(df, tokenizer, key, text)
-    e = e.select(key, F.size("token_ids").cast("long").alias("n_tokens"),
-                 F.sha2(F.concat_ws(",", F.col("token_ids").cast("array<string>")), 256).alias("ids_sha256"), "token_ids")
-    d = decode(e, tokenizer, [key, "n_tokens", "ids_sha256"])
-    return d.select(key, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Digest of encoding and decoding: (key, n_tokens, ids_sha256, decoded_sha256); one text at a time is in memory."""
+    d = pick(df, key, text)
+    shared = d.sparkSession.sparkContext.broadcast(tokenizer)
+
+    def run(batches):
+        t = shared.value
+        decimal = [str(i) for i in range(max(t.bytes) + 1)].__getitem__
+        for b in batches:
+            n, ids_hash, text_hash = [], [], []
+            for x in b.column(1):
+                ids = t.ids(x.as_py() or "")
+                n.append(len(ids))
+                ids_hash.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
+                text_hash.append(hashlib.sha256(t.decode(ids).encode()).hexdigest())
+            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return d.mapInArrow(run, f"`{key}` {d.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
