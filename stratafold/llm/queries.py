@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, chat, exact_dedup, mixing, ngram_join, syncmers
 from .frames import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,37 @@ def tokenizer_path() -> str:
 @query("op10_bpe")
 def op10_bpe(spark, sf_dir):
     return bpe.round_trip(documents(spark, sf_dir), bpe.Tokenizer.from_file(tokenizer_path()))
+
+
+@query("op1_ngram_join")
+def op1_ngram_join(spark, sf_dir):
+    return ngram_join.near_groups(documents(spark, sf_dir))
+
+
+@query("op2_syncmers")
+def op2_syncmers(spark, sf_dir):
+    """Each text against its own edit: its last third is replaced by the beginning of the next document (descending ids)."""
+    return syncmers.edited_likeness(documents(spark, sf_dir))
+
+
+@query("op4_mixing", mixing.ORACLE)
+def op4_mixing(spark, sf_dir):
+    return mixing.poisson_mix(documents(spark, sf_dir))
+
+
+@query("op6_chat", chat.ORACLE)
+def op6_chat(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.prefix_target_examples(c.unionByName(chat.control_conversation(spark))))
+
+
+EXACT_SQL = r"""
+with a as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),
+g as (select t, min(doc_id) as keep_id, count(*)::bigint as group_size from a group by t)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256 from a join g using (t)
+"""
+
+
+@query("op9_exact", EXACT_SQL)
+def op9_exact(spark, sf_dir):
+    return exact_dedup.exact_dedup(documents(spark, sf_dir))
