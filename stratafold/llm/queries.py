@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, mixing, ngram_join, syncmers
+from . import bpe, chat, exact_dedup, mixing, ngram_join, quality, syncmers, toxicity
 from .frames import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,16 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_
 """
 
 
+@query("op7_toxicity")
+def op7_toxicity(spark, sf_dir):
+    return toxicity.toxicity_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@query("op8_quality")
+def op8_quality(spark, sf_dir):
+    return quality.quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 @query("op9_exact", EXACT_SQL)
 def op9_exact(spark, sf_dir):
     return exact_dedup.exact_dedup(documents(spark, sf_dir))

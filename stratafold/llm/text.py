@@ -40,10 +40,12 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def _slice_words(buf: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+def _slice_words(buf: np.ndarray, fold: bool, head: int = 0) -> tuple[np.ndarray, np.ndarray]:
     sep = _IS_SEP[buf]
     edge = np.diff(sep.view(np.int8), prepend=1, append=1)
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if head:
+        ends = np.minimum(ends, starts + head)
     up, down = _power_tables(len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_BYTE[_LOWER[buf] if fold else buf] * up[: len(buf)], out=total[1:])
@@ -51,8 +53,8 @@ def _slice_words(buf: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
     return starts, mix(h)
 
 
-def words(buf: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(byte starts, 64-bit hashes) of the words of one byte array, whatever its length."""
+def words(buf: np.ndarray, fold: bool = True, head: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(byte starts, 64-bit hashes) of the words of one byte array, whatever its length; of their first bytes with ``head``."""
     starts, hashes, lo = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
     while lo < len(buf):
         hi = min(len(buf), lo + CHUNK)
@@ -63,20 +65,25 @@ def words(buf: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
             else:  # one word longer than a slice
                 rest = np.flatnonzero(_IS_SEP[buf[hi:]])
                 hi = hi + int(rest[0]) + 1 if len(rest) else len(buf)
-        s, h = _slice_words(buf[lo:hi], fold)
+        s, h = _slice_words(buf[lo:hi], fold, head)
         starts.append(s + lo)
         hashes.append(h)
         lo = hi
     return np.concatenate(starts), np.concatenate(hashes)
 
 
-def document_words(texts: list[bytes], fold: bool = True) -> Iterator[np.ndarray]:
+def document_prefixes(texts: list[bytes], head: int) -> Iterator[np.ndarray]:
+    """Hashes of the first bytes of each word."""
+    return document_words(texts, head=head)
+
+
+def document_words(texts: list[bytes], fold: bool = True, head: int = 0) -> Iterator[np.ndarray]:
     """Word hashes of each text; short texts are hashed together."""
     group: list[bytes] = []
     size = 0
 
     def flush():
-        starts, h = words(np.frombuffer(b"\n".join(group), np.uint8), fold)
+        starts, h = words(np.frombuffer(b"\n".join(group), np.uint8), fold, head)
         at = np.cumsum([0] + [len(t) + 1 for t in group])
         cut = np.searchsorted(starts, at)
         return [h[i:j] for i, j in zip(cut[:-1], cut[1:])]
