@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, mixing, ngram_join, quality, syncmers, toxicity
+from . import bpe, chat, exact_dedup, line_dedup, mixing, ngram_join, quality, syncmers, toxicity
 from .frames import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,11 @@ def op4_mixing(spark, sf_dir):
     return mixing.poisson_mix(documents(spark, sf_dir))
 
 
+@query("op5_lines")
+def op5_lines(spark, sf_dir):
+    return line_dedup.digest(documents(spark, sf_dir))
+
+
 @query("op6_chat", chat.ORACLE)
 def op6_chat(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
