@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +30,11 @@ from .text import as_bytes, document_words, shingles
 
 BITS = 20
 PART_TOKENS = 2_000_000
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 HOT = 1 << 18
 PAIRS = 1 << 18
 LONG = 64
+BROADCAST_IDS = 1_000_000
 
 
 def _sets(batch_column, n: int):
@@ -87,8 +89,25 @@ def needed(percent: int, size):
     return -(-percent * size // 100)
 
 
+def packed(tok, doc, size, pos) -> bytes:
+    """The n-grams of one part. 32 bits of each are enough: within a part a false meeting is only one more candidate."""
+    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    runs = np.diff(np.append(first, len(doc))).astype("<i4")
+    step = np.diff(doc[first], prepend=0).astype("<i8")
+    raw = b"".join(x.tobytes() for x in (np.array([len(tok), len(first)], "<i4"), step, size[first].astype("<i4"), runs, pos.astype("<i4"), (tok & np.uint64(0xFFFFFFFF)).astype("<u4")))
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes):
+    raw = pa.decompress(blob[8:], int(np.frombuffer(blob, "<i8", 1)[0]), codec="zstd", asbytes=True)
+    n, m = np.frombuffer(raw, "<i4", 2)
+    step, at = np.frombuffer(raw, "<i8", m, 8), 8 + 8 * m
+    size, runs, pos, tok = (np.frombuffer(raw, kind, k, at + off) for kind, k, off in (("<i4", m, 0), ("<i4", m, 4 * m), ("<i4", n, 8 * m), ("<u4", n, 8 * m + 4 * n)))
+    return tok, np.repeat(np.cumsum(step), runs), np.repeat(size, runs), pos
+
+
 def prefixes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, int]:
-    """Rows of members (doc_id, rep, size) and of packed prefix n-grams (part, blob), in one stored table."""
+    """Rows of members (doc_id, rep, size) and of packed prefix n-grams (blob), each with the part it goes to."""
     spark = docs.sparkSession
     counts = ngram_counts(docs, n)
     parts = max(partitions(spark), int(counts.sum() * (100 - percent) // 100 // PART_TOKENS) + 1)
@@ -109,14 +128,11 @@ def prefixes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, int]:
             size = np.repeat(np.array([h[2] for h in held], np.int32), lens)
             pos = np.concatenate([np.arange(k, dtype=np.int32) for k in lens])
             s = salt[_bucket(tok)].astype(np.int64)
-            part = ((tok >> np.uint64(8)).astype(np.int64) + (doc % s) * 7919) % parts
+            part = ((tok >> np.uint64(32)).astype(np.int64) + (doc % s) * 7919) % parts
             by = np.argsort(part, kind="stable")
             at = np.searchsorted(part[by], np.arange(parts + 1))
-            rows, blobs = [], []
-            for p in np.flatnonzero(np.diff(at)):
-                i = by[at[p] : at[p + 1]]
-                rows.append(p)
-                blobs.append(tok[i].tobytes() + doc[i].tobytes() + size[i].tobytes() + pos[i].tobytes())
+            rows = np.flatnonzero(np.diff(at))
+            blobs = [packed(*(c[by[at[p] : at[p + 1]]] for c in (tok, doc, size, pos))) for p in rows]
             m = len(rows)
             none = pa.nulls(m, pa.int64())
             return pa.RecordBatch.from_arrays([none, none, none, pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], names)
@@ -146,12 +162,13 @@ def prefixes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, int]:
                     yield flush()
                     held, count = [], 0
             m = len(ids)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(reps, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+            spread = np.arange(m, dtype=np.int32) % parts
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(reps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(spread), pa.nulls(m, pa.binary())], names)
         if held:
             yield flush()
 
     d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stored(d.mapInArrow(run, "doc_id long, rep long, size long, part int, blob binary"), "ngram-prefixes"), parts
+    return d.mapInArrow(run, "doc_id long, rep long, size long, part int, blob binary"), parts
 
 
 def _possible(percent: int, na, pa_, nb, pb):
@@ -161,16 +178,15 @@ def _possible(percent: int, na, pa_, nb, pb):
 
 
 def postings(table: DataFrame, parts: int, percent: int) -> DataFrame:
-    """Entries (token, doc, size, pos) of lists with several documents, and star pairs (a, b): each entry with the smallest
-    member of its list that the length filter allows."""
+    """One stored table of three kinds of rows: entries (token, doc, size, pos) of lists with several documents, star pairs
+    (a, b) of each entry with the smallest member of its list that the length filter allows, and the members as they came."""
+    names = ["token", "doc", "size", "pos", "a", "b", "rep"]
+
+    def rows(m: int, **cols):
+        return pa.RecordBatch.from_arrays([pa.array(cols[c], pa.int64()) if c in cols else pa.nulls(m, pa.int64()) for c in names], names)
 
     def lists(blobs):
-        cols = [[], [], [], []]
-        for x in blobs:
-            m = len(x) // 24
-            for c, kind, lo, width in zip(cols, ("<u8", "<i8", "<i4", "<i4"), (0, 8, 16, 20), (8, 8, 4, 4)):
-                c.append(np.frombuffer(x, kind, m, lo * m))
-        tok, doc, size, pos = (np.concatenate(c) for c in cols)
+        tok, doc, size, pos = (np.concatenate(c) for c in zip(*map(unpacked, blobs)))
         by = np.lexsort((doc, size, tok))
         tok, doc, size, pos = tok[by], doc[by], size[by], pos[by]
         same = np.zeros(len(tok), bool)
@@ -184,11 +200,9 @@ def postings(table: DataFrame, parts: int, percent: int) -> DataFrame:
         return tok[keep], doc[keep], size[keep].astype(np.int64), pos[keep].astype(np.int64)
 
     def emit(tok, doc, size, pos):
-        names = ["token", "doc", "size", "pos", "a", "b"]
         for lo in range(0, len(tok), 50_000):
-            s = slice(lo, lo + 50_000)
-            m = len(tok[s])
-            yield pa.RecordBatch.from_arrays([pa.array(tok[s].view(np.int64)), pa.array(doc[s]), pa.array(size[s]), pa.array(pos[s]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names)
+            x = slice(lo, lo + 50_000)
+            yield rows(len(tok[x]), token=tok[x].astype(np.int64), doc=doc[x], size=size[x], pos=pos[x])
         rest = np.arange(len(tok))
         pairs = []
         while len(rest):
@@ -203,23 +217,32 @@ def postings(table: DataFrame, parts: int, percent: int) -> DataFrame:
         p = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
         for lo in range(0, len(p), 50_000):
             x = p[lo : lo + 50_000]
-            none = pa.nulls(len(x), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(x[:, 0]), pa.array(x[:, 1])], names)
+            yield rows(len(x), a=x[:, 0], b=x[:, 1])
 
     def run(batches):
         now, blobs = None, []
         for b in batches:
-            for p, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            member = b.filter(pa.compute.is_null(b.column(4)))
+            if member.num_rows:
+                yield rows(member.num_rows, doc=member.column(0), rep=member.column(1), size=member.column(2))
+            b = b.filter(pa.compute.is_valid(b.column(4)))
+            for p, x in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
                 if p != now and blobs:
-                    yield from emit(*lists(blobs))
+                    for out in emit(*lists(blobs)):
+                        yield out.set_column(0, "token", with_part(out.column(0), now))
                     blobs = []
                 now = p
                 blobs.append(x)
         if blobs:
-            yield from emit(*lists(blobs))
+            for out in emit(*lists(blobs)):
+                yield out.set_column(0, "token", with_part(out.column(0), now))
 
-    t = table.where("part is not null").select("part", "blob").repartition(parts, "part").sortWithinPartitions("part")
-    return stored(t.mapInArrow(run, "token long, doc long, size long, pos long, a long, b long"), "ngram-postings")
+    def with_part(column, part):
+        """An n-gram's number is unique with its part only."""
+        return column if column.null_count else pa.array(np.asarray(column) | (np.int64(part) << 32))
+
+    t = table.repartition(parts, "part").sortWithinPartitions("part")
+    return stored(t.mapInArrow(run, ", ".join(f"{c} long" for c in names)), "ngram-postings")
 
 
 def cross_pairs(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -321,51 +344,46 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return int((x[at] == y).sum()) >= least
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold."""
 
     def run(batches):
         for b in batches:
-            a, c = b.column(0), b.column(1)
-            ok = [linked(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), percent) for x, y in zip(b.column(2), b.column(3))]
-            yield pa.RecordBatch.from_arrays([a, c], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    j = pairs.join(sets.select(F.col("doc").alias("b"), F.col("grams").alias("gb")), "b")
-    j = j.join(sets.select(F.col("doc").alias("a"), F.col("grams").alias("ga")), "a")
-    return j.select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long").distinct()
-
+            for lo in range(0, b.num_rows, 500):
+                s = b.slice(lo, 500)
+                ok = [linked(x, y, percent) for x, y in zip(_sets(s.column(2), n), _sets(s.column(3), n))]
+                yield s.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-def ngram_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(doc, grams): the sets of the wanted documents as sorted 64-bit hashes."""
+    j = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
+    j = j.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
+    return j.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
-    def run(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                s = b.slice(lo, 1000)
-                yield pa.RecordBatch.from_arrays([s.column(0), pa.array([x.astype("<u8").tobytes() for x in _sets(s.column(1), n)], pa.binary())], ["doc", "grams"])
 
+def candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, text) of the documents that occur in any posting list with several members."""
+    wanted = stored(wanted, "ngram-wanted")
+    if wanted.count() <= BROADCAST_IDS:  # eight bytes each
+        wanted = F.broadcast(wanted)
     d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    return stored(d.join(wanted, "doc", "left_semi").mapInArrow(run, "doc long, grams binary"), "ngram-sets")
+    return stored(d.join(wanted, "doc", "left_semi"), "ngram-texts")
 
 
 def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per input row."""
-    table, parts = prefixes(docs, n, percent)
-    members = table.where("part is null").select("doc_id", "rep", "size")
-    lists = postings(table, parts, percent)
+    lists = postings(*prefixes(docs, n, percent), percent)
+    pair = F.col("a").isNotNull()
+    members = lists.where(~pair & F.col("token").isNull()).select(F.col("doc").alias("doc_id"), "rep", "size")
     entries = lists.where("token is not null").select("token", "doc", "size", "pos")
-    stars = lists.where("token is null").select("a", "b").distinct()
-    sets = ngram_sets(docs, entries.select("doc").distinct(), n)
+    stars = stored(lists.where(pair).select("a", "b").distinct(), "ngram-stars")
+    texts = candidate_texts(docs, entries.select("doc").distinct())
     copies = members.where("doc_id <> rep").select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b")).distinct()
-    links = stored(verify(stars, sets, percent).unionByName(copies), "ngram-links")
+    links = stored(verify(stars, texts, n, percent).unionByName(copies), "ngram-links")
     nodes = stored(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ngram-nodes")
     labels = connected_components(nodes, links, keys=())
-    tried = lists.where("token is null").select("a", "b").distinct()
-    more = cross_pairs(entries, labels, percent).join(tried, ["a", "b"], "left_anti")
-    more = stored(verify(more, sets, percent), "ngram-links-2")
-    links = links.unionByName(more)
-    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    more = stored(cross_pairs(entries, labels, percent).join(stars, ["a", "b"], "left_anti"), "ngram-cross")
     if more.limit(1).count():
+        links = links.unionByName(stored(verify(more, texts, n, percent), "ngram-links-2"))
+        nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         labels = connected_components(nodes, links, keys=())
     low = labels.select(F.col("node").alias("doc_id"), "comp")
     return members.join(low, "doc_id", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, line_dedup, mixing, ngram_join, quality, syncmers, toxicity
+from . import bpe, chat, exact_dedup, line_dedup, mixing, ngram_join, quality, suffix_dedup, syncmers, toxicity
 from .frames import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,11 @@ def op2_syncmers(spark, sf_dir):
     return syncmers.edited_likeness(documents(spark, sf_dir))
 
 
+@query("op3_suffixes")
+def op3_suffixes(spark, sf_dir):
+    return suffix_dedup.digest(documents(spark, sf_dir))
+
+
 @query("op4_mixing", mixing.ORACLE)
 def op4_mixing(spark, sf_dir):
     return mixing.poisson_mix(documents(spark, sf_dir))
