@@ -188,6 +188,31 @@ def decode(df: DataFrame, tokenizer: Tokenizer, keep: list[str], ids: str = "tok
     return d.mapInArrow(run, f"{kinds}, decoded string")
 
 
+def encode_checked(df: DataFrame, tokenizer: Tokenizer, keep: list[str], text: str = "text") -> DataFrame:
+    """The kept columns, ``n_tokens``, ``token_ids`` and ``exact``: whether decoding the ids gives the text back."""
+    d = pick(df, *keep, text)
+    shared = d.sparkSession.sparkContext.broadcast(tokenizer)
+    names = [*keep, "n_tokens", "token_ids", "exact"]
+
+    def run(batches):
+        t = shared.value
+        for b in batches:
+            for lo in range(0, b.num_rows, 200):
+                s = b.slice(lo, 200)
+                ids, exact = [], []
+                for x in s.column(len(keep)).to_pylist():
+                    i = t.ids(x or "")
+                    exact.append(t.decode(i) == (x or ""))
+                    ids.append(np.array(i, np.int32))
+                ends = np.cumsum([0] + [len(i) for i in ids])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
+                cols = [*s.columns[: len(keep)], pa.array(np.diff(ends), pa.int64()), lists, pa.array(exact)]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    kinds = ", ".join(f"`{k}` {d.schema[k].dataType.simpleString()}" for k in keep)
+    return d.mapInArrow(run, f"{kinds}, n_tokens long, token_ids array<int>, exact boolean")
+
+
 def round_trip(df: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Digest of encoding and decoding: (key, n_tokens, ids_sha256, decoded_sha256); one text at a time is in memory."""
     d = pick(df, key, text)
