@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import add_all, by_value, digitize, linear, ramp
 from .columns import leave_out_quantiles
 from .folds import fold_ids
-from .gram import gram, leave_out, total
+from .gram import gram, leave_out, outer_rows, total
 from .linear import gram_sse
 
 
@@ -110,65 +109,56 @@ def quadratic_program(h: np.ndarray, f: np.ndarray, a: np.ndarray, b: np.ndarray
     return x
 
 
-def _covariate_terms(kind: str, t: Sequence[Column], names: Sequence[str]) -> list[Column]:
-    """Design columns: members minus their row mean, alone and times each covariate position (or tercile flag)."""
-    m = add_all([F.col(n) for n in names]) / len(names)
-    base = [F.col(n) - m for n in names]
+def _states(kind: str, df: DataFrame, covs: Sequence[str], fold: str, folds: Sequence, q: tuple[float, float], at: str) -> list[Column]:
+    """Non-negative state shares of a row that add up to one, from the training rows of the fold named in column ``at``.
+
+    ``tercile``: flags of the first covariate's terciles. ``linear``: products of the shares of the low and the high end of
+    each covariate, one state per corner.
+    """
+    cuts = leave_out_quantiles(df, covs, fold, folds, [1 / 3, 2 / 3] if kind == "tercile" else list(q))
     if kind == "tercile":
-        return [b * (t[0] == c).cast("double") for c in range(3) for b in base]
-    return base + [b * tj for tj in t for b in base]
+        which = by_value(at, {f: digitize(covs[0], cuts[covs[0]][f]) for f in folds})
+        return [(which == c).cast("double") for c in range(3)]
+    states = [F.lit(1.0)]
+    for c in covs:
+        high = by_value(at, {f: ramp(c, *cuts[c][f]) for f in folds})
+        states = [s * end for s in states for end in (1 - high, high)]
+    return states
 
 
-def covariate_blend(df: DataFrame, names: Sequence[str], y: str, covs: Sequence[str], kind: str = "linear", alpha: float = 0.0,
-                    q: tuple[float, float] = (0.1, 0.9), out: str = "blend", fold: str = "fold") -> DataFrame:
-    """Nested blend whose weights vary with covariates.
+def state_weights(g: np.ndarray, k: int, alpha: float) -> np.ndarray:
+    """One simplex vector of k weights per state from the Gram of [state x member, ..., y].
 
-    ``linear``: w(t) = w0 + sum_j v_j t_j, t_j the covariate on a 0..1 ramp between two training quantiles; weights are
-    non-negative at every corner. ``tercile``: one simplex vector per training tercile. ``alpha`` pulls every
-    corner toward the weights that fit all rows.
+    The states share every row, so the members themselves are the sums over states. ``alpha`` adds, for each state's vector,
+    its squared error over all rows, averaged over the states.
     """
-    k, j = len(names), len(covs)
-    eye = np.eye(k)
-    corners = list(itertools.product([0, 1], repeat=j))
-    maps = ([np.hstack([eye if b == c else 0 * eye for b in range(3)]) for c in range(3)] if kind == "tercile"
-            else [np.hstack([eye, *[c[i] * eye for i in range(j)]]) for c in corners])
-    a = np.kron(np.eye(3 if kind == "tercile" else 1 + j), np.ones((1, k)))
-    rhs = np.ones(3) if kind == "tercile" else np.r_[1.0, np.zeros(j)]
-    mean = add_all([F.col(n) for n in names]) / k
-    folds = fold_ids(df, fold)
-    cuts = leave_out_quantiles(df, covs, fold, folds, [1 / 3, 2 / 3] if kind == "tercile" else list(q))
+    n = (len(g) - 1) // k
+    h, b = g[:-1, :-1], g[:-1, -1]
+    fold_in = np.tile(np.eye(k), (n, 1))  # members from state columns
+    whole, target = fold_in.T @ h @ fold_in, fold_in.T @ b
+    start = nnls_gram(whole, target)
+    start = start / start.sum() if start.sum() > 0 else np.full(k, 1 / k)
+    h = h + alpha / n * np.kron(np.eye(n), whole)
+    b = b + alpha / n * np.tile(target, n)
+    unit = np.trace(h) / len(h) or 1.0
+    one_per_state = np.kron(np.eye(n), np.ones((1, k)))
+    w = quadratic_program(h / unit, b / unit, one_per_state, np.ones(n), np.eye(n * k), np.tile(start, n))
+    w = np.maximum(w, 0).reshape(n, k)
+    return w / w.sum(axis=1, keepdims=True)
 
-    def position(f):
-        return [digitize(covs[0], cuts[covs[0]][f])] if kind == "tercile" else [ramp(c, *cuts[c][f]) for c in covs]
 
-    preds = {}
-    for f in folds:
-        t = position(f)
-        fit = df.where(F.col(fold) != f)
-        g = total(gram(fit, [*_covariate_terms(kind, t, names), *[F.col(n) for n in names], F.col(y) - mean, F.col(y)]))
-        d = len(maps[0][0])
-        wg = simplex_weights(g[np.ix_([*range(d, d + k), -1], [*range(d, d + k), -1])])
-        h, b = g[:d, :d].copy(), g[:d, d + k].copy()
-        plain = [*range(k)] if kind == "linear" else None
-        if alpha > 0:
-            if plain is not None:
-                g0, b0 = g[:k, :k], g[:k, d + k]
-            else:  # the three disjoint terciles add up to all rows
-                g0 = sum(g[c * k:(c + 1) * k, c * k:(c + 1) * k] for c in range(3))
-                b0 = sum(g[c * k:(c + 1) * k, d + k] for c in range(3))
-            for m in maps:
-                h += alpha / len(maps) * m.T @ g0 @ m
-                b += alpha / len(maps) * m.T @ b0
-        s = np.trace(h) / len(h)
-        x0 = np.tile(wg, 3) if kind == "tercile" else np.r_[wg, np.zeros(k * j)]
-        th = quadratic_program(h / s, b / s, a, rhs, np.vstack(maps), x0)
-        if kind == "tercile":
-            w = [by_value(t[0], {c: float(th[c * k + i]) for c in range(3)}) for i in range(k)]
-        else:
-            w = [add_all([F.lit(float(th[i])), *[F.lit(float(th[(1 + c) * k + i])) * t[c] for c in range(j)]]) for i in range(k)]
-        w = [F.greatest(x, F.lit(0.0)) for x in w]
-        preds[f] = add_all([x * F.col(n) for x, n in zip(w, names)]) / add_all(w)
-    return df.withColumn(out, by_value(fold, preds))
+def covariate_blend(df: DataFrame, names: Sequence[str], y: str, covs: Sequence[str], kind: str = "linear", alpha: float = 0.0,
+                    q: tuple[float, float] = (0.1, 0.9), out: str = "blend", fold: str = "fold") -> DataFrame:
+    """Nested blend whose weights depend on covariates: every state has its own simplex vector, a row mixes the vectors by
+    its state shares. One Gram serves all outer folds."""
+    folds, k = fold_ids(df, fold), len(names)
+    long = outer_rows(df, fold, folds)
+    inside = _states(kind, df, covs, fold, folds, q, "outer")
+    gs = gram(long, [*[s * F.col(n) for s in inside for n in names], F.col(y)], ["outer"])
+    fits = {key[0]: state_weights(g, k, alpha) for key, g in gs.items()}
+    here = _states(kind, df, covs, fold, folds, q, fold)
+    pred = {f: add_all([s * linear(w[c], names) for c, s in enumerate(here)]) for f, w in fits.items()}
+    return df.withColumn(out, by_value(fold, pred))
 
 
 def inverse_variance_weights(df: DataFrame, resid: str, covs: Sequence[str], lo: float = 0.25, hi: float = 4.0, out: str = "w") -> DataFrame:

@@ -202,27 +202,65 @@ def generalised_ridge(between: DataFrame, deviations: dict[str, DataFrame], y: s
     return between.withColumn(out, predict_by_fold(coefs, xs, fold)), picks
 
 
-def forward_select(grams: dict, names: Sequence[str], alpha: float, top: int, tol: float) -> list[str]:
-    """Greedy selection scored by leave-one-fold-out ridge; every subset is a slice of the fold Grams."""
-    t = total(grams)
-    n = t[0, 0]
-
-    def score(idx):
-        pos = [0, *[i + 1 for i in idx], len(names) + 1]
-        err = 0.0
-        for g in grams.values():
-            err += gram_sse(g[np.ix_(pos, pos)], ridge_coefs((t - g)[np.ix_(pos, pos)], [alpha])[0])
-        return float(np.sqrt(err / n))
-
-    chosen: list[int] = []
-    best = np.inf
-    while len(chosen) < min(top, len(names)):
-        s, j = min((score([*chosen, j]), j) for j in range(len(names)) if j not in chosen)
-        if s > best - tol:
-            break
-        chosen.append(j)
-        best = s
-    return [names[j] for j in chosen]
+class _Split:
+    """A ridge fit on one training Gram that grows column by column, with the Gram of its held-out rows in training units."""
+
+    def __init__(self, train: np.ndarray, held: np.ndarray, alpha: float):
+        _, mu, sd, self.a, self.b, my, _ = centred_parts(train)
+        to = np.eye(len(train))  # [1, x, y] -> [1, (x - mean) / sd, y - mean]
+        to[1:-1, 0], to[-1, 0] = -mu, -my
+        to[1:-1] /= sd[:, None]
+        self.held = (to @ held @ to.T)[1:, 1:]
+        self.alpha, self.inverse = alpha, np.zeros((0, 0))
+
+    def errors(self, chosen: list[int], rest: list[int]) -> np.ndarray:
+        """Held-out squared error for each further column, all at once by the bordered inverse."""
+        cross = self.a[np.ix_(chosen, rest)]
+        lift = self.inverse @ cross
+        gap = self.a[rest, rest] + self.alpha - (cross * lift).sum(axis=0)
+        new = (self.b[rest] - lift.T @ self.b[chosen]) / gap
+        old = (self.inverse @ self.b[chosen])[:, None] - lift * new
+        h = self.held
+        fit = 2 * (h[chosen, -1] @ old + h[rest, -1] * new)
+        spread = (old * (h[np.ix_(chosen, chosen)] @ old)).sum(axis=0) + 2 * new * (h[np.ix_(chosen, rest)] * old).sum(axis=0) + new * new * h[rest, rest]
+        return h[-1, -1] - fit + spread
+
+    def grow(self, chosen: list[int], j: int) -> None:
+        idx = [*chosen, j]
+        self.inverse = np.linalg.inv(self.a[np.ix_(idx, idx)] + self.alpha * np.eye(len(idx)))
+
+
+def infold_columns(grams: dict, names: Sequence[str], alpha: float, most: int, gain: float) -> dict:
+    """{outer fold: columns} chosen without that fold: at each step the column with the smallest leave-one-fold-out error of
+    the other folds enters, while the root mean squared error falls by at least ``gain``."""
+    picks = {}
+    for outer in grams:
+        others = {k: g for k, g in grams.items() if k != outer}
+        whole = total(others)
+        splits = [_Split(whole - g, g, alpha) for g in others.values()]
+        chosen, rest, best = [], list(range(len(names))), np.inf
+        while rest and len(chosen) < most:
+            rmse = np.sqrt(np.maximum(sum(s.errors(chosen, rest) for s in splits), 0) / whole[0, 0])
+            at = int(rmse.argmin())
+            if rmse[at] > best - gain:
+                break
+            best = float(rmse[at])
+            for s in splits:
+                s.grow(chosen, rest[at])
+            chosen.append(rest.pop(at))
+        picks[outer] = [names[j] for j in chosen]
+    return picks
+
+
+def crossfit_selected(df: DataFrame, grams: dict, names: Sequence[str], picks: dict, alpha: float, out: str = "pred", fold: str = "fold") -> DataFrame:
+    """Out-of-fold ridge in which every fold uses its own columns; ``columns`` names them."""
+    t, coefs = total(grams), {}
+    for k, cols in picks.items():
+        pos = [0, *[1 + list(names).index(c) for c in cols], len(names) + 1]
+        coefs[k] = np.zeros(len(names) + 1)
+        coefs[k][pos[:-1]] = ridge_coefs((t - grams[k])[np.ix_(pos, pos)], [alpha])[0]
+    label = by_value(fold, {k[0]: F.lit(",".join(c)) for k, c in picks.items()})
+    return df.withColumn(out, predict_by_fold(coefs, names, fold)).withColumn("columns", label)
 
 
 def principal_components(df: DataFrame, cols: Sequence[str], k: int, train: Column | None = None, whiten: bool = False, prefix: str = "pc") -> DataFrame:

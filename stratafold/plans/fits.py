@@ -177,10 +177,19 @@ def fit13(spark, sf):
     return rounded(BL.covariate_blend(m, ["p1", "p2"], "y", ["lq"], "linear", 0.1).select("id", "blend"))
 
 
-@query("fit13_tercile")
+_TERCILES = """
+WITH lm AS (SELECT *, ln(q1) AS lq, p1 - p2 AS x, y - p2 AS r FROM members), f AS (SELECT DISTINCT fold AS k FROM lm),
+c AS (SELECT k, quantile_cont(lq, 1 / 3.0) AS c1, quantile_cont(lq, 2 / 3.0) AS c2 FROM f JOIN lm ON fold <> k GROUP BY k),
+a AS (SELECT k, sum(x * x) AS xx, sum(x * r) AS xr FROM f JOIN lm ON fold <> k GROUP BY k),
+s AS (SELECT c.k, CASE WHEN lq >= c2 THEN 2 WHEN lq >= c1 THEN 1 ELSE 0 END AS t, sum(x * x) AS xx, sum(x * r) AS xr FROM c JOIN lm ON fold <> c.k GROUP BY 1, 2),
+w AS (SELECT s.k, t, greatest(0, least(1, (s.xr + 0.1 / 3 * a.xr) / (s.xx + 0.1 / 3 * a.xx))) AS w FROM s JOIN a ON s.k = a.k)
+SELECT id, w * p1 + (1 - w) * p2 AS blend FROM lm JOIN c ON fold = c.k JOIN w ON w.k = fold AND w.t = CASE WHEN lq >= c2 THEN 2 WHEN lq >= c1 THEN 1 ELSE 0 END"""
+
+
+@query("fit13_tercile", rounded_sql("members", "id", _TERCILES, 3))
 def fit13_tercile(spark, sf):
     m = members(spark, sf).withColumn("lq", F.log("q1"))
-    return rounded(BL.covariate_blend(m, ["p1", "p2"], "y", ["lq"], "tercile", 0.1).select("id", "blend"))
+    return rounded(BL.covariate_blend(m, ["p1", "p2"], "y", ["lq"], "tercile", 0.1).select("id", "blend"), 3)
 
 
 _CLIP = """r AS (SELECT id, {raw} AS raw FROM {src}), m1 AS (SELECT avg(raw) AS m FROM r), c AS (SELECT id, greatest(0.25, least(4, raw / m)) AS c FROM r, m1), m2 AS (SELECT avg(c) AS m FROM c)
@@ -209,9 +218,8 @@ def fit15(spark, sf):
 def fit16(spark, sf):
     names = [*XS, "q1"]
     gs = G.gram(rows(spark, sf), G.design_exprs(names, "y"), ["fold"])
-    picked = L.forward_select(gs, names, 3.0, 4, 0.01)
-    d = L.crossfit_ridge(rows(spark, sf), "y", picked, [3.0])[0]
-    return rounded(d.select("id", F.lit(",".join(picked)).alias("columns"), "pred"))
+    picks = L.infold_columns(gs, names, 3.0, 4, 0.01)
+    return rounded(L.crossfit_selected(rows(spark, sf), gs, names, picks, 3.0).select("id", "columns", "pred"))
 
 
 @query("fit17")

@@ -1,6 +1,5 @@
 """Source, sink and per-entity function queries. Files go to a fresh path in the shared folder."""
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import joins as J
@@ -131,20 +130,12 @@ def snk08(spark, sf):
 
 @query("udf01", rounded_sql("pixels", "id, n", "SELECT img AS id, count(*) AS n, avg(v) AS mean, max(v) AS top FROM pixels GROUP BY img"))
 def udf01(spark, sf):
-    """Any per-entity function of one bounded image, one row out."""
-
-    def one(d: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"id": [d["img"].iloc[0]], "n": [len(d)], "mean": [d["v"].mean()], "top": [d["v"].max()]})
-
-    return rounded(pixels(spark, sf).groupBy("img").applyInPandas(one, "id bigint, n bigint, mean double, top double"))
+    """A per-entity function with one row out, as a combining aggregate."""
+    return rounded(pixels(spark, sf).groupBy(F.col("img").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.max("v").alias("top")))
 
 
 @query("udf02", rounded_sql("pixels", "id, blk", "SELECT img AS id, CAST((y // 4) * 2 + x // 4 AS INTEGER) AS blk, avg(v) AS meas FROM pixels GROUP BY 1, 2"))
 def udf02(spark, sf):
-    """Any per-entity function of one bounded image, many rows out."""
-
-    def many(d: pd.DataFrame) -> pd.DataFrame:
-        b = (d["y"] // 4 * 2 + d["x"] // 4).astype("int32")
-        return d.groupby([d["img"], b.rename("blk")])["v"].mean().reset_index(name="meas").rename(columns={"img": "id"})
-
-    return rounded(pixels(spark, sf).groupBy("img").applyInPandas(many, "id bigint, blk int, meas double"))
+    """A per-entity function with many rows out: one per block of the image."""
+    blk = (F.floor(F.col("y") / 4) * 2 + F.floor(F.col("x") / 4)).cast("int")
+    return rounded(pixels(spark, sf).groupBy(F.col("img").alias("id"), blk.alias("blk")).agg(F.avg("v").alias("meas")))

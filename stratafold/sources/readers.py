@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,15 +27,30 @@ def read_columns(spark: SparkSession, path: str, cols: Sequence[str]) -> DataFra
     return spark.read.parquet(path).select(*cols)
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Grey pixels (img, y, x, v in 0..1) of an image folder; colour channels are averaged."""
-    i = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+def read_images(spark: SparkSession, path: str, invalid: str = "raise") -> DataFrame:
+    """Grey pixels (img, y, x, v in 0..1) of an image folder; colour channels are averaged.
+
+    Unreadable files raise ``KeyViolation``, or with ``invalid="keep"`` give one row (img, NULL, NULL, NULL).
+    """
+    i = spark.read.format("image").load(path).select("image.*")
+    bad = (F.col("width") <= 0) | F.col("data").isNull()
+    if invalid == "raise":
+        lost = i.where(bad).select("origin").limit(1).collect()
+        if lost:
+            raise KeyViolation(f"unreadable image {lost[0]['origin']}")
+
+    def grey(batches):
+        for b in batches:
+            for name, w, h, n, data in zip(b["img"], b["width"], b["height"], b["nChannels"], b["data"]):
+                if w <= 0:
+                    yield pd.DataFrame({"img": [name], "y": pd.array([None], "Int32"), "x": pd.array([None], "Int32"), "v": [None]})
+                    continue
+                v = np.frombuffer(data, np.uint8).reshape(h, w, n).mean(axis=2).ravel() / 255
+                at = np.arange(h * w, dtype=np.int32)
+                yield pd.DataFrame({"img": name, "y": at // w, "x": at % w, "v": v})
+
     name = F.regexp_extract("origin", r"([^/]+)\.[^.]+$", 1)
-    i = i.select(name.alias("img"), "width", "nChannels", F.regexp_extract_all(F.hex("data"), F.lit("(..)"), F.lit(1)).alias("b"))
-    px = i.select("img", "width", "nChannels", F.posexplode("b").alias("p", "h"))
-    cell = F.floor(F.col("p") / F.col("nChannels"))
-    v = F.conv("h", 16, 10).cast("double") / 255
-    return px.groupBy("img", F.floor(cell / F.col("width")).cast("int").alias("y"), (cell % F.col("width")).cast("int").alias("x")).agg(F.avg(v).alias("v"))
+    return i.select(name.alias("img"), "width", "height", "nChannels", "data").mapInPandas(grey, "img string, y int, x int, v double")
 
 
 def embedding_blocks(df: DataFrame, key: str, emb: str, layout: Sequence[tuple[str, int, int]]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,7 +73,7 @@ def merge_shards(spark: SparkSession, root: str, keys: DataFrame, key: str = "id
 def dump_chunk(df: DataFrame, path: str, name: str, cols: Sequence[str], key: str = "id") -> None:
     """Text chunk: header line, CSV rows with 4 decimals, and a line of column sums."""
     r = df.select(key, *[F.round(c, 4).alias(c) for c in cols])
-    sums = r.agg(*[F.round(F.sum(c), 4).alias(c) for c in cols], F.count(F.lit(1)).alias("_n"))
+    sums = r.agg(*[F.sum(F.col(c).cast("decimal(28,4)")).alias(c) for c in cols], F.count(F.lit(1)).alias("_n"))
     head = sums.select(F.format_string(f"# {name} chunk (%d rows)", F.col("_n")).alias("value"))
     tail = sums.select(F.concat(F.lit("# sums "), F.concat_ws(" ", *[F.concat(F.lit(c + " "), F.col(c).cast("decimal(38,4)").cast("string")) for c in cols])).alias("value"))
     body = r.select(F.concat_ws(",", F.col(key).cast("string"), *[F.col(c).cast("decimal(38,4)").cast("string") for c in cols]).alias("value"))
@@ -82,20 +83,21 @@ def dump_chunk(df: DataFrame, path: str, name: str, cols: Sequence[str], key: st
 def ingest_chunk(spark: SparkSession, path: str, cols: Sequence[str], key: str = "id") -> DataFrame:
     """Parses a text chunk and checks its header count, key uniqueness and column sums."""
     t = spark.read.text(path)
-    meta = [r["value"] for r in t.where(F.col("value").startswith("# ")).limit(4).collect()]
-    head = [m for m in meta if not m.startswith("# sums")]
-    sums = [m for m in meta if m.startswith("# sums")]
-    require(len(head) == 1 and len(sums) == 1, f"{path}: header or sums line missing")
+    is_sum = F.col("value").startswith("# sums")
+    one = t.where(F.col("value").startswith("# ")).groupBy(is_sum.alias("s")).agg(F.count(F.lit(1)).alias("n"), F.first("value").alias("value")).collect()
+    meta = {r["s"]: r for r in one}  # at most two rows, whatever the number of lines
+    require(len(meta) == 2 and all(r["n"] == 1 for r in one), f"{path}: header or sums line missing or repeated")
+    head, sums = [meta[False]["value"]], [meta[True]["value"]]
     parts = F.split("value", ",")
     d = t.where(~F.col("value").startswith("#") & (F.col("value") != "")).select(
         parts[0].cast("bigint").alias(key), *[parts[i + 1].cast("double").alias(c) for i, c in enumerate(cols)])
     require_unique(d, [key], path)
     tok = sums[0].split()[2:]
-    ref = {tok[i]: float(tok[i + 1]) for i in range(0, len(tok) - 1, 2)}
-    got = d.agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(c) for c in cols]).first()
+    ref = {tok[i]: Decimal(tok[i + 1]) for i in range(0, len(tok) - 1, 2)}
+    got = d.agg(F.count(F.lit(1)).alias("_n"), *[F.sum(F.col(c).cast("decimal(28,4)")).alias(c) for c in cols]).first()
     require(f"({got['_n']} rows)" in head[0], f"{path}: row count differs")
     for c in cols:
-        require(c in ref and abs(got[c] - ref[c]) < 5e-3, f"{path}: sum of {c} differs")
+        require(c in ref and got[c] == ref[c], f"{path}: sum of {c} differs")  # decimals: exact at any size
     return d
 
 
