@@ -198,3 +198,85 @@ def test_smoothing_keeps_a_constant(spark):
     px = spark.createDataFrame([(1, y, x, 3.0) for y in range(8) for x in range(8)], "img bigint, y int, x int, v double")
     v = [r["v"] for r in raster.smooth(px, raster.gaussian_kernel(1.0, 3)).collect()]
     assert len(v) == 64 and np.allclose(v, 3.0)
+
+
+@pytest.fixture(scope="module")
+def holes(spark):
+    """NULL keys, values, targets and sources beside ordinary rows."""
+    rows = [(1, "a", 1.0, "s"), (2, None, 2.0, None), (3, "a", None, "s"), (4, None, None, "t"), (5, None, 2.0, None), (6, "b", 0.5, None)]
+    return spark.createDataFrame(rows, "id int, k string, v double, src string")
+
+
+@pytest.mark.parametrize("thin", [1, 1 << 20])
+def test_null_rows_stay(holes, thin):
+    n = holes.count()
+    numbered = R.row_numbers(holes, ["k"], ["v", "id"], "rn", thin).collect()
+    assert len(numbered) == n and {(r.k, r.rn) for r in numbered} == {("a", 1), ("a", 2), ("b", 1), (None, 1), (None, 2), (None, 3)}
+    ranked = {r.id: r.r for r in R.average_ranks(holes, ["k"], "v", "r", thin).collect()}
+    assert ranked == {1: 1.0, 2: 1.5, 3: None, 4: None, 5: 1.5, 6: 1.0}
+    assert folds.group_folds(holes, "src", thin=thin).count() == n
+    assert folds.stratified_folds(holes, "id", "v", n_bins=2, k=2, thin=thin).count() == n
+    assert folds.stratified_resplits(holes, "id", "k", 3).count() == 3 * n
+
+
+def test_bucket_numbers_grow_with_the_group(spark):
+    d = spark.range(5000).select(F.col("id"), (F.col("id") % 3 == 0).alias("k"))
+    assert R.bucketed(d, ["k"], ["id"], 2).where("k").select("_b").distinct().count() > 600
+    assert R.bucketed(d, [], ["id"], 2).select("_b").distinct().count() > 2000
+
+
+def test_columns_are_chosen_without_the_held_out_fold():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 6))
+    y = x[:, 1] + 0.5 * x[:, 4] + rng.normal(size=400)
+    fold = np.arange(400) % 5
+    names = [f"c{i}" for i in range(6)]
+
+    def grams(y):
+        d = np.c_[np.ones(400), x, y]
+        return {(k,): d[fold == k].T @ d[fold == k] for k in range(5)}
+
+    picks = linear.infold_columns(grams(y), names, 3.0, 4, 0.01)
+    assert all(p[:2] == ["c1", "c4"] for p in picks.values())
+    other = np.where(fold == 2, 50 * x[:, 0], y)
+    assert linear.infold_columns(grams(other), names, 3.0, 4, 0.01)[2,] == picks[2,]
+
+    def error(g, cols):  # the same score by refitting
+        total, err = 0.0, 0.0
+        for k in g:
+            pos = [0, *[1 + c for c in cols], 7]
+            err += linear.gram_sse(g[k][np.ix_(pos, pos)], linear.ridge_coefs((sum(g.values()) - g[k])[np.ix_(pos, pos)], [3.0])[0])
+            total += g[k][0, 0]
+        return err, total
+
+    g = {k: v for k, v in grams(y).items() if k != (0,)}
+    whole = sum(g.values())
+    splits = [linear._Split(whole - v, v, 3.0) for v in g.values()]
+    for chosen in ([], [1], [1, 4]):
+        rest = [j for j in range(6) if j not in chosen]
+        assert np.allclose(sum(s.errors(chosen, rest) for s in splits), [error(g, [*chosen, j])[0] for j in rest])
+        for s in splits:
+            if len(chosen) < 2:
+                s.grow(chosen, [1, 4][len(chosen)])
+
+
+def test_state_weights_are_the_best_simplex_vectors():
+    rng = np.random.default_rng(4)
+    p = rng.normal(size=(500, 2))
+    s = np.eye(2)[rng.integers(0, 2, 500)]
+    y = np.where(s[:, 0] > 0, 0.3 * p[:, 0] + 0.7 * p[:, 1], 1.4 * p[:, 0] - 0.4 * p[:, 1]) + 0.01 * rng.normal(size=500)
+    d = np.c_[s[:, [0]] * p, s[:, [1]] * p, y]
+    w = blend.state_weights(d.T @ d, 2, 0.0)
+    assert np.allclose(w, [[0.3, 0.7], [1.0, 0.0]], atol=0.01)
+    even = blend.state_weights(d.T @ d, 2, 1e6)
+    assert np.allclose(even[0], even[1], atol=1e-3)
+
+
+def test_components_of_a_long_path_and_a_hub(spark):
+    path = [(1, i, i + 1) for i in range(300)]
+    hub = [(2, 7, i) for i in range(8, 500)]
+    e = spark.createDataFrame(path + hub, "img int, a long, b long")
+    v = e.selectExpr("img", "inline(array(struct(a as node), struct(b as node)))").distinct().unionByName(spark.createDataFrame([(3, 9)], "img int, node long"))
+    got = components.connected_components(v, e)
+    assert {(r[0], r[1]) for r in got.select("img", "comp").distinct().collect()} == {(1, 0), (2, 7), (3, 9)}
+    assert got.count() == 301 + 493 + 1
