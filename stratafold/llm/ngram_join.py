@@ -1,11 +1,11 @@
 """N-gram Jaccard join: documents whose sets of word n-grams have a Jaccard similarity of at least a threshold.
 
-1. One pass counts in how many documents each n-gram lies, in 2 ** 20 hash buckets (summed per task, one fixed-size table).
-   The counts order n-grams from rare to frequent.
+1. One pass counts in how many documents each n-gram lies, in 2 ** BITS hash buckets (summed per task, one fixed-size
+   table). The counts order n-grams from rare to frequent.
 2. A document of n n-grams and any partner share one of its first n - ceil(t * n) + 1 n-grams in that order. These prefix
    n-grams go to their part packed in arrays; equal sets of one task send one of them.
 3. Posting lists of an n-gram are sorted by set size. Length and positional filters drop pairs that cannot reach the
-   threshold. First every member meets the smallest possible partner of its list only (a star), and verified links join
+   threshold. First every document meets one other only, the lowest of the heads of its lists, and verified links join
    components. Then all pairs of a list whose members still lie in different components are examined. A pair inside a
    component needs no verification, so a group of thousands of near copies never makes all its pairs, and no link between
    components is lost.
@@ -28,7 +28,7 @@ from ..operators.components import connected_components
 from .frames import partitions, pick, stored
 from .text import as_bytes, document_words, shingles
 
-BITS = 20
+BITS, OCTAVE = 24, 8
 PART_TOKENS = 2_000_000
 FLUSH = 1 << 19
 HOT = 1 << 18
@@ -46,42 +46,55 @@ def _bucket(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def ngram_counts(docs: DataFrame, n: int) -> np.ndarray:
-    """Documents per hash bucket of n-grams, over all documents; a table of 2 ** BITS numbers."""
-    step = 1 << 14
+def ngram_order(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """Weights of 2 ** BITS hash buckets of n-grams, OCTAVE steps per doubling of their number of documents, over all
+    documents; and the number of n-grams. The table has a fixed size and one byte per bucket."""
+    step = 1 << 18
 
     def run(batches):
-        total, held, size = np.zeros(1 << BITS, np.int64), [], 0
+        total, held, size = np.zeros(1 << BITS, np.uint16), [], 0
+
+        def add():
+            at, times = np.unique(_bucket(np.concatenate(held)).astype(np.uint32), return_counts=True)
+            total[at] = np.minimum(total[at].astype(np.int64) + times, 65535)  # one task's share; tasks are added without a bound
+
         for b in batches:
             for x in _sets(b.column(0), n):
                 held.append(x)
                 size += len(x)
                 if size >= FLUSH:
-                    total += np.bincount(_bucket(np.concatenate(held)), minlength=1 << BITS)
+                    add()
                     held, size = [], 0
         if held:
-            total += np.bincount(_bucket(np.concatenate(held)), minlength=1 << BITS)
+            add()
         at = np.flatnonzero(total.reshape(-1, step).any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([total[i * step : (i + 1) * step].astype("<i4").tobytes() for i in at], pa.binary())], ["at", "counts"])
+        blobs = [pa.compress(total[i * step : (i + 1) * step].tobytes(), codec="zstd", asbytes=True) for i in at]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], ["at", "counts"])
 
-    def add(batches):
+    def add_up(batches):
         at, total = None, None
+
+        def row():
+            weight = np.minimum(255, OCTAVE * np.log2(total + 1.0)).astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([weight.tobytes()], pa.binary()), pa.array([int(total.sum())])], ["at", "weights", "n"])
+
         for b in batches:
-            for i, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i, c in zip(b.column(0).to_pylist(), b.column(1)):
                 if i != at:
                     if at is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["at", "counts"])
+                        yield row()
                     at, total = i, np.zeros(step, np.int64)
-                total += np.frombuffer(c, "<i4")
+                total += np.frombuffer(pa.decompress(c.as_py(), 2 * step, codec="zstd", asbytes=True), np.uint16)
         if at is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["at", "counts"])
+            yield row()
 
     part = pick(docs, "text").mapInArrow(run, "at int, counts binary")
-    summed = part.repartition(16, "at").sortWithinPartitions("at").mapInArrow(add, "at int, counts binary")
-    out = np.zeros(1 << BITS, np.int64)
-    for r in summed.toLocalIterator():  # 64 rows of fixed size
-        out[r["at"] * step : (r["at"] + 1) * step] = np.frombuffer(bytes(r["counts"]), np.int64)
-    return out
+    summed = part.repartition(max(16, partitions(docs.sparkSession)), "at").sortWithinPartitions("at").mapInArrow(add_up, "at int, weights binary, n long")
+    out, count = np.zeros(1 << BITS, np.uint8), 0
+    for r in summed.toLocalIterator():  # (1 << BITS) / step rows of fixed size
+        out[r["at"] * step : (r["at"] + 1) * step] = np.frombuffer(bytes(r["weights"]), np.uint8)
+        count += r["n"]
+    return out, count
 
 
 def needed(percent: int, size):
@@ -109,11 +122,11 @@ def unpacked(blob: bytes):
 def prefixes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, int]:
     """Rows of members (doc_id, rep, size) and of packed prefix n-grams (blob), each with the part it goes to."""
     spark = docs.sparkSession
-    counts = ngram_counts(docs, n)
-    parts = max(partitions(spark), int(counts.sum() * (100 - percent) // 100 // PART_TOKENS) + 1)
-    order = np.minimum(65535, (np.log2(counts + 1.0) * 1024)).astype(np.uint16)
-    salts = np.clip((counts - 2 * counts.mean()) // HOT, 1, 30_000).astype(np.uint16)
-    shared = spark.sparkContext.broadcast((order, salts))  # 4 MB, a fixed size
+    order, count = ngram_order(docs, n)
+    parts = max(partitions(spark), count * (100 - percent) // 100 // PART_TOKENS + 1)
+    likely = 2.0 ** (np.arange(256) / OCTAVE) - 2 * count / (1 << BITS)  # documents of one n-gram, by weight
+    salts = np.clip(likely // HOT, 1, 1 << 20).astype(np.int64)
+    shared = spark.sparkContext.broadcast((order, salts))  # one byte per bucket
 
     def run(batches):
         weight, salt = shared.value
@@ -127,7 +140,7 @@ def prefixes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, int]:
             doc = np.repeat(np.array([h[1] for h in held], np.int64), lens)
             size = np.repeat(np.array([h[2] for h in held], np.int32), lens)
             pos = np.concatenate([np.arange(k, dtype=np.int32) for k in lens])
-            s = salt[_bucket(tok)].astype(np.int64)
+            s = salt[weight[_bucket(tok)]]
             part = ((tok >> np.uint64(32)).astype(np.int64) + (doc % s) * 7919) % parts
             by = np.argsort(part, kind="stable")
             at = np.searchsorted(part[by], np.arange(parts + 1))
@@ -179,7 +192,7 @@ def _possible(percent: int, na, pa_, nb, pb):
 
 def postings(table: DataFrame, parts: int, percent: int) -> DataFrame:
     """One stored table of three kinds of rows: entries (token, doc, size, pos) of lists with several documents, star pairs
-    (a, b) of each entry with the smallest member of its list that the length filter allows, and the members as they came."""
+    (a, b) of a member a and a head b, the smallest set of a list that the length filter allows, and the members as they came."""
     names = ["token", "doc", "size", "pos", "a", "b", "rep"]
 
     def rows(m: int, **cols):
@@ -212,9 +225,11 @@ def postings(table: DataFrame, parts: int, percent: int) -> DataFrame:
             head = rest[np.flatnonzero(new)[np.cumsum(new) - 1]]
             near = 100 * size[head] >= percent * size[rest]
             ok = near & (head != rest) & _possible(percent, size[head], pos[head], size[rest], pos[rest])
-            pairs.append(np.stack([np.minimum(doc[head[ok]], doc[rest[ok]]), np.maximum(doc[head[ok]], doc[rest[ok]])], axis=1))
+            pairs.append(np.stack([doc[rest[ok]], doc[head[ok]]], axis=1))
             rest = rest[~near]
-        p = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+        p = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+        p = p[np.lexsort((p[:, 1], p[:, 0]))]
+        p = p[np.append(True, p[1:, 0] != p[:-1, 0])] if len(p) else p  # the lowest head of each member in this part
         for lo in range(0, len(p), 50_000):
             x = p[lo : lo + 50_000]
             yield rows(len(x), a=x[:, 0], b=x[:, 1])
@@ -374,7 +389,8 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     pair = F.col("a").isNotNull()
     members = lists.where(~pair & F.col("token").isNull()).select(F.col("doc").alias("doc_id"), "rep", "size")
     entries = lists.where("token is not null").select("token", "doc", "size", "pos")
-    stars = stored(lists.where(pair).select("a", "b").distinct(), "ngram-stars")
+    stars = lists.where(pair).groupBy("a").agg(F.min("b").alias("b"))
+    stars = stored(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "ngram-stars")
     texts = candidate_texts(docs, entries.select("doc").distinct())
     copies = members.where("doc_id <> rep").select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b")).distinct()
     links = stored(verify(stars, texts, n, percent).unionByName(copies), "ngram-links")

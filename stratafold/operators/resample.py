@@ -1,6 +1,6 @@
 """Resampling tests. Every random choice is a hash of (seed, replicate, row key), so results do not depend on
-partitioning and a lost task repeats the same draw. Replicates are an exploded id that is aggregated at once:
-the multiplied rows stream into a partial aggregate and are never shuffled or stored."""
+partitioning and a lost task repeats the same draw. Where a replicate needs no order of its rows (flips, bootstrap, re-splits
+by hash), the multiplied rows stream into a partial aggregate and are never shuffled or stored; permutations are sorted."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranks import average_ranks, row_numbers, value_ranks
-from ..functions.scalar import hash_sign, hash_uniform, poisson_weight
+from ..functions.scalar import hash_uniform, poisson_weight
 from .gram import design_exprs, gram, leave_out, solve
 from ..session import cut_lineage
 from .metrics import safe_corr
@@ -22,11 +22,20 @@ def replicate(df: DataFrame, n: int, name: str = "rep") -> DataFrame:
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
-def sign_flip(df: DataFrame, d: str, key: str, n: int, seed: int = 0) -> DataFrame:
-    """One-sided paired sign-flip test of mean(d) < 0: (observed, p)."""
+def sign_flip(df: DataFrame, d: str, key: str, n: int = 20_000, seed: int = 0) -> DataFrame:
+    """One-sided paired sign-flip test of mean(d) < 0: (observed, p).
+
+    One 64-bit hash of (seed, word, key) holds the signs of 64 flips, so a row is repeated n / 64 times and every repetition
+    adds to 64 sums; the partial sums are all that is shuffled.
+    """
+    words = replicate(df.select(key, F.col(d).cast("double").alias("_d")), -(-n // 64), "word").withColumn("_h", F.xxhash64(F.lit(seed), F.col("word"), F.col(key)))
+    bit = lambda j: F.shiftrightunsigned("_h", j).bitwiseAND(F.lit(1).cast("long"))
+    sums = [F.sum(F.col("_d") * bit(j)).alias(f"s{j}") for j in range(64)]
+    g = words.groupBy("word").agg(F.sum("_d").alias("all"), F.count("_d").alias("rows"), *sums)
+    flips = g.select("word", "all", "rows", F.posexplode(F.array(*[f"s{j}" for j in range(64)])).alias("j", "s")).where(F.col("word") * 64 + F.col("j") < n)
     obs = df.agg(F.avg(d).alias("m")).first()["m"]
-    flips = replicate(df.select(key, d), n).groupBy("rep").agg(F.avg(F.col(d) * hash_sign(F.lit(seed), F.col("rep"), F.col(key))).alias("m"))
-    return flips.agg(F.lit(obs).alias("observed"), ((1 + F.sum((F.col("m") <= obs + 1e-12).cast("int"))) / (n + 1)).alias("p"))
+    m = (F.col("all") - 2 * F.col("s")) / F.col("rows")
+    return flips.agg(F.lit(obs).alias("observed"), ((1 + F.sum((m <= obs + 1e-12).cast("int"))) / (n + 1)).alias("p"))
 
 
 def shuffled(df: DataFrame, c: str, key: str, group: Sequence[str], n: int, seed: int = 0) -> DataFrame:
@@ -70,7 +79,7 @@ def max_correlation_null(df: DataFrame, cols: Sequence[str], y: str, key: str, n
                     ((1 + F.sum((F.col("m") >= obs).cast("int"))) / (n + 1)).alias("p"))
 
 
-def bootstrap(df: DataFrame, key: str, stat: Callable[[Column], Column], n: int, lo: float = 0.05, hi: float = 0.95, seed: int = 0) -> DataFrame:
+def bootstrap(df: DataFrame, key: str, stat: Callable[[Column], Column], n: int = 2000, lo: float = 0.05, hi: float = 0.95, seed: int = 0) -> DataFrame:
     """Interval of any weighted aggregate: ``stat`` builds it from a weight column. Rows sharing ``key`` are drawn together,
     so a source id as key gives the cluster bootstrap."""
     d = replicate(df, n)
@@ -84,17 +93,26 @@ def rmse_difference(new: str, base: str, y: str) -> Callable[[Column], Column]:
     return lambda w: e(new, w) - e(base, w)
 
 
-def resplit_gain(df: DataFrame, y: str, base_xs: Sequence[str], new_xs: Sequence[str], key: str, stratum: str, n: int, seed: int = 0) -> DataFrame:
-    """MSE(new) - MSE(base) of cross-fitted recipes over stratified re-splits: mean, sd, share >= 0.
+def resplit_gain(df: DataFrame, y: str, base_xs: Sequence[str], new_xs: Sequence[str], key: str, stratum: str, n: int = 40, seed: int = 0,
+                 exact: bool = False) -> DataFrame:
+    """MSE(new) - MSE(base) of cross-fitted recipes over re-splits: mean, sd, share >= 0.
 
-    The split id is one more group of the Gram, so all splits cost one pass per recipe.
+    Rows are dealt by a hash of (seed, split, key), which needs no shuffle; ``exact`` deals every stratum evenly instead.
+    The split id is one more group of the Gram, and both recipes are slices of the same Gram.
     """
     from .folds import stratified_resplits
 
-    splits = stratified_resplits(df.select(key, stratum, y, *dict.fromkeys([*base_xs, *new_xs])), key, stratum, n, seed=seed)
+    both = list(dict.fromkeys([*base_xs, *new_xs]))
+    cols = df.select(key, stratum, y, *both)
+    if exact:
+        splits = stratified_resplits(cols, key, stratum, n, seed=seed)
+    else:
+        splits = replicate(cols, n, "split").withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col("split"), F.col(key)), F.lit(5)).cast("int"))
+    all_gs = gram(splits, design_exprs(both, y), ["split", "fold"])
     mse = []
     for xs in (base_xs, new_xs):
-        gs = gram(splits, design_exprs(xs, y), ["split", "fold"])
+        pos = [0, *[1 + both.index(x) for x in xs], len(both) + 1]
+        gs = {k: g[np.ix_(pos, pos)] for k, g in all_gs.items()}
         per = {}
         for s in range(n):
             own = {k: g for k, g in gs.items() if k[0] == s}

@@ -20,45 +20,45 @@ def losses(spark, sf):
 
 @query("rsm01")
 def rsm01(spark, sf):
-    return R.sign_flip(losses(spark, sf), "d", "id", 200)
+    return R.sign_flip(losses(spark, sf), "d", "id")
 
 
 @query("rsm02")
 def rsm02(spark, sf):
-    return rounded(R.refit_permutation(rows(spark, sf), "y", ["x1", "x2"], "x2", "id", ["g"], 10))
+    return rounded(R.refit_permutation(rows(spark, sf), "y", ["x1", "x2"], "x2", "id", ["g"], 200))
 
 
 @query("rsm03")
 def rsm03(spark, sf):
     m = members(spark, sf).withColumn("r", F.col("y") - F.col("p1"))
-    return rounded(R.refit_permutation(m, "r", ["q1", "x3"], "q1", "id", ["fold"], 10))
+    return rounded(R.refit_permutation(m, "r", ["q1", "x3"], "q1", "id", ["fold"], 20))
 
 
 @query("rsm04")
 def rsm04(spark, sf):
     m = members(spark, sf).select("id", (F.col("y") - F.col("p1")).alias("r"), "x2", "x3", "q1")
-    return rounded(R.max_correlation_null(m, ["x2", "x3", "q1"], "r", "id", 10))
+    return rounded(R.max_correlation_null(m, ["x2", "x3", "q1"], "r", "id", 300))
 
 
 @query("rsm05")
 def rsm05(spark, sf):
-    return rounded(R.bootstrap(losses(spark, sf), "id", R.rmse_difference("f3", "f2", "y"), 100))
+    return rounded(R.bootstrap(losses(spark, sf), "id", R.rmse_difference("f3", "f2", "y")))
 
 
 @query("rsm06")
 def rsm06(spark, sf):
     e = seq(spark, sf)
-    return rounded(R.bootstrap(e, "user_id", lambda w: F.sum(w * F.col("value")) / F.sum(w), 100))
+    return rounded(R.bootstrap(e, "user_id", lambda w: F.sum(w * F.col("value")) / F.sum(w)))
 
 
 @query("rsm07")
 def rsm07(spark, sf):
-    return rounded(R.resplit_gain(rows(spark, sf), "y", ["x1"], ["x1", "x4"], "id", "g", 10))
+    return rounded(R.resplit_gain(rows(spark, sf), "y", ["x1"], ["x1", "x4"], "id", "g"))
 
 
 @query("rsm08")
 def rsm08(spark, sf):
-    return rounded(R.subset_noise(losses(spark, sf), "d", "id", 0.3, 100))
+    return rounded(R.subset_noise(losses(spark, sf), "d", "id", 0.3, 1000))
 
 
 @query("rsm09", rounded_sql("", "n1, n2", """
