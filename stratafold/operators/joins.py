@@ -218,18 +218,19 @@ def knn(df: DataFrame, k: int, n_pivots: int = 32, chunk: int = 4096) -> DataFra
     def local(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"id": [], "nb": [], "dist": []}).astype({"id": "int64", "nb": "int64", "dist": "float64"})
+        right = right.sort_values("id")  # a stable sort by distance then leaves ties in order of the identifier
         a, b = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
         li, ri = left["id"].to_numpy(), right["id"].to_numpy()
-        out = []
-        for s in range(0, len(a), 256):
-            dist = np.sqrt(((a[s:s + 256, None, :] - b[None, :, :]) ** 2).sum(-1)) if len(b) * a.shape[1] < 1 << 16 else np.sqrt(
-                np.stack([((b - v) ** 2).sum(1) for v in a[s:s + 256]]))
-            dist[li[s:s + 256, None] == ri[None, :]] = np.inf
-            for i, row in enumerate(dist):
-                best = np.lexsort((ri, row))[:k]
-                best = best[np.isfinite(row[best])]
-                out.append(pd.DataFrame({"id": li[s + i], "nb": ri[best], "dist": row[best]}))
-        return pd.concat(out)
+        near, ids, rows_ = [], [], max(1, (1 << 21) // b.size)
+        for s in range(0, len(a), rows_):
+            dist = np.sqrt(((a[s:s + rows_, None, :] - b[None, :, :]) ** 2).sum(-1))
+            dist[li[s:s + rows_, None] == ri[None, :]] = np.inf
+            best = np.argsort(dist, axis=1, kind="stable")[:, :k]
+            near.append(np.take_along_axis(dist, best, axis=1))
+            ids.append(ri[best])
+        near, ids = np.concatenate(near), np.concatenate(ids)
+        out = pd.DataFrame({"id": np.repeat(li, near.shape[1]), "nb": ids.ravel(), "dist": near.ravel()})
+        return out[np.isfinite(out["dist"])]
 
     key = ["cell", "db", "qb"]
     found = q.groupBy(*key).cogroup(d.groupBy(*key)).applyInPandas(local, "id bigint, nb bigint, dist double")

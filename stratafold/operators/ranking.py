@@ -16,11 +16,24 @@ def unpivot(df: DataFrame, keys: Sequence[str], cols: Sequence[str], name: str =
     return df.unpivot(list(keys), [F.col(c).cast("double").alias(c) for c in cols], name, value)
 
 
+def spearman_grid(df: DataFrame, cols: Sequence[str], targets: Sequence[str], subsets: dict) -> DataFrame:
+    """Average-rank correlations of all columns with all targets on all subsets: (subset, target, feature, rho, n).
+
+    Every combination is a key of the same two rankings, so the input is ranked twice in all, whatever the grid.
+    """
+    labels = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in subsets.items()]))
+    pair = lambda names, n, v: F.inline(F.array(*[F.struct(F.lit(c).alias(n), F.col(c).cast("double").alias(v)) for c in names]))
+    d = df.select(F.explode(labels).alias("subset"), *dict.fromkeys([*targets, *cols]))
+    d = d.select("subset", *targets, pair(cols, "feature", "value")).where("value is not null")
+    d = d.select("subset", "feature", "value", pair(targets, "target", "_y")).where("_y is not null")
+    keys = ["subset", "target", "feature"]
+    r = average_ranks(average_ranks(d, keys, "value", "_rx"), keys, "_y", "_ry")
+    return r.groupBy(*keys).agg(safe_corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+
+
 def spearman(df: DataFrame, cols: Sequence[str], y: str) -> DataFrame:
-    """Average-rank correlation of every column with the target: (feature, rho, n)."""
-    long = unpivot(df, [y], cols).where("value is not null").withColumnRenamed(y, "_y")
-    r = average_ranks(average_ranks(long, ["feature"], "value", "_rx"), ["feature"], "_y", "_ry")
-    return r.groupBy("feature").agg(safe_corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    """Average-rank correlation of every column with the target over complete pairs: (feature, rho, n)."""
+    return spearman_grid(df, cols, [y], {"all": F.lit(True)}).select("feature", "rho", "n")
 
 
 def top_by_abs(df: DataFrame, c: str, n: int, tie: str) -> DataFrame:

@@ -30,11 +30,9 @@ r AS (SELECT feature, k, rank() OVER (PARTITION BY k, feature ORDER BY value) +
 SELECT feature, corr(rx, ry) FILTER (WHERE k = 'all') AS rho_y, corr(rx, ry) FILTER (WHERE k = 'clean') AS rho_y_clean, corr(rx, rr) FILTER (WHERE k = 'all') AS rho_resid FROM r GROUP BY feature"""))
 def win05(spark, sf):
     m = members(spark, sf).withColumn("res", F.round(F.col("y") - F.col("p1"), 9))
-    cols = ["x1", "x2", "q1"]
-    a = K.spearman(m, cols, "y").select("feature", F.col("rho").alias("rho_y"))
-    c = K.spearman(m.where("g = 'clean'"), cols, "y").select("feature", F.col("rho").alias("rho_y_clean"))
-    r = K.spearman(m, cols, "res").select("feature", F.col("rho").alias("rho_resid"))
-    return rounded(a.join(c, "feature").join(r, "feature"))
+    g = K.spearman_grid(m, ["x1", "x2", "q1"], ["y", "res"], {"all": F.lit(True), "clean": F.col("g") == "clean"})
+    cell = lambda k, t: F.max(F.when((F.col("subset") == k) & (F.col("target") == t), F.col("rho")))
+    return rounded(g.groupBy("feature").agg(cell("all", "y").alias("rho_y"), cell("clean", "y").alias("rho_y_clean"), cell("all", "res").alias("rho_resid")))
 
 
 @query("win06", rounded_sql("seq", "lag, n", """
