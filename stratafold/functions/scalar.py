@@ -90,12 +90,18 @@ def hash_uniform(*parts) -> Column:
     return (F.pmod(h, F.lit(1 << 40)) + 0.5) / float(1 << 40)
 
 
-def hash_sign(*parts) -> Column:
-    return F.when(hash_uniform(*parts) < 0.5, F.lit(-1.0)).otherwise(F.lit(1.0))
+def md5_order(*parts) -> Column:
+    """Pseudo-random sort key of the parts' text; any SQL engine with md5 gives the same order."""
+    return F.md5(F.concat_ws(":", *[F.coalesce((p if isinstance(p, Column) else F.lit(p)).cast("string"), F.lit("null")) for p in parts]))
+
+
+def md5_uniform(*parts) -> Column:
+    """Uniform [0, 1) number from the first 48 bits of ``md5_order``: slower than ``hash_uniform``, but portable."""
+    return F.conv(F.substring(md5_order(*parts), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
 def poisson_weight(*parts, top: int = 12) -> Column:
-    """Poisson(1) count by inversion of a hash uniform (bootstrap multiplicity)."""
+    """Poisson(1) count by inversion of a hash uniform (bootstrap multiplicity); counts above ``top`` (chance 6e-11) are cut to top + 1."""
     u = hash_uniform(*parts)
     p = cum = 2.718281828459045 ** -1
     out, terms = F.lit(float(top + 1)), [(0, cum)]

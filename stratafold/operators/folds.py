@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranks import global_quantiles, null_safe_join, row_numbers
-from ..functions.scalar import cut, hash_uniform
+from ..functions.scalar import cut, md5_order, md5_uniform
 
 
 def stratified_folds(df: DataFrame, key: str, y: str, n_bins: int = 10, k: int = 5, seed: int | None = None,
@@ -28,9 +28,9 @@ def stratified_folds(df: DataFrame, key: str, y: str, n_bins: int = 10, k: int =
 def stratified_resplits(df: DataFrame, key: str, stratum: str, n: int, k: int = 5, seed: int = 0) -> DataFrame:
     """``n`` re-splits as rows (split, fold): each stratum is shuffled by hash and dealt with an offset."""
     long = df.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    order = [F.xxhash64(F.lit(seed), F.col("split"), F.col(key)), F.col(key)]
+    order = [md5_order(seed, F.col("split"), F.col(key)), F.col(key)]
     numbered = row_numbers(long, ["split", stratum], order, "_rn")
-    shift = F.floor(hash_uniform(F.lit(seed), F.col("split"), F.col(stratum)) * k)
+    shift = F.floor(md5_uniform(seed, F.col("split"), F.col(stratum)) * k)
     return numbered.withColumn("fold", ((F.col("_rn") + shift) % k).cast("int")).drop("_rn")
 
 

@@ -144,31 +144,41 @@ def fisher_p(a, b, c, d) -> Column:
     Exact while the relevant places number at most FISHER_TERMS; beyond that a midpoint sum over stretches of them.
     """
     a, b, c, d = (col(x).cast("double") for x in (a, b, c, d))
-    r1, r2, c1, n = a + b, c + d, a + c, a + b + c + d
-
-    def logp(k):
-        return (log_factorial(r1) + log_factorial(r2) + log_factorial(c1) + log_factorial(n - c1) - log_factorial(n)
-                - log_factorial(k) - log_factorial(r1 - k) - log_factorial(c1 - k) - log_factorial(r2 - c1 + k))
-
-    lo, hi = F.greatest(F.lit(0.0), c1 - r2), F.least(r1, c1)
-    # all but exp(-40) of the probability lies within about nine standard deviations of the mean; the grid of places has
-    # FISHER_TERMS entries at most, and on larger tables each stands for a stretch of them (the terms are smooth there)
-    mean = r1 * c1 / n
-    sd = F.sqrt(F.greatest(mean * (n - c1) / n * r2 / F.greatest(n - 1, F.lit(1.0)), F.lit(0.0)))
-    first = F.greatest(lo, F.floor(mean - 9 * sd - 40).cast("double"))
-    last = F.least(hi, F.ceil(mean + 9 * sd + 40).cast("double"))
-    width = F.greatest(F.lit(1.0), F.ceil((last - first + 1) / FISHER_TERMS).cast("double"))
-    steps = F.sequence(F.lit(0), F.floor((last - first) / width).cast("int"))
-    seen = logp(a)
-
-    def term(i):
-        left = first + i.cast("double") * width
-        right = F.least(last, left + width - 1)
-        middle = F.when(width == 1, left).otherwise((left + right) / 2)
-        return F.when(logp(middle) <= seen + 1e-7, F.exp(logp(middle)) * (right - left + 1)).otherwise(0.0)
-
-    whole = F.aggregate(F.transform(steps, term), F.lit(0.0), lambda s, v: s + v)
-    return F.least(F.lit(1.0), F.greatest(whole, F.when(n > 0, F.exp(seen)).otherwise(1.0)))
+    table = F.struct(a.alias("a"), (a + b).alias("r1"), (c + d).alias("r2"), (a + c).alias("c1"), (a + b + c + d).alias("n"))
+
+    def bound(value, use):
+        """``use`` of a value that is computed once per row."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def logp(t, k):
+        return t["whole"] - log_factorial(k) - log_factorial(t["r1"] - k) - log_factorial(t["c1"] - k) - log_factorial(t["r2"] - t["c1"] + k)
+
+    def with_constants(t):
+        whole = log_factorial(t["r1"]) + log_factorial(t["r2"]) + log_factorial(t["c1"]) + log_factorial(t["n"] - t["c1"]) - log_factorial(t["n"])
+        mean = t["r1"] * t["c1"] / t["n"]
+        sd = F.sqrt(F.greatest(mean * (t["n"] - t["c1"]) / t["n"] * t["r2"] / F.greatest(t["n"] - 1, F.lit(1.0)), F.lit(0.0)))
+        first = F.greatest(F.lit(0.0), t["c1"] - t["r2"], F.floor(mean - 9 * sd - 40).cast("double"))
+        last = F.least(t["r1"], t["c1"], F.ceil(mean + 9 * sd + 40).cast("double"))
+        width = F.greatest(F.lit(1.0), F.ceil((last - first + 1) / FISHER_TERMS).cast("double"))
+        return F.struct(*[t[f].alias(f) for f in ("a", "r1", "r2", "c1", "n")], whole.alias("whole"), first.alias("first"), last.alias("last"), width.alias("width"))
+
+    def summed(t):
+        steps = F.sequence(F.lit(0), F.floor((t["last"] - t["first"]) / t["width"]).cast("int"))
+
+        def probability(seen):
+            # all but exp(-40) of the probability lies within nine standard deviations of the mean; the places there number
+            # FISHER_TERMS at most, and on larger tables each stands for a stretch of them (the terms are smooth there)
+            def term(i):
+                left = t["first"] + i.cast("double") * t["width"]
+                span = F.least(t["last"] - left + 1, t["width"])
+                return bound(logp(t, left + (span - 1) / 2), lambda lp: F.when(lp <= seen + 1e-7, F.exp(lp) * span).otherwise(0.0))
+
+            whole = F.aggregate(steps, F.lit(0.0), lambda s, i: s + term(i))
+            return F.least(F.lit(1.0), F.greatest(whole, F.exp(seen)))
+
+        return bound(logp(t, t["a"]), probability)
+
+    return F.when(a + b + c + d > 0, bound(bound(table, with_constants), summed)).otherwise(1.0)
 
 
 def checksums(df: DataFrame, cols: Sequence[str], digits: int = 4) -> DataFrame:

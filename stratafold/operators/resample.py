@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranks import average_ranks, row_numbers, value_ranks
-from ..functions.scalar import hash_uniform, poisson_weight
+from ..functions.scalar import md5_order, md5_uniform, poisson_weight
 from .gram import design_exprs, gram, leave_out, solve
 from ..session import cut_lineage
 from .metrics import safe_corr
@@ -129,7 +129,7 @@ def resplit_gain(df: DataFrame, y: str, base_xs: Sequence[str], new_xs: Sequence
 
 def subset_noise(df: DataFrame, d: str, key: str, share: float, n: int, seed: int = 0) -> DataFrame:
     """Spread of a paired mean over random subsets holding about ``share`` of the rows."""
-    r = replicate(df.select(key, d), n).where(hash_uniform(F.lit(seed), F.col("rep"), F.col(key)) < share)
+    r = replicate(df.select(key, d), n).where(md5_uniform(seed, F.col("rep"), F.col(key)) < share)
     return r.groupBy("rep").agg(F.avg(d).alias("m")).agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("sd"))
 
 
@@ -158,7 +158,7 @@ def neighbour_mean_correlation(nb: DataFrame, values: DataFrame, key: str = "id"
 def random_group(df: DataFrame, flag: str, key: str, seed: int = 0) -> DataFrame:
     """Control flag: as many rows as the real group, chosen by hash order."""
     n = df.agg(F.sum(F.col(flag).cast("bigint")).alias("n")).first()["n"]
-    r = row_numbers(df, [], [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)], "_rn")
+    r = row_numbers(df, [], [md5_order(seed, F.col(key)), F.col(key)], "_rn")
     return r.withColumn("control", F.col("_rn") <= n).drop("_rn")
 
 

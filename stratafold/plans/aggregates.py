@@ -105,11 +105,16 @@ def agg43(spark, sf):
     return rounded(M.gate_counts(rows(spark, sf), "g", F.col("fold") == 4, F.col("x3") > 0.04))
 
 
-@query("agg43_p")
+@query("agg43_p", rounded_sql("rows_", "g", """
+WITH t AS (SELECT g, count(CASE WHEN fold <> 4 AND x3 > 0.04 THEN 1 END) AS a, count(CASE WHEN fold <> 4 THEN 1 END) AS r1,
+ count(CASE WHEN fold = 4 THEN 1 END) AS r2, count(CASE WHEN x3 > 0.04 THEN 1 END) AS c1 FROM rows_ GROUP BY g),
+k AS (SELECT *, unnest(range(greatest(0, c1 - r2), least(r1, c1) + 1)) AS k FROM t),
+p AS (SELECT g, a, k, lgamma(r1 + 1) + lgamma(r2 + 1) + lgamma(c1 + 1) + lgamma(r1 + r2 - c1 + 1) - lgamma(r1 + r2 + 1) - lgamma(k + 1) - lgamma(r1 - k + 1) - lgamma(c1 - k + 1) - lgamma(r2 - c1 + k + 1) AS lp FROM k)
+SELECT g, least(1e0, sum(exp(lp))) AS fisher_p FROM p JOIN (SELECT g, lp AS seen FROM p WHERE k = a) USING (g) WHERE lp <= seen + 1e-7 GROUP BY g"""))
 def agg43_p(spark, sf):
     c = M.gate_counts(rows(spark, sf), "g", F.col("fold") == 4, F.col("x3") > 0.04)
     tr, te = F.col("train_n") - F.col("train_pass"), F.col("test_n") - F.col("test_pass")
-    return c.select("g", M.fisher_p("train_pass", tr, "test_pass", te).alias("fisher_p"))
+    return rounded(c.select("g", M.fisher_p("train_pass", tr, "test_pass", te).alias("fisher_p")))
 
 
 @query("agg44", with_ctes("rows_", """

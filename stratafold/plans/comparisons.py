@@ -56,9 +56,11 @@ def rsm07(spark, sf):
     return rounded(R.resplit_gain(rows(spark, sf), "y", ["x1"], ["x1", "x4"], "id", "g"))
 
 
-@query("rsm08")
+@query("rsm08", rounded_sql("files", "", f"""
+WITH {_D}, k AS (SELECT CAST(unnest(range(100)) AS BIGINT) AS rep), r AS (SELECT rep, avg(d) AS m FROM d, k WHERE CAST('0x' || substr(md5('0:' || rep || ':' || id), 1, 12) AS BIGINT) / 281474976710656e0 < 0.3 GROUP BY rep)
+SELECT avg(m) AS mean, stddev_pop(m) AS sd FROM r"""))
 def rsm08(spark, sf):
-    return rounded(R.subset_noise(losses(spark, sf), "d", "id", 0.3, 1000))
+    return rounded(R.subset_noise(losses(spark, sf), "d", "id", 0.3, 100))
 
 
 @query("rsm09", rounded_sql("", "n1, n2", """
@@ -71,7 +73,13 @@ def rsm09(spark, sf):
     return rounded(R.ks_statistic(e, "value", F.col("event_type") == "view").drop("p"))
 
 
-@query("rsm09_p")
+@query("rsm09_p", rounded_sql("", "n1, n2", """
+WITH e AS (SELECT value, event_type = 'view' AS b FROM events WHERE event_type IN ('click', 'view')),
+c AS (SELECT value, sum(CASE WHEN b THEN 0 ELSE 1 END) AS a, sum(CASE WHEN b THEN 1 ELSE 0 END) AS b FROM e GROUP BY value),
+r AS (SELECT sum(a) OVER (ORDER BY value) / sum(a) OVER () AS fa, sum(b) OVER (ORDER BY value) / sum(b) OVER () AS fb FROM c),
+s AS (SELECT max(abs(fa - fb)) AS d, (SELECT count(*) FROM e WHERE NOT b) AS n1, (SELECT count(*) FROM e WHERE b) AS n2 FROM r),
+l AS (SELECT *, sqrt(n1 * n2 / (n1 + n2)) AS en FROM s), t AS (SELECT *, (en + 0.12 + 0.11 / en) * d AS lam FROM l)
+SELECT d, n1, n2, CASE WHEN lam < 0.2 THEN 1e0 ELSE least(1e0, greatest(0e0, (SELECT sum((CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END) * exp(-2 * k * k * lam * lam)) FROM (SELECT unnest(range(1, 30)) AS k)))) END AS p FROM t"""))
 def rsm09_p(spark, sf):
     e = seq(spark, sf).where("event_type IN ('click', 'view')")
     return rounded(R.ks_statistic(e, "value", F.col("event_type") == "view"))
@@ -88,7 +96,8 @@ def rsm10(spark, sf):
     return rounded(R.neighbour_mean_correlation(nb, e.select(F.col("vec_id").alias("id"), F.col("label").cast("double").alias("r"))))
 
 
-@query("rsm11")
+@query("rsm11", with_ctes("rows_", """
+SELECT id, g = 'clean' AS flag, row_number() OVER (ORDER BY md5('0:' || id), id) <= (SELECT count(*) FROM rows_ WHERE g = 'clean') AS control FROM rows_"""))
 def rsm11(spark, sf):
     r = rows(spark, sf).select("id", (F.col("g") == "clean").alias("flag"))
     return R.random_group(r, "flag", "id")

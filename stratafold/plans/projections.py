@@ -194,7 +194,11 @@ def win01(spark, sf):
     return folds(spark, sf).select("id", "bin", "fold")
 
 
-@query("win02")
+@query("win02", with_ctes("rows_", """
+WITH s AS (SELECT id, g, split FROM rows_, (SELECT CAST(unnest([0, 1, 2, 3]) AS INTEGER) AS split)),
+n AS (SELECT *, row_number() OVER (PARTITION BY split, g ORDER BY md5('7:' || split || ':' || id), id) AS rn,
+ CAST(floor(CAST('0x' || substr(md5('7:' || split || ':' || g), 1, 12) AS BIGINT) / 281474976710656e0 * 5) AS BIGINT) AS shift FROM s)
+SELECT id, g, split, CAST((rn + shift) % 5 AS INTEGER) AS fold FROM n"""))
 def win02(spark, sf):
     return FO.stratified_resplits(rows(spark, sf).select("id", "g"), "id", "g", 4, seed=7)
 
