@@ -218,7 +218,7 @@ def test_lines(spark):
     for x, a in enumerate(names):
         for b in names[:x]:
             (i, k, m), (j, q, n) = first[a], first[b]
-            if (sim[i, k] ^ sim[j, q]).bit_count() <= line_dedup.DISTANCE and min(m, n) >= 0.8 * max(m, n) and edit(a, b) <= int((0.2 + 1e-9) * max(len(a), len(b))):
+            if (sim[i, k] ^ sim[j, q]).bit_count() <= line_dedup.DISTANCE and min(m, n) >= 0.8 * max(m, n) and edit(a.split(), b.split()) <= int((0.2 + 1e-9) * max(len(a.split()), len(b.split()))):
                 parent[find(a)] = find(b)
                 linked += 1
     assert linked
