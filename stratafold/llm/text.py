@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 SEPARATORS = b" \t\n\x0b\x0c\r"
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 _IS_SEP = np.zeros(256, bool)
 _IS_SEP[list(SEPARATORS)] = True
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -54,7 +54,7 @@ class Network:
 
     def logits(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Of whole texts, in blocks of bounded size."""
-        pad = np.full(2, 1 << BITS)
+        pad = np.full(2, 1 << BITS, np.int32)
         a = np.concatenate([x for d in docs for x in (d[0], pad)])
         b = np.concatenate([x for d in docs for x in (d[1], pad)])
         first = np.cumsum([0] + [len(d[0]) + 2 for d in docs])
@@ -74,8 +74,7 @@ class Network:
 
     def train(self, docs, labels, epochs: int, seed: int = 4) -> None:
         r = np.random.default_rng(seed)
-        pad = np.full(2, 1 << BITS)
-        docs = [(np.append(a, pad), np.append(b, pad)) for a, b in docs]
+        pad = np.full(2, 1 << BITS, np.int32)
         sq = {k: np.full_like(getattr(self, k), 1e-3) for k in ("word", "head", "conv", "bias", "out")}
         rate = 0.05
 
@@ -86,9 +85,9 @@ class Network:
 
         for _ in range(epochs):
             for i in r.permutation(len(docs)):
-                a, b = docs[i]
-                if len(a) == 2:
+                if not len(docs[i][0]):
                     continue
+                a, b = (np.append(x, pad) for x in docs[i])
                 z = self.maps(a, b)
                 at = z.argmax(axis=0)
                 pooled = z[at, np.arange(OUT)] + self.bias
@@ -125,7 +124,7 @@ class Network:
 
 def features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     shift = np.uint64(64 - BITS)
-    return [((w >> shift).astype(np.int64), (p >> shift).astype(np.int64)) for w, p in zip(document_words(texts), document_prefixes(texts, 4))]
+    return [((w >> shift).astype(np.int32), (p >> shift).astype(np.int32)) for w, p in zip(document_words(texts), document_prefixes(texts, 4))]
 
 
 def best_cut(logit: np.ndarray, y: np.ndarray) -> float:
@@ -147,18 +146,22 @@ def fit(docs: DataFrame, labels: DataFrame, usable, per_class: int = PER_CLASS,
     if len(set(y.tolist())) < 2:
         net.constant = float(y.mean()) if len(y) else 0.0
         return net
-    x = features([(r["text"] or "").encode() for r in rows])
-    held = np.arange(len(rows)) % 5 == 0
+    lang = np.array([r["lang"] or "" for r in rows])
+    x = []
+    while rows:  # the driver holds the texts only until they are numbers
+        part, rows = rows[:200], rows[200:]
+        x += features([(r["text"] or "").encode() for r in part])
+    held = np.arange(len(x)) % 5 == 0
     if len(set(y[held].tolist())) < 2:
-        held = np.ones(len(rows), bool)  # too few rows to hold any back
-    train = [i for i in range(len(rows)) if not held[i] or held.all()]
+        held = np.ones(len(x), bool)  # too few rows to hold any back
+    train = [i for i in range(len(x)) if not held[i] or held.all()]
     net.train([x[i] for i in train], y[train], epochs)
     at = np.flatnonzero(held)
-    logit = net.logits([x[i] for i in at])
+    logit = np.concatenate([net.logits([x[i] for i in at[lo : lo + 100]]) for lo in range(0, len(at), 100)])
     best, spread = best_cut(logit, y[at]), max(1e-3, float(logit.std()))
     net.scale = 3.0 / spread
     net.shift = float(np.log(cut / (1 - cut))) - net.scale * best
-    lang = np.array([rows[i]["lang"] or "" for i in at])
+    lang = lang[at]
     net.thresholds[""] = cut
     for name in sorted(set(lang)):
         own = lang == name
