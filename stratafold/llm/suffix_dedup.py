@@ -36,7 +36,14 @@ LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1  # grams per window
 SLICE = 1 << 20
 NONE = -(1 << 63)
-FLUSH_ROWS, FLUSH_BYTES = 1 << 18, 24 << 20
+FLUSH_ROWS, FLUSH_BYTES = 1 << 17, 8 << 20
+ROWS = 256  # texts that are Python objects at a time
+
+
+def _slices(batches):
+    for b in batches:
+        for lo in range(0, b.num_rows, ROWS):
+            yield b.slice(lo, ROWS)
 
 
 def _prefix_sums(buf: np.ndarray) -> np.ndarray:
@@ -109,7 +116,7 @@ def sampled(docs: DataFrame, parts: int) -> DataFrame:
                 blobs.append(_squeeze(m, np.diff(d[i], prepend=0).astype("<i8"), h[i].astype("<u8"), k[i].astype("<i4"), q[i].astype("<i4")))
             return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
-        for b in batches:
+        for b in _slices(batches):
             for d, k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2))):
                 if len(t) < LENGTH:
                     continue
@@ -204,7 +211,7 @@ def contexts(docs: DataFrame, parts: int) -> DataFrame:
             if known:
                 yield _intervals(known)
 
-        for b in batches:
+        for b in _slices(batches):
             for d, k, t, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), b.column(3)):
                 h, q, first, last = samples(np.frombuffer(t, np.uint8))
                 keep = np.isin(q, np.asarray(at.values))
@@ -214,11 +221,11 @@ def contexts(docs: DataFrame, parts: int) -> DataFrame:
                     s = seen.get((text, x - lo))
                     if s is None:
                         seen[text, x - lo] = [p, [(d, k, lo, hi + LENGTH)], 1]
-                        size += len(text) + 200
+                        size += len(text) + 400
                     else:
                         s[1].append((d, k, lo, hi + LENGTH))
                         s[2] += 1
-                        size += 60
+                        size += 150
                 if size > FLUSH_BYTES:
                     yield from flush()
                     size = 0
@@ -333,26 +340,24 @@ def cut_out(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) from documents with their ``ranges``."""
 
     def run(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                s = b.slice(lo, 1000)
-                size, gone, spans, kept = [], [], [], []
-                for t, r in zip(as_bytes(s.column(1)), s.column(2)):
-                    size.append(len(t))
-                    if not r.is_valid:
-                        gone.append(0)
-                        spans.append(0)
-                        kept.append(t)
-                        continue
-                    a = np.asarray(r.values.field(0))
-                    z = np.asarray(r.values.field(1))
-                    mark = np.bincount(a, minlength=len(t) + 1) - np.bincount(z, minlength=len(t) + 1)
-                    out = np.cumsum(mark)[: len(t)] > 0
-                    gone.append(int(out.sum()))
-                    spans.append(int((np.diff(out.view(np.int8), prepend=0) == 1).sum()))
-                    kept.append(np.frombuffer(t, np.uint8)[~out].tobytes())
-                cols = [s.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        for s in _slices(batches):
+            size, gone, spans, kept = [], [], [], []
+            for t, r in zip(as_bytes(s.column(1)), s.column(2)):
+                size.append(len(t))
+                if not r.is_valid:
+                    gone.append(0)
+                    spans.append(0)
+                    kept.append(t)
+                    continue
+                a = np.asarray(r.values.field(0))
+                z = np.asarray(r.values.field(1))
+                mark = np.bincount(a, minlength=len(t) + 1) - np.bincount(z, minlength=len(t) + 1)
+                out = np.cumsum(mark)[: len(t)] > 0
+                gone.append(int(out.sum()))
+                spans.append(int((np.diff(out.view(np.int8), prepend=0) == 1).sum()))
+                kept.append(np.frombuffer(t, np.uint8)[~out].tobytes())
+            cols = [s.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return docs.select("doc_id", "text", "ranges").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
