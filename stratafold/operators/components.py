@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import scratch_path
 from .joins import adjacency
 
 
@@ -90,7 +90,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, keys: Sequence[s
     Alternates two steps on the edge list until it is stable. Large star: every node ties its larger neighbours
     to its smallest neighbour. Small star: every node ties its smaller neighbours to the smallest of them. Both are a
     combining minimum and one inner join whose side of minima has one row per node, so a hub's edges can be split
-    over tasks. The edges are written to the shared checkpoint folder after every round.
+    over tasks. The edges are written as a table to the shared folder after every round (one job; a checkpoint takes two).
     """
     keys = list(keys)
 
@@ -107,10 +107,15 @@ def connected_components(vertices: DataFrame, edges: DataFrame, keys: Sequence[s
         return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(20,0)"))).first()
 
     e = edges.where("a <> b").select(*keys, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = cut_lineage(e)
+    def written(e: DataFrame) -> DataFrame:
+        path = scratch_path(e.sparkSession, "components")
+        e.write.parquet(path)
+        return e.sparkSession.read.schema(e.schema).parquet(path)
+
+    e = written(e)
     now = state(e)
     while now[0]:
-        e = cut_lineage(round_(e))
+        e = written(round_(e))
         before, now = now, state(e)
         if now == before:
             break
