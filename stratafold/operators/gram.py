@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation, Summarizer
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.scalar import by_value, col, linear
 
@@ -24,8 +25,8 @@ def gram(df: DataFrame, cols: Sequence, by: Sequence[str] = (), weight=None) ->
     """{group key: matrix of weighted cross products} for the given columns or expressions.
 
     ``by`` holds labels with few values (fold, cell, option, replicate). Rows with a NULL in any
-    used column are left out. Few columns: one aggregate expression per product. Many columns: the
-    distributed covariance of Spark ML, one pass per group.
+    used column are left out. Few columns: one aggregate expression per product. Many columns: dense
+    products per Arrow batch. Either way one pass over the rows for all groups.
     """
     exprs = [col(c) for c in cols]
     k = len(exprs)
@@ -45,23 +46,33 @@ def gram(df: DataFrame, cols: Sequence, by: Sequence[str] = (), weight=None) ->
 
 
 def _wide_gram(base: DataFrame, names: Sequence[str], by: list[str]) -> dict:
-    """Cross products from Spark ML's distributed covariance: no generated code per product."""
+    """Cross products of many columns: each task multiplies its Arrow batches as dense blocks, one matrix per group, and the
+    matrices are added up element by element. One pass for any number of columns and groups."""
     k = len(names)
-    rows = base.select(*by, *[(F.sqrt("_w") * F.col(n)).alias(n) for n in names])
-    v = VectorAssembler(inputCols=list(names), outputCol="v").transform(rows).select(*by, "v").persist()
-    stat = Summarizer.metrics("count", "mean", "variance").summary(F.col("v")).alias("s")
+
+    def run(batches):
+        parts: dict = {}
+        for b in batches:
+            x = np.stack([np.asarray(b.column(n)) for n in names], axis=1)
+            w = np.asarray(b.column("_w"))[:, None]
+            keys = list(zip(*[b.column(c).to_pylist() for c in by])) if by else [()] * len(x)
+            number = {key: i for i, key in enumerate(dict.fromkeys(keys))}
+            code = np.fromiter((number[key] for key in keys), np.int64, len(keys))
+            for key, i in number.items():
+                own = code == i
+                m = (x[own] * w[own]).T @ x[own]
+                parts[key] = parts[key] + m if key in parts else m
+        if parts:
+            cols = [pa.array([key[i] for key in parts], base_types[i]) for i in range(len(by))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([m.ravel().tolist() for m in parts.values()], pa.list_(pa.float64()))], [*by, "_m"])
+
+    base_types = [to_arrow_type(base.schema[c].dataType) for c in by]
+    schema = StructType([*[base.schema[c] for c in by], StructField("_m", ArrayType(DoubleType()))])
+    long = base.mapInArrow(run, schema).select(*by, F.posexplode("_m").alias("_p", "_v"))
     out: dict = {}
-    for r in v.groupBy(*by).agg(stat).collect():
-        n, mu, sd = r["s"]["count"], r["s"]["mean"].toArray(), np.sqrt(r["s"]["variance"].toArray())
-        part = v
-        for c in by:
-            part = part.where(F.col(c) == F.lit(r[c]))
-        cov = np.zeros((k, k))
-        if n > 1:
-            cov = np.nan_to_num(Correlation.corr(part, "v").first()[0].toArray(), nan=0.0) * np.outer(sd, sd)
-        out[tuple(r[c] for c in by)] = cov * (n - 1) + n * np.outer(mu, mu)
-    v.unpersist()
-    return out
+    for r in long.groupBy(*by, "_p").agg(F.sum("_v").alias("_v")).collect():  # k * k numbers per group
+        out.setdefault(tuple(r[c] for c in by), np.zeros(k * k))[r["_p"]] = r["_v"]
+    return {key: m.reshape(k, k) for key, m in out.items()}
 
 
 def total(grams: dict) -> np.ndarray:
