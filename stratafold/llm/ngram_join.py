@@ -5,8 +5,8 @@
 2. A document of n n-grams and any partner share one of its first n - ceil(t * n) + 1 n-grams in that order. These prefix
    n-grams go to their part packed in arrays; equal sets of one task send one of them.
 3. Posting lists of an n-gram are sorted by set size. Length and positional filters drop pairs that cannot reach the
-   threshold. First every document meets one other only, the lowest of the heads of its lists, and verified links join
-   components. Then all pairs of a list whose members still lie in different components are examined. A pair inside a
+   threshold. First every document meets a few others only: the heads of its lists, and in a second round members of the
+   largest component of its lists, HEADS each time. Verified links join components. Then all pairs of a list whose members still lie in different components are examined. A pair inside a
    component needs no verification, so a group of thousands of near copies never makes all its pairs, and no link between
    components is lost.
 4. A distinct pair is verified once against the whole sets, after a suffix filter that compares the numbers of n-grams
@@ -22,11 +22,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from .frames import partitions, pick, stored
-from .text import as_bytes, document_words, shingles
+from .text import as_bytes, document_words, mix, shingles
 
 BITS, OCTAVE = 24, 8
 PART_TOKENS = 2_000_000
@@ -35,11 +36,13 @@ HOT = 1 << 18
 PAIRS = 1 << 18
 LONG = 64
 BROADCAST_IDS = 1_000_000
+HEADS, PROBES = 4, 1
 
 
 def _sets(batch_column, n: int):
-    for w in document_words(as_bytes(batch_column)):
-        yield shingles(w, n)
+    for lo in range(0, len(batch_column), 256):  # texts that are Python objects at a time
+        for w in document_words(as_bytes(batch_column.slice(lo, 256))):
+            yield shingles(w, n)
 
 
 def _bucket(tokens: np.ndarray) -> np.ndarray:
@@ -119,7 +122,7 @@ def unpacked(blob: bytes):
     return tok, np.repeat(np.cumsum(step), runs), np.repeat(size, runs), pos
 
 
-def prefixes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, int]:
+def prefixes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, int, bool]:
     """Rows of members (doc_id, rep, size) and of packed prefix n-grams (blob), each with the part it goes to."""
     spark = docs.sparkSession
     order, count = ngram_order(docs, n)
@@ -181,7 +184,7 @@ def prefixes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, int]:
             yield flush()
 
     d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return d.mapInArrow(run, "doc_id long, rep long, size long, part int, blob binary"), parts
+    return d.mapInArrow(run, "doc_id long, rep long, size long, part int, blob binary"), parts, int(salts[order].max()) == 1
 
 
 def _possible(percent: int, na, pa_, nb, pb):
@@ -192,7 +195,7 @@ def _possible(percent: int, na, pa_, nb, pb):
 
 def postings(table: DataFrame, parts: int, percent: int) -> DataFrame:
     """One stored table of three kinds of rows: entries (token, doc, size, pos) of lists with several documents, star pairs
-    (a, b) of a member a and a head b, the smallest set of a list that the length filter allows, and the members as they came."""
+    (a, b, size) of a member a and the head b of size many of its lists, and the members as they came."""
     names = ["token", "doc", "size", "pos", "a", "b", "rep"]
 
     def rows(m: int, **cols):
@@ -220,19 +223,20 @@ def postings(table: DataFrame, parts: int, percent: int) -> DataFrame:
         pairs = []
         while len(rest):
             t = tok[rest]
-            new = np.ones(len(rest), bool)
-            new[1:] = t[1:] != t[:-1]
-            head = rest[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            near = 100 * size[head] >= percent * size[rest]
-            ok = near & (head != rest) & _possible(percent, size[head], pos[head], size[rest], pos[rest])
+            start = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+            length = np.diff(np.append(start, len(rest)))
+            # any member may be the head; a different one in each list gives a document several heads
+            pick_ = start + (mix(t[start].astype(np.uint64) + np.uint64(len(rest))) % length.astype(np.uint64)).astype(np.int64)
+            head = rest[np.repeat(pick_, length)]
+            near = 100 * np.minimum(size[head], size[rest]) >= percent * np.maximum(size[head], size[rest])
+            x, y = np.where(size[head] <= size[rest], head, rest), np.where(size[head] <= size[rest], rest, head)
+            ok = near & (head != rest) & _possible(percent, size[x], pos[x], size[y], pos[y])
             pairs.append(np.stack([doc[rest[ok]], doc[head[ok]]], axis=1))
             rest = rest[~near]
-        p = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-        p = p[np.lexsort((p[:, 1], p[:, 0]))]
-        p = p[np.append(True, p[1:, 0] != p[:-1, 0])] if len(p) else p  # the lowest head of each member in this part
+        p, times = np.unique(np.concatenate(pairs), axis=0, return_counts=True) if pairs else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
         for lo in range(0, len(p), 50_000):
             x = p[lo : lo + 50_000]
-            yield rows(len(x), a=x[:, 0], b=x[:, 1])
+            yield rows(len(x), a=x[:, 0], b=x[:, 1], size=times[lo : lo + 50_000])
 
     def run(batches):
         now, blobs = None, []
@@ -260,8 +264,20 @@ def postings(table: DataFrame, parts: int, percent: int) -> DataFrame:
     return stored(t.mapInArrow(run, ", ".join(f"{c} long" for c in names)), "ngram-postings")
 
 
-def cross_pairs(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Distinct possible pairs (a, b) of list members that lie in different components."""
+def nearest_heads(pairs: DataFrame) -> DataFrame:
+    """Of each document's heads the HEADS that it shares most lists with, as distinct pairs (a, b) with a < b."""
+    best = F.row_number().over(W.partitionBy("a").orderBy(F.desc("times"), F.xxhash64("b"), "b"))
+    p = pairs.groupBy("a", "b").agg(F.sum("times").alias("times")).withColumn("r", best).where(F.col("r") <= HEADS)
+    return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def cross_pairs(entries: DataFrame, labels: DataFrame, percent: int, probe: bool = False, whole_lists: bool = True) -> DataFrame:
+    """Distinct possible pairs (a, b) of list members that lie in different components.
+
+    ``probe`` gives (a, b, times) instead: each member outside the most frequent component of a list with one member of that
+    component, which is another in every list. ``whole_lists``: no list of an n-gram is dealt to several parts, so the
+    common n-grams of a pair can be counted.
+    """
     n = partitions(entries.sparkSession)
     e = entries.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", "size", "pos", F.coalesce("comp", "doc").alias("label"))
     mixed = e.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
@@ -285,8 +301,18 @@ def cross_pairs(entries: DataFrame, labels: DataFrame, percent: int) -> DataFram
         if held:
             yield [np.concatenate([h[k] for h in held]) for k in range(5)]
 
-    def ordered(a, b):
-        return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+    def meeting(i, j, doc, size, pos):
+        """Columns (a, b, size of a, size of b, times, place in a, place in b) of members i and j of a list, a < b."""
+        swap = doc[i] > doc[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        return np.stack([doc[i], doc[j], size[i], size[j], np.ones(len(i), np.int64), pos[i], pos[j]], axis=1)
+
+    def added(rows):
+        """One row per pair: how many n-grams met, and where the last of them lies in both."""
+        r = np.concatenate(rows)
+        r = r[np.lexsort((r[:, 3], r[:, 2], r[:, 1], r[:, 0]))]
+        start = np.flatnonzero(np.append(True, (r[1:, :4] != r[:-1, :4]).any(axis=1)))
+        return np.concatenate([r[start, :4], np.add.reduceat(r[:, 4:5], start), np.maximum.reduceat(r[:, 5:], start)], axis=1)
 
     def short_lists(doc, size, pos, label, ends):
         """Pairs at growing distance in all lists at once; an entry leaves where its list ends or sizes grow too far apart."""
@@ -298,7 +324,7 @@ def cross_pairs(entries: DataFrame, labels: DataFrame, percent: int) -> DataFram
                 return
             other = live + step
             ok = (label[live] != label[other]) & _possible(percent, size[live], pos[live], size[other], pos[other])
-            yield ordered(doc[live[ok]], doc[other[ok]])
+            yield meeting(live[ok], other[ok], doc, size, pos)
             step += 1
 
     def long_list(doc, size, pos, label):
@@ -310,7 +336,23 @@ def cross_pairs(entries: DataFrame, labels: DataFrame, percent: int) -> DataFram
             j = np.arange(lo, hi)
             small, large = np.minimum(i, j), np.maximum(i, j)
             ok = (label[j] != label[i]) & _possible(percent, size[small], pos[small], size[large], pos[large])
-            yield ordered(np.full(int(ok.sum()), doc[i]), doc[j[ok]])
+            yield meeting(np.full(int(ok.sum()), i), j[ok], doc, size, pos)
+
+    def probes(batches):
+        for tok, doc, size, pos, label in lists(batches):
+            by = np.lexsort((label, tok))
+            t, k = tok[by], label[by]
+            group = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (k[1:] != k[:-1])))
+            count = np.diff(np.append(group, len(t)))
+            best = np.lexsort((-count, t[group]))
+            best = best[np.append(True, t[group][best][1:] != t[group][best][:-1])]  # the largest component of each list
+            at = group[best] + (mix(t[group[best]].astype(np.uint64)) % count[best].astype(np.uint64)).astype(np.int64)
+            where = np.searchsorted(t[group[best]], tok)
+            head = by[at][where]
+            x, y = np.where(size[head] <= size, head, np.arange(len(tok))), np.where(size[head] <= size, np.arange(len(tok)), head)
+            ok = (label != label[head]) & _possible(percent, size[x], pos[x], size[y], pos[y])
+            p, times = np.unique(np.stack([doc[ok], doc[head[ok]]], axis=1), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(times)], ["a", "b", "times"])
 
     def found(batches):
         for tok, doc, size, pos, label in lists(batches):
@@ -325,22 +367,30 @@ def cross_pairs(entries: DataFrame, labels: DataFrame, percent: int) -> DataFram
                 at = slice(s, s + m)
                 yield from long_list(doc[at], size[at], pos[at], label[at])
 
+    names = ["a", "b", "na", "nb", "times", "i", "j"]
+
     def run(batches):
         held, n_held = [], 0
+        out = lambda u: pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(u[:, k])) for k in range(7)], names)
         for p in found(batches):
             held.append(p)
             n_held += len(p)
             if n_held > PAIRS:
-                u = np.unique(np.concatenate(held), axis=0)
+                u = added(held)
                 held, n_held = [u], len(u)
                 if n_held > PAIRS // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1])], ["a", "b"])
+                    yield out(u)
                     held, n_held = [], 0
         if n_held:
-            u = np.unique(np.concatenate(held), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1])], ["a", "b"])
+            yield out(added(held))
 
-    return e.select("token", "doc", "size", "pos", "label").mapInArrow(run, "a long, b long").distinct()
+    e = e.select("token", "doc", "size", "pos", "label")
+    if probe:
+        return nearest_heads(e.mapInArrow(probes, "a long, b long, times long"))
+    met = e.mapInArrow(run, ", ".join(f"{c} long" for c in names)).groupBy("a", "b", "na", "nb").agg(F.sum("times").alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
+    # all common n-grams up to the last common one of both prefixes have met; the rest of the shorter remainder may follow
+    reach = (100 + percent) * (F.col("c") + F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) - 1) >= percent * (F.col("na") + F.col("nb"))
+    return met.where(reach if whole_lists else F.lit(True)).select("a", "b").distinct()
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -383,23 +433,28 @@ def candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return stored(d.join(wanted, "doc", "left_semi"), "ngram-texts")
 
 
+def components(links: DataFrame) -> DataFrame:
+    nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    return stored(connected_components(nodes, links, keys=()), "ngram-components")
+
+
 def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per input row."""
-    lists = postings(*prefixes(docs, n, percent), percent)
+    table, parts, whole_lists = prefixes(docs, n, percent)
+    lists = postings(table, parts, percent)
     pair = F.col("a").isNotNull()
     members = lists.where(~pair & F.col("token").isNull()).select(F.col("doc").alias("doc_id"), "rep", "size")
     entries = lists.where("token is not null").select("token", "doc", "size", "pos")
-    stars = lists.where(pair).groupBy("a").agg(F.min("b").alias("b"))
-    stars = stored(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "ngram-stars")
+    tried = stored(nearest_heads(lists.where(pair).select("a", "b", F.col("size").alias("times"))), "ngram-stars")
     texts = candidate_texts(docs, entries.select("doc").distinct())
     copies = members.where("doc_id <> rep").select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b")).distinct()
-    links = stored(verify(stars, texts, n, percent).unionByName(copies), "ngram-links")
-    nodes = stored(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ngram-nodes")
-    labels = connected_components(nodes, links, keys=())
-    more = stored(cross_pairs(entries, labels, percent).join(stars, ["a", "b"], "left_anti"), "ngram-cross")
-    if more.limit(1).count():
-        links = links.unionByName(stored(verify(more, texts, n, percent), "ngram-links-2"))
-        nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        labels = connected_components(nodes, links, keys=())
+    links = stored(verify(tried, texts, n, percent).unionByName(copies), "ngram-links")
+    labels = components(links)
+    for probe in (*[True] * PROBES, False):  # the last round leaves no pair between components unseen
+        more = stored(cross_pairs(entries, labels, percent, probe, whole_lists).join(tried, ["a", "b"], "left_anti"), "ngram-cross")
+        if more.limit(1).count():
+            links = links.unionByName(stored(verify(more, texts, n, percent), "ngram-links"))
+            labels = components(links)
+            tried = tried.unionByName(more)
     low = labels.select(F.col("node").alias("doc_id"), "comp")
     return members.join(low, "doc_id", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
