@@ -8,7 +8,9 @@
    threshold. First every document meets a few others only: the heads of its lists, and in a second round members of the
    largest component of its lists, HEADS each time. Verified links join components. Then all pairs of a list whose members still lie in different components are examined. A pair inside a
    component needs no verification, so a group of thousands of near copies never makes all its pairs, and no link between
-   components is lost.
+   components is lost. An n-gram in more than about 2 * HOT documents is dealt to several pieces of its part for the first
+   meeting only. Afterwards its list is whole again: members outside its largest component first meet one member of that
+   component, then, in cells of about HOT members, every other member.
 4. A distinct pair is verified once against the whole sets, after a suffix filter that compares the numbers of n-grams
    between common pivots.
 
@@ -122,13 +124,14 @@ def unpacked(blob: bytes):
     return tok, np.repeat(np.cumsum(step), runs), np.repeat(size, runs), pos
 
 
-def prefixes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, int, bool]:
-    """Rows of members (doc_id, rep, size) and of packed prefix n-grams (blob), each with the part it goes to."""
+def prefixes(docs: DataFrame, n: int, percent: int, hot: int = HOT) -> tuple[DataFrame, int, bool]:
+    """Rows of members (doc_id, rep, size) and of packed prefix n-grams (blob), each with the part it goes to and, for n-grams
+    of more than about 2 * hot documents, the piece of the part, from 1 on. Also whether all lists are in one piece."""
     spark = docs.sparkSession
     order, count = ngram_order(docs, n)
     parts = max(partitions(spark), count * (100 - percent) // 100 // PART_TOKENS + 1)
     likely = 2.0 ** (np.arange(256) / OCTAVE) - 2 * count / (1 << BITS)  # documents of one n-gram, by weight
-    salts = np.clip(likely // HOT, 1, 1 << 20).astype(np.int64)
+    salts = np.clip(likely // hot, 1, 1 << 20).astype(np.int64)
     shared = spark.sparkContext.broadcast((order, salts))  # one byte per bucket
 
     def run(batches):
@@ -144,16 +147,18 @@ def prefixes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, int, boo
             size = np.repeat(np.array([h[2] for h in held], np.int32), lens)
             pos = np.concatenate([np.arange(k, dtype=np.int32) for k in lens])
             s = salt[weight[_bucket(tok)]]
-            part = ((tok >> np.uint64(32)).astype(np.int64) + (doc % s) * 7919) % parts
-            by = np.argsort(part, kind="stable")
-            at = np.searchsorted(part[by], np.arange(parts + 1))
-            rows = np.flatnonzero(np.diff(at))
-            blobs = [packed(*(c[by[at[p] : at[p + 1]]] for c in (tok, doc, size, pos))) for p in rows]
+            place = (((tok >> np.uint64(32)) % np.uint64(parts)).astype(np.int64) << 21) + np.where(s > 1, 1 + doc % s, 0)
+            by = np.argsort(place, kind="stable")
+            at = np.flatnonzero(np.diff(place[by], prepend=-1))
+            rows = place[by[at]]
+            at = np.append(at, len(by))
+            blobs = [packed(*(c[by[at[p] : at[p + 1]]] for c in (tok, doc, size, pos))) for p in range(len(rows))]
             m = len(rows)
             none = pa.nulls(m, pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], names)
+            where = [pa.array(x, pa.int32()) for x in (rows >> 21, rows & ((1 << 21) - 1))]
+            return pa.RecordBatch.from_arrays([none, none, none, *where, pa.array(blobs, pa.binary())], names)
 
-        names = ["doc_id", "rep", "size", "part", "blob"]
+        names = ["doc_id", "rep", "size", "part", "piece", "blob"]
         for b in batches:
             ids, reps, sizes = b.column(0).to_pylist(), [], []
             for i, s in zip(ids, _sets(b.column(1), n)):
@@ -179,12 +184,12 @@ def prefixes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, int, boo
                     held, count = [], 0
             m = len(ids)
             spread = np.arange(m, dtype=np.int32) % parts
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(reps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(spread), pa.nulls(m, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(reps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(spread), pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.binary())], names)
         if held:
             yield flush()
 
     d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return d.mapInArrow(run, "doc_id long, rep long, size long, part int, blob binary"), parts, int(salts[order].max()) == 1
+    return d.mapInArrow(run, "doc_id long, rep long, size long, part int, piece int, blob binary"), parts, int(salts[order].max()) == 1
 
 
 def _possible(percent: int, na, pa_, nb, pb):
@@ -201,7 +206,7 @@ def postings(table: DataFrame, parts: int, percent: int) -> DataFrame:
     def rows(m: int, **cols):
         return pa.RecordBatch.from_arrays([pa.array(cols[c], pa.int64()) if c in cols else pa.nulls(m, pa.int64()) for c in names], names)
 
-    def lists(blobs):
+    def lists(blobs, whole):
         tok, doc, size, pos = (np.concatenate(c) for c in zip(*map(unpacked, blobs)))
         by = np.lexsort((doc, size, tok))
         tok, doc, size, pos = tok[by], doc[by], size[by], pos[by]
@@ -212,7 +217,7 @@ def postings(table: DataFrame, parts: int, percent: int) -> DataFrame:
         new[1:] = tok[1:] != tok[:-1]
         start = np.flatnonzero(new)
         length = np.diff(np.append(start, len(tok)))
-        keep = np.repeat(length > 1, length)
+        keep = np.repeat((length > 1) | (not whole), length)  # alone in its piece is not alone in its list
         return tok[keep], doc[keep], size[keep].astype(np.int64), pos[keep].astype(np.int64)
 
     def emit(tok, doc, size, pos):
@@ -241,26 +246,26 @@ def postings(table: DataFrame, parts: int, percent: int) -> DataFrame:
     def run(batches):
         now, blobs = None, []
         for b in batches:
-            member = b.filter(pa.compute.is_null(b.column(4)))
+            member = b.filter(pa.compute.is_null(b.column(5)))
             if member.num_rows:
                 yield rows(member.num_rows, doc=member.column(0), rep=member.column(1), size=member.column(2))
-            b = b.filter(pa.compute.is_valid(b.column(4)))
-            for p, x in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
+            b = b.filter(pa.compute.is_valid(b.column(5)))
+            for *p, x in zip(*(b.column(k).to_pylist() for k in (3, 4, 5))):
                 if p != now and blobs:
-                    for out in emit(*lists(blobs)):
-                        yield out.set_column(0, "token", with_part(out.column(0), now))
+                    for out in emit(*lists(blobs, now[1] == 0)):
+                        yield out.set_column(0, "token", with_part(out.column(0), now[0]))
                     blobs = []
                 now = p
                 blobs.append(x)
         if blobs:
-            for out in emit(*lists(blobs)):
-                yield out.set_column(0, "token", with_part(out.column(0), now))
+            for out in emit(*lists(blobs, now[1] == 0)):
+                yield out.set_column(0, "token", with_part(out.column(0), now[0]))
 
     def with_part(column, part):
         """An n-gram's number is unique with its part only."""
         return column if column.null_count else pa.array(np.asarray(column) | (np.int64(part) << 32))
 
-    t = table.repartition(parts, "part").sortWithinPartitions("part")
+    t = table.repartition(parts, "part", "piece").sortWithinPartitions("part", "piece")
     return stored(t.mapInArrow(run, ", ".join(f"{c} long" for c in names)), "ngram-postings")
 
 
@@ -271,15 +276,34 @@ def nearest_heads(pairs: DataFrame) -> DataFrame:
     return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def cross_pairs(entries: DataFrame, labels: DataFrame, percent: int, probe: bool = False, whole_lists: bool = True) -> DataFrame:
+def crowded(e: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
+    """The tokens of more than ``hot`` entries; and for those of several components (token, slices, blocks, common, head): the
+    numbers of cells for all members and for those outside the most frequent component, that component and one member."""
+    n = F.count(F.lit(1))
+    long = stored(e.groupBy("token").agg(n.alias("n"), (F.min("label") != F.max("label")).alias("mixed")).where(F.col("n") > hot), "ngram-hot")
+    kinds = e.join(F.broadcast(long.where("mixed")), "token").groupBy("token", "n", "label")
+    kinds = kinds.agg(n.alias("times"), F.min(F.struct(F.xxhash64("token", "doc").alias("r"), "doc", "size", "pos")).alias("head"))
+    best = kinds.groupBy("token", "n").agg(F.max(F.struct("times", "label", "head")).alias("m"))
+    cells = [F.ceil(c / F.lit(hot)).cast("int") for c in (F.col("n"), F.col("n") - F.col("m.times"))]
+    crowd = best.select("token", cells[0].alias("slices"), cells[1].alias("blocks"), F.col("m.label").alias("common"), F.col("m.head").alias("head"))
+    return F.broadcast(long.select("token")), F.broadcast(stored(crowd, "ngram-crowded"))  # each stands for more than ``hot`` entries
+
+
+def cross_pairs(entries: DataFrame, labels: DataFrame, percent: int, probe: bool = False, hot: int | None = None) -> DataFrame:
     """Distinct possible pairs (a, b) of list members that lie in different components.
 
     ``probe`` gives (a, b, times) instead: each member outside the most frequent component of a list with one member of that
-    component, which is another in every list. ``whole_lists``: no list of an n-gram is dealt to several parts, so the
-    common n-grams of a pair can be counted.
+    component, which is another in every list. Lists of more than ``hot`` entries are not gathered in one task: each member
+    lies in one slice, each member outside the most frequent component also visits every slice, and only visitors meet members.
     """
     n = partitions(entries.sparkSession)
     e = entries.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", "size", "pos", F.coalesce("comp", "doc").alias("label"))
+    crowd = None
+    if hot is not None:
+        e = stored(e, "ngram-labelled")
+        long, crowd = crowded(e, hot)
+        hot_e = e.join(crowd, "token")
+        e = e.join(long, "token", "left_anti")
     mixed = e.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
     e = e.join(mixed, "token", "left_semi").repartition(n, "token").sortWithinPartitions("token", "size", "doc")
 
@@ -295,11 +319,11 @@ def cross_pairs(entries: DataFrame, labels: DataFrame, percent: int, probe: bool
                 held = []
             if len(x[0]):
                 if held and held[-1][0][-1] != last:
-                    yield [np.concatenate([h[k] for h in held]) for k in range(5)]
+                    yield [np.concatenate([h[k] for h in held]) for k in range(len(held[0]))]
                     held = []
                 held.append([c[cut:] for c in x])
         if held:
-            yield [np.concatenate([h[k] for h in held]) for k in range(5)]
+            yield [np.concatenate([h[k] for h in held]) for k in range(len(held[0]))]
 
     def meeting(i, j, doc, size, pos):
         """Columns (a, b, size of a, size of b, times, place in a, place in b) of members i and j of a list, a < b."""
@@ -367,12 +391,27 @@ def cross_pairs(entries: DataFrame, labels: DataFrame, percent: int, probe: bool
                 at = slice(s, s + m)
                 yield from long_list(doc[at], size[at], pos[at], label[at])
 
+    def visits(batches):
+        """Cells: guest is 2 for visitors, 1 for other members outside the most frequent component, else 0."""
+        for cell, doc, size, pos, label, guest in lists(batches):
+            start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            for s, m in zip(start, np.diff(np.append(start, len(cell)))):
+                at = np.arange(s, s + m)
+                own = at[guest[at] < 2]
+                for i in at[guest[at] == 2]:
+                    lo = np.searchsorted(size[own], -(-percent * size[i] // 100))
+                    hi = np.searchsorted(size[own], 100 * size[i] // percent, side="right")
+                    j = own[lo:hi]
+                    small, large = np.where(size[j] < size[i], j, i), np.where(size[j] < size[i], i, j)
+                    ok = (label[j] != label[i]) & ((guest[j] == 0) | (doc[i] < doc[j])) & _possible(percent, size[small], pos[small], size[large], pos[large])
+                    yield meeting(np.full(int(ok.sum()), i), j[ok], doc, size, pos)
+
     names = ["a", "b", "na", "nb", "times", "i", "j"]
 
-    def run(batches):
+    def run(batches, source=found):
         held, n_held = [], 0
         out = lambda u: pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(u[:, k])) for k in range(7)], names)
-        for p in found(batches):
+        for p in source(batches):
             held.append(p)
             n_held += len(p)
             if n_held > PAIRS:
@@ -386,11 +425,28 @@ def cross_pairs(entries: DataFrame, labels: DataFrame, percent: int, probe: bool
 
     e = e.select("token", "doc", "size", "pos", "label")
     if probe:
-        return nearest_heads(e.mapInArrow(probes, "a long, b long, times long"))
-    met = e.mapInArrow(run, ", ".join(f"{c} long" for c in names)).groupBy("a", "b", "na", "nb").agg(F.sum("times").alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
+        p = e.mapInArrow(probes, "a long, b long, times long")
+        if crowd is not None:
+            sizes, places = (F.col("size"), F.col("head.size")), (F.col("pos"), F.col("head.pos"))
+            most = F.least(*places) + F.least(*(x - y for x, y in zip(sizes, places)))
+            near = (100 * F.least(*sizes) >= percent * F.greatest(*sizes)) & ((100 + percent) * most >= percent * (sizes[0] + sizes[1]))
+            p = p.unionByName(hot_e.where((F.col("label") != F.col("common")) & near).select(F.col("doc").alias("a"), F.col("head.doc").alias("b"), F.lit(1).cast("long").alias("times")))
+        return nearest_heads(p)
+    kinds = ", ".join(f"{c} long" for c in names)
+    met = e.mapInArrow(run, kinds)
+    if crowd is not None:
+        away = F.col("label") != F.col("common")
+        own, block = F.pmod(F.xxhash64("doc"), F.col("slices")), F.pmod(F.xxhash64("doc", F.lit(1)), F.col("blocks"))
+        member = hot_e.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k")).withColumn("cell", own * F.col("blocks") + F.col("k"))
+        visitor = hot_e.where(away).select("*", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("k")).withColumn("cell", F.col("k") * F.col("blocks") + block)
+        cells = member.withColumn("guest", away.cast("long")).unionByName(visitor.withColumn("guest", F.lit(2).cast("long")))
+        cells = cells.select(F.xxhash64("token", "cell").alias("cell"), "doc", "size", "pos", "label", "guest")
+        cells = cells.repartition(n, "cell").sortWithinPartitions("cell", "size", "doc")
+        met = met.unionByName(cells.mapInArrow(lambda b: run(b, visits), kinds))
+    met = met.groupBy("a", "b", "na", "nb").agg(F.sum("times").alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
     # all common n-grams up to the last common one of both prefixes have met; the rest of the shorter remainder may follow
     reach = (100 + percent) * (F.col("c") + F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) - 1) >= percent * (F.col("na") + F.col("nb"))
-    return met.where(reach if whole_lists else F.lit(True)).select("a", "b").distinct()
+    return met.where(reach).select("a", "b").distinct()
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -438,9 +494,9 @@ def components(links: DataFrame) -> DataFrame:
     return stored(connected_components(nodes, links, keys=()), "ngram-components")
 
 
-def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, hot: int = HOT) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per input row."""
-    table, parts, whole_lists = prefixes(docs, n, percent)
+    table, parts, whole_lists = prefixes(docs, n, percent, hot)
     lists = postings(table, parts, percent)
     pair = F.col("a").isNotNull()
     members = lists.where(~pair & F.col("token").isNull()).select(F.col("doc").alias("doc_id"), "rep", "size")
@@ -451,7 +507,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     links = stored(verify(tried, texts, n, percent).unionByName(copies), "ngram-links")
     labels = components(links)
     for probe in (*[True] * PROBES, False):  # the last round leaves no pair between components unseen
-        more = stored(cross_pairs(entries, labels, percent, probe, whole_lists).join(tried, ["a", "b"], "left_anti"), "ngram-cross")
+        more = stored(cross_pairs(entries, labels, percent, probe, None if whole_lists else hot).join(tried, ["a", "b"], "left_anti"), "ngram-cross")
         if more.limit(1).count():
             links = links.unionByName(stored(verify(more, texts, n, percent), "ngram-links"))
             labels = components(links)

@@ -97,6 +97,22 @@ def test_ngram_groups_of_chained_copies(spark):
     assert Counter(map(tuple, ngram_join.near_groups(d).collect())) == groups(rows)
 
 
+@pytest.mark.parametrize("hot", [2, 7])
+def test_ngram_groups_with_hot_lists(spark, hot):
+    """Copies and near copies all of whose n-grams lie in more documents than one piece takes."""
+    r = random.Random(6)
+    base, other = nasty.prose(21, 60).split(), nasty.prose(22, 45).split()
+    rows = [(i, " ".join(base)) for i in range(40)] + [(i, " ".join(other)) for i in range(40, 52)]
+    for i in range(52, 80):
+        w = list(base)
+        for _ in range(r.randint(1, 3)):
+            w[r.randrange(len(w))] = f"odd{r.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    rows += [(i, " ".join(base[k:] + other[:k])) for i, k in enumerate(range(0, 40, 4), 100)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert Counter(map(tuple, ngram_join.near_groups(d, hot=hot).collect())) == groups(rows)
+
+
 def test_length_and_position_filters_lose_nothing():
     r = np.random.default_rng(1)
     for _ in range(400):
