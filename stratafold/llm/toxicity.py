@@ -1,7 +1,7 @@
 """Toxicity by a small convolutional text classifier in numpy.
 
 A word is the sum of two hashed embeddings, of the whole lower-cased word and of its first four bytes. Filters of width
-1, 2 and 3 slide over the words of the whole text, each keeps its maximum, and a logistic unit weighs the maxima. It is
+1, 2 and 3 start at each word of the whole text and of no other, each keeps its maximum, and a logistic unit weighs the maxima. It is
 trained by backpropagation through the maxima on a bounded sample of labelled rows (``PER_CLASS`` per label); a fifth of
 the sample is held back to shift the scores so that the best cut lies at ``CUT`` and to calibrate one threshold per
 language (a language with few calibration rows takes the common one). The score itself sees nothing but the text.
@@ -53,19 +53,24 @@ class Network:
         return np.concatenate(parts, axis=1) if n else np.zeros((0, OUT), np.float32)
 
     def logits(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Of whole texts, in blocks of bounded size."""
+        """Of whole texts, in blocks of bounded size. A window that starts on a pad belongs to no text."""
         pad = np.full(2, 1 << BITS, np.int32)
         a = np.concatenate([x for d in docs for x in (d[0], pad)])
         b = np.concatenate([x for d in docs for x in (d[1], pad)])
         first = np.cumsum([0] + [len(d[0]) + 2 for d in docs])
+        own = np.ones(len(a), bool)
+        own[first[1:] - 1] = own[first[1:] - 2] = False
         top = np.full((len(docs), OUT), -np.inf, np.float32)
         for lo in range(0, len(a) - 2, BLOCK):
             z = self.maps(a[lo : lo + BLOCK + 2], b[lo : lo + BLOCK + 2])
+            z[~own[lo : lo + len(z)]] = -np.inf
             i = np.searchsorted(first, lo, side="right") - 1
             j = np.searchsorted(first, lo + len(z), side="left")
             cuts = np.maximum(first[i:j] - lo, 0)
             top[i:j] = np.maximum(top[i:j], np.maximum.reduceat(z, cuts, axis=0))
-        return np.maximum(top + self.bias, 0) @ self.out + self.out_bias
+        top[[not len(d[0]) for d in docs]] = 0  # texts without words
+        # summed text by text: a matrix product may round by the number of rows
+        return (np.maximum(top + self.bias, 0) * self.out).sum(axis=1) + self.out_bias
 
     def scores(self, docs) -> np.ndarray:
         if self.constant is not None:

@@ -196,3 +196,15 @@ def test_words_and_shingles():
     s, h = words(np.frombuffer(big, np.uint8))
     assert len(s) == 700_002 and len(np.unique(h)) == 3
     assert len(shingles(a, 5)) == 3 and len(shingles(a[:2], 5)) == 1 and len(shingles(a[:0], 5)) == 0
+
+
+def test_toxicity_of_a_text_does_not_depend_on_its_neighbours(monkeypatch):
+    net, r = toxicity.Network(), np.random.default_rng(7)
+    net.conv *= 20
+    docs = [tuple(r.integers(0, 1 << toxicity.BITS, (2, n)).astype(np.int32)) for n in r.permutation(np.r_[np.zeros(6, int), 1, 1, 2, 2, 3, r.integers(4, 60, 80)])]
+    for block in (toxicity.BLOCK, 64):  # a text over several blocks as well
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        alone = np.array([net.logits([d])[0] for d in docs])
+        assert np.isfinite(alone).all()
+        assert np.allclose(net.logits(docs), alone, rtol=0, atol=1e-5)
+        assert np.allclose(net.logits(docs[::-1])[::-1], alone, rtol=0, atol=1e-5)
