@@ -247,6 +247,15 @@ def test_lines(spark):
     assert {x.doc_id: x.text for x in line_dedup.dedup_lines(d).collect()} == want
 
 
+def test_lines_of_repeated_rows(spark):
+    """Rows that repeat identifier and text keep all lines that repeat no other line."""
+    text = [nasty.prose(40 + k, 90).replace("\n", " ") for k in range(3)]
+    many = ["\n".join(" ".join(t.split(" ")[k : k + 9]) for k in range(0, 81, 9)) for t in text]
+    rows = [(1, many[0]), (1, many[0]), (2, many[1]), (2, many[1]), (None, many[2]), (None, many[2]), (None, many[2])]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(map(tuple, line_dedup.dedup_lines(d).collect())) == Counter(rows)
+
+
 def test_lines_of_awkward_rows(docs):
     got = line_dedup.dedup_lines(docs)
     assert got.columns == docs.columns
