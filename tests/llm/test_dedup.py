@@ -247,6 +247,24 @@ def test_lines(spark):
     assert {x.doc_id: x.text for x in line_dedup.dedup_lines(d).collect()} == want
 
 
+def test_lines_find_every_similar_pair(spark):
+    """All pairs of a word edit similarity of 0.8 or more, by brute force without SimHash; one pair of lines a document."""
+    r = random.Random(12)
+    rows, want = [], {}
+    for i, n in enumerate([*range(5, 31), 40, 63, 100] * 4):
+        a = [f"w{r.randrange(10 ** 9)}" for _ in range(n)]
+        b = list(a)
+        for _ in range(r.randint(1, n // 5 + 1)):
+            k = r.randrange(len(b))
+            b[k : k + 1] = r.choice([[], [f"v{r.random()}"], [b[k], f"v{r.random()}"], [f"v{r.random()}"]])
+        if len(b) < line_dedup.MIN_WORDS:
+            b = [*a[:-1], "new"]
+        rows.append((i, " ".join(a) + "\n" + " ".join(b)))
+        want[i] = " ".join(a) if 5 * edit(a, b) <= max(len(a), len(b)) else rows[-1][1]
+    assert 20 < sum(t == want[i] for i, t in rows) < len(rows) - 20
+    assert {x.doc_id: x.text for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 def test_lines_of_repeated_rows(spark):
     """Rows that repeat identifier and text keep all lines that repeat no other line."""
     text = [nasty.prose(40 + k, 90).replace("\n", " ") for k in range(3)]
