@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 import nasty
 from stratafold.llm import exact_dedup, line_dedup, ngram_join, suffix_dedup
 
@@ -80,6 +81,13 @@ def test_ngram_groups(docs):
     assert got == groups(texts(docs))
 
 
+def test_texts_under_one_identifier_stay(spark):
+    rows = [(1, nasty.prose(31, 60), "en", "a", 1), (1, nasty.prose(32, 60), "de", "b", 2), (1, nasty.prose(32, 60), "de", "a", 2), (2, nasty.prose(31, 60) + " end", "en", "a", 3), (3, "", None, None, 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = Counter(map(tuple, corpus_pipeline.near_duplicate_stage(spark, d, "").collect()))
+    assert got == Counter([rows[0], rows[2], rows[4]])
+
+
 def test_ngram_groups_of_chained_copies(spark):
     """A chain whose neighbours are near but whose ends are not, and a crowd of near copies of one text."""
     r = random.Random(5)
