@@ -60,7 +60,7 @@ def entity_mixture(df: DataFrame, bin_: Column, lo: float, width: float, n: int,
     return histograms(df, bin_, n).mapInPandas(run, schema)
 
 
-def mixture_share(df: DataFrame, z: str, positive: DataFrame, negative: DataFrame, lo: float, hi: float, bandwidth: float, reps: int = 50,
+def mixture_share(df: DataFrame, z: str, positive: DataFrame, negative: DataFrame, lo: float, hi: float, bandwidth: float, reps: int = 500,
                   cells: int = 200, key: str = "id", rounds: int = 300, seed: int = 0) -> dict:
     """Share of the positive class among the rows, given samples of both classes; with a bootstrap interval.
 

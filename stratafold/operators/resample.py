@@ -46,13 +46,15 @@ def shuffled(df: DataFrame, c: str, key: str, group: Sequence[str], n: int, seed
     return fixed.drop(c).join(moved.select("rep", *group, "_rn", F.col("_new").alias(c)), [*group, "_rn"]).drop("_rn")
 
 
-def refit_permutation(df: DataFrame, y: str, xs: Sequence[str], shuffle: str, key: str, group: Sequence[str], n: int, fold: str = "fold", seed: int = 0) -> DataFrame:
+def refit_permutation(df: DataFrame, y: str, xs: Sequence[str], shuffle: str, key: str, group: Sequence[str], n: int = 2000, fold: str = "fold", seed: int = 0) -> DataFrame:
     """Permutation test with a full cross-fit per shuffle: p of the observed out-of-fold error."""
     def errors(d, by):
         gs = gram(d, design_exprs(xs, y), [*by, fold])
         out: dict = {}
-        for rep in {k[:-1] for k in gs}:
-            own = {k: g for k, g in gs.items() if k[:-1] == rep}
+        reps: dict = {}
+        for k, g in gs.items():
+            reps.setdefault(k[:-1], {})[k] = g
+        for rep, own in reps.items():
             sse = n_rows = 0.0
             for k, g in leave_out(own).items():
                 v = np.r_[-solve(g), 1.0]

@@ -25,7 +25,7 @@ def rsm01(spark, sf):
 
 @query("rsm02")
 def rsm02(spark, sf):
-    return rounded(R.refit_permutation(rows(spark, sf), "y", ["x1", "x2"], "x2", "id", ["g"], 200))
+    return rounded(R.refit_permutation(rows(spark, sf), "y", ["x1", "x2"], "x2", "id", ["g"]))
 
 
 @query("rsm03")

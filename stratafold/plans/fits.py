@@ -436,7 +436,7 @@ def fit36(spark, sf):
 @query("fit37")
 def fit37(spark, sf):
     e = seq(spark, sf).withColumn("z", F.log1p("value"))
-    s = MX.mixture_share(e, "z", e.where("event_type = 'purchase'"), e.where("event_type = 'view'"), 0.0, 7.0, 0.3, reps=20)
+    s = MX.mixture_share(e, "z", e.where("event_type = 'purchase'"), e.where("event_type = 'view'"), 0.0, 7.0, 0.3)
     return rounded(spark.createDataFrame([(s["share"], s["q05"], s["q50"], s["q95"])], "share double, q05 double, q50 double, q95 double"))
 
 
