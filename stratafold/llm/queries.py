@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, line_dedup, mixing, ngram_join, quality, suffix_dedup, syncmers, toxicity
+from . import bpe, chat, decontaminate, exact_dedup, line_dedup, mixing, ngram_join, quality, suffix_dedup, syncmers, toxicity
 from .frames import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,8 @@ def op8_quality(spark, sf_dir):
 @query("op9_exact", EXACT_SQL)
 def op9_exact(spark, sf_dir):
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
+
+
+@query("op12_decontaminate", decontaminate.ORACLE)
+def op12_decontaminate(spark, sf_dir):
+    return decontaminate.digest(decontaminate.find_contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")))
