@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, exact_dedup, line_dedup, mixing, ngram_join, quality, suffix_dedup, syncmers, toxicity
+from . import bpe, chat, decontaminate, exact_dedup, line_dedup, mixing, ngram_join, quality, repair, spelling, suffix_dedup, syncmers, toxicity
 from .frames import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,14 @@ def op9_exact(spark, sf_dir):
 @query("op12_decontaminate", decontaminate.ORACLE)
 def op12_decontaminate(spark, sf_dir):
     return decontaminate.digest(decontaminate.find_contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")))
+
+
+@query("op11_spelling")
+def op11_spelling(spark, sf_dir):
+    """Words of at least five letters that occur three times or more, after the contract's damage."""
+    return spelling.spelling_groups(spelling.word_counts(documents(spark, sf_dir), shortest=5, damage=97).where("n >= 3"))
+
+
+@query("op13_repair", repair.ORACLE)
+def op13_repair(spark, sf_dir):
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
