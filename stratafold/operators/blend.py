@@ -84,7 +84,6 @@ def cell_blend(df: DataFrame, names: Sequence[str], y: str, cell: str, mode: str
 def quadratic_program(h: np.ndarray, f: np.ndarray, a: np.ndarray, b: np.ndarray, g: np.ndarray, x: np.ndarray) -> np.ndarray:
     """min 1/2 x'Hx - f'x with A x = b and G x >= 0 from a feasible start (active set, a few variables)."""
     active: list[int] = [i for i in range(len(g)) if abs(g[i] @ x) < 1e-10]
-    h = h + 1e-9 * np.trace(h) / len(h) * np.eye(len(h))
     for _ in range(200):
         c = np.vstack([a, *[g[i:i + 1] for i in active]])
         m = len(c)

@@ -32,9 +32,10 @@ def gram(df: DataFrame, cols: Sequence, by: Sequence[str] = (), weight=None) ->
     k = len(exprs)
     w = F.lit(1.0) if weight is None else col(weight)
     names = [f"_c{i}" for i in range(k)]
-    base = df.select(*by, w.cast("double").alias("_w"), *[e.cast("double").alias(n) for e, n in zip(exprs, names)]).dropna(subset=[*names, "_w"])
     if k > NARROW:
-        return _wide_gram(base, names, list(by))
+        return _wide_gram(df.select(*by, w.cast("double").alias("_w"), F.array(*[e.cast("double") for e in exprs]).alias("_x")), k, list(by))
+    names = [f"_c{i}" for i in range(k)]
+    base = df.select(*by, w.cast("double").alias("_w"), *[e.cast("double").alias(n) for e, n in zip(exprs, names)]).dropna(subset=[*names, "_w"])
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     sums = [F.sum(F.col("_w") * F.col(f"_c{i}") * F.col(f"_c{j}")).alias(f"p{n}") for n, (i, j) in enumerate(pairs)]
     out: dict = {}
@@ -45,23 +46,29 @@ def gram(df: DataFrame, cols: Sequence, by: Sequence[str] = (), weight=None) ->
     return out
 
 
-def _wide_gram(base: DataFrame, names: Sequence[str], by: list[str]) -> dict:
-    """Cross products of many columns: each task multiplies its Arrow batches as dense blocks, one matrix per group, and the
-    matrices are added up element by element. One pass for any number of columns and groups."""
-    k = len(names)
+def _wide_gram(base: DataFrame, k: int, by: list[str]) -> dict:
+    """Cross products of many columns, given as one array column ``_x``: each task multiplies its Arrow batches as dense blocks,
+    one matrix per group, and the matrices are added up element by element. One pass for any number of columns and groups.
+
+    Rows with a NULL are dropped inside the task: a filter over dozens of named expressions would make the planner infer
+    constraints between all of them.
+    """
 
     def run(batches):
         parts: dict = {}
         for b in batches:
-            x = np.stack([np.asarray(b.column(n)) for n in names], axis=1)
-            w = np.asarray(b.column("_w"))[:, None]
+            values = b.column("_x").flatten()
+            gap = np.asarray(values.is_null()).reshape(-1, k).any(axis=1) | np.asarray(b.column("_w").is_null())
+            x = values.to_numpy(zero_copy_only=False).reshape(-1, k)
+            w = b.column("_w").to_numpy(zero_copy_only=False)[:, None]
             keys = list(zip(*[b.column(c).to_pylist() for c in by])) if by else [()] * len(x)
             number = {key: i for i, key in enumerate(dict.fromkeys(keys))}
             code = np.fromiter((number[key] for key in keys), np.int64, len(keys))
             for key, i in number.items():
-                own = code == i
-                m = (x[own] * w[own]).T @ x[own]
-                parts[key] = parts[key] + m if key in parts else m
+                own = (code == i) & ~gap
+                if own.any():
+                    m = (x[own] * w[own]).T @ x[own]
+                    parts[key] = parts[key] + m if key in parts else m
         if parts:
             cols = [pa.array([key[i] for key in parts], base_types[i]) for i in range(len(by))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([m.ravel().tolist() for m in parts.values()], pa.list_(pa.float64()))], [*by, "_m"])

@@ -275,24 +275,15 @@ def principal_components(df: DataFrame, cols: Sequence[str], k: int, train: Colu
     return df.select("*", *[linear(q[:, i], cols, -float(mu @ q[:, i])).alias(f"{prefix}{i}") for i in range(k)])
 
 
-def residual_probe(df: DataFrame, y: str, base: Sequence[str], extra: Sequence[str], alphas: Sequence[float], fold: str = "fold",
-                   fit: Column | None = None, apply: Column | None = None) -> DataFrame:
-    """Leak-free probe: base and probe out of fold, the probe trained on inner cross-fitted base residuals.
-
-    The residual of fold j under outer fold k uses the base fitted without both; its cross products
-    with the probe columns are linear in the joint fold Gram, so a single pass over the rows is enough.
-    """
-    nb, ne = len(base), len(extra)
-    cols = [F.lit(1.0), *[F.col(c) for c in base], *[F.col(c) for c in extra], F.col(y)]
-    gs = gram(df, cols, [fold])
-    fs = gs if fit is None else gram(df.where(fit), cols, [fold])
+def probe_coefs(gs: dict, fs: dict, nb: int, ne: int, alphas: Sequence[float]) -> tuple[dict, dict]:
+    """Base and probe coefficients per outer fold from Grams [1, base, extra, y]; ``fs`` holds the rows the probe is fitted on."""
     t = total(gs)
     bi, ei = [0, *range(1, nb + 1), nb + ne + 1], [0, *range(nb + 1, nb + ne + 1)]
     base_w, probe_w = {}, {}
     for k in gs:
         outer = t - gs[k]
-        base_w[k] = ridge_nested({j: g[np.ix_(bi, bi)] for j, g in gs.items() if j != k}, alphas)
-        alpha = float(np.median([v[0] for v in base_w[k].values()]))
+        nested = ridge_nested({j: g[np.ix_(bi, bi)] for j, g in gs.items() if j != k}, alphas)
+        alpha = float(np.median([v[0] for v in nested.values()]))
         pg = {}
         for j in gs:
             if j == k:
@@ -308,6 +299,20 @@ def residual_probe(df: DataFrame, y: str, base: Sequence[str], extra: Sequence[s
         pa = float(np.median([v[0] for v in best.values()]))
         probe_w[k] = ridge_coefs(total(pg), [pa])[0]
         base_w[k] = ridge_coefs(outer[np.ix_(bi, bi)], [alpha])[0]
+    return base_w, probe_w
+
+
+def residual_probe(df: DataFrame, y: str, base: Sequence[str], extra: Sequence[str], alphas: Sequence[float], fold: str = "fold",
+                   fit: Column | None = None, apply: Column | None = None) -> DataFrame:
+    """Leak-free probe: base and probe out of fold, the probe trained on inner cross-fitted base residuals.
+
+    The residual of fold j under outer fold k uses the base fitted without both; its cross products
+    with the probe columns are linear in the joint fold Gram, so a single pass over the rows is enough.
+    """
+    cols = [F.lit(1.0), *[F.col(c) for c in base], *[F.col(c) for c in extra], F.col(y)]
+    gs = gram(df, cols, [fold])
+    fs = gs if fit is None else gram(df.where(fit), cols, [fold])
+    base_w, probe_w = probe_coefs(gs, fs, len(base), len(extra), alphas)
     out = df.withColumn("base_pred", predict_by_fold(base_w, base, fold))
     p = predict_by_fold(probe_w, extra, fold)
     return out.withColumn("probe", p if apply is None else F.when(apply, p).otherwise(0.0))

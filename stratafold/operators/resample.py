@@ -1,6 +1,6 @@
-"""Resampling tests. Every random choice is a hash of (seed, replicate, row key), so results do not depend on
-partitioning and a lost task repeats the same draw. Where a replicate needs no order of its rows (flips, bootstrap, re-splits
-by hash), the multiplied rows stream into a partial aggregate and are never shuffled or stored; permutations are sorted."""
+"""Resampling tests. Every random choice is a hash of (seed, replicate, row key) or a keyed permutation of row numbers, so
+results do not depend on partitioning and a lost task repeats the same draw. Rows are numbered once; a replicate then computes
+where each row goes, looks the number up and streams into a partial aggregate. Multiplied rows are never sorted or stored."""
 
 from __future__ import annotations
 
@@ -10,10 +10,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranks import average_ranks, row_numbers, value_ranks
+from ..functions.permute import permuted
+from ..functions.ranks import average_ranks, null_safe_join, row_numbers, running_sums
 from ..functions.scalar import md5_order, md5_uniform, poisson_weight
 from .gram import design_exprs, gram, leave_out, solve
-from ..session import cut_lineage
+from .linear import probe_coefs
+from ..session import written
 from .metrics import safe_corr
 from .ranking import unpivot
 
@@ -38,45 +40,84 @@ def sign_flip(df: DataFrame, d: str, key: str, n: int = 20_000, seed: int = 0) -
     return flips.agg(F.lit(obs).alias("observed"), ((1 + F.sum((m <= obs + 1e-12).cast("int"))) / (n + 1)).alias("p"))
 
 
-def shuffled(df: DataFrame, c: str, key: str, group: Sequence[str], n: int, seed: int = 0) -> DataFrame:
-    """(rep, rows) with column ``c`` permuted inside each group, once per replicate."""
-    fixed = row_numbers(df, list(group), [key], "_rn")
-    long = replicate(df.select(key, *group, F.col(c).alias("_new")), n)
-    moved = row_numbers(long, ["rep", *group], [F.xxhash64(F.lit(seed), F.col("rep"), F.col(key)), F.col(key)], "_rn")
-    return fixed.drop(c).join(moved.select("rep", *group, "_rn", F.col("_new").alias(c)), [*group, "_rn"]).drop("_rn")
+LOOKUP_ROWS = 2_000_000  # larger tables of numbered values are joined by a shuffled hash table
+
+
+def numbered(df: DataFrame, key: str, group: Sequence[str]) -> DataFrame:
+    """Adds ``_i``, the place of a row in its group by key (from 0), and ``_n``, the rows of the group; written once."""
+    d = running_sums(df, list(group), [key], {"_one": F.lit(1).cast("bigint")})
+    return written(d.withColumnRenamed("_one_before", "_i").withColumnRenamed("_one_total", "_n"), "numbered")
+
+
+def look_up(many: DataFrame, values: DataFrame, group: Sequence[str], rows: int) -> DataFrame:
+    """Joins numbered values (column ``_to`` and more) to multiplied rows without sorting either side."""
+    return null_safe_join(many, F.broadcast(values) if rows <= LOOKUP_ROWS else values.hint("shuffle_hash"), [*group, "_to"])
+
+
+def shuffled(df: DataFrame, cols: Sequence[str], key: str, group: Sequence[str], n: int, seed: int = 0) -> DataFrame:
+    """(rep, rows) with the columns ``cols`` permuted together inside each group, once per replicate; the key is dropped."""
+    d = numbered(df, key, group)
+    values = d.select(*group, F.col("_i").alias("_to"), *cols)
+    many = permuted(d.drop(*cols, *([] if key in group else [key])), "_i", "_n", range(n), "_to", seed)
+    return look_up(many, values, group, d.count()).drop("_i", "_n", "_to")
+
+
+def _by_replicate(grams: dict) -> dict:
+    """{replicate: {fold key: Gram}} of Grams keyed by (replicate, fold)."""
+    out: dict = {}
+    for k, g in grams.items():
+        out.setdefault(k[0], {})[k[1:]] = g
+    return out
+
+
+def _crossfit_rmse(gs: dict) -> float:
+    sse = sum(float(v @ gs[k] @ v) for k, g in leave_out(gs).items() for v in [np.r_[-solve(g), 1.0]])
+    return float(np.sqrt(sse / sum(g[0, 0] for g in gs.values())))
 
 
 def refit_permutation(df: DataFrame, y: str, xs: Sequence[str], shuffle: str, key: str, group: Sequence[str], n: int = 2000, fold: str = "fold", seed: int = 0) -> DataFrame:
     """Permutation test with a full cross-fit per shuffle: p of the observed out-of-fold error."""
-    def errors(d, by):
-        gs = gram(d, design_exprs(xs, y), [*by, fold])
-        out: dict = {}
-        reps: dict = {}
-        for k, g in gs.items():
-            reps.setdefault(k[:-1], {})[k] = g
-        for rep, own in reps.items():
-            sse = n_rows = 0.0
-            for k, g in leave_out(own).items():
-                v = np.r_[-solve(g), 1.0]
-                sse += float(v @ own[k] @ v)
-                n_rows += own[k][0, 0]
-            out[rep] = float(np.sqrt(sse / n_rows))
-        return out
-
-    obs = errors(df, [])[()]
-    null = list(errors(shuffled(df, shuffle, key, group, n, seed), ["rep"]).values())
+    d = df.select(*dict.fromkeys([key, *group, fold, y, *xs]))
+    cols = design_exprs(xs, y)
+    obs = _crossfit_rmse(gram(d, cols, [fold]))
+    null = [_crossfit_rmse(gs) for gs in _by_replicate(gram(shuffled(d, [shuffle], key, group, n, seed), cols, ["rep", fold])).values()]
     p = (1 + sum(e <= obs for e in null)) / (len(null) + 1)
     return df.sparkSession.createDataFrame([(obs, float(np.mean(null)), p)], "observed double, null_mean double, p double")
 
 
+def probe_gain(gs: dict, base: int, extra: int, alphas: Sequence[float]) -> float:
+    """Fall of the out-of-fold RMSE by a nested probe, from the Grams [1, base, extra, y] of the folds."""
+    base_w, probe_w = probe_coefs(gs, gs, base, extra, alphas)
+    sse = np.zeros(2)
+    for k, g in gs.items():
+        for i, probe in enumerate((0.0, 1.0)):
+            v = np.r_[-base_w[k], -probe * probe_w[k][1:], 1.0]
+            v[0] -= probe * probe_w[k][0]
+            sse[i] += float(v @ g @ v)
+    rmse = np.sqrt(sse / sum(g[0, 0] for g in gs.values()))
+    return float(rmse[0] - rmse[1])
+
+
+def probe_permutation(df: DataFrame, y: str, base: Sequence[str], extra: Sequence[str], alphas: Sequence[float], key: str, n: int = 20, fold: str = "fold", seed: int = 0) -> DataFrame:
+    """Null of a leak-free residual probe: its columns are permuted together over all rows and the whole nested probe is
+    refitted, every replicate from its own Grams of the folds."""
+    d = df.select(key, fold, y, *base, *extra)
+    cols = design_exprs([*base, *extra], y)
+    size = len(base), len(extra)
+    obs = probe_gain(gram(d, cols, [fold]), *size, alphas)
+    null = [probe_gain(gs, *size, alphas) for gs in _by_replicate(gram(shuffled(d, extra, key, [], n, seed), cols, ["rep", fold])).values()]
+    p = (1 + sum(e >= obs for e in null)) / (len(null) + 1)
+    return df.sparkSession.createDataFrame([(obs, float(np.mean(null)), float(np.max(null)), p)], "observed double, null_mean double, null_max double, p double")
+
+
 def max_correlation_null(df: DataFrame, cols: Sequence[str], y: str, key: str, n: int, seed: int = 0) -> DataFrame:
     """Largest |rank correlation| over the features against its permutation null."""
     long = unpivot(df, [key], [*cols, y]).where("value is not null")
     wide = average_ranks(long, ["feature"], "value", "_r").groupBy(key).pivot("feature", [*cols, y]).agg(F.first("_r"))
-    d = cut_lineage(wide.select(key, *[F.col(c).alias(f"r_{c}") for c in cols], F.col(y).alias("ry")))
+    d = written(wide.select(key, *[F.col(c).alias(f"r_{c}") for c in cols], F.col(y).alias("ry")), "ranks")
     best = F.greatest(*[F.abs(F.coalesce(safe_corr(f"r_{c}", "ry"), F.lit(0.0))) for c in cols])
     obs = d.agg(best.alias("m")).first()["m"]
-    null = shuffled(d, "ry", key, [], n, seed).groupBy("rep").agg(best.alias("m"))
+    null = shuffled(d, ["ry"], key, [], n, seed).groupBy("rep").agg(best.alias("m"))
     return null.agg(F.lit(obs).alias("observed"), F.percentile("m", 0.5).alias("null_median"), F.percentile("m", 0.95).alias("null_95"),
                     ((1 + F.sum((F.col("m") >= obs).cast("int"))) / (n + 1)).alias("p"))
 
@@ -95,37 +136,24 @@ def rmse_difference(new: str, base: str, y: str) -> Callable[[Column], Column]:
     return lambda w: e(new, w) - e(base, w)
 
 
-def resplit_gain(df: DataFrame, y: str, base_xs: Sequence[str], new_xs: Sequence[str], key: str, stratum: str, n: int = 40, seed: int = 0,
-                 exact: bool = False) -> DataFrame:
-    """MSE(new) - MSE(base) of cross-fitted recipes over re-splits: mean, sd, share >= 0.
+def stratified_splits(df: DataFrame, key: str, stratum: str, n: int, k: int = 5, seed: int = 0) -> DataFrame:
+    """Every row once per re-split (``split``, ``fold``): a stratum is numbered once and dealt anew by a keyed permutation of its
+    numbers, so its folds never differ by more than one row."""
+    d = numbered(df, key, [stratum])
+    return permuted(d, "_i", "_n", range(n), "_to", seed).withColumn("fold", (F.col("_to") % k).cast("int")).withColumnRenamed("rep", "split").drop("_i", "_n", "_to")
+
+
+def resplit_gain(df: DataFrame, y: str, base_xs: Sequence[str], new_xs: Sequence[str], key: str, stratum: str, n: int = 40, seed: int = 0) -> DataFrame:
+    """MSE(new) - MSE(base) of cross-fitted recipes over stratified re-splits: mean, sd, share >= 0.
 
-    Rows are dealt by a hash of (seed, split, key), which needs no shuffle; ``exact`` deals every stratum evenly instead.
     The split id is one more group of the Gram, and both recipes are slices of the same Gram.
     """
-    from .folds import stratified_resplits
-
     both = list(dict.fromkeys([*base_xs, *new_xs]))
-    cols = df.select(key, stratum, y, *both)
-    if exact:
-        splits = stratified_resplits(cols, key, stratum, n, seed=seed)
-    else:
-        splits = replicate(cols, n, "split").withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col("split"), F.col(key)), F.lit(5)).cast("int"))
-    all_gs = gram(splits, design_exprs(both, y), ["split", "fold"])
-    mse = []
-    for xs in (base_xs, new_xs):
-        pos = [0, *[1 + both.index(x) for x in xs], len(both) + 1]
-        gs = {k: g[np.ix_(pos, pos)] for k, g in all_gs.items()}
-        per = {}
-        for s in range(n):
-            own = {k: g for k, g in gs.items() if k[0] == s}
-            sse = rows = 0.0
-            for k, g in leave_out(own).items():
-                v = np.r_[-solve(g), 1.0]
-                sse += float(v @ own[k] @ v)
-                rows += own[k][0, 0]
-            per[s] = sse / rows
-        mse.append(per)
-    d = np.array([mse[1][s] - mse[0][s] for s in range(n)])
+    splits = stratified_splits(df.select(key, stratum, y, *both), key, stratum, n, seed=seed)
+    per_split = _by_replicate(gram(splits, design_exprs(both, y), ["split", "fold"]))
+    at = [[0, *[1 + both.index(x) for x in xs], len(both) + 1] for xs in (base_xs, new_xs)]
+    d = np.array([_crossfit_rmse({k: g[np.ix_(at[1], at[1])] for k, g in gs.items()}) ** 2 - _crossfit_rmse({k: g[np.ix_(at[0], at[0])] for k, g in gs.items()}) ** 2
+                  for _, gs in sorted(per_split.items())])
     return df.sparkSession.createDataFrame([(float(d.mean()), float(d.std()), float((d >= 0).mean()))], "mean double, sd double, p_ge0 double")
 
 
@@ -157,6 +185,24 @@ def neighbour_mean_correlation(nb: DataFrame, values: DataFrame, key: str = "id"
     return m.join(values.select(key, value), key).agg(safe_corr(value, "_m").alias("stat"), F.count(F.lit(1)).alias("n"))
 
 
+def neighbour_null(nb: DataFrame, values: DataFrame, n: int = 300, key: str = "id", value: str = "r", seed: int = 0) -> DataFrame:
+    """The statistic of ``neighbour_mean_correlation`` against residuals permuted over all rows: (stat, n, null_95, p).
+
+    The neighbour lists stay; a replicate looks up the number that stands at a row's and at its neighbours' places.
+    """
+    d = numbered(values.select(key, value), key, [])
+    nb = written(nb.select(key, "nb"), "neighbours")
+    at = d.select(F.col(key).alias("nb"), F.col("_i"), "_n")
+    near = nb.join(at, "nb").select(key, F.lit(False).alias("own"), "_i", "_n")
+    own = d.join(nb.select(key).distinct(), key, "left_semi").select(key, F.lit(True).alias("own"), "_i", "_n")
+    many = permuted(written(near.unionByName(own), "places"), "_i", "_n", range(n), "_to", seed)
+    many = look_up(many, d.select(F.col("_i").alias("_to"), F.col(value).alias("_v")), [], d.count())
+    per = many.groupBy("rep", key).agg(F.max(F.when(F.col("own"), F.col("_v"))).alias("_r"), F.avg(F.when(~F.col("own"), F.col("_v"))).alias("_m"))
+    null = per.groupBy("rep").agg(safe_corr("_r", "_m").alias("c"))
+    obs = neighbour_mean_correlation(nb, values, key, value).first()
+    return null.agg(F.lit(obs["stat"]).alias("stat"), F.lit(obs["n"]).cast("long").alias("n"), F.percentile("c", 0.95).alias("null_95"), F.avg((F.col("c") >= obs["stat"]).cast("double")).alias("p"))
+
+
 def random_group(df: DataFrame, flag: str, key: str, seed: int = 0) -> DataFrame:
     """Control flag: as many rows as the real group, chosen by hash order."""
     n = df.agg(F.sum(F.col(flag).cast("bigint")).alias("n")).first()["n"]
@@ -166,7 +212,3 @@ def random_group(df: DataFrame, flag: str, key: str, seed: int = 0) -> DataFrame
 
 def moments(df: DataFrame, c: str, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.skewness(c).alias("skew"), F.kurtosis(c).alias("kurt"), F.skewness(F.log(c)).alias("log_skew"))
-
-
-def distinct_counts(df: DataFrame, value: str) -> DataFrame:
-    return value_ranks(df, [], value)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.permute import permutation_sql
 from ..functions.scalar import linear
 from ..operators import compare as C
 from ..operators import gram as G
@@ -23,20 +24,52 @@ def rsm01(spark, sf):
     return R.sign_flip(losses(spark, sf), "d", "id")
 
 
-@query("rsm02")
+def _two_term_errors(rows: str, reps: str) -> str:
+    """CTEs e(rep, rmse): cross-fitted least squares on columns a and b of ``rows`` (rep, fold, y, a, b) from sums of the folds."""
+    cols = ["1", "a", "b", "y"]
+    pairs = [(i, j) for i in range(4) for j in range(i, 4)]
+    s = ", ".join(f"sum(CAST({cols[i]} AS DOUBLE) * {cols[j]}) AS s{i}{j}" for i, j in pairs)
+    t = ", ".join(f"sum(s{i}{j}) OVER (PARTITION BY rep) - s{i}{j} AS t{i}{j}" for i, j in pairs)
+    c = lambda i, j: f"(t{i}{j} - t0{i} * t0{j} / t00)"
+    return f"""sums AS (SELECT rep, fold, {s} FROM {rows} GROUP BY rep, fold), rest AS (SELECT *, {t} FROM sums),
+co AS (SELECT *, ({c(1, 3)} * {c(2, 2)} - {c(2, 3)} * {c(1, 2)}) / ({c(1, 1)} * {c(2, 2)} - {c(1, 2)} * {c(1, 2)}) AS ca,
+ ({c(2, 3)} * {c(1, 1)} - {c(1, 3)} * {c(1, 2)}) / ({c(1, 1)} * {c(2, 2)} - {c(1, 2)} * {c(1, 2)}) AS cb FROM rest),
+ci AS (SELECT *, (t03 - ca * t01 - cb * t02) / t00 AS c0 FROM co),
+{reps} AS (SELECT rep, sqrt(sum(s33 + c0 * c0 * s00 + ca * ca * s11 + cb * cb * s22 - 2 * (c0 * s03 + ca * s13 + cb * s23) + 2 * (c0 * ca * s01 + c0 * cb * s02 + ca * cb * s12)) / sum(s00)) AS rmse FROM ci GROUP BY rep)"""
+
+
+@query("rsm02", rounded_sql("rows_", "", f"""
+WITH num AS (SELECT id, g, fold, y, x1 AS a, x2 AS b, row_number() OVER (PARTITION BY g ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM rows_),
+many AS (SELECT g, fold, y, a, i, n, rep FROM num, (SELECT unnest(range(2000)) AS rep)),
+pm AS ({permutation_sql('many', 'i', 'n', 'rep')}),
+moved AS (SELECT pm.rep, pm.fold, pm.y, pm.a, num.b FROM pm JOIN num ON num.g = pm.g AND num.i = pm.to_ UNION ALL SELECT -1, fold, y, a, b FROM num),
+{_two_term_errors('moved', 'e')},
+o AS (SELECT rmse AS observed FROM e WHERE rep = -1)
+SELECT any_value(observed) AS observed, avg(rmse) AS null_mean, (1 + count(CASE WHEN rmse <= observed THEN 1 END)) / 2001 AS p FROM e, o WHERE rep >= 0"""))
 def rsm02(spark, sf):
     return rounded(R.refit_permutation(rows(spark, sf), "y", ["x1", "x2"], "x2", "id", ["g"]))
 
 
 @query("rsm03")
 def rsm03(spark, sf):
-    m = members(spark, sf).withColumn("r", F.col("y") - F.col("p1"))
-    return rounded(R.refit_permutation(m, "r", ["q1", "x3"], "q1", "id", ["fold"], 20))
+    """The nested probe of two columns over a base of two, against 20 permutations of its columns."""
+    return rounded(R.probe_permutation(rows(spark, sf), "y", ["x1", "x4"], ["x2", "q1"], [0.1, 1.0, 10.0, 100.0], "id"))
 
 
-@query("rsm04")
+_RANK = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0"
+
+
+@query("rsm04", rounded_sql("members", "", f"""
+WITH m AS (SELECT id, round(y - p1, 9) AS r, x2, x3, q1 FROM members),
+k AS (SELECT id, {_RANK.format('x2')} AS a, {_RANK.format('x3')} AS b, {_RANK.format('q1')} AS c, {_RANK.format('r')} AS ry FROM m),
+num AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM k),
+many AS (SELECT a, b, c, i, n, rep FROM num, (SELECT unnest(range(300)) AS rep)),
+pm AS ({permutation_sql('many', 'i', 'n', 'rep')}),
+e AS (SELECT rep, greatest(abs(corr(pm.a, ry)), abs(corr(pm.b, ry)), abs(corr(pm.c, ry))) AS m FROM pm JOIN num ON num.i = pm.to_ GROUP BY rep),
+o AS (SELECT greatest(abs(corr(a, ry)), abs(corr(b, ry)), abs(corr(c, ry))) AS observed FROM num)
+SELECT any_value(observed) AS observed, quantile_cont(m, 0.5) AS null_median, quantile_cont(m, 0.95) AS null_95, (1 + count(CASE WHEN m >= observed THEN 1 END)) / 301 AS p FROM e, o"""))
 def rsm04(spark, sf):
-    m = members(spark, sf).select("id", (F.col("y") - F.col("p1")).alias("r"), "x2", "x3", "q1")
+    m = members(spark, sf).select("id", F.round(F.col("y") - F.col("p1"), 9).alias("r"), "x2", "x3", "q1")
     return rounded(R.max_correlation_null(m, ["x2", "x3", "q1"], "r", "id", 300))
 
 
@@ -51,7 +84,17 @@ def rsm06(spark, sf):
     return rounded(R.bootstrap(e, "user_id", lambda w: F.sum(w * F.col("value")) / F.sum(w)))
 
 
-@query("rsm07")
+@query("rsm07", rounded_sql("rows_", "", f"""
+WITH num AS (SELECT g, y, x1, x4, row_number() OVER (PARTITION BY g ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM rows_),
+many AS (SELECT y, x1, x4, i, n, split FROM num, (SELECT unnest(range(40)) AS split)),
+pm AS (SELECT split, to_ % 5 AS fold, y, x1, x4 FROM ({permutation_sql('many', 'i', 'n', 'split')})),
+n_ AS (SELECT split AS rep, fold, y, x1 AS a, x4 AS b FROM pm), {_two_term_errors('n_', 'e')},
+bs AS (SELECT split, fold, count(*) AS n, sum(x1) AS sx, sum(y) AS sy, sum(x1 * x1) AS sxx, sum(x1 * y) AS sxy, sum(y * y) AS syy FROM pm GROUP BY split, fold),
+bt AS (SELECT *, sum(n) OVER w - n AS tn, sum(sx) OVER w - sx AS tx, sum(sy) OVER w - sy AS ty, sum(sxx) OVER w - sxx AS txx, sum(sxy) OVER w - sxy AS txy FROM bs WINDOW w AS (PARTITION BY split)),
+bc AS (SELECT *, (txy - tx * ty / tn) / (txx - tx * tx / tn) AS c1 FROM bt), bi AS (SELECT *, (ty - c1 * tx) / tn AS c0 FROM bc),
+b AS (SELECT split, sum(syy + c0 * c0 * n + c1 * c1 * sxx - 2 * c0 * sy - 2 * c1 * sxy + 2 * c0 * c1 * sx) / sum(n) AS mse FROM bi GROUP BY split),
+d AS (SELECT rmse * rmse - mse AS d FROM e JOIN b ON split = rep)
+SELECT avg(d) AS mean, stddev_pop(d) AS sd, avg(CASE WHEN d >= 0 THEN 1e0 ELSE 0e0 END) AS p_ge0 FROM d"""))
 def rsm07(spark, sf):
     return rounded(R.resplit_gain(rows(spark, sf), "y", ["x1"], ["x1", "x4"], "id", "g"))
 
@@ -85,15 +128,26 @@ def rsm09_p(spark, sf):
     return rounded(R.ks_statistic(e, "value", F.col("event_type") == "view"))
 
 
-@query("rsm10", rounded_sql("", "n", """
+_NEIGHBOURS = """
 WITH v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 d AS (SELECT a.id, b.id AS nb, b.label, sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS dist FROM v a JOIN v b ON a.id <> b.id),
-r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nb) AS rk FROM d), m AS (SELECT id, avg(label) AS m FROM r WHERE rk <= 5 GROUP BY id)
-SELECT corr(label, m) AS stat, count(*) AS n FROM m JOIN v USING (id)"""))
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nb) AS rk FROM d), m AS (SELECT id, avg(label) AS m FROM r WHERE rk <= 5 GROUP BY id)"""
+
+
+@query("rsm10", rounded_sql("", "n", f"""
+{_NEIGHBOURS},
+num AS (SELECT id, label, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM v),
+pl AS (SELECT r.id, false AS own, num.i, num.n FROM r JOIN num ON num.id = r.nb WHERE rk <= 5 UNION ALL SELECT id, true, i, n FROM num),
+many AS (SELECT * FROM pl, (SELECT unnest(range(300)) AS rep)),
+pm AS ({permutation_sql('many', 'i', 'n', 'rep')}),
+pr AS (SELECT rep, pm.id, max(CASE WHEN own THEN label END) AS r, avg(CASE WHEN NOT own THEN label END) AS m FROM pm JOIN num ON num.i = pm.to_ GROUP BY rep, pm.id),
+e AS (SELECT rep, corr(r, m) AS c FROM pr GROUP BY rep),
+o AS (SELECT corr(label, m) AS stat, count(*) AS n FROM m JOIN v USING (id))
+SELECT any_value(stat) AS stat, any_value(n) AS n, quantile_cont(c, 0.95) AS null_95, avg(CASE WHEN c >= stat THEN 1e0 ELSE 0e0 END) AS p FROM e, o"""))
 def rsm10(spark, sf):
     e = table(spark, sf, "embeddings")
     nb = J.knn(e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec")), 5)
-    return rounded(R.neighbour_mean_correlation(nb, e.select(F.col("vec_id").alias("id"), F.col("label").cast("double").alias("r"))))
+    return rounded(R.neighbour_null(nb, e.select(F.col("vec_id").alias("id"), F.col("label").cast("double").alias("r"))))
 
 
 @query("rsm11", with_ctes("rows_", """

@@ -186,10 +186,10 @@ w AS (SELECT s.k, t, greatest(0, least(1, (s.xr + 0.1 / 3 * a.xr) / (s.xx + 0.1
 SELECT id, w * p1 + (1 - w) * p2 AS blend FROM lm JOIN c ON fold = c.k JOIN w ON w.k = fold AND w.t = CASE WHEN lq >= c2 THEN 2 WHEN lq >= c1 THEN 1 ELSE 0 END"""
 
 
-@query("fit13_tercile", rounded_sql("members", "id", _TERCILES, 3))
+@query("fit13_tercile", rounded_sql("members", "id", _TERCILES, 6))
 def fit13_tercile(spark, sf):
     m = members(spark, sf).withColumn("lq", F.log("q1"))
-    return rounded(BL.covariate_blend(m, ["p1", "p2"], "y", ["lq"], "tercile", 0.1).select("id", "blend"), 3)
+    return rounded(BL.covariate_blend(m, ["p1", "p2"], "y", ["lq"], "tercile", 0.1).select("id", "blend"), 6)
 
 
 _CLIP = """r AS (SELECT id, {raw} AS raw FROM {src}), m1 AS (SELECT avg(raw) AS m FROM r), c AS (SELECT id, greatest(0.25, least(4, raw / m)) AS c FROM r, m1), m2 AS (SELECT avg(c) AS m FROM c)
