@@ -1,4 +1,4 @@
-"""Connected components: inside one bounded raster, and on graphs of any size."""
+"""Connected components: of rasters, tile by tile, and on graphs of any size."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import written
 from .joins import adjacency
 
 
@@ -34,24 +34,61 @@ def _label(v: np.ndarray, eight: bool) -> np.ndarray:
         lab = new
 
 
-def raster_components(px: DataFrame, value, eight: bool = False) -> DataFrame:
-    """(img, y, x, comp) of dense rasters; pixels join when their non-negative values are equal.
+TILE = 256  # pixels along a side of the largest array in a task
+_COL = 1 << 32  # a pixel's number is y * _COL + x, so numbers order like (y, x)
 
-    One image is one bounded array, so its pieces are found in one task without any shuffle round.
-    """
-    img = px.select("img", "y", "x", value.cast("int").alias("_v")).groupBy("img").agg(
-        F.array_sort(F.collect_list(F.struct("y", "x", "_v"))).alias("_p"), (F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
-    img = img.select("img", "h", "w", F.transform("_p", lambda s: s["_v"]).alias("v"))
+
+def tile_labels(px: DataFrame, value, eight: bool = False, tile: int = TILE) -> DataFrame:
+    """(img, y, x, v, label): pieces of equal value inside each tile, named by the number of their first pixel; NULL for background."""
+    t = px.select("img", "y", "x", value.cast("int").alias("v"), F.floor(F.col("y") / tile).alias("ty"), F.floor(F.col("x") / tile).alias("tx"))
+    t = t.groupBy("img", "ty", "tx").agg(F.collect_list(F.struct("y", "x", "v")).alias("p"))
+    t = t.select("img", "ty", "tx", *[F.col(f"p.{c}").alias(c) for c in ("y", "x", "v")])
 
     def run(batches):
         for b in batches:
-            comp = [_label(np.asarray(v, dtype=np.int64).reshape(h, w), eight).ravel().tolist() for v, h, w in zip(b["v"], b["h"], b["w"])]
-            yield pd.DataFrame({"img": b["img"], "w": b["w"], "c": comp})
-
-    out = img.mapInPandas(run, "img bigint, w int, c array<int>")
-    out = out.select("img", "w", F.posexplode("c").alias("p", "comp"))
-    return out.select("img", F.floor(F.col("p") / F.col("w")).cast("int").alias("y"), (F.col("p") % F.col("w")).cast("int").alias("x"),
-                      F.when(F.col("comp") >= 0, F.col("comp")).alias("comp"))
+            labels = []
+            for ty, tx, y, x, v in zip(b["ty"], b["tx"], b["y"], b["x"], b["v"]):
+                at = np.asarray(y, np.int64) - ty * tile, np.asarray(x, np.int64) - tx * tile
+                grid = np.full((tile, tile), -1, np.int64)
+                grid[at] = [-1 if k is None or k != k else k for k in v]
+                first = _label(grid, eight)[at]
+                name = (ty * tile + first // tile) * _COL + tx * tile + first % tile
+                labels.append([int(k) if f >= 0 else None for k, f in zip(name, first)])
+            yield pd.DataFrame({"img": b["img"], "y": b["y"], "x": b["x"], "v": b["v"], "label": labels})
+
+    kind = dict(px.dtypes)["img"]
+    out = t.mapInPandas(run, f"img {kind}, y array<int>, x array<int>, v array<int>, label array<bigint>")
+    return out.select("img", F.inline(F.arrays_zip("y", "x", "v", "label")))
+
+
+def _tile_edges(lab: DataFrame, eight: bool, tile: int) -> DataFrame:
+    """Pairs of labels that meet across a tile border with equal value."""
+    y, x = F.pmod("y", F.lit(tile)), F.pmod("x", F.lit(tile))
+    rim = lab.where(F.col("label").isNotNull() & (y.isin(0, tile - 1) | x.isin(0, tile - 1)))
+    steps = [(0, 1), (1, 0), *([(1, 1), (1, -1)] if eight else [])]
+    left = rim.withColumn("d", F.explode(F.array(*[F.struct(F.lit(a).alias("y"), F.lit(b).alias("x")) for a, b in steps])))
+    left = left.where((y + F.col("d.y") >= tile) | (x + F.col("d.x") >= tile) | (x + F.col("d.x") < 0))
+    left = left.select("img", (F.col("y") + F.col("d.y")).alias("y"), (F.col("x") + F.col("d.x")).alias("x"), "v", F.col("label").alias("a"))
+    return left.join(rim.select("img", "y", "x", "v", F.col("label").alias("b")), ["img", "y", "x", "v"]).select("img", "a", "b").distinct()
+
+
+def raster_components(px: DataFrame, value, eight: bool = False, tile: int | None = None) -> DataFrame:
+    """(img, y, x, comp) of rasters; pixels join when their non-negative values are equal. ``comp`` is the index of the piece's first
+    pixel, row by row.
+
+    An image is cut into tiles that are labelled in their own tasks; labels that meet across tile borders are the edges of a graph
+    whose components merge them. No task holds more than a tile, and an image of one tile has no edges.
+    """
+    tile = tile or TILE
+    lab = written(tile_labels(px, value, eight, tile), "tiles")
+    width = lab.groupBy("img").agg((F.max("x").cast("bigint") + 1).alias("w"))
+    edges = written(_tile_edges(lab, eight, tile), "borders")
+    if not edges.isEmpty():
+        ends = edges.select("img", F.explode(F.array("a", "b")).alias("node")).distinct()
+        root = connected_components(ends, edges).select("img", F.col("node").alias("label"), F.col("comp").alias("root"))
+        lab = lab.join(root, ["img", "label"], "left").withColumn("label", F.coalesce("root", "label"))
+    first = F.floor(F.col("label") / _COL) * F.col("w") + F.col("label") % _COL
+    return lab.join(width, "img").select("img", "y", "x", first.cast("int").alias("comp"))
 
 
 def component_table(px: DataFrame, comp: DataFrame, least: int, size: int) -> DataFrame:
@@ -107,15 +144,13 @@ def connected_components(vertices: DataFrame, edges: DataFrame, keys: Sequence[s
         return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(20,0)"))).first()
 
     e = edges.where("a <> b").select(*keys, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    def written(e: DataFrame) -> DataFrame:
-        path = scratch_path(e.sparkSession, "components")
-        e.write.parquet(path)
-        return e.sparkSession.read.schema(e.schema).parquet(path)
+    def kept(e: DataFrame) -> DataFrame:
+        return written(e, "components")
 
-    e = written(e)
+    e = kept(e)
     now = state(e)
     while now[0]:
-        e = written(round_(e))
+        e = kept(round_(e))
         before, now = now, state(e)
         if now == before:
             break

@@ -1,4 +1,4 @@
-"""Model-backed operators: trees and logistic gates from Spark ML, calibration by source."""
+"""Model-backed operators: logistic gates, density ratios, calibration by source."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,23 +17,6 @@ from .gram import design_exprs, gram, leave_out, outer_rows, total
 from .linear import centred_parts, ridge_coefs, ridge_nested
 
 
-def crossfit_trees(df: DataFrame, y: str, xs: Sequence[str], kind: str = "gbt", seeds: Sequence[int] = (1,), key: str = "id", fold: str = "fold",
-                   **params) -> tuple[DataFrame, list[tuple[str, float]]]:
-    """Out-of-fold tree ensembles averaged over seeds, and the mean importances in falling order."""
-    make = GBTRegressor if kind == "gbt" else RandomForestRegressor
-    d = VectorAssembler(inputCols=list(xs), outputCol="features").transform(df.select(key, fold, y, *xs)).select(key, fold, F.col(y).alias("label"), "features").persist()
-    parts, imp = None, [0.0] * len(xs)
-    folds = fold_ids(df, fold)
-    for k in folds:
-        for s in seeds:
-            m = make(featuresCol="features", labelCol="label", seed=s, **params).fit(d.where(F.col(fold) != k))
-            imp = [a + float(b) / (len(folds) * len(seeds)) for a, b in zip(imp, m.featureImportances.toArray())]
-            p = m.transform(d.where(F.col(fold) == k)).select(key, "prediction")
-            parts = p if parts is None else parts.unionByName(p)
-    pred = parts.groupBy(key).agg(F.avg("prediction").alias("pred"))
-    return df.join(pred, key), sorted(zip(xs, imp), key=lambda t: -t[1])
-
-
 def _standard(df: DataFrame, xs: Sequence[str], train: Column) -> list[Column]:
     s = df.where(train).agg(*[F.avg(c).alias(f"m_{c}") for c in xs], *[F.stddev_pop(c).alias(f"s_{c}") for c in xs]).first()
     return [((F.col(c) - s[f"m_{c}"]) / (s[f"s_{c}"] or 1.0)).alias(f"z_{c}") for c in xs]

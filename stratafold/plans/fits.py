@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import norm_cdf
 from ..operators import blend as BL
 from ..operators import blocks as B
+from ..operators import boosting as BO
 from ..operators import folds as FO
 from ..operators import gram as G
 from ..operators import linear as L
@@ -224,10 +225,20 @@ def fit16(spark, sf):
 
 @query("fit17")
 def fit17(spark, sf):
-    d, _ = MD.crossfit_trees(rows(spark, sf), "y", XS, "gbt", (1,), maxIter=4, maxDepth=3)
+    """Boosted trees whose prediction may only rise with x1 and x5; two seeds."""
+    settings = BO.Settings(rounds=30, depth=4, rate=0.1, signs=(1, 0, 0, 0, 1))
+    d, _, _ = BO.crossfit_boosting(rows(spark, sf), "y", XS, settings, (1, 2))
     return rounded(d.select("id", "fold", "pred"))
 
 
+@query("fit17_importance")
+def fit17_importance(spark, sf):
+    """Share of the total gain by column of a forest of small trees."""
+    settings = BO.Settings(rounds=15, depth=2, rate=0.1, least=20, rows=0.7, l2=5.0)
+    _, share, _ = BO.crossfit_boosting(rows(spark, sf), "y", XS, settings)
+    return spark.createDataFrame(share, "column string, share double")
+
+
 @query("fit18")
 def fit18(spark, sf):
     e = vector_views(spark, sf)

