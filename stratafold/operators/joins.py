@@ -7,11 +7,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import hash_uniform
+from ..session import written
 
 
 class KeyViolation(ValueError):
@@ -122,27 +124,65 @@ def adjacency(px: DataFrame, label: str = "lab") -> DataFrame:
     return two.select("img", "y", "x", F.col(label).alias("l1"), F.explode(F.array("_r", "_d")).alias("l2")).where("l2 is not null")
 
 
+def lower_envelope(y: Sequence[int], h: Sequence[int]) -> tuple[list[int], list[int]]:
+    """Which of the parabolas (q - y)^2 + h, given in rising order of y, is lowest from which integer q on: (indices, starts).
+
+    Of equal ones the first counts. One pass with a stack: a parabola that the new one overtakes before its own start is never lowest.
+    """
+    keep: list[int] = []
+    start: list[int] = []
+    for j in range(len(y)):
+        at = None
+        while keep:
+            i = keep[-1]
+            at = (h[j] + y[j] * y[j] - h[i] - y[i] * y[i]) // (2 * (y[j] - y[i])) + 1
+            if at > start[-1]:
+                break
+            keep.pop()
+            start.pop()
+        start.append(at if keep else -(1 << 62))
+        keep.append(j)
+    return keep, start
+
+
 def fill_nearest(px: DataFrame, hole, value: str) -> DataFrame:
     """Holes take the value of the nearest other pixel (ties: lower y, then lower x).
 
-    Exact in two line passes: nearest along the row, then the best row of the column. A column
-    of the raster is bounded, so its candidates fit in one small array.
+    Exact in two line passes: the nearest along the row, then the lower envelope of the parabolas that these leave in a column. A
+    column is gathered once, and its envelope takes one walk down the column.
     """
     open_ = F.when(~hole, F.struct(F.col("x").alias("x"), F.col(value).alias("v")))
     row = W.partitionBy("img", "y").orderBy("x")
     left = F.last(open_, ignorenulls=True).over(row.rowsBetween(W.unboundedPreceding, 0))
     right = F.first(open_, ignorenulls=True).over(row.rowsBetween(0, W.unboundedFollowing))
-    d = px.withColumns({"_l": left, "_r": right, "_hole": hole})
-    take_left = F.col("_r").isNull() | (F.col("_x") - F.col("_l.x") <= F.col("_r.x") - F.col("_x"))
-    d = d.withColumn("_x", F.col("x")).withColumn("_n", F.when(F.col("_l").isNotNull() & take_left, F.col("_l")).otherwise(F.col("_r")))
-    cand = F.when(F.col("_n").isNotNull(), F.struct(
-        F.col("y").alias("y"), F.col("_n.x").alias("x"), F.col("_n.v").alias("v"),
-        F.pow(F.col("x") - F.col("_n.x"), 2).alias("h2")))
-    column = F.collect_list(cand).over(W.partitionBy("img", "x"))
-    d = d.withColumn("_c", F.when(F.col("_hole"), column))
-    best = F.array_min(F.transform("_c", lambda s: F.struct(
-        (s["h2"] + F.pow(s["y"] - F.col("y"), 2)).alias("d2"), s["y"].alias("y"), s["x"].alias("x"), s["v"].alias("v"))))
-    return d.select("img", "y", "x", F.when(F.col("_hole"), best["v"]).otherwise(F.col(value)).alias(value))
+    d = px.withColumns({"_l": left, "_r": right, "_hole": F.coalesce(hole, F.lit(False))})
+    take_left = F.col("_r").isNull() | (F.col("x") - F.col("_l.x") <= F.col("_r.x") - F.col("x"))
+    d = d.withColumn("_n", F.when(F.col("_l").isNotNull() & take_left, F.col("_l")).otherwise(F.col("_r")))
+    cell = F.struct(F.col("y").cast("bigint").alias("y"), F.col("_hole").alias("hole"), F.col(value).alias("own"), F.col("_n.v").alias("v"),
+                    F.pow(F.col("x") - F.col("_n.x"), 2).cast("bigint").alias("h"))
+    column = d.groupBy("img", "x").agg(F.array_sort(F.collect_list(cell)).alias("c"))
+    column = column.select("img", "x", *[F.col(f"c.{k}").alias(k) for k in ("y", "hole", "own", "v", "h")])
+    kinds = dict(px.dtypes)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for y, hole_, own, v, h in zip(*(b.column(c).to_pylist() for c in ("y", "hole", "own", "v", "h"))):
+                some = [i for i, k in enumerate(h) if k is not None]
+                keep, start = lower_envelope([y[i] for i in some], [h[i] for i in some])
+                filled, at = list(own), 0
+                for i, q in enumerate(y):
+                    if hole_[i] and keep:
+                        while at + 1 < len(keep) and start[at + 1] <= q:
+                            at += 1
+                        filled[i] = v[some[keep[at]]]
+                    elif hole_[i]:
+                        filled[i] = None
+                out.append(filled)
+            yield pa.RecordBatch.from_arrays([b.column("img"), b.column("x"), b.column("y"), pa.array(out, b.schema.field("own").type)], ["img", "x", "y", value])
+
+    out = column.mapInArrow(run, f"img {kinds['img']}, x {kinds['x']}, y array<bigint>, {value} array<{kinds[value]}>")
+    return out.select("img", "x", F.inline(F.arrays_zip("y", value))).select("img", F.col("y").cast(kinds["y"]).alias("y"), "x", value)
 
 
 def equal_family_mean(long: DataFrame, key: str, family: str, value: str) -> DataFrame:
@@ -156,71 +196,113 @@ def member_matrix(long: DataFrame, key: str, member: str, value: str, names: Seq
 
 
 # ---------------------------------------------------------------- exact k nearest neighbours
-def _nearest_pivots(pivots: np.ndarray, u_of: np.ndarray | None = None, kth: np.ndarray | None = None, slack: float = 1e-9):
-    """Iterator function: distance of every vector to the pivots, and the cells it must visit."""
+LEAF = 256  # rows of a cell that the number of pivots aims at
+MOST_PIVOTS = 8192  # vectors kept on the driver; beyond LEAF * MOST_PIVOTS rows the cells grow, the result stays exact
+_SLACK = 1e-9
+
+
+def _distances(v: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((v * v).sum(1)[:, None] - 2 * v @ p.T + (p * p).sum(1)[None], 0))
+
+
+def _beyond_bisectors(e: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Distance of every row to the region of every pivot, as far as the bisectors with the other pivots tell."""
+    out = np.zeros_like(e)
+    apart = _distances(p, p)
+    for o in range(len(p)):
+        other = apart[o] > 0
+        out[:, other] = np.maximum(out[:, other], (e[:, other] ** 2 - e[:, o : o + 1] ** 2) / (2 * apart[o, other]))
+    return out
+
+
+class PivotTree:
+    """Two levels of pivots over a vector table. A row belongs to the nearest pivot below its nearest upper pivot, so bisectors
+    between pivots bound the cells as well as balls and shells do.
+
+    ``reach`` and ``gap`` are the largest and the smallest distance of a cell's members to its pivot, ``over`` the largest distance
+    of the members below an upper pivot to it.
+    """
+
+    def __init__(self, pivots: np.ndarray):
+        self.upper = pivots[: max(1, math.isqrt(len(pivots)))]
+        parent = _distances(pivots, self.upper).argmin(1)
+        order = np.argsort(parent, kind="stable")
+        self.pivots, parent = pivots[order], parent[order]
+        self.first = np.searchsorted(parent, np.arange(len(self.upper) + 1))
+        n = len(pivots)
+        self.reach, self.gap, self.rows = np.full(n, -np.inf), np.full(n, np.inf), np.zeros(n, np.int64)
+        self.over = np.full(len(self.upper), -np.inf)
+
+    def assign(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cell, distance to its pivot, distance to the upper pivot) of every vector."""
+        d = _distances(v, self.upper)
+        up = d.argmin(1)
+        cell, near = np.zeros(len(v), np.int64), np.zeros(len(v))
+        for u in np.unique(up):
+            own = np.flatnonzero(up == u)
+            e = _distances(v[own], self.pivots[self.first[u] : self.first[u + 1]])
+            cell[own], near[own] = self.first[u] + e.argmin(1), e.min(1)
+        return cell, near, d[np.arange(len(v)), up]
+
+    def visits(self, v: np.ndarray, bound: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of all cells but the own one that may hold a vector within the bound of a row."""
+        d, room = _distances(v, self.upper), bound * (1 + _SLACK) + _SLACK
+        apart = _beyond_bisectors(d, self.upper)
+        out = []
+        for u in range(len(self.upper)):
+            rows = np.flatnonzero((d[:, u] - self.over[u] <= room) & (apart[:, u] <= room))
+            if len(rows):
+                cells = slice(self.first[u], self.first[u + 1])
+                e = _distances(v[rows], self.pivots[cells])
+                hit = (e - self.reach[cells] <= room[rows, None]) & (self.gap[cells] - e <= room[rows, None])
+                hit &= _beyond_bisectors(e, self.pivots[cells]) <= room[rows, None]
+                r, c = np.nonzero(hit)
+                out.append((rows[r], c + self.first[u]))
+        r, c = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+        return r[c != own[r]], c[c != own[r]]
+
+
+def pivot_tree(df: DataFrame, rows: int, leaf: int = LEAF) -> tuple[PivotTree, DataFrame]:
+    """The tree of a table (id, vec) and its rows with their cells."""
+    n = max(1, min(MOST_PIVOTS, rows // leaf))
+    picked = df.orderBy(F.xxhash64("id"), "id").limit(n).collect()  # at most MOST_PIVOTS
+    tree = PivotTree(np.array([r["vec"] for r in picked], dtype=float).reshape(len(picked), -1))
 
     def run(it):
         for pdf in it:
-            if pdf.empty:
-                continue
-            v = np.stack(pdf["vec"].to_numpy()).astype(float)
-            d = np.sqrt(np.maximum((v * v).sum(1)[:, None] - 2 * v @ pivots.T + (pivots * pivots).sum(1)[None], 0))
-            cell = d.argmin(1)
-            if u_of is None:
-                yield pd.DataFrame({"id": pdf["id"], "vec": pdf["vec"], "cell": cell.astype("int32"), "dp": d[np.arange(len(d)), cell]})
-                continue
-            # a cell with k or more other members bounds the k-th distance; a cell whose nearest possible member is
-            # farther than the best such bound cannot hold a neighbour
-            bound = (d + kth[None]).min(1)
-            visit = (d - u_of[None]) <= bound[:, None] * (1 + slack) + slack
-            r, c = np.nonzero(visit)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy()[r], "vec": pdf["vec"].to_numpy()[r], "cell": c.astype("int32")})
-
-    return run
-
-
-def knn(df: DataFrame, k: int, n_pivots: int = 32, chunk: int = 4096) -> DataFrame:
-    """Exact k nearest other rows of every row: (id, nb, dist, rank), ties by lower neighbour id.
+            if len(pdf):
+                cell, near, up = tree.assign(np.stack(pdf["vec"].to_numpy()).astype(float))
+                yield pd.DataFrame({"id": pdf["id"], "vec": pdf["vec"], "cell": cell.astype("int32"), "dp": near, "du": up})
 
-    Input ``id bigint, vec array<double>``. Rows are assigned to the cells of a few pivot vectors;
-    the triangle inequality tells which cells can hold a neighbour of a row, and the row is sent
-    only there. Cells and their visitors are both cut into blocks of bounded size, so a cell
-    holding most of the rows is spread over many tasks.
+    cells = written(df.mapInPandas(run, "id bigint, vec array<double>, cell int, dp double, du double"), "cells")
+    for r in cells.groupBy("cell").agg(F.max("dp").alias("u"), F.min("dp").alias("l"), F.count(F.lit(1)).alias("n"), F.max("du").alias("o")).collect():
+        c = r["cell"]
+        tree.reach[c], tree.gap[c], tree.rows[c] = r["u"], r["l"], r["n"]
+        up = int(np.searchsorted(tree.first, c, side="right")) - 1
+        tree.over[up] = max(tree.over[up], r["o"])
+    return tree, cells
+
+
+def _nearest_in_cells(queries: DataFrame, cells: DataFrame, k: int, chunk: int) -> DataFrame:
+    """(id, nb, dist): the k nearest members of a cell to each of its visitors (id, vec, cell, bound), none beyond the bound.
+
+    The rows and the visitors of a cell are both cut into blocks of bounded size and meet block by block.
     """
-    df = df.select(F.col("id").cast("bigint").alias("id"), "vec")
-    picked = df.orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()  # fixed number of pivots
-    pivots = np.array([r["vec"] for r in picked], dtype=float)
-    cells = df.mapInPandas(_nearest_pivots(pivots), "id bigint, vec array<double>, cell int, dp double")
-    stats = cells.groupBy("cell").agg(F.max("dp").alias("u"), F.count(F.lit(1)).alias("n"))
-    first = cells.select("cell", "dp", F.row_number().over(W.partitionBy("cell").orderBy("dp")).alias("r")).where(F.col("r") <= k + 1)
-    rows = stats.join(first.groupBy("cell").agg(F.max(F.when(F.col("r") == k + 1, F.col("dp"))).alias("kth")), "cell").collect()
-    m = len(pivots)
-    u, kth, count = np.full(m, -np.inf), np.full(m, np.inf), np.zeros(m)
-    for r in rows:
-        u[r["cell"]], count[r["cell"]] = r["u"], r["n"]
-        kth[r["cell"]] = r["kth"] if r["kth"] is not None else np.inf
-    visits = df.mapInPandas(_nearest_pivots(pivots, u, kth), "id bigint, vec array<double>, cell int")
-    visitors = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-    def blocks(sizes: dict) -> Column:
-        n = F.lit(1)
-        for c, rows_ in sizes.items():
-            if rows_ > chunk:
-                n = F.when(F.col("cell") == c, math.ceil(rows_ / chunk)).otherwise(n)
-        return n
-
-    # a cell's rows and its visitors meet block by block; both block counts belong to the cell alone
-    n_data, n_query = blocks({c: int(v) for c, v in enumerate(count)}), blocks(visitors)
-    q = visits.withColumn("qb", F.floor(hash_uniform("q", F.col("id")) * n_query).cast("int")).withColumn("db", F.explode(F.sequence(F.lit(0), n_data - 1)))
-    d = cells.select("id", "vec", "cell", F.floor(hash_uniform("d", F.col("id")) * n_data).cast("int").alias("db")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), n_query - 1)))
+    def blocks(df, name):
+        return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias(name))
+
+    size = F.broadcast(blocks(cells, "nd").join(blocks(queries, "nq"), "cell"))  # one row a cell
+    q = queries.join(size, "cell").withColumn("qb", F.floor(hash_uniform("q", F.col("id")) * F.col("nq")).cast("int"))
+    q = q.select("id", "vec", "bound", "cell", "qb", F.explode(F.sequence(F.lit(0), F.col("nd") - 1)).alias("db"))
+    d = cells.join(size, "cell").withColumn("db", F.floor(hash_uniform("d", F.col("id")) * F.col("nd")).cast("int"))
+    d = d.select("id", "vec", "cell", "db", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb")).toDF("nb", "nvec", "ncell", "ndb", "nqb")
 
     def local(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"id": [], "nb": [], "dist": []}).astype({"id": "int64", "nb": "int64", "dist": "float64"})
-        right = right.sort_values("id")  # a stable sort by distance then leaves ties in order of the identifier
-        a, b = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
-        li, ri = left["id"].to_numpy(), right["id"].to_numpy()
+        right = right.sort_values("nb")  # a stable sort by distance then leaves ties in order of the identifier
+        a, b = np.stack(left["vec"].to_numpy()), np.stack(right["nvec"].to_numpy())
+        li, ri, room = left["id"].to_numpy(), right["nb"].to_numpy(), left["bound"].to_numpy() * (1 + _SLACK) + _SLACK
         near, ids, rows_ = [], [], max(1, (1 << 21) // b.size)
         for s in range(0, len(a), rows_):
             dist = np.sqrt(((a[s:s + rows_, None, :] - b[None, :, :]) ** 2).sum(-1))
@@ -230,9 +312,41 @@ def knn(df: DataFrame, k: int, n_pivots: int = 32, chunk: int = 4096) -> DataFra
             ids.append(ri[best])
         near, ids = np.concatenate(near), np.concatenate(ids)
         out = pd.DataFrame({"id": np.repeat(li, near.shape[1]), "nb": ids.ravel(), "dist": near.ravel()})
-        return out[np.isfinite(out["dist"])]
+        return out[np.isfinite(out["dist"]) & (out["dist"] <= np.repeat(room, near.shape[1]))]
 
-    key = ["cell", "db", "qb"]
-    found = q.groupBy(*key).cogroup(d.groupBy(*key)).applyInPandas(local, "id bigint, nb bigint, dist double")
+    return q.groupBy("cell", "db", "qb").cogroup(d.groupBy("ncell", "ndb", "nqb")).applyInPandas(local, "id bigint, nb bigint, dist double")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     best = F.row_number().over(W.partitionBy("id").orderBy("dist", "nb"))
     return found.withColumn("rank", best.cast("int")).where(F.col("rank") <= k)
+
+
+def knn(df: DataFrame, k: int, leaf: int = LEAF, chunk: int = 4096, visited: list | None = None) -> DataFrame:
+    """Exact k nearest other rows of every row: (id, nb, dist, rank), ties by lower neighbour id.
+
+    Input ``id bigint, vec array<double>``. A row first searches its own cell of the pivot tree, which bounds its k-th distance;
+    then it visits just those cells that balls, shells and bisectors cannot rule out at that bound. ``visited`` receives the number of
+    pairs of rows that were compared.
+    """
+    df = written(df.select(F.col("id").cast("bigint").alias("id"), "vec"), "vectors")
+    if df.isEmpty():
+        return df.select("id", F.lit(0).cast("bigint").alias("nb"), F.lit(0.0).alias("dist"), F.lit(0).alias("rank")).limit(0)
+    tree, cells = pivot_tree(df, df.count(), leaf)
+    far = F.lit(float("inf"))
+    own = written(_best(_nearest_in_cells(cells.select("id", "vec", "cell", far.alias("bound")), cells, k, chunk), k), "own-cell")
+    bound = own.where(F.col("rank") == k).select("id", F.col("dist").alias("bound"))
+    rows = cells.join(bound, "id", "left").select("id", "vec", "cell", F.coalesce("bound", far).alias("bound"))
+
+    def run(it):
+        for pdf in it:
+            if len(pdf):
+                r, c = tree.visits(np.stack(pdf["vec"].to_numpy()).astype(float), pdf["bound"].to_numpy(), pdf["cell"].to_numpy())
+                yield pd.DataFrame({"id": pdf["id"].to_numpy()[r], "vec": pdf["vec"].to_numpy()[r], "cell": c.astype("int32"), "bound": pdf["bound"].to_numpy()[r]})
+
+    visits = written(rows.mapInPandas(run, "id bigint, vec array<double>, cell int, bound double"), "visits")
+    if visited is not None:
+        more = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+        visited.append(int((tree.rows * tree.rows).sum()) + sum(int(tree.rows[c]) * n for c, n in more.items()))
+    other = _nearest_in_cells(visits, cells, k, chunk)
+    return _best(own.drop("rank").unionByName(other), k)

@@ -108,7 +108,7 @@ def test_knn_is_exact(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 3))
     d = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, vec array<double>")
-    got = joins.knn(d, 4, n_pivots=8, chunk=40).toPandas().sort_values(["id", "rank"]).nb.to_numpy().reshape(300, 4)
+    got = joins.knn(d, 4, leaf=40, chunk=40).toPandas().sort_values(["id", "rank"]).nb.to_numpy().reshape(300, 4)
     dist = ((x[:, None] - x[None]) ** 2).sum(-1)
     np.fill_diagonal(dist, np.inf)
     assert (np.argsort(dist, 1)[:, :4] == got).all()
