@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import add_all, by_value, digitize, linear, ramp
 from .columns import leave_out_quantiles
 from .folds import fold_ids
-from .gram import gram, leave_out, outer_rows, total
+from .gram import gram, leave_out, outer_rows, solve, total
 from .linear import gram_sse
 
 
@@ -81,6 +81,58 @@ def cell_blend(df: DataFrame, names: Sequence[str], y: str, cell: str, mode: str
     return df.withColumn(out, by_value(fold, preds))
 
 
+def screen_candidates(df: DataFrame, y: str, members: dict[str, Sequence[str]], candidates: dict[str, dict[str, Sequence[str]]], fold: str = "fold") -> DataFrame:
+    """Candidate column sets as blend members: (candidate, member, fold, base, d_member, d_blend, d_refit).
+
+    ``members`` names the column set of each least-squares member, a candidate replaces some of the sets. ``base`` is the fold's
+    out-of-fold RMSE of the replaced member, ``d_member`` its change; ``d_blend`` the change of the blend with the weights of the
+    original members kept, ``d_refit`` with weights solved anew. One Gram over the union of all columns serves every candidate:
+    fits, member products and blends are sub-matrices of it.
+    """
+    union = list(dict.fromkeys(c for sets in (members, *candidates.values()) for xs in sets.values() for c in xs))
+    gs = gram(df, [F.lit(1.0), *union, y], [fold])
+    t, k = total(gs), len(union) + 2
+
+    def fitted(xs: Sequence[str]) -> dict:
+        """Coefficients over all columns, per held-out fold."""
+        pos = [0, *[1 + union.index(x) for x in xs], k - 1]
+        out = {}
+        for f, g in gs.items():
+            out[f] = np.zeros(k)
+            out[f][pos[:-1]] = solve((t - g)[np.ix_(pos, pos)])
+        return out
+
+    def rmse(w: dict, f) -> float:
+        v = w[f].copy()
+        v[-1] = -1.0
+        return float(np.sqrt(max(v @ gs[f] @ v, 0.0) / gs[f][0, 0]))
+
+    def products(fits: list[dict]) -> np.ndarray:
+        """[members, y] Gram of the out-of-fold predictions."""
+        m = np.zeros((len(fits) + 1, len(fits) + 1))
+        for f, g in gs.items():
+            lift = np.column_stack([*[fit[f] for fit in fits], np.eye(k)[-1]])
+            m += lift.T @ g @ lift
+        return m
+
+    def blended(fits: list[dict], w: np.ndarray) -> dict:
+        return {f: sum(a * fit[f] for a, fit in zip(w, fits)) for f in gs}
+
+    own = {n: fitted(xs) for n, xs in members.items()}
+    names = list(own)
+    kept = simplex_weights(products([own[n] for n in names]))
+    whole = blended([own[n] for n in names], kept)
+    rows = []
+    for label, sets in candidates.items():
+        new = {**own, **{n: fitted(xs) for n, xs in sets.items()}}
+        fits = [new[n] for n in names]
+        same, anew = blended(fits, kept), blended(fits, simplex_weights(products(fits)))
+        for n in sets:
+            rows += [(label, n, f[0], rmse(own[n], f), rmse(new[n], f) - rmse(own[n], f), rmse(same, f) - rmse(whole, f), rmse(anew, f) - rmse(whole, f)) for f in sorted(gs)]
+    kind = dict(df.dtypes)[fold]
+    return df.sparkSession.createDataFrame(rows, f"candidate string, member string, fold {kind}, base double, d_member double, d_blend double, d_refit double")
+
+
 def quadratic_program(h: np.ndarray, f: np.ndarray, a: np.ndarray, b: np.ndarray, g: np.ndarray, x: np.ndarray) -> np.ndarray:
     """min 1/2 x'Hx - f'x with A x = b and G x >= 0 from a feasible start (active set, a few variables)."""
     active: list[int] = [i for i in range(len(g)) if abs(g[i] @ x) < 1e-10]
@@ -185,7 +237,3 @@ def additive_variance_weights(df: DataFrame, resid: str, covs: Sequence[str], lo
     b = nnls_gram(g[:-1, :-1] / np.outer(scale, scale), g[:-1, -1] / scale) / scale
     v = F.greatest(linear(b, inv), F.lit(1e-3 * g[0, -1] / n))
     return normalised_weights(df, 1 / v, lo, hi, out)
-
-
-def blend_error(grams: dict, w: np.ndarray) -> float:
-    return gram_sse(total(grams), w)

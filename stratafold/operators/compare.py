@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import add_all, by_value, expected_max_bias
@@ -74,6 +76,77 @@ def slot_class(dmse, folds_better, p_ge0, split_mean, droptop, score, best, rms_
             .when(close & (split_mean < 0) & (droptop < 0), "NEAR-TIE(strict)").when(close, "NEAR-TIE").otherwise("no"))
 
 
+def judge_recipes(df: DataFrame, y: str, base: Sequence[str], candidates: dict[str, Sequence[str]], key: str, stratum: str, test: Column, fold: str = "fold",
+                  n_splits: int = 40, drop: int = 3) -> DataFrame:
+    """Every figure of the slot rule computed from the rows, the class it gives, and the order of the candidates.
+
+    A recipe is a cross-fitted column set. Its change against the base comes from its out-of-fold predictions (mean, folds better,
+    mean without the rows that gain most), its stability from stratified re-splits, its score and its distance to the base from the
+    ``test`` rows, and ``p_beat`` is the normal chance that the test error falls. Both the fits and the re-splits of all recipes are
+    slices of one Gram each.
+    """
+    from ..functions.scalar import norm_cdf
+    from .gram import design_exprs, gram, leave_out, predict_by_fold, solve
+    from .resample import _by_replicate, _crossfit_rmse, stratified_splits
+
+    union = list(dict.fromkeys([*base, *(c for xs in candidates.values() for c in xs)]))
+    at = {n: [0, *[1 + union.index(x) for x in xs], len(union) + 1] for n, xs in {"": base, **candidates}.items()}
+    rest = leave_out(gram(df, design_exprs(union, y), [fold]))
+    pred = {n: predict_by_fold({k: solve(g[np.ix_(pos, pos)]) for k, g in rest.items()}, base if n == "" else candidates[n], fold) for n, pos in at.items()}
+    d = df.select(key, fold, F.col(y).alias("_y"), test.alias("_test"), pred[""].alias("_base"),
+                  F.inline(F.array(*[F.struct(F.lit(n).alias("candidate"), pred[n].alias("_pred")) for n in candidates])))
+    d = d.withColumn("d", F.round(F.pow(F.col("_pred") - F.col("_y"), 2) - F.pow(F.col("_base") - F.col("_y"), 2), 9))
+    on_test = lambda c: F.when(F.col("_test"), c)
+    rms = lambda a, b: F.sqrt(F.avg(on_test(F.pow(F.col(a) - F.col(b), 2))))
+    per = d.groupBy("candidate").agg(
+        F.avg("d").alias("dmse"), F.sum("d").alias("_s"), F.count(F.lit(1)).alias("_n"), rms("_pred", "_y").alias("score"), rms("_base", "_y").alias("best"),
+        rms("_pred", "_base").alias("rms"), F.avg(on_test(F.col("d"))).alias("_m"), (F.stddev_samp(on_test(F.col("d"))) / F.sqrt(F.count(on_test(F.col("d"))))).alias("_sd"))
+    folds = d.groupBy("candidate", fold).agg(F.sum("d").alias("f")).groupBy("candidate").agg(F.sum((F.col("f") < 0).cast("bigint")).alias("folds_better"))
+    top = d.withColumn("_r", F.row_number().over(W.partitionBy("candidate").orderBy("d", key))).where(F.col("_r") <= drop).groupBy("candidate").agg(F.sum("d").alias("_t"), F.count(F.lit(1)).alias("_k"))
+    splits: dict = {n: [] for n in candidates}
+    for gs in _by_replicate(gram(stratified_splits(df.select(key, stratum, y, *union), key, stratum, n_splits), design_exprs(union, y), ["split", "fold"])).values():
+        mse = {n: _crossfit_rmse({k: g[np.ix_(pos, pos)] for k, g in gs.items()}) ** 2 for n, pos in at.items()}
+        for n in candidates:
+            splits[n].append(mse[n] - mse[""])
+    j = per.join(folds, "candidate").join(top, "candidate").withColumns({
+        "rs_mean": by_value("candidate", {n: float(np.mean(v)) for n, v in splits.items()}), "p_ge0": by_value("candidate", {n: float(np.mean(np.array(v) >= 0)) for n, v in splits.items()}),
+        "droptop": (F.col("_s") - F.col("_t")) / (F.col("_n") - F.col("_k")), "p_beat": norm_cdf(-F.col("_m") / F.col("_sd"))})
+    c = {n: F.col(n) for n in ("dmse", "folds_better", "p_ge0", "rs_mean", "droptop", "score", "best", "rms")}
+    j = j.withColumn("cls", slot_class(*c.values(), c["rms"]))
+    rank = by_value("cls", {"SAFE": 0, "BOLD": 1, "NEAR-TIE(strict)": 2, "NEAR-TIE": 2}, 9)
+    place = F.row_number().over(W.orderBy(rank, F.round("score", 4), "dmse", "candidate"))  # one row a candidate
+    return j.select("candidate", "cls", *[x for n, x in c.items() if n != "best"], "best", "p_beat", place.alias("place"),
+                    verdict(c["dmse"], c["folds_better"], c["rs_mean"], c["droptop"], c["rms"] >= 0.5).alias("verdict"))
+
+
+def fold_report(df: DataFrame, new: str, base: str, y: str = "y", fold: str = "fold") -> DataFrame:
+    """Per fold: changed rows, squared errors of both columns over them, their difference, whether it is better, both RMSEs."""
+    moved = F.col(new) != F.col(base)
+    sse = lambda c: F.coalesce(F.sum(F.when(moved, F.pow(F.col(c) - F.col(y), 2))), F.lit(0.0))
+    root = lambda c: F.sqrt(F.avg(F.pow(F.col(c) - F.col(y), 2)))
+    g = df.groupBy(fold).agg(F.sum(moved.cast("bigint")).alias("n_changed"), sse(base).alias("sse_base"), sse(new).alias("sse_new"), root(base).alias("rmse_base"), root(new).alias("rmse_new"))
+    return g.withColumns({"dsse": F.col("sse_new") - F.col("sse_base"), "better": (F.col("n_changed") > 0) & (F.col("sse_new") < F.col("sse_base"))})
+
+
+def top_contributors(df: DataFrame, new: str, base: str, n: int, key: str = "id", y: str = "y") -> DataFrame:
+    """The rows whose squared error falls most (ties: smaller key), in order, with their gain and its share of all falls."""
+    d = df.select(key, F.round(-loss_change(new, base, y), 9).alias("gain"))
+    every = d.agg(F.sum(F.greatest("gain", F.lit(0.0)))).first()[0]
+    top = d.orderBy(F.desc("gain"), key).limit(n)
+    return top.select(F.row_number().over(W.orderBy(F.desc("gain"), key)).alias("place"), key, "gain", (F.col("gain") / every).alias("share"))
+
+
+def probe_report(df: DataFrame, resid: str, probe: str, tercile: str, clean: Column, fold: str = "fold") -> DataFrame:
+    """One line per view of the rows (all, each tercile, clean rows by tercile): rows, correlation, RMSE before and after the probe,
+    and over all rows the number of folds that get better."""
+    before, after = F.sqrt(F.avg(F.pow(F.col(resid), 2))), F.sqrt(F.avg(F.pow(F.col(resid) - F.col(probe), 2)))
+    d = df.select(fold, resid, probe, F.col(tercile).cast("string").alias("_t"), clean.alias("_c"))
+    views = F.array_compact(F.array(F.lit("all"), F.concat(F.lit("tercile "), F.col("_t")), F.when(F.col("_c"), F.concat(F.lit("clean tercile "), F.col("_t")))))
+    g = d.withColumn("view", F.explode(views)).groupBy("view").agg(F.count(F.lit(1)).alias("n"), safe_corr(probe, resid).alias("corr"), before.alias("before"), after.alias("after"))
+    folds = d.groupBy(fold).agg((after < before).cast("bigint").alias("b")).agg(F.sum("b").alias("folds_better")).withColumn("view", F.lit("all"))
+    return g.join(folds, "view", "left")
+
+
 def lane(df: DataFrame, new: str, base: str, y: str, looked_at: int, by: Sequence[str] = (), scale: float = 22.0) -> DataFrame:
     """Change share, rms change, harm ratio and selection bias of the changed rows, and the lane they lead to."""
     dp = F.col(new) - F.col(base)

@@ -138,6 +138,27 @@ def crossfit_ridge(df: DataFrame, y: str, xs: Sequence[str], alphas: Sequence[fl
     return df.withColumn(out, pred), {k[0]: v[0] for k, v in fits.items()}
 
 
+def nested_predictions(df: DataFrame, y: str, xs: Sequence[str], alphas: Sequence[float], out: str = "pred", fold: str = "fold") -> DataFrame:
+    """Inner and outer out-of-fold predictions for stacking: every row once per outer fold (column ``outer``).
+
+    A row of fold j gets, under outer fold k, the model fitted without k and without j (j = k: the outer model). All pairs of folds
+    come from one pass: their Grams are the total less one or two folds. The penalty is chosen inside the fitted folds.
+    """
+    gs = gram(df, design_exprs(xs, y), [fold])
+    coefs = {}
+    for k in gs:
+        rest = {j: g for j, g in gs.items() if j != k}
+        for j in gs:
+            own = {i: g for i, g in rest.items() if i != j}
+            sse = np.zeros(len(alphas))
+            for i, g in own.items():
+                for at, w in enumerate(ridge_coefs(total(own) - g, alphas)):
+                    sse[at] += gram_sse(g, w)
+            coefs[k, j] = ridge_coefs(total(own), [alphas[int(sse.argmin())]])[0]
+    long = F.array(*[F.struct(F.lit(k[0]).alias("outer"), predict_by_fold({j: coefs[k, j] for j in gs}, xs, fold).alias(out)) for k in sorted(gs)])
+    return df.select("*", F.inline(long))
+
+
 def ridge_loo(df: DataFrame, y: str, xs: Sequence[str], alphas: Sequence[float], out: str = "pred", fold: str = "fold") -> tuple[DataFrame, dict]:
     """Ridge whose penalty minimises the leave-one-out error of the training rows.
 

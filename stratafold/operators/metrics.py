@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -124,61 +126,59 @@ def gate_counts(df: DataFrame, group: str, split: Column, gate: Column) -> DataF
     return t.withColumns({"train_rate": safe_div("train_pass", "train_n"), "test_rate": safe_div("test_pass", "test_n")})
 
 
-def log_factorial(n) -> Column:
-    """log(n!) by the Stirling series from 10 upward and a literal table below."""
-    import math
+def fisher_exact(a: int, b: int, c: int, d: int, block: int = 1 << 16) -> float:
+    """Two-sided Fisher p of [[a, b], [c, d]]: the share of all tables with these margins that are at most as likely.
 
-    n = col(n).cast("double")
-    z = n + 1.0
-    stirling = (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * F.pow(z, 3)) + 1 / (1260 * F.pow(z, 5))
-    table = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(10)])
-    return F.when(n < 10, F.get(table, n.cast("int"))).otherwise(stirling)
-
-
-FISHER_TERMS = 20_000
+    Probabilities are walked outward from the most likely table by the ratio of neighbours, in blocks of fixed size, until they add
+    nothing to the answer; no factorial is taken and no term is left out.
+    """
+    r1, r2, c1 = a + b, c + d, a + c
+    lo, hi = max(0, c1 - r2), min(r1, c1)
+    if lo == hi:
+        return 1.0
+    mode = min(hi, max(lo, (r1 + 1) * (c1 + 1) // (r1 + r2 + 2)))
+
+    def walk(step: int):
+        """(first place, probabilities relative to the mode) block by block."""
+        k, t, end = mode, 1.0, hi if step > 0 else lo
+        while k != end and t > 0:
+            ks = k + step * np.arange(min(block, abs(end - k)), dtype=np.float64)
+            if step > 0:
+                ratio = (r1 - ks) * (c1 - ks) / ((ks + 1) * (r2 - c1 + ks + 1))
+            else:
+                ratio = ks * (r2 - c1 + ks) / ((r1 - ks + 1) * (c1 - ks + 1))
+            terms = t * np.cumprod(ratio)
+            yield k + step, terms
+            k, t = k + step * len(ks), float(terms[-1])
+
+    seen = 1.0 if a == mode else 0.0
+    step = 1 if a > mode else -1
+    if a != mode:
+        for first, terms in walk(step):
+            if abs(a - first) < len(terms):
+                seen = float(terms[abs(a - first)])
+                break
+    if seen == 0.0:
+        return 0.0  # below the smallest positive number
+    cut, total = seen * (1 + 1e-7), 1.0
+    tail = 1.0 if cut >= 1 else 0.0
+    for step in (1, -1):
+        for _, terms in walk(step):
+            total += float(terms.sum())
+            tail += float(terms[terms <= cut].sum())
+            if terms[-1] < seen * 1e-18:
+                break
+    return min(1.0, tail / total)
 
 
 def fisher_p(a, b, c, d) -> Column:
-    """Two-sided Fisher p of the table [[a, b], [c, d]]: tables at most as likely as the seen one.
+    """``fisher_exact`` of count columns; 1 where a table is empty, NULL where a count is."""
+    @F.pandas_udf("double")
+    def p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        gap = a.isna() | b.isna() | c.isna() | d.isna()
+        return pd.Series([None if g else fisher_exact(*map(int, t)) for g, *t in zip(gap, a, b, c, d)], dtype="float64")
 
-    Exact while the relevant places number at most FISHER_TERMS; beyond that a midpoint sum over stretches of them.
-    """
-    a, b, c, d = (col(x).cast("double") for x in (a, b, c, d))
-    table = F.struct(a.alias("a"), (a + b).alias("r1"), (c + d).alias("r2"), (a + c).alias("c1"), (a + b + c + d).alias("n"))
-
-    def bound(value, use):
-        """``use`` of a value that is computed once per row."""
-        return F.get(F.transform(F.array(value), use), F.lit(0))
-
-    def logp(t, k):
-        return t["whole"] - log_factorial(k) - log_factorial(t["r1"] - k) - log_factorial(t["c1"] - k) - log_factorial(t["r2"] - t["c1"] + k)
-
-    def with_constants(t):
-        whole = log_factorial(t["r1"]) + log_factorial(t["r2"]) + log_factorial(t["c1"]) + log_factorial(t["n"] - t["c1"]) - log_factorial(t["n"])
-        mean = t["r1"] * t["c1"] / t["n"]
-        sd = F.sqrt(F.greatest(mean * (t["n"] - t["c1"]) / t["n"] * t["r2"] / F.greatest(t["n"] - 1, F.lit(1.0)), F.lit(0.0)))
-        first = F.greatest(F.lit(0.0), t["c1"] - t["r2"], F.floor(mean - 9 * sd - 40).cast("double"))
-        last = F.least(t["r1"], t["c1"], F.ceil(mean + 9 * sd + 40).cast("double"))
-        width = F.greatest(F.lit(1.0), F.ceil((last - first + 1) / FISHER_TERMS).cast("double"))
-        return F.struct(*[t[f].alias(f) for f in ("a", "r1", "r2", "c1", "n")], whole.alias("whole"), first.alias("first"), last.alias("last"), width.alias("width"))
-
-    def summed(t):
-        steps = F.sequence(F.lit(0), F.floor((t["last"] - t["first"]) / t["width"]).cast("int"))
-
-        def probability(seen):
-            # all but exp(-40) of the probability lies within nine standard deviations of the mean; the places there number
-            # FISHER_TERMS at most, and on larger tables each stands for a stretch of them (the terms are smooth there)
-            def term(i):
-                left = t["first"] + i.cast("double") * t["width"]
-                span = F.least(t["last"] - left + 1, t["width"])
-                return bound(logp(t, left + (span - 1) / 2), lambda lp: F.when(lp <= seen + 1e-7, F.exp(lp) * span).otherwise(0.0))
-
-            whole = F.aggregate(steps, F.lit(0.0), lambda s, i: s + term(i))
-            return F.least(F.lit(1.0), F.greatest(whole, F.exp(seen)))
-
-        return bound(logp(t, t["a"]), probability)
-
-    return F.when(a + b + c + d > 0, bound(bound(table, with_constants), summed)).otherwise(1.0)
+    return p(*[col(x).cast("long") for x in (a, b, c, d)])
 
 
 def checksums(df: DataFrame, cols: Sequence[str], digits: int = 4) -> DataFrame:

@@ -4,12 +4,15 @@ from pyspark.sql import functions as F
 
 from ..functions.permute import permutation_sql
 from ..functions.scalar import linear
+from ..operators import blend as BL
 from ..operators import compare as C
 from ..operators import gram as G
 from ..operators import joins as J
+from ..operators import metrics as M
 from ..operators import models as MD
 from ..operators import resample as R
 from .fixtures import files, members, rounded, rounded_sql, rows, samples, seq, table, train_rows, variants, with_ctes
+from .fits import two_term
 from .registry import query
 
 _D = "d AS (SELECT *, round((f3 - y) ** 2 - (f2 - y) ** 2, 9) AS d FROM files)"
@@ -201,16 +204,35 @@ def cmp04(spark, sf):
     return rounded(C.full_choice(files(spark, sf), OPTS), 4)
 
 
-@query("cmp05")
+_MEMBERS = {"p1": ["x1"], "p2": ["x4"]}
+_SCREEN = {"c1": {"p1": ["x1", "x2"]}, "c2": {"p2": ["x4", "q1"]}}
+
+
+def _screened(label, member, other, a, b):
+    """SQL rows of one candidate that replaces a member by a two-column fit."""
+    return f"""SELECT '{label}' AS candidate, '{member}' AS member, fold, sqrt(avg(({member} - y) ** 2)) AS base, sqrt(avg((pc - y) ** 2)) - sqrt(avg(({member} - y) ** 2)) AS d_member,
+ sqrt(avg((w_{member} * pc + w_{other} * {other} - y) ** 2)) - sqrt(avg((w_{member} * {member} + w_{other} * {other} - y) ** 2)) AS d_blend,
+ sqrt(avg((v * pc + (1 - v) * {other} - y) ** 2)) - sqrt(avg((w_{member} * {member} + w_{other} * {other} - y) ** 2)) AS d_refit
+ FROM (WITH {two_term('y', a, b, 'true')} SELECT *, my + ca * ({a} - ma) + cb * ({b} - mb) AS pc FROM members JOIN c USING (fold)) z, kept,
+ (SELECT v1 / (v1 + v2) AS v FROM (WITH {two_term('y', a, b, 'true')}, z AS (SELECT *, my + ca * ({a} - ma) + cb * ({b} - mb) AS pc FROM members JOIN c USING (fold)) {_nnls_pair('pc', other, 'z')})) r
+ GROUP BY ALL"""
+
+
+def _nnls_pair(a, b, src):
+    """v1, v2: non-negative least squares of y on two columns, closed form."""
+    return f"""SELECT CASE WHEN u1 >= 0 AND u2 >= 0 THEN u1 WHEN b1 * b1 / a11 >= b2 * b2 / a22 THEN greatest(b1 / a11, 0) ELSE 0 END AS v1,
+ CASE WHEN u1 >= 0 AND u2 >= 0 THEN u2 WHEN b1 * b1 / a11 >= b2 * b2 / a22 THEN 0 ELSE greatest(b2 / a22, 0) END AS v2 FROM (
+ SELECT *, (b1 * a22 - b2 * a12) / (a11 * a22 - a12 * a12) AS u1, (b2 * a11 - b1 * a12) / (a11 * a22 - a12 * a12) AS u2 FROM (
+ SELECT sum({a} * {a}) AS a11, sum({a} * {b}) AS a12, sum({b} * {b}) AS a22, sum({a} * y) AS b1, sum({b} * y) AS b2 FROM {src}))"""
+
+
+@query("cmp05", rounded_sql("members", "candidate, member, fold", f"""
+WITH kept AS (SELECT v1 / (v1 + v2) AS w_p1, v2 / (v1 + v2) AS w_p2 FROM ({_nnls_pair('p1', 'p2', 'members')})),
+u AS ({_screened('c1', 'p1', 'p2', 'x1', 'x2')} UNION ALL {_screened('c2', 'p2', 'p1', 'x4', 'q1')})
+SELECT * FROM u""", 5))
 def cmp05(spark, sf):
-    """Candidate column sets as cross-fitted members, compared fold by fold with the base set."""
-    r = rows(spark, sf)
-    r = G.crossfit_ols(r, "y", ["x1"], "base")
-    for n, xs in {"c1": ["x1", "x4"], "c2": ["x1", "x2", "q1"]}.items():
-        r = G.crossfit_ols(r, "y", xs, n)
-    e = lambda c: F.sqrt(F.avg(F.pow(F.col(c) - F.col("y"), 2)))
-    return rounded(r.groupBy("fold").agg(e("base").alias("base"), (e("c1") - e("base")).alias("d_c1"), (e("c2") - e("base")).alias("d_c2"),
-                                         F.sqrt(F.avg(F.pow((F.col("base") + F.col("c1")) / 2 - F.col("y"), 2))).alias("swapped")))
+    """Candidate column sets put into a blend of two members, all from one Gram."""
+    return rounded(BL.screen_candidates(rows(spark, sf), "y", _MEMBERS, _SCREEN), 5)
 
 
 @query("cmp06", rounded_sql("members", "fold, g, n", """
@@ -240,6 +262,72 @@ def cmp08(spark, sf):
     return c.select("fold", C.slot_class(d, F.lit(5), F.lit(0.0), d, d, F.col("score"), F.col("best"), F.col("rms"), F.col("rms")).alias("cls"))
 
 
+_RECIPES = {"a": ["x1", "x4"], "b": ["x1", "x2"], "c": ["x4", "x3"], "d": ["x1", "x3"], "e": ["x1", "x5"], "f": ["x2", "x3"]}
+
+
+def _recipes_sql(cols, src):
+    return " UNION ALL ".join(f"SELECT {i} AS cand, '{n}' AS candidate, {cols}, {a} AS a, {b} AS b FROM {src}" for i, (n, (a, b)) in enumerate(_RECIPES.items()))
+
+
+@query("cmp08_judge", rounded_sql("members", "candidate, cls, folds_better, place, verdict", f"""
+WITH num AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM members),
+many AS (SELECT y, x1, x2, x3, x4, x5, i, n, split FROM num, (SELECT unnest(range(40)) AS split)),
+pm AS (SELECT split, to_ % 5 AS fold, y, x1, x2, x3, x4, x5 FROM ({permutation_sql('many', 'i', 'n', 'split')})),
+cl AS (SELECT cand * 1000 + split AS rep, fold, y, a, b FROM ({_recipes_sql('split, fold, y', 'pm')})), {_two_term_errors('cl', 'e')},
+bs AS (SELECT split, fold, count(*) AS n, sum(x1) AS sx, sum(y) AS sy, sum(x1 * x1) AS sxx, sum(x1 * y) AS sxy, sum(y * y) AS syy FROM pm GROUP BY split, fold),
+bt AS (SELECT *, sum(n) OVER w - n AS tn, sum(sx) OVER w - sx AS tx, sum(sy) OVER w - sy AS ty, sum(sxx) OVER w - sxx AS txx, sum(sxy) OVER w - sxy AS txy FROM bs WINDOW w AS (PARTITION BY split)),
+bc AS (SELECT *, (txy - tx * ty / tn) / (txx - tx * tx / tn) AS c1 FROM bt), bi AS (SELECT *, (ty - c1 * tx) / tn AS c0 FROM bc),
+bm AS (SELECT split, sum(syy + c0 * c0 * n + c1 * c1 * sxx - 2 * c0 * sy - 2 * c1 * sxy + 2 * c0 * c1 * sx) / sum(n) AS mse FROM bi GROUP BY split),
+rs AS (SELECT rep // 1000 AS cand, avg(rmse * rmse - mse) AS rs_mean, avg(CASE WHEN rmse * rmse - mse >= 0 THEN 1e0 ELSE 0e0 END) AS p_ge0 FROM e JOIN bm ON split = rep % 1000 GROUP BY 1),
+oo AS ({_recipes_sql('id, fold, y, p1 AS base', 'members')}), k AS (SELECT DISTINCT fold FROM members),
+s AS (SELECT cand, k.fold, covar_pop(a, y) AS sa, covar_pop(b, y) AS sb, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS ab, avg(y) AS my, avg(a) AS ma, avg(b) AS mb FROM k JOIN oo ON oo.fold <> k.fold GROUP BY cand, k.fold),
+co2 AS (SELECT cand, fold, (sa * vb - sb * ab) / (va * vb - ab * ab) AS ca, (sb * va - sa * ab) / (va * vb - ab * ab) AS cb, my, ma, mb FROM s),
+d AS (SELECT cand, candidate, id, fold, y, base, my + ca * (a - ma) + cb * (b - mb) AS pred FROM oo JOIN co2 USING (cand, fold)),
+dd AS (SELECT *, round((pred - y) ** 2 - (base - y) ** 2, 9) AS d FROM d),
+per AS (SELECT cand, candidate, avg(d) AS dmse, sqrt(avg((pred - y) ** 2) FILTER (WHERE fold = 4)) AS score, sqrt(avg((base - y) ** 2) FILTER (WHERE fold = 4)) AS best, sqrt(avg((pred - base) ** 2) FILTER (WHERE fold = 4)) AS rms,
+ avg(d) FILTER (WHERE fold = 4) AS m, stddev_samp(d) FILTER (WHERE fold = 4) / sqrt(count(*) FILTER (WHERE fold = 4)) AS sd FROM dd GROUP BY cand, candidate),
+fb AS (SELECT cand, count(*) FILTER (WHERE f < 0) AS folds_better FROM (SELECT cand, fold, sum(d) AS f FROM dd GROUP BY cand, fold) GROUP BY cand),
+dt AS (SELECT cand, avg(d) AS droptop FROM (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY d, id) AS rn FROM dd) WHERE rn > 3 GROUP BY cand),
+j AS (SELECT candidate, dmse, folds_better, p_ge0, rs_mean, droptop, score, best, rms, m / sd AS z FROM per JOIN fb USING (cand) JOIN dt USING (cand) JOIN rs USING (cand)),
+c AS (SELECT *, CASE WHEN rms < 0.25 THEN 'SKIP' WHEN dmse < 0 AND folds_better >= 3 AND p_ge0 <= 0.5 AND score < best THEN 'SAFE' WHEN dmse <= 0.42 AND score <= best + 0.0132 AND rms >= 0.5 THEN 'BOLD'
+ WHEN dmse < 0 AND folds_better >= 3 AND p_ge0 <= 0.5 AND score <= best + 0.0132 AND rs_mean < 0 AND droptop < 0 THEN 'NEAR-TIE(strict)'
+ WHEN dmse < 0 AND folds_better >= 3 AND p_ge0 <= 0.5 AND score <= best + 0.0132 THEN 'NEAR-TIE' ELSE 'no' END AS cls FROM j)
+SELECT candidate, cls, dmse, folds_better, p_ge0, rs_mean, droptop, score, rms, best, CASE WHEN -z >= 0 THEN 1 - tail ELSE tail END AS p_beat,
+ CAST(row_number() OVER (ORDER BY CASE cls WHEN 'SAFE' THEN 0 WHEN 'BOLD' THEN 1 WHEN 'NEAR-TIE(strict)' THEN 2 WHEN 'NEAR-TIE' THEN 2 ELSE 9 END, round(score, 4), dmse, candidate) AS INTEGER) AS place,
+ CASE WHEN dmse < 0 AND folds_better >= 3 AND rs_mean < 0 AND droptop < 0 THEN 'SAFE' WHEN rms >= 0.5 AND dmse <= 0.5 THEN 'BOLD' ELSE 'FAIL' END AS verdict
+FROM (SELECT *, exp(-z * z / 2) / sqrt(2 * pi()) * (t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))) AS tail FROM (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS t FROM c))""", 4))
+def cmp08_judge(spark, sf):
+    """Six recipes against the first member: classes, verdicts and places from cross-fits, re-splits and the last fold."""
+    return rounded(C.judge_recipes(rows(spark, sf), "y", ["x1"], _RECIPES, "id", "g", ~train_rows()), 4)
+
+
+@query("cmp02_folds", rounded_sql("files", "fold, n_changed, better", """
+WITH c AS (SELECT fold, count(*) FILTER (WHERE f3 <> f2) AS n_changed, coalesce(sum((f2 - y) ** 2) FILTER (WHERE f3 <> f2), 0) AS sse_base, coalesce(sum((f3 - y) ** 2) FILTER (WHERE f3 <> f2), 0) AS sse_new,
+ sqrt(avg((f2 - y) ** 2)) AS rmse_base, sqrt(avg((f3 - y) ** 2)) AS rmse_new FROM files GROUP BY fold)
+SELECT *, sse_new - sse_base AS dsse, n_changed > 0 AND sse_new < sse_base AS better FROM c""", 5))
+def cmp02_folds(spark, sf):
+    return rounded(C.fold_report(files(spark, sf), "f3", "f2"), 5)
+
+
+@query("cmp02_top", rounded_sql("files", "place, id", """
+WITH d AS (SELECT id, round((f2 - y) ** 2 - (f3 - y) ** 2, 9) AS gain FROM files), s AS (SELECT sum(greatest(gain, 0)) AS s FROM d)
+SELECT CAST(row_number() OVER (ORDER BY gain DESC, id) AS INTEGER) AS place, id, gain, gain / s AS share FROM d, s ORDER BY gain DESC, id LIMIT 10""", 5))
+def cmp02_top(spark, sf):
+    return rounded(C.top_contributors(files(spark, sf), "f3", "f2", 10), 5)
+
+
+@query("cmp06_views", rounded_sql("members", '"view", n, folds_better', """
+WITH q AS (SELECT quantile_cont(q1, 1 / 3.0) AS a, quantile_cont(q1, 2 / 3.0) AS b FROM members),
+m AS (SELECT fold, y - p1 AS r, 0.5 * (p2 - p1) AS pr, CASE WHEN q1 >= b THEN 2 WHEN q1 >= a THEN 1 ELSE 0 END AS t, g = 'clean' AS c FROM members, q),
+v AS (SELECT 'all' AS "view", * FROM m UNION ALL SELECT 'tercile ' || t, * FROM m UNION ALL SELECT 'clean tercile ' || t, * FROM m WHERE c),
+f AS (SELECT count(*) AS fb FROM (SELECT fold FROM m GROUP BY fold HAVING avg((r - pr) ** 2) < avg(r * r)))
+SELECT "view", count(*) AS n, corr(pr, r) AS corr, sqrt(avg(r * r)) AS before, sqrt(avg((r - pr) ** 2)) AS after, CASE WHEN "view" = 'all' THEN any_value(fb) END AS folds_better FROM v, f GROUP BY "view" """))
+def cmp06_views(spark, sf):
+    m = members(spark, sf)
+    m = m.withColumns({"r": F.col("y") - F.col("p1"), "pr": 0.5 * (F.col("p2") - F.col("p1")), "t": M.tercile(m, "q1")})
+    return rounded(C.probe_report(m, "r", "pr", "t", F.col("g") == "clean"))
+
+
 _LANE = """SELECT {by} count(CASE WHEN abs(f3 - f2) > 1e-9 THEN 1 END) AS rows, avg((abs(f3 - f2) > 1e-9)::INT) AS f, sqrt(avg(CASE WHEN abs(f3 - f2) > 1e-9 THEN (f3 - f2) ** 2 END)) AS c,
  avg(CASE WHEN abs(f3 - f2) > 1e-9 THEN (y - f2) ** 2 END) AS mse_r, avg((f3 - y) ** 2 - (f2 - y) ** 2) / 22 AS delta, stddev_pop((f3 - y) ** 2 - (f2 - y) ** 2) / sqrt(count(*)) / 22 AS sd_tr FROM files {grp}"""
 _LANE2 = """SELECT {by} rows, f, c, mse_r, delta, sd_tr, 8.66 * c * sqrt(f / mse_r) AS ratio, 0.7 * 1.029 * sd_tr AS bias,

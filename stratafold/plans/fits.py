@@ -317,6 +317,22 @@ def fit24(spark, sf):
     return rounded(B.pooled_predictions(d, "pred", unit_weight()))
 
 
+@query("fit24_nested", rounded_sql("", "id, outer_fold", """
+WITH e AS (SELECT vec_id AS id, CAST(label AS DOUBLE) AS y, CAST((dense_rank() OVER (ORDER BY vec_id) - 1) % 5 AS INTEGER) AS fold FROM embeddings),
+px AS (SELECT vec_id AS id, CAST((i - 1) // 8 AS INTEGER) AS y, CAST((i - 1) % 8 AS INTEGER) AS x, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i)),
+b AS (SELECT id, y // 2 AS by_, x // 2 AS bx, avg(v) AS meas, max(v) AS ctx FROM px GROUP BY ALL), u AS (SELECT b.*, e.y AS target, fold FROM b JOIN e USING (id)),
+k AS (SELECT a.fold AS o, c.fold AS j FROM (SELECT DISTINCT fold FROM e) a, (SELECT DISTINCT fold FROM e) c),
+s AS (SELECT o, j, regr_slope(target, meas) AS c1, regr_intercept(target, meas) AS c0 FROM k JOIN u ON u.fold <> o AND u.fold <> j GROUP BY o, j),
+p AS (SELECT id, o, c0 + c1 * meas AS pred, greatest(ctx, 0.05) AS w FROM u JOIN s ON s.j = u.fold)
+SELECT id, o AS outer_fold, avg(pred) AS mil_mean, sum(w * pred) / sum(w) AS mil_wmean FROM p GROUP BY id, o"""))
+def fit24_nested(spark, sf):
+    """Inner and outer block predictions pooled per entity under every outer fold, for stacking."""
+    e = vector_views(spark, sf).select("id", "y", "fold")
+    d = L.nested_predictions(blocks(spark, sf).join(e, "id"), "y", ["meas"], [0.0])
+    d = d.groupBy("id", F.col("outer").alias("outer_fold")).agg(F.avg("pred").alias("mil_mean"), (F.sum(unit_weight() * F.col("pred")) / F.sum(unit_weight())).alias("mil_wmean"))
+    return rounded(d)
+
+
 @query("fit25")
 def fit25(spark, sf):
     return rounded(SP.random_features(blocks(spark, sf), "id", ["meas", "ctx"], unit_weight(), 8, 0.2))

@@ -1,5 +1,7 @@
 """Raster and component queries on 8 x 8 images."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import blocks as B
@@ -353,6 +355,32 @@ def ras28(spark, sf):
     return rounded(R.chord_stats(mask(spark, sf), F.col("m")))
 
 
+_ANGLES = {0: 0.0, 45: math.pi / 4, 27: 27 * math.pi / 180}
+
+
+def _chords_sql(name, angle, tag):
+    c, s = repr(math.cos(angle)), repr(math.sin(angle))
+    return f"""SELECT '{name}' AS axis, '{tag}' AS tag, img, line, bool_and(m) AS m, count(*) AS len, min(t) = any_value(a) OR max(t) = any_value(b) AS open FROM (
+ SELECT *, sum(c) OVER (PARTITION BY img, line ORDER BY t) AS r, min(t) OVER (PARTITION BY img, line) AS a, max(t) OVER (PARTITION BY img, line) AS b FROM (
+ SELECT *, CASE WHEN m = lag(m) OVER (PARTITION BY img, line ORDER BY t) THEN 0 ELSE 1 END AS c FROM (
+ SELECT img, g.l AS line, g.t AS t, m FROM (SELECT a.t, b.l FROM (SELECT unnest(range(-12, 13)) AS t) a, (SELECT unnest(range(-12, 13)) AS l) b) g
+ JOIN mask ON mask.x = CAST(floor(g.t * {c} - g.l * {s} + 0.5) AS INTEGER) AND mask.y = CAST(floor(g.t * {s} + g.l * {c} + 0.5) AS INTEGER)))) GROUP BY img, line, r"""
+
+
+@query("ras28_axes", rounded_sql("mask", "img, axis", "WITH r AS (" + " UNION ALL ".join(
+    _chords_sql(n, a + turn, tag) for n, a in _ANGLES.items() for tag, turn in (("par", 0.0), ("perp", math.pi / 2))) + """),
+s AS (SELECT img, CAST(axis AS INTEGER) AS axis, """ + ", ".join(
+    f"avg(len) FILTER (WHERE tag = '{t}' AND m AND NOT open) AS chord_{t}, median(len) FILTER (WHERE tag = '{t}' AND m AND NOT open) AS chord_{t}_med, "
+    f"avg(len) FILTER (WHERE tag = '{t}' AND NOT m AND NOT open) AS gap_{t}, count(*) FILTER (WHERE tag = '{t}' AND m AND NOT open) * 1000 / sum(len) FILTER (WHERE tag = '{t}') AS nchord_{t}"
+    for t in ("par", "perp")) + """ FROM r GROUP BY img, axis)
+SELECT *, chord_par / chord_perp AS chord_aspect FROM s"""))
+def ras28_axes(spark, sf):
+    """Chords at 0, 45 and 27 degrees and across each."""
+    m = mask(spark, sf)
+    parts = [R.chords(m, F.col("m"), a).withColumn("axis", F.lit(n)) for n, a in _ANGLES.items()]
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
 @query("ras29", with_ctes("labelmap", f"""
 WITH {_PIECES}, sz AS (SELECT img, piece, count(*) AS n FROM pieces GROUP BY img, piece),
 ct AS (SELECT pa.img, l1, l2, count(*) AS c FROM pa JOIN sz a ON a.img = pa.img AND a.piece = l1 JOIN sz b ON b.img = pa.img AND b.piece = l2 WHERE l1 <> l2 AND a.n < 3 AND b.n >= 3 GROUP BY 1, 2, 3),
