@@ -38,6 +38,7 @@ SLICE = 1 << 20
 NONE = -(1 << 63)
 FLUSH_ROWS, FLUSH_BYTES = 1 << 17, 8 << 20
 ROWS = 256  # texts that are Python objects at a time
+PARTS = 3  # groups of grams for each shuffle partition: a task sorts the contexts of one group at a time
 
 
 def _slices(batches):
@@ -113,7 +114,7 @@ def sampled(docs: DataFrame, parts: int) -> DataFrame:
             for p in rows:
                 i = by[at[p] : at[p + 1]]
                 m = np.array([len(i)], "<i8")
-                blobs.append(_squeeze(m, np.diff(d[i], prepend=0).astype("<i8"), h[i].astype("<u8"), k[i].astype("<i4"), q[i].astype("<i4")))
+                blobs.append(_squeeze(m, np.diff(d[i], prepend=0).astype("<i8"), h[i].astype("<u8"), k[i].astype("<i8"), q[i].astype("<i4")))
             return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
         for b in _slices(batches):
@@ -152,8 +153,8 @@ def shared_samples(packed: DataFrame, parts: int) -> DataFrame:
     def read(blob):
         raw = _expand(blob)
         m = int(np.frombuffer(raw, "<i8", 1)[0])
-        return (np.cumsum(np.frombuffer(raw, "<i8", m, 8)), np.frombuffer(raw, "<u8", m, 8 + 8 * m), np.frombuffer(raw, "<i4", m, 8 + 16 * m),
-                np.frombuffer(raw, "<i4", m, 8 + 20 * m))
+        return (np.cumsum(np.frombuffer(raw, "<i8", m, 8)), np.frombuffer(raw, "<u8", m, 8 + 8 * m), np.frombuffer(raw, "<i8", m, 8 + 16 * m),
+                np.frombuffer(raw, "<i4", m, 8 + 24 * m))
 
     def run(batches):
         for _, blobs in _by_part(batches):
@@ -167,23 +168,24 @@ def shared_samples(packed: DataFrame, parts: int) -> DataFrame:
             d, k, q = d[often], k[often], q[often]
             first = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (k[1:] != k[:-1])))
             lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(d)), pa.int32()), pa.array(q, pa.int32()))
-            whole = pa.RecordBatch.from_arrays([pa.array(d[first]), pa.array(k[first], pa.int32()), lists], ["d", "k", "at"])
+            whole = pa.RecordBatch.from_arrays([pa.array(d[first]), pa.array(k[first], pa.int64()), lists], ["d", "k", "at"])
             for lo in range(0, whole.num_rows, 20_000):
                 yield whole.slice(lo, 20_000)
 
     rows = packed.repartition(parts, "part").sortWithinPartitions("part")
-    found = rows.mapInArrow(run, "d long, k int, at array<int>")
-    return found.groupBy("d", "k").agg(F.flatten(F.collect_list("at")).alias("at"))  # at most the samples of one document
+    found = rows.mapInArrow(run, "d long, k long, at array<int>")
+    # rows that repeat identifier and text send the same places; each is kept once, so n such rows stay n rows of one list
+    return found.groupBy("d", "k").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
 
 
 NAMES = ["d", "k", "lo", "hi", "part", "blob"]
-KINDS = "d long, k int, lo long, hi long, part int, blob binary"
+KINDS = "d long, k long, lo long, hi long, part int, blob binary"
 
 
 def _intervals(rows: list[tuple]):
     cols = list(zip(*rows)) or [()] * 4
     n = len(rows)
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()),
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()),
                                        pa.array(np.arange(n) % 997, pa.int32()), pa.nulls(n, pa.binary())], NAMES)
 
 
@@ -207,7 +209,7 @@ def contexts(docs: DataFrame, parts: int) -> DataFrame:
                 blobs.append(_squeeze(np.array([len(c)], "<i8"), head, np.frombuffer(b"".join(t for t, _, _ in c), np.uint8)))
             seen.clear()
             none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.nulls(len(rows), pa.int32()), none, none, pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], NAMES)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], NAMES)
             if known:
                 yield _intervals(known)
 
@@ -304,7 +306,7 @@ def covered(rows: DataFrame, parts: int) -> DataFrame:
         least, most = repeated_windows(text, start, head[:, 0], head[:, 1])
         found = np.flatnonzero((most >= 0) & (head[:, 4] >= 0))
         x = head[found, 4] + head[found, 1]
-        return pa.RecordBatch.from_arrays([pa.array(head[found, 2]), pa.array(head[found, 3].astype(np.int32)), pa.array(x - most[found]),
+        return pa.RecordBatch.from_arrays([pa.array(head[found, 2]), pa.array(head[found, 3]), pa.array(x - most[found]),
                                            pa.array(x + LENGTH - least[found])], ["d", "k", "lo", "hi"])
 
     def run(batches):
@@ -333,7 +335,7 @@ def covered(rows: DataFrame, parts: int) -> DataFrame:
             yield solve(held)
 
     dealt = rows.repartition(parts, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(run, "d long, k int, lo long, hi long")
+    return dealt.mapInArrow(run, "d long, k long, lo long, hi long")
 
 
 def cut_out(docs: DataFrame) -> DataFrame:
@@ -364,11 +366,11 @@ def cut_out(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): every document with the bytes that remain."""
-    parts = partitions(docs.sparkSession)
-    d = pick(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("d"), F.hash("text").alias("k"), text_or_empty().alias("text"))
+    parts = PARTS * partitions(docs.sparkSession)
+    d = pick(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("d"), F.xxhash64("text").alias("k"), text_or_empty().alias("text"))
     shared = shared_samples(sampled(d.select("d", "k", "text"), parts), parts)
     found = contexts(d.join(shared, ["d", "k"]).select("d", "k", "text", "at"), parts)
-    ranges = covered(found, parts).groupBy("d", "k").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    ranges = covered(found, parts).groupBy("d", "k").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     out = d.join(ranges, ["d", "k"], "left").select(F.when(F.col("d") != NONE, F.col("d")).alias("doc_id"), "text", "ranges")
     return cut_out(out)
 

@@ -295,3 +295,16 @@ def test_lines_of_awkward_rows(docs):
 @pytest.mark.parametrize("op", [exact_dedup.exact_dedup, ngram_join.near_groups, suffix_dedup.digest, line_dedup.digest])
 def test_empty_table(spark, op):
     assert op(nasty.empty(spark)).count() == 0
+
+
+def test_repeated_rows_of_suffixes_send_each_place_once(spark):
+    """A thousand equal rows: every row is a repeat of the others, and the joined lists stay as long as one row's."""
+    t = nasty.prose(11, 120)
+    n = 1000
+    d = spark.createDataFrame([(7, t)] * n + [(8, "unlike " * 3)], "doc_id long, text string").repartition(4)
+    packed = suffix_dedup.sampled(d.selectExpr("doc_id as d", "xxhash64(text) as k", "text"), 4)
+    shared = suffix_dedup.shared_samples(packed, 4).collect()
+    one = {int(q) for q in suffix_dedup.samples(np.frombuffer(t.encode(), np.uint8))[1]}
+    assert len(shared) == 1 and len(shared[0].at) == len(one)
+    got = suffix_dedup.remove_repeats(d).collect()
+    assert sum(r.n_removed == len(t.encode()) and r.n_spans == 1 for r in got) == n and len(got) == n + 1
