@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ranks import null_safe_join
 from ..functions.scalar import add_all, clip, col
 from .metrics import safe_corr, safe_div
 
@@ -512,8 +513,8 @@ def boundary_depth(px: DataFrame, label: str, floor: float, least: int) -> DataF
     return g.select("img", F.when(F.col("nb") > least, 1 - F.col("med")).alias("bd_depth"), F.when(F.col("nn") > least, F.col("w")).alias("bd_width"), "bd_line_frac")
 
 
-def interior_texture(px: DataFrame, label: str, dark_below: float) -> DataFrame:
-    """Texture of each region (sd, MAD of the local residual, band energy), summarised by phase."""
+def region_texture(px: DataFrame, label: str, dark_below: float) -> DataFrame:
+    """Texture of each region of two pixels or more: sd, MAD of the local residual, band energy, level, size and dark flag."""
     b = smooth(px, gaussian_kernel(0.7, 2)).withColumnRenamed("v", "b1")
     c = smooth(px, gaussian_kernel(2.0, 3)).withColumnRenamed("v", "b2")
     box = smooth(px, [1 / 3] * 3).withColumnRenamed("v", "bx")
@@ -524,10 +525,79 @@ def interior_texture(px: DataFrame, label: str, dark_below: float) -> DataFrame:
     dev = F.array_sort(F.transform("l", lambda v: F.abs(v - F.col("m"))))
     n = F.size("l")
     mad = 1.4826 * (F.get(dev, F.floor((n - 1) / 2).cast("int")) + F.get(dev, F.ceil((n - 1) / 2).cast("int"))) / 2
-    r = r.where("n >= 2").withColumns({"lap": mad, "dk": F.col("lvl") < dark_below})
+    return r.where("n >= 2").withColumns({"lap": mad, "dk": F.col("lvl") < dark_below}).drop("l", "m")
+
+
+def interior_texture(px: DataFrame, label: str, dark_below: float) -> DataFrame:
+    """The texture of the regions summarised by phase."""
+    r = region_texture(px, label, dark_below)
     out = []
     for name in ("lap", "std", "band"):
         lm = F.log(F.greatest(F.col(name), F.lit(1e-6)))
         for ph, m in (("dk", F.col("dk")), ("mx", ~F.col("dk"))):
             out += [F.percentile(F.when(m, lm), 0.5).alias(f"tx_{name}_{ph}_med"), F.stddev_pop(F.when(m, lm)).alias(f"tx_{name}_{ph}_sd")]
     return r.groupBy("img").agg(*out)
+
+
+def grouped_rank_correlation(df: DataFrame, keys: Sequence[str], a: str, b: str, name: str, least: int = 3) -> DataFrame:
+    """Spearman correlation of two columns inside each group; NULL below ``least`` rows or without spread."""
+    from ..functions.ranks import average_ranks
+
+    d = average_ranks(average_ranks(df.select(*keys, a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()), keys, a, "_ra"), keys, b, "_rb")
+    return d.groupBy(*keys).agg(F.when(F.count(F.lit(1)) >= least, safe_corr("_ra", "_rb")).alias(name))
+
+
+def _spread(values: DataFrame, terms: Sequence[str], by: str = "measure") -> DataFrame:
+    """Rows (img, measure, dk, value, size and more) as one row per image: interquartile range, rank correlation with each term."""
+    keys = ["img", by, "dk"]
+    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)))
+    g = values.groupBy(*keys).agg(F.percentile("value", 0.5).alias("med"), F.stddev_pop("value").alias("sd"), (q[1] - q[0]).alias("iqr"))
+    for t in terms:
+        g = null_safe_join(g, grouped_rank_correlation(values, keys, "value", t, f"rho_{t}"), keys, "left")
+    return g
+
+
+def texture_spread(px: DataFrame, label: str, dark_below: float) -> DataFrame:
+    """Per image: spread of the regions' log textures inside each phase, their rank correlation with size and level, and the gap of
+    the phases' medians."""
+    names = ("lap", "std", "band")
+    r = region_texture(px, label, dark_below)
+    long = r.select("img", "dk", F.col("n").cast("double").alias("size"), F.round("lvl", 9).alias("lvl"), F.inline(F.array(*[
+        F.struct(F.lit(c).alias("measure"), F.round(F.log(F.greatest(F.col(c), F.lit(1e-6))), 9).alias("value")) for c in names])))
+    g = _spread(long, ("size", "lvl"))
+    pick = lambda c, n, dk: F.max(F.when((F.col("measure") == n) & (F.col("dk") == dk), F.col(c)))
+    out = [pick(c, n, dk).alias(f"tx_{n}_{'dk' if dk else 'mx'}_{c}") for n in names for dk in (True, False) for c in ("iqr", "rho_size", "rho_lvl")]
+    return g.groupBy("img").agg(*out, *[(pick("med", n, True) - pick("med", n, False)).alias(f"tx_{n}_dkmx") for n in names])
+
+
+def border_bands(px: DataFrame, label: str, widest: int = 2) -> DataFrame:
+    """Adds ``band``: 0 on pixels beside another label, then the steps of a disk away from those, up to ``widest``."""
+    other = [F.coalesce(F.col(label) != f(label).over(w), F.lit(False)) for w in (row_line(), col_line()) for f in (F.lead, F.lag)]
+    d = px.withColumn("_b0", (other[0] | other[1] | other[2] | other[3]).cast("int"))
+    for k in range(1, widest):
+        d = disk_filter(d, "_b0", k, "max", f"_b{k}")
+    band = F.lit(widest)
+    for k in reversed(range(widest)):
+        band = F.when(F.col(f"_b{k}") == 1, k).otherwise(band)
+    return d.withColumn("band", band).drop(*[f"_b{k}" for k in range(widest)])
+
+
+def boundary_contrast(px: DataFrame, label: str, dark_below: float) -> DataFrame:
+    """Per image: how far the border band of a region lies below its inside (median, sd, interquartile range, rank correlation with
+    size, by phase), and the step across the borders between two labels (mean over a border, median and range over borders)."""
+    from .joins import adjacency
+
+    d = px.join(smooth(px, gaussian_kernel(1.0, 2)).withColumnRenamed("v", "g1"), ["img", "y", "x"])
+    d = border_bands(d, label)
+    r = d.groupBy("img", label).agg(F.avg("v").alias("lvl"), F.count(F.lit(1)).cast("double").alias("size"), F.avg(F.when(F.col("band") == 0, F.col("g1"))).alias("edge"),
+                                    F.percentile(F.when(F.col("band") > 0, F.col("g1")), 0.5).alias("inside"))
+    r = r.select("img", (F.col("lvl") < dark_below).alias("dk"), "size", F.lit("bc").alias("measure"), F.round(F.col("inside") - F.col("edge"), 9).alias("value")).where("value is not null")
+    g = _spread(r, ("size",))
+    pick = lambda c, dk: F.max(F.when(F.col("dk") == dk, F.col(c)))
+    own = g.groupBy("img").agg(*[pick(c, dk).alias(f"bc_{'dk' if dk else 'mx'}_{c}") for dk in (True, False) for c in ("med", "sd", "iqr", "rho_size")])
+    pair = adjacency(px.withColumn("_s", F.struct(label, "v")), "_s").where(F.col(f"l1.{label}") != F.col(f"l2.{label}"))
+    ends = [F.least(F.col(f"l1.{label}"), F.col(f"l2.{label}")).alias("a"), F.greatest(F.col(f"l1.{label}"), F.col(f"l2.{label}")).alias("b")]
+    step = pair.select("img", *ends, F.abs(F.col("l1.v") - F.col("l2.v")).alias("s")).groupBy("img", "a", "b").agg(F.avg("s").alias("s"))
+    q = F.percentile("s", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    step = step.groupBy("img").agg(F.count(F.lit(1)).alias("n_borders"), q[1].alias("step_med"), (q[2] - q[0]).alias("step_iqr"))
+    return px.select("img").distinct().join(own, "img", "left").join(step, "img", "left")

@@ -417,6 +417,46 @@ def agg53(spark, sf):
     return rounded(R.interior_texture(labelmap(spark, sf), "lab", 0.0), 5)
 
 
+_RHO = "rank() OVER (PARTITION BY img, measure, dk ORDER BY {0}) + (count(*) OVER (PARTITION BY img, measure, dk, {0}) - 1) / 2.0"
+
+
+def _by_phase(prefix, measure, terms):
+    return ", ".join(f"max({c}) FILTER (WHERE measure = '{measure}' AND {'' if p == 'dk' else 'NOT '}dk) AS {prefix}_{p}_{c}" for p in ("dk", "mx") for c in terms)
+
+
+@query("agg53_spread", rounded_sql("labelmap", "img", f"""
+WITH {smooth_cte('b1', R.gaussian_kernel(0.7, 2), 'labelmap')}, {smooth_cte('b2', R.gaussian_kernel(2.0, 3), 'labelmap')}, {smooth_cte('bx', K3, 'labelmap')},
+d AS (SELECT l.img, lab, l.v, l.v - bx.v AS lap, b1.v - b2.v AS band FROM labelmap l JOIN b1 USING (img, y, x) JOIN b2 USING (img, y, x) JOIN bx USING (img, y, x)),
+r AS (SELECT img, lab, count(*) AS size, round(avg(v), 9) AS lvl, avg(v) < 0 AS dk, stddev_pop(v) AS std, sqrt(avg(band * band)) AS band, median(lap) AS m FROM d GROUP BY img, lab HAVING count(*) >= 2),
+n AS (SELECT img, lab, {_mad('lap', 'm')} AS lap FROM d JOIN r USING (img, lab) GROUP BY img, lab),
+t AS (SELECT img, dk, size, lvl, unnest(['lap', 'std', 'band']) AS measure, unnest([lap, std, band]) AS raw FROM r JOIN n USING (img, lab)),
+v AS (SELECT *, round(ln(greatest(raw, 1e-6)), 9) AS value FROM t),
+k AS (SELECT *, {_RHO.format('value')} AS rv, {_RHO.format('size')} AS rs, {_RHO.format('lvl')} AS rl FROM v),
+g AS (SELECT img, measure, dk, median(value) AS med, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr, CASE WHEN count(*) >= 3 AND var_pop(rs) > 0 AND var_pop(rv) > 0 THEN corr(rv, rs) END AS rho_size,
+ CASE WHEN count(*) >= 3 AND var_pop(rl) > 0 AND var_pop(rv) > 0 THEN corr(rv, rl) END AS rho_lvl FROM k GROUP BY img, measure, dk)
+SELECT img, """ + ", ".join(_by_phase(f"tx_{m}", m, ("iqr", "rho_size", "rho_lvl")) + f", max(med) FILTER (WHERE measure = '{m}' AND dk) - max(med) FILTER (WHERE measure = '{m}' AND NOT dk) AS tx_{m}_dkmx"
+                                for m in ("lap", "std", "band")) + " FROM g GROUP BY img", 5))
+def agg53_spread(spark, sf):
+    return rounded(R.texture_spread(labelmap(spark, sf), "lab", 0.0), 5)
+
+
+@query("agg53_border", rounded_sql("labelmap", "img, n_borders", f"""
+WITH {smooth_cte('b1', R.gaussian_kernel(1.0, 2), 'labelmap')},
+e AS (SELECT img, y, x, lab, v, coalesce(lab <> lead(lab) OVER r, false) OR coalesce(lab <> lag(lab) OVER r, false) OR coalesce(lab <> lead(lab) OVER c, false) OR coalesce(lab <> lag(lab) OVER c, false) AS edge
+ FROM labelmap WINDOW r AS (PARTITION BY img, y ORDER BY x), c AS (PARTITION BY img, x ORDER BY y)),
+rg AS (SELECT e.img, lab, avg(e.v) < 0 AS dk, count(*) AS size, round(median(b1.v) FILTER (WHERE NOT edge) - avg(b1.v) FILTER (WHERE edge), 9) AS value, 'bc' AS measure FROM e JOIN b1 USING (img, y, x) GROUP BY e.img, lab),
+k AS (SELECT *, {_RHO.format('value')} AS rv, {_RHO.format('size')} AS rs FROM rg WHERE value IS NOT NULL),
+g AS (SELECT img, measure, dk, median(value) AS med, stddev_pop(value) AS sd, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr,
+ CASE WHEN count(*) >= 3 AND var_pop(rs) > 0 AND var_pop(rv) > 0 THEN corr(rv, rs) END AS rho_size FROM k GROUP BY img, measure, dk),
+o AS (SELECT img, {_by_phase('bc', 'bc', ('med', 'sd', 'iqr', 'rho_size'))} FROM g GROUP BY img),
+ad AS (SELECT img, lab AS l1, v AS v1, unnest([lead(lab) OVER r, lead(lab) OVER c]) AS l2, unnest([lead(v) OVER r, lead(v) OVER c]) AS v2 FROM labelmap WINDOW r AS (PARTITION BY img, y ORDER BY x), c AS (PARTITION BY img, x ORDER BY y)),
+st AS (SELECT img, least(l1, l2) AS a, greatest(l1, l2) AS b, avg(abs(v1 - v2)) AS s FROM ad WHERE l1 <> l2 GROUP BY ALL),
+sg AS (SELECT img, count(*) AS n_borders, median(s) AS step_med, quantile_cont(s, 0.75) - quantile_cont(s, 0.25) AS step_iqr FROM st GROUP BY img)
+SELECT i.img, o.* EXCLUDE (img), n_borders, step_med, step_iqr FROM (SELECT DISTINCT img FROM labelmap) i LEFT JOIN o ON o.img = i.img LEFT JOIN sg ON sg.img = i.img""", 5))
+def agg53_border(spark, sf):
+    return rounded(R.boundary_contrast(labelmap(spark, sf), "lab", 0.0), 5)
+
+
 @query("agg56", rounded_sql("labelmap", "img", """
 WITH l AS (SELECT *, (coalesce(lab <> lead(lab) OVER (PARTITION BY img, y ORDER BY x), false) OR coalesce(lab <> lead(lab) OVER (PARTITION BY img, x ORDER BY y), false))::INT AS line FROM labelmap),
 h AS (SELECT p.img, p.y, p.x, any_value(p.v) AS v, any_value(p.line) AS line, max(n.v) AS hi, max(CASE WHEN (n.y - p.y) ** 2 + (n.x - p.x) ** 2 <= 1 THEN n.line END) AS near
