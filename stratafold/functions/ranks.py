@@ -108,28 +108,27 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, weight=None, thi
     return running_sums(pre, keys, [value], {"n": F.col("n"), "w": F.col("w")}, thin)
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], thin: int | None = None) -> DataFrame:
-    """Exact linear-interpolation quantiles per group (one row per group)."""
-    r = value_ranks(df, keys, value, thin=thin)
+def quantile_terms(value: Column, probs: dict[str, float]) -> tuple[list[Column], list[Column]]:
+    """Aggregates over ``value_ranks`` rows and the expressions that turn them into linear-interpolation quantiles of ``value``, a
+    rising function of the ranked column. Several functions share one ranking this way."""
 
     def stat(k: Column) -> Column:
         inside = (F.col("n_before") <= k) & (k < F.col("n_before") + F.col("n"))
-        return F.max(F.when(inside, F.col(value)))
+        return F.max(F.when(inside, value))
 
-    parts = []
+    parts, out = [], []
     for name, p in probs.items():
         pos = F.lit(float(p)) * (F.col("n_total") - 1)
-        parts += [
-            stat(F.floor(pos)).alias(f"_lo_{name}"),
-            stat(F.ceil(pos)).alias(f"_hi_{name}"),
-            F.max(pos - F.floor(pos)).alias(f"_fr_{name}"),
-        ]
-    g = r.groupBy(*keys).agg(F.max("n_total").alias("n_total"), *parts)
-    return g.select(
-        *keys,
-        "n_total",
-        *[(F.col(f"_lo_{n}") + F.col(f"_fr_{n}") * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n) for n in probs],
-    )
+        parts += [stat(F.floor(pos)).alias(f"_lo_{name}"), stat(F.ceil(pos)).alias(f"_hi_{name}"), F.max(pos - F.floor(pos)).alias(f"_fr_{name}")]
+        out.append((F.col(f"_lo_{name}") + F.col(f"_fr_{name}") * (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))).alias(name))
+    return parts, out
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], thin: int | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles per group (one row per group)."""
+    parts, out = quantile_terms(F.col(value), probs)
+    g = value_ranks(df, keys, value, thin=thin).groupBy(*keys).agg(F.max("n_total").alias("n_total"), *parts)
+    return g.select(*keys, "n_total", *out)
 
 
 def global_quantiles(df: DataFrame, value: str, probs: Sequence[float], thin: int | None = None) -> list[float]:

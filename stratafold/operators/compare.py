@@ -164,6 +164,19 @@ def lane(df: DataFrame, new: str, base: str, y: str, looked_at: int, by: Sequenc
     return g.withColumns({"lane": name, "strict": tot <= -F.col("sd_tr")})
 
 
+def step_table(df: DataFrame, steps: Sequence[tuple[str, str, int]], y: str, seen: Column, scale: float = 22.0) -> DataFrame:
+    """The lane of every step (base, new, variants looked at) from the rows not ``seen``, beside what the seen rows then showed: their
+    change, its error and its distance to the forecast. All steps share one pass."""
+    pairs = F.array(*[F.struct(F.lit(f"{a}->{b}").alias("step"), F.lit(n).alias("looked_at"), F.col(a).cast("double").alias("_b"), F.col(b).cast("double").alias("_n")) for a, b, n in steps])
+    d = df.select(F.col(y).alias("_y"), seen.alias("_seen"), F.inline(pairs)).withColumn("_d", loss_change("_n", "_b", "_y"))
+    table = None
+    for a, b, n in steps:
+        one = lane(d.where(~F.col("_seen") & (F.col("step") == f"{a}->{b}")), "_n", "_b", "_y", n, ["step"], scale)
+        table = one if table is None else table.unionByName(one)
+    pub = d.where("_seen").groupBy("step").agg((F.avg("_d") / scale).alias("shown"), (F.stddev_pop("_d") / F.sqrt(F.count(F.lit(1))) / scale).alias("sd_shown"))
+    return table.join(pub, "step").withColumn("z", safe_div(F.col("shown") - F.col("delta"), "sd_shown"))
+
+
 def expected_public_change(train: DataFrame, test: DataFrame, new: str, base: str, y: str, stratum: str, share: float, shrink: float = 0.47) -> DataFrame:
     """Expected score change: training rows' gain per stratum (hypothesis) against a pure-noise change (null)."""
     dse = loss_change(new, base, y)
@@ -223,6 +236,54 @@ def run_pick(scores: DataFrame, run: str, metrics: dict[str, float], base: Seque
     return scores.where(~F.col(run).isin(list(base))).withColumn("qualifies", ok)
 
 
+def picked(qualified: DataFrame, run: str, metric: str) -> DataFrame:
+    """The pick among runs with bars (``run_pick``): the run with the best first metric (ties: later name), if it qualifies, else none."""
+    best = qualified.agg(F.max(F.struct(F.col(metric), F.col(run), F.col("qualifies"))).alias("b"), F.count(F.lit(1)).alias("runs"), F.sum(F.col("qualifies").cast("bigint")).alias("qualifying"))
+    return best.select(F.when(F.col("b.qualifies"), F.col(f"b.{run}")).otherwise("none").alias("pick"), "runs", F.coalesce("qualifying", F.lit(0)).cast("bigint").alias("qualifying"))
+
+
+def composite_fidelity(df: DataFrame, y: str, terms: Sequence[str], variants: dict[str, dict[str, str]]) -> DataFrame:
+    """How well variants of the terms of a linear formula reproduce it: (variant, corr, rmse, bias, term_corr, columns, chosen).
+
+    The formula is fitted on the original terms and then fed each variant's columns; the ``composite`` takes for every term the
+    variant that follows it best. All figures are quadratic forms of one Gram of all columns.
+    """
+    from .gram import gram, solve, total
+
+    cols = list(dict.fromkeys([*terms, *(c for v in variants.values() for c in v.values())]))
+    g = total(gram(df, [F.lit(1.0), *cols, y]))
+    n = g[0, 0]
+    pos = [0, *[1 + cols.index(t) for t in terms], len(cols) + 1]
+    beta = solve(g[np.ix_(pos, pos)])
+
+    def vector(columns: Sequence[str]) -> np.ndarray:
+        v = np.zeros(len(g))
+        v[0] = beta[0]
+        for b, c in zip(beta[1:], columns):
+            v[1 + cols.index(c)] += b
+        return v
+
+    def unit(c: str) -> np.ndarray:
+        return np.eye(len(g))[1 + cols.index(c)]
+
+    def corr(a: np.ndarray, b: np.ndarray) -> float:
+        cov = lambda p, q: p @ g @ q / n - (g[0] @ p) * (g[0] @ q) / n / n
+        return float(cov(a, b) / np.sqrt(cov(a, a) * cov(b, b)))
+
+    whole = vector(terms)
+    own = {name: {t: corr(unit(v[t]), unit(t)) for t in terms} for name, v in variants.items()}
+    best = {t: max((own[name][t], name) for name in variants)[1] for t in terms}
+    sets = {**variants, "composite": {t: variants[best[t]][t] for t in terms}}
+    own["composite"] = {t: own[best[t]][t] for t in terms}
+    rows = []
+    for name, v in sets.items():
+        f = vector([v[t] for t in terms])
+        e = f - whole
+        rows.append((name, corr(f, whole), float(np.sqrt(max(e @ g @ e, 0.0) / n)), float(g[0] @ e / n), [own[name][t] for t in terms], ",".join(v[t] for t in terms)))
+    top = max(rows, key=lambda r: r[1])[0]
+    return df.sparkSession.createDataFrame([(*r, r[0] == top) for r in rows], "variant string, corr double, rmse double, bias double, term_corr array<double>, columns string, chosen boolean")
+
+
 def recipe_choice(build: Callable[[DataFrame, str], DataFrame], df: DataFrame, options: Sequence[str], y: str = "y", fold: str = "fold") -> tuple[DataFrame, dict]:
     """Nested choice among recipes: ``build(df, option)`` adds the option's out-of-fold column, named after it."""
     for o in options:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranks import quantiles, running_sums, value_ranks
+from ..functions.ranks import quantile_terms, quantiles, running_sums, value_ranks
 from ..functions.scalar import col, digitize
 from .joins import grid_field, radius_pair_sums
 from .metrics import safe_div, wmean, wsd
@@ -69,8 +69,8 @@ def shape_stats(df: DataFrame, entity: str = "img") -> DataFrame:
         wmean("asp", "area").alias("asp_wmean"), order_parameter("theta", "area").alias("ori_R"),
         F.coalesce(order_parameter("theta", F.col("area") * (F.col("asp") - 1)), F.lit(0.0)).alias("ori_Rel"))
     g = g.withColumn("elong_align", F.col("ori_R") * (F.col("asp_wmean") - 1))
-    med = quantiles(df, [entity], "area", {"area_med": 0.5}).join(
-        quantiles(df, [entity], "asp", {"asp_med": 0.5}).drop("n_total"), entity).drop("n_total")
+    both = df.select(entity, F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in ("area", "asp")])))
+    med = quantiles(both, [entity, "c"], "v", {"m": 0.5}).groupBy(entity).agg(*[F.max(F.when(F.col("c") == c, F.col("m"))).alias(f"{c}_med") for c in ("area", "asp")])
     return g.join(med, entity)
 
 
@@ -130,17 +130,17 @@ def jeffries(border="border") -> Column:
 
 
 def size_estimators(df: DataFrame, entity: str = "img") -> DataFrame:
-    """Several estimators of the unit size, all as 0.5 x log area."""
+    """Several estimators of the unit size, all as 0.5 x log area; every cut comes from one ranking."""
     half = lambda c: 0.5 * F.log(c)
     whole = df.groupBy(entity).agg(
         half(F.sum("area") / jeffries()).alias("cnt_jeff"), half(F.sum("area") / F.count(F.lit(1))).alias("cnt_raw"),
         half(F.sum(F.col("area") * F.col("area")) / F.sum("area")).alias("area_w"))
     inner = interior_or_all(df, entity=entity).withColumn("la", F.log("area"))
-    probs = {"q10": 0.1, "q20": 0.2, "q50": 0.5, "q80": 0.8, "q90": 0.9}
-    ql = quantiles(inner, [entity], "la", probs).drop("n_total")
-    qa = quantiles(inner, [entity], "area", {"a10": 0.1, "a90": 0.9}).drop("n_total")
+    of_log, log_q = quantile_terms(F.log("area"), {"q10": 0.1, "q20": 0.2, "q50": 0.5, "q80": 0.8, "q90": 0.9})
+    of_area, area_q = quantile_terms(F.col("area"), {"a10": 0.1, "a90": 0.9})
+    cuts = value_ranks(inner, [entity], "area").groupBy(entity).agg(*of_log, *of_area).select(entity, *log_q, *area_q)
     la, a = F.col("la"), F.col("area")
-    trimmed = inner.join(ql, entity).join(qa, entity).groupBy(entity).agg(
+    trimmed = inner.join(cuts, entity).groupBy(entity).agg(
         (0.5 * F.max("q50")).alias("med"),
         (0.5 * F.avg(F.when((la >= F.col("q10")) & (la <= F.col("q90")), la))).alias("trim10"),
         (0.5 * F.avg(F.when((la >= F.col("q20")) & (la <= F.col("q80")), la))).alias("trim20"),
@@ -168,15 +168,17 @@ def width_stats(df: DataFrame, entity: str = "img") -> DataFrame:
     a, n, nb, nt = F.col("area"), F.col("n"), F.col("n_before"), F.col("n_total")
     n10 = F.greatest(F.lit(1), F.rint(0.1 * nt)).cast("bigint")
     top = F.least(n, F.greatest(F.lit(0), nb + n - (nt - n10)))
+    of_log, log_q = quantile_terms(F.log("area"), {"q25": 0.25, "q75": 0.75})
+    of_area, area_q = quantile_terms(a, {"med_a": 0.5})
     ranked = v.groupBy(entity).agg(
-        (F.sum(a * n * (2 * nb + n - nt)) / (F.max(nt) * F.sum(a * n))).alias("gini"), (F.sum(a * top) / F.sum(a * n)).alias("top10_share"))
-    ql = quantiles(inner, [entity], "la", {"q25": 0.25, "q75": 0.75}).select(entity, (F.col("q75") - F.col("q25")).alias("iqr"))
-    med = quantiles(inner, [entity], "area", {"med_a": 0.5}).drop("n_total")
+        (F.sum(a * n * (2 * nb + n - nt)) / (F.max(nt) * F.sum(a * n))).alias("gini"), (F.sum(a * top) / F.sum(a * n)).alias("top10_share"), *of_log, *of_area)
+    ranked = ranked.select(entity, "gini", "top10_share", *log_q, *area_q).withColumn("iqr", F.col("q75") - F.col("q25"))
+    med = ranked.select(entity, "med_a")
     big = df.join(med, entity).groupBy(entity).agg(
         wsd(F.log("area"), "area").alias("sd_aw"),
         (F.sum(F.when(a > 2 * F.col("med_a"), a).otherwise(0.0)) / F.sum(a)).alias("share_gt2med"),
         (F.sum(F.when(a > 4 * F.col("med_a"), a).otherwise(0.0)) / F.sum(a)).alias("share_gt4med"))
-    return base.join(ranked, entity).join(ql, entity).join(big, entity)
+    return base.join(ranked.drop("q25", "q75", "med_a"), entity).join(big, entity)
 
 
 def bimodality(df: DataFrame, c: str, entity: str = "img") -> DataFrame:

@@ -131,18 +131,18 @@ def agg45(spark, sf):
 
 
 @query("agg46", with_ctes("rows_", """
-WITH m AS (SELECT k AS mf, regr_slope(y, x1) AS b, regr_intercept(y, x1) AS a FROM rows_, (SELECT unnest(range(0, 3)) AS k) WHERE fold <> k GROUP BY k),
+WITH m AS (SELECT k AS mf, regr_slope(y, x1) AS b, regr_intercept(y, x1) AS a FROM rows_, (SELECT unnest(range(0, 5)) AS k) WHERE fold <> k GROUP BY k),
 p AS (SELECT r.id, CASE WHEN fold <> 4 THEN fold END AS own, mf, a + b * x1 AS pred FROM rows_ r, m)
 SELECT id, round(CASE WHEN own IS NOT NULL THEN max(CASE WHEN own = mf THEN pred END) ELSE avg(pred) END, 6) AS pred,
- CASE WHEN own IS NULL THEN 'mean3' WHEN own <= 2 THEN 'oof' || own ELSE 'none' END AS src FROM p GROUP BY id, own"""))
+ CASE WHEN own IS NULL THEN 'mean5' ELSE 'oof' || own END AS src FROM p GROUP BY id, own"""))
 def agg46(spark, sf):
-    """Three of the five fold models were run; training rows of the other folds stay empty."""
+    """Training rows take the model that has not seen them, the unlabelled part the mean of all five."""
     from ..functions.scalar import linear
     from ..operators.gram import design_exprs, gram, leave_out, solve
 
     r = rows(spark, sf)
     fits = {k[0]: solve(g) for k, g in leave_out(gram(r, design_exprs(["x1"], "y"), ["fold"])).items()}
-    models = F.array(*[F.struct(F.lit(k).alias("mf"), linear(fits[k][1:], ["x1"], fits[k][0]).alias("pred")) for k in (0, 1, 2)])
+    models = F.array(*[F.struct(F.lit(k).alias("mf"), linear(fits[k][1:], ["x1"], fits[k][0]).alias("pred")) for k in sorted(fits)])
     own = r.select("id", F.when(train_rows(), F.col("fold")).alias("fold"))
     return rounded(M.combine_folds(r.select("id", F.inline(models)), own, "id", "mf", "pred"))
 

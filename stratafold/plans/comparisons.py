@@ -409,6 +409,66 @@ def cmp18(spark, sf):
     return rounded(C.variant_fidelity(v.join(v.groupBy("id").agg(F.avg("meas").alias("t")), "id"), "var", "meas", "t"))
 
 
+_STEPS = [("f0", "f1", 1), ("f1", "f2", 4), ("f2", "f3", 20), ("f0", "f3", 128)]
+_BIAS = {1: 0.0, 4: 1.029, 20: 1.867, 128: 2.58}
+
+
+@query("cmp10_steps", rounded_sql("files", "step, rows, lane, strict", "WITH l AS (" + " UNION ALL ".join(f"""SELECT '{a}->{b}' AS step, {_BIAS[n]} AS eb,
+ count(*) FILTER (WHERE fold <> 4 AND abs({b} - {a}) > 1e-9) AS rows, avg((abs({b} - {a}) > 1e-9)::INT) FILTER (WHERE fold <> 4) AS f, sqrt(avg(({b} - {a}) ** 2) FILTER (WHERE fold <> 4 AND abs({b} - {a}) > 1e-9)) AS c,
+ avg((y - {a}) ** 2) FILTER (WHERE fold <> 4 AND abs({b} - {a}) > 1e-9) AS mse_r, avg(({b} - y) ** 2 - ({a} - y) ** 2) FILTER (WHERE fold <> 4) / 22 AS delta,
+ stddev_pop(({b} - y) ** 2 - ({a} - y) ** 2) FILTER (WHERE fold <> 4) / sqrt(count(*) FILTER (WHERE fold <> 4)) / 22 AS sd_tr,
+ avg(({b} - y) ** 2 - ({a} - y) ** 2) FILTER (WHERE fold = 4) / 22 AS shown, stddev_pop(({b} - y) ** 2 - ({a} - y) ** 2) FILTER (WHERE fold = 4) / sqrt(count(*) FILTER (WHERE fold = 4)) / 22 AS sd_shown FROM files""" for a, b, n in _STEPS) + """)
+SELECT step, rows, f, c, mse_r, delta, sd_tr, 8.66 * c * sqrt(f / mse_r) AS ratio, 0.7 * eb * sd_tr AS bias,
+ CASE WHEN delta + 0.7 * eb * sd_tr > 0.66 * sd_tr THEN 'NO' WHEN 8.66 * c * sqrt(f / mse_r) >= 2.5 THEN 'FAST' WHEN 8.66 * c * sqrt(f / mse_r) < 1 THEN 'PIPELINE' ELSE 'DANGER' END AS lane,
+ delta + 0.7 * eb * sd_tr <= -sd_tr AS strict, shown, sd_shown, (shown - delta) / nullif(sd_shown, 0) AS z FROM l""", 4))
+def cmp10_steps(spark, sf):
+    return rounded(C.step_table(files(spark, sf), _STEPS, "y", ~train_rows()), 4)
+
+
+@query("cmp13_pick", with_ctes("rows_", f"""
+WITH {_RUNS}, b AS (SELECT avg(p) AS bp, avg(w) AS bw FROM runs WHERE run IN ('clean', 'LV')), q AS (SELECT run, p, p >= bp + 0.05 AND w >= bw - 0.03 AS ok FROM runs, b WHERE run NOT IN ('clean', 'LV'))
+SELECT CASE WHEN arg_max(ok, (p, run)) THEN arg_max(run, (p, run)) ELSE 'none' END AS pick, count(*) AS runs, count(*) FILTER (WHERE ok) AS qualifying FROM q"""))
+def cmp13_pick(spark, sf):
+    r = rows(spark, sf).groupBy(F.col("g").alias("run")).agg(R.safe_corr("x1", "y").alias("p"), R.safe_corr("x4", "y").alias("w"))
+    return C.picked(C.run_pick(r, "run", {"p": 0.05, "w": -0.03}, ["clean", "LV"]), "run", "p")
+
+
+@query("cmp16_ks", rounded_sql("files", "passed, corr_ok, rms_ok, ks_ok", """
+WITH s AS (SELECT corr(f3, f2) AS corr, sqrt(avg((f3 - f2) ** 2)) AS rms FROM files),
+c AS (SELECT f3, count(*) FILTER (WHERE fold <> 4) AS a, count(*) FILTER (WHERE fold = 4) AS b FROM files GROUP BY f3),
+r AS (SELECT sum(a) OVER (ORDER BY f3) / sum(a) OVER () AS fa, sum(b) OVER (ORDER BY f3) / sum(b) OVER () AS fb, sum(a) OVER () AS n1, sum(b) OVER () AS n2 FROM c),
+k AS (SELECT max(abs(fa - fb)) AS d, any_value(sqrt(n1 * n2 / (n1 + n2))) AS en FROM r), l AS (SELECT d, (en + 0.12 + 0.11 / en) * d AS lam FROM k),
+p AS (SELECT d AS ks, CASE WHEN lam < 0.2 THEN 1e0 ELSE least(1e0, greatest(0e0, (SELECT sum((CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END) * exp(-2 * k * k * lam * lam)) FROM (SELECT unnest(range(1, 30)) AS k)))) END AS ks_p FROM l)
+SELECT corr, rms, ks, ks_p, corr >= 0.98 AS corr_ok, rms <= 1.5 AS rms_ok, ks_p >= 0.01 AS ks_ok, corr >= 0.98 AND rms <= 1.5 AND ks_p >= 0.01 AS passed FROM s, p"""))
+def cmp16_ks(spark, sf):
+    """The gate on agreement with the last file, and on the same distribution of predictions in both parts."""
+    f = files(spark, sf)
+    s = f.agg(R.safe_corr("f3", "f2").alias("corr"), F.sqrt(F.avg(F.pow(F.col("f3") - F.col("f2"), 2))).alias("rms"), F.lit(1).alias("_k"))
+    k = R.ks_statistic(f, "f3", ~train_rows()).select(F.col("d").alias("ks"), F.col("p").alias("ks_p"), F.lit(1).alias("_k"))
+    s = s.join(k, "_k").drop("_k")  # two single rows
+    return rounded(C.all_bars(s, {"corr_ok": F.col("corr") >= 0.98, "rms_ok": F.col("rms") <= 1.5, "ks_ok": F.col("ks_p") >= 0.01}))
+
+
+_TERMS = {"a": {"x1": "x5", "x4": "q2"}, "b": {"x1": "x1n2", "x4": "x3"}}
+
+
+@query("cmp18_terms", rounded_sql("rows_", "variant, columns, chosen", """
+WITH d AS (SELECT *, x1 + 100 * x2 AS x1n2 FROM rows_),
+s AS (SELECT covar_pop(x1, y) AS sa, covar_pop(x4, y) AS sb, var_pop(x1) AS va, var_pop(x4) AS vb, covar_pop(x1, x4) AS ab, avg(y) AS my, avg(x1) AS ma, avg(x4) AS mb FROM d),
+c AS (SELECT (sa * vb - sb * ab) / (va * vb - ab * ab) AS c1, (sb * va - sa * ab) / (va * vb - ab * ab) AS c4, my, ma, mb FROM s),
+w AS (SELECT corr(x5, x1) AS a1, corr(q2, x4) AS a4, corr(x1n2, x1) AS b1, corr(x3, x4) AS b4 FROM d),
+v AS (SELECT 'a' AS variant, x1, x4, x5 AS t1, q2 AS t4, 'x5,q2' AS columns FROM d UNION ALL SELECT 'b', x1, x4, x1n2, x3, 'x1n2,x3' FROM d
+ UNION ALL SELECT 'composite', x1, x4, CASE WHEN b1 >= a1 THEN x1n2 ELSE x5 END, CASE WHEN b4 >= a4 THEN x3 ELSE q2 END, CASE WHEN b1 >= a1 THEN 'x1n2' ELSE 'x5' END || ',' || CASE WHEN b4 >= a4 THEN 'x3' ELSE 'q2' END FROM d, w),
+f AS (SELECT variant, columns, x1, x4, t1, t4, my + c1 * (x1 - ma) + c4 * (x4 - mb) AS f0, my + c1 * (t1 - ma) + c4 * (t4 - mb) AS f FROM v, c),
+g AS (SELECT variant, columns, corr(f, f0) AS corr, sqrt(avg((f - f0) ** 2)) AS rmse, avg(f - f0) AS bias, corr(t1, x1) AS tc1, corr(t4, x4) AS tc4 FROM f GROUP BY variant, columns)
+SELECT variant, columns, corr, rmse, bias, tc1, tc4, row_number() OVER (ORDER BY round(corr, 9) DESC, variant) = 1 AS chosen FROM g""", 5))
+def cmp18_terms(spark, sf):
+    """Two variants of the terms of a formula and their composite."""
+    d = rows(spark, sf).withColumn("x1n2", F.col("x1") + 100 * F.col("x2"))
+    t = C.composite_fidelity(d, "y", ["x1", "x4"], _TERMS)
+    return rounded(t.select("variant", "columns", "corr", "rmse", "bias", F.col("term_corr")[0].alias("tc1"), F.col("term_corr")[1].alias("tc4"), "chosen"), 5)
+
+
 @query("cmp19")
 def cmp19(spark, sf):
     """Can a cross-fitted classifier tell two samples apart?"""

@@ -56,9 +56,10 @@ def src07(spark, sf):
     g = files(spark, sf).groupBy("fold").agg(F.round(F.avg(F.pow(F.col("f3") - F.col("y"), 2) - F.pow(F.col("f2") - F.col("y"), 2)), 4).alias("d"))
     g = g.select(F.concat(F.lit("fold"), "fold").alias("option"), F.when(F.col("fold") == 4, "diagnostic").otherwise("option").alias("kind"),
                  F.struct(F.col("d").alias("oof_dmse")).alias("vs_base"))
-    g.repartition("option").write.json(p)
-    d = spark.read.schema("option string, kind string, vs_base struct<oof_dmse: double>").json(p).where("kind = 'option'")
-    return d.select("option", "vs_base.oof_dmse")
+    # one file per result, written over several lines as such files are
+    g = g.select("option", F.to_json(F.struct("option", "kind", "vs_base"), {"pretty": "true"}).alias("value"))
+    g.repartition("option").write.partitionBy("option").text(p)
+    return S.read_results(spark, f"{p}/*", "option", "option string, kind string, vs_base struct<oof_dmse: double>").select("option", "vs_base.oof_dmse")
 
 
 @query("src08", rounded_sql("members", "run", """

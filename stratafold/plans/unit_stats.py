@@ -81,6 +81,16 @@ def agg13(spark, sf):
     return rounded(U.region_moments(labelmap(spark, sf)).drop("ori"), 5)
 
 
+@query("agg13_axis", rounded_sql("labelmap", "img, lab", """
+WITH m AS (SELECT img, lab, var_pop(y) AS cyy, var_pop(x) AS cxx, covar_pop(y, x) AS cxy FROM labelmap GROUP BY img, lab),
+e AS (SELECT *, sqrt(pow((cyy - cxx) / 2, 2) + cxy * cxy) AS d FROM m)
+SELECT img, lab, (cyy - cxx) / 2 / d AS cos2, cxy / d AS sin2 FROM e WHERE d > 1e-6"""))
+def agg13_axis(spark, sf):
+    """The main axis of every region that has one, as the double angle (an axis has no head)."""
+    r = U.region_moments(labelmap(spark, sf)).where("maj * maj - min * min > 32e-6")
+    return rounded(r.select("img", "lab", F.cos(2 * F.col("ori")).alias("cos2"), F.sin(2 * F.col("ori")).alias("sin2")))
+
+
 _OP = "sqrt(pow(sum({w} * cos(2 * theta)), 2) + pow(sum({w} * sin(2 * theta)), 2)) / nullif(sum({w}), 0)"
 
 

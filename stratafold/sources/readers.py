@@ -59,9 +59,11 @@ def embedding_blocks(df: DataFrame, key: str, emb: str, layout: Sequence[tuple[s
     return df.select(key, F.inline(F.array(*parts)))
 
 
-def read_results(spark: SparkSession, path: str, kind: str | None = "option") -> DataFrame:
-    """Nested result files, one JSON object per file."""
-    d = spark.read.option("multiLine", True).json(path)
+def read_results(spark: SparkSession, path: str, kind: str | None = "option", schema: str | None = None) -> DataFrame:
+    """Nested result files, one JSON object per file, wherever its line breaks are; ``kind`` keeps the files of one kind. A given
+    schema saves the scan that would infer it."""
+    r = spark.read.option("multiLine", True)
+    d = (r if schema is None else r.schema(schema)).json(path)
     return d if kind is None else d.where(F.col("kind") == kind)
 
 
