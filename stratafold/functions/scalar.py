@@ -100,20 +100,6 @@ def md5_uniform(*parts) -> Column:
     return F.conv(F.substring(md5_order(*parts), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def poisson_weight(*parts, top: int = 12) -> Column:
-    """Poisson(1) count by inversion of a hash uniform (bootstrap multiplicity); counts above ``top`` (chance 6e-11) are cut to top + 1."""
-    u = hash_uniform(*parts)
-    p = cum = 2.718281828459045 ** -1
-    out, terms = F.lit(float(top + 1)), [(0, cum)]
-    for k in range(1, top + 1):
-        p /= k
-        cum += p
-        terms.append((k, cum))
-    for k, level in reversed(terms):
-        out = F.when(u < level, F.lit(float(k))).otherwise(out)
-    return out
-
-
 def by_value(key, table: dict, default=None) -> Column:
     """Small literal lookup (folds, cells, options) as a CASE expression: no join needed."""
     out = F.lit(default)

@@ -373,10 +373,10 @@ def attenuation_slopes(df: DataFrame, x: str, y: str, controls: Sequence[str], b
     Replicate 0 is the data itself; the others weigh rows by hash Poisson counts. All replicates and
     bins are groups of one Gram.
     """
-    from ..functions.scalar import poisson_weight
+    from ..functions.mix import draws
 
-    long = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
-    w = F.when(F.col("rep") == 0, 1.0).otherwise(poisson_weight(F.lit(seed), F.col("rep"), F.col(key)))
+    long = draws(df.select(key, x, y, *controls, bin_), key, range(reps + 1), "_w", seed=seed, poisson=True)
+    w = F.when(F.col("rep") == 0, 1.0).otherwise(F.col("_w"))
     gs = gram(long, design_exprs([x, *controls], y), ["rep", bin_], w)
     slope = {k: float(solve(g)[1]) for k, g in gs.items()}
     bins = sorted({k[1] for k in slope})

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import by_value, poisson_weight
+from ..functions.mix import draws
+from ..functions.scalar import by_value
 from ..session import cut_lineage
 from .metrics import kde
 from .raster import histograms
@@ -71,8 +72,8 @@ def mixture_share(df: DataFrame, z: str, positive: DataFrame, negative: DataFram
     grid = [lo + step * i for i in range(cells)]
     dens = [np.array([r["dens"] for r in kde(d, [], z, grid, bandwidth).orderBy("i").collect()]) for d in (positive, negative)]
     cell = F.least(F.greatest(F.round((F.col(z) - lo) / step), F.lit(0)), F.lit(cells - 1)).cast("int")
-    long = df.select(key, cell.alias("c"), F.explode(F.sequence(F.lit(0), F.lit(reps))).alias("rep"))
-    w = F.when(F.col("rep") == 0, 1.0).otherwise(poisson_weight(F.lit(seed), F.col("rep"), F.col(key)))
+    long = draws(df.select(key, cell.alias("c")), key, range(reps + 1), "_w", seed=seed, poisson=True)
+    w = F.when(F.col("rep") == 0, 1.0).otherwise(F.col("_w"))
     counts = np.zeros((reps + 1, cells))
     for r in long.groupBy("rep", "c").agg(F.sum(w).alias("n")).collect():
         counts[r["rep"], r["c"]] = r["n"]

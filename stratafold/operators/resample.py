@@ -10,9 +10,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.mix import draws
 from ..functions.permute import permuted
 from ..functions.ranks import average_ranks, null_safe_join, row_numbers, running_sums
-from ..functions.scalar import md5_order, md5_uniform, poisson_weight
+from ..functions.scalar import md5_order, md5_uniform
 from .gram import design_exprs, gram, leave_out, solve
 from .linear import probe_coefs
 from ..session import written
@@ -24,17 +25,20 @@ def replicate(df: DataFrame, n: int, name: str = "rep") -> DataFrame:
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
+FLIPS = 31  # signs in one mixed number
+
+
 def sign_flip(df: DataFrame, d: str, key: str, n: int = 20_000, seed: int = 0) -> DataFrame:
     """One-sided paired sign-flip test of mean(d) < 0: (observed, p).
 
-    One 64-bit hash of (seed, word, key) holds the signs of 64 flips, so a row is repeated n / 64 times and every repetition
-    adds to 64 sums; the partial sums are all that is shuffled.
+    One number mixed of (seed, word, key) holds the signs of 31 flips, so a row is repeated n / 31 times and every repetition adds to
+    31 sums; the partial sums are all that is shuffled.
     """
-    words = replicate(df.select(key, F.col(d).cast("double").alias("_d")), -(-n // 64), "word").withColumn("_h", F.xxhash64(F.lit(seed), F.col("word"), F.col(key)))
-    bit = lambda j: F.shiftrightunsigned("_h", j).bitwiseAND(F.lit(1).cast("long"))
-    sums = [F.sum(F.col("_d") * bit(j)).alias(f"s{j}") for j in range(64)]
+    words = draws(df.select(key, F.col(d).cast("double").alias("_d")), key, range(-(-n // FLIPS)), "_h", "word", seed)
+    bit = lambda j: F.shiftright("_h", j).bitwiseAND(F.lit(1).cast("long"))
+    sums = [F.sum(F.col("_d") * bit(j)).alias(f"s{j}") for j in range(FLIPS)]
     g = words.groupBy("word").agg(F.sum("_d").alias("all"), F.count("_d").alias("rows"), *sums)
-    flips = g.select("word", "all", "rows", F.posexplode(F.array(*[f"s{j}" for j in range(64)])).alias("j", "s")).where(F.col("word") * 64 + F.col("j") < n)
+    flips = g.select("word", "all", "rows", F.posexplode(F.array(*[f"s{j}" for j in range(FLIPS)])).alias("j", "s")).where(F.col("word") * FLIPS + F.col("j") < n)
     obs = df.agg(F.avg(d).alias("m")).first()["m"]
     m = (F.col("all") - 2 * F.col("s")) / F.col("rows")
     return flips.agg(F.lit(obs).alias("observed"), ((1 + F.sum((m <= obs + 1e-12).cast("int"))) / (n + 1)).alias("p"))
@@ -125,8 +129,8 @@ def max_correlation_null(df: DataFrame, cols: Sequence[str], y: str, key: str, n
 def bootstrap(df: DataFrame, key: str, stat: Callable[[Column], Column], n: int = 2000, lo: float = 0.05, hi: float = 0.95, seed: int = 0) -> DataFrame:
     """Interval of any weighted aggregate: ``stat`` builds it from a weight column. Rows sharing ``key`` are drawn together,
     so a source id as key gives the cluster bootstrap."""
-    d = replicate(df, n)
-    reps = d.withColumn("_w", poisson_weight(F.lit(seed), F.col("rep"), F.col(key))).groupBy("rep").agg(stat(F.col("_w")).alias("s"))
+    d = draws(df, key, range(n), "_w", seed=seed, poisson=True)
+    reps = d.groupBy("rep").agg(stat(F.col("_w")).alias("s"))
     return reps.agg(F.avg("s").alias("mean"), F.stddev_samp("s").alias("sd"), F.percentile("s", lo).alias("lo"), F.percentile("s", hi).alias("hi"),
                     F.avg((F.col("s") >= 0).cast("double")).alias("p_ge0"))
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.mix import mixed_sql, poisson_weight_sql
 from ..functions.permute import permutation_sql
 from ..functions.scalar import linear
 from ..operators import blend as BL
@@ -22,7 +23,19 @@ def losses(spark, sf):
     return files(spark, sf).select("id", "fold", "g", "y", "f2", "f3", C.loss_change("f3", "f2").alias("d"))
 
 
-@query("rsm01")
+def _bootstrap_sql(source, key, stat, n=2000):
+    """Interval of a weighted statistic over hash Poisson draws of ``key``; ``source`` is a named view."""
+    return f"""
+WITH many AS (SELECT * FROM {source}, (SELECT unnest(range({n})) AS rep)), hs AS ({mixed_sql('many', 'rep', key)}), ws AS (SELECT *, {poisson_weight_sql('h')} AS w FROM hs),
+st AS (SELECT rep, {stat} AS s FROM ws GROUP BY rep)
+SELECT avg(s) AS mean, stddev_samp(s) AS sd, quantile_cont(s, 0.05) AS lo, quantile_cont(s, 0.95) AS hi, avg(CASE WHEN s >= 0 THEN 1e0 ELSE 0e0 END) AS p_ge0 FROM st"""
+
+
+@query("rsm01", rounded_sql("files", "", f"""
+WITH {_D}, many AS (SELECT d, id, word FROM d, (SELECT unnest(range(646)) AS word)), hs AS ({mixed_sql('many', 'word', 'id')}),
+g AS (SELECT word, sum(d) AS al, count(d) AS n, [""" + ", ".join(f"sum(d * ((h >> {j}) & 1))" for j in range(31)) + """] AS s FROM hs GROUP BY word),
+f AS (SELECT word, al, n, unnest(range(0, 31)) AS j, unnest(s) AS s FROM g), o AS (SELECT avg(d) AS observed FROM d)
+SELECT any_value(observed) AS observed, (1 + count(CASE WHEN (al - 2 * s) / n <= observed + 1e-12 THEN 1 END)) / 20001 AS p FROM f, o WHERE word * 31 + j < 20000"""))
 def rsm01(spark, sf):
     return R.sign_flip(losses(spark, sf), "d", "id")
 
@@ -76,15 +89,15 @@ def rsm04(spark, sf):
     return rounded(R.max_correlation_null(m, ["x2", "x3", "q1"], "r", "id", 300))
 
 
-@query("rsm05")
+@query("rsm05", rounded_sql("files", "", _bootstrap_sql("files", "id", "sqrt(sum(w * (f3 - y) ** 2) / sum(w)) - sqrt(sum(w * (f2 - y) ** 2) / sum(w))")))
 def rsm05(spark, sf):
-    return rounded(R.bootstrap(losses(spark, sf), "id", R.rmse_difference("f3", "f2", "y")))
+    return rounded(R.bootstrap(files(spark, sf).select("id", "y", "f2", "f3"), "id", R.rmse_difference("f3", "f2", "y")))
 
 
-@query("rsm06")
+@query("rsm06", rounded_sql("seq", "", _bootstrap_sql("seq", "user_id", "sum(w * value) / sum(w)")))
 def rsm06(spark, sf):
     e = seq(spark, sf)
-    return rounded(R.bootstrap(e, "user_id", lambda w: F.sum(w * F.col("value")) / F.sum(w)))
+    return rounded(R.bootstrap(e.select("user_id", "value"), "user_id", lambda w: F.sum(w * F.col("value")) / F.sum(w)))
 
 
 @query("rsm07", rounded_sql("rows_", "", f"""
@@ -492,8 +505,8 @@ def udf04(spark, sf):
     return rounded(d.select("id", "fold", "pred"))
 
 
-@query("udf05")
+@query("udf05", rounded_sql("rows_", "", _bootstrap_sql("rows_", "id", "sum(w * y * x1) / sum(w * x1 * x1)")))
 def udf05(spark, sf):
-    return rounded(R.bootstrap(rows(spark, sf), "id", lambda w: F.sum(w * F.col("y") * F.col("x1")) / F.sum(w * F.col("x1") * F.col("x1")), 50))
+    return rounded(R.bootstrap(rows(spark, sf).select("id", "y", "x1"), "id", lambda w: F.sum(w * F.col("y") * F.col("x1")) / F.sum(w * F.col("x1") * F.col("x1"))))
 
 

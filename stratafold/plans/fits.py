@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.mix import mixed_sql, poisson_weight_sql
 from ..functions.scalar import norm_cdf
 from ..operators import blend as BL
 from ..operators import blocks as B
@@ -388,11 +389,18 @@ def fit30(spark, sf):
     return rounded(d.select("id", "base_pred", "probe"))
 
 
-@query("fit31")
+@query("fit31", rounded_sql("rows_", "bin", f"""
+WITH q AS (SELECT quantile_cont(q1, 1 / 3.0) AS a, quantile_cont(q1, 2 / 3.0) AS b FROM rows_),
+t AS (SELECT id, y, x1, x4, CASE WHEN q1 >= b THEN 2 WHEN q1 >= a THEN 1 ELSE 0 END AS bin FROM rows_, q),
+many AS (SELECT * FROM t, (SELECT unnest(range(0, 41)) AS rep)), hs AS ({mixed_sql('many', 'rep', 'id')}), ws AS (SELECT *, CASE WHEN rep = 0 THEN 1e0 ELSE {poisson_weight_sql('h')} END AS w FROM hs),
+m AS (SELECT rep, bin, sum(w) AS n, sum(w * x1) AS s1, sum(w * x4) AS s4, sum(w * y) AS sy, sum(w * x1 * x1) AS s11, sum(w * x1 * x4) AS s14, sum(w * x4 * x4) AS s44, sum(w * x1 * y) AS s1y, sum(w * x4 * y) AS s4y FROM ws GROUP BY rep, bin),
+c AS (SELECT rep, bin, ((s1y - s1 * sy / n) * (s44 - s4 * s4 / n) - (s4y - s4 * sy / n) * (s14 - s1 * s4 / n)) / ((s11 - s1 * s1 / n) * (s44 - s4 * s4 / n) - (s14 - s1 * s4 / n) ** 2) AS slope FROM m),
+r AS (SELECT c.rep, c.bin, c.slope, c.slope / l.slope AS ratio FROM c JOIN c l ON l.rep = c.rep AND l.bin = 2)
+SELECT bin, max(slope) FILTER (WHERE rep = 0) AS slope, max(ratio) FILTER (WHERE rep = 0) AS ratio, quantile_cont(ratio, 0.05) FILTER (WHERE rep > 0) AS lo, quantile_cont(ratio, 0.95) FILTER (WHERE rep > 0) AS hi FROM r GROUP BY bin""", 5))
 def fit31(spark, sf):
     r = rows(spark, sf)
     d = r.withColumn("tb", M.tercile(r, "q1"))
-    return rounded(L.attenuation_slopes(d, "x1", "y", ["x4"], "tb", 40))
+    return rounded(L.attenuation_slopes(d, "x1", "y", ["x4"], "tb", 40), 5)
 
 
 _PC = "sqrt((1 - pow(corr(x1, x4), 2)) * (1 - pow(corr(y, x4), 2)))"

@@ -113,3 +113,76 @@ def test_wide_gram_is_planned_quickly_and_drops_null_rows(spark):
     for k in range(3):
         own = x[[i for i in range(50) if i % 3 == k and i not in (4, 9)]]
         assert np.allclose(got[(k,)], own.T @ own)
+
+
+def test_mixed_numbers_equal_their_sql_and_are_spread():
+    import duckdb
+
+    from stratafold.functions import mix as M
+
+    key = np.array([0, 1, 2, 5, 17, 10**6, 2**33 + 5, -3])
+    con = duckdb.connect()
+    con.execute("create table t as select unnest([0, 1, 2, 5, 17, 1000000, 8589934597, -3]) as k, r from (select unnest(range(0, 9)) as r)")
+    got = {(k, r): h for k, r, h in con.execute(M.mixed_sql("t", "r", "k", seed=4)).fetchall()}
+    assert all(got[int(k), r] == int(h) for r in range(9) for k, h in zip(key, M.mix(key, r, 4)))
+    n = 4000
+    u = np.array([M.mix(np.arange(n) * 4 + 1, r) for r in range(150)]) / 2**31
+    assert abs(u.mean() - 0.5) < 0.005 and abs(u.var() - 1 / 12) < 0.002
+    c = np.corrcoef(u)[np.triu_indices(150, 1)] * np.sqrt(n)
+    assert abs(c.std() - 1) < 0.05 and np.abs(c).max() < 6
+
+
+def test_draws_are_poisson_counts(spark):
+    from stratafold.functions.mix import draws
+
+    df = spark.range(3000).selectExpr("id", "if(id % 3 = 0, null, cast(id as string)) as s")
+    w = draws(df, "id", range(20), "w", poisson=True).toPandas().w
+    assert len(w) == 60_000 and abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.05 and abs((w == 0).mean() - np.exp(-1)) < 0.01
+    assert draws(df, "s", range(2), "w", poisson=True).count() == 6000  # other keys are hashed, a null key is a key
+
+
+@pytest.mark.parametrize("block", [3, 1 << 16])
+def test_fisher_equals_a_sum_of_factorials(block):
+    from math import comb, lgamma
+
+    from stratafold.operators.metrics import fisher_exact
+
+    r = np.random.default_rng(4)
+    for _ in range(60):
+        a, b, c, d = (int(x) for x in r.integers(0, 30, 4))
+        lo, hi = max(0, a + c - c - d), min(a + b, a + c)
+        w = {k: comb(a + b, k) * comb(c + d, a + c - k) for k in range(lo, hi + 1)}
+        assert fisher_exact(a, b, c, d, block) == pytest.approx(sum(x for x in w.values() if x <= w[a] * (1 + 1e-7)) / sum(w.values()))
+    if block > 3:
+        a, b, c, d = 400_300, 599_700, 401_000, 599_000
+        lf = np.vectorize(lgamma)
+        k = np.arange(a - 20_000, a + 20_001)
+        lp = lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lf(k + 1) - lf(a + b - k + 1) - lf(a + c - k + 1) - lf(c + d - a - c + k + 1)
+        p = np.exp(lp)
+        assert fisher_exact(a, b, c, d) == pytest.approx(p[p <= p[20_000] * (1 + 1e-7)].sum(), rel=1e-5)
+        assert 0 < fisher_exact(10**9, 10**9, 10**9 + 90_000, 10**9 - 90_000) < 0.01
+        assert fisher_exact(0, 0, 3, 4) == 1.0 and fisher_exact(10**9, 0, 0, 10**9) == 0.0
+
+
+def test_nested_predictions_do_not_see_their_folds(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, i % 4, float(r.normal()), float(r.normal())) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, fold int, x double, y double")
+    changed = spark.createDataFrame([(i, f, x, y + 100 if f in (1, 2) else y) for i, f, x, y in rows], df.schema)
+    one, two = ({(p.id, p.outer): p.pred for p in L.nested_predictions(d, "y", ["x"], [0.1, 1.0]).collect()} for d in (df, changed))
+    assert len(one) == 320
+    for (i, outer), p in one.items():
+        unseen = {i % 4, outer} == {1, 2}
+        assert (two[i, outer] == pytest.approx(p)) == unseen
+
+
+def test_turned_lines_have_no_holes(spark):
+    from stratafold.operators import raster as RA
+
+    px = spark.createDataFrame([(0, y, x) for y in range(9) for x in range(13)], "img long, y int, x int")
+    for angle in (0.0, np.pi / 2, np.pi / 4, 0.47, 2.1):
+        lines = {}
+        for p in RA.rotated(px, angle).collect():
+            lines.setdefault(p.y, []).append(p.x)
+        total = sum(map(len, lines.values()))
+        assert abs(total - 117) <= 12 and all(sorted(v) == list(range(min(v), max(v) + 1)) for v in lines.values())
