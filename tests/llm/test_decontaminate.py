@@ -47,8 +47,10 @@ def benchmark(spark, items=ITEMS):
     return spark.createDataFrame([(i, t, 1, "clash", 2, "w") for i, t in items], SCHEMA)
 
 
-@pytest.mark.parametrize("limit", [0, decontaminate.BROADCAST_ROWS])
-@pytest.mark.parametrize("window,shingle", [(10, 3), (4, 3), (2, 3), (10, 1), (6, 6)])
+BIG = decontaminate.BROADCAST_ROWS
+
+
+@pytest.mark.parametrize("window,shingle,limit", [(10, 3, BIG), (10, 3, 0), (4, 3, BIG), (2, 3, 0), (10, 1, BIG)])
 def test_against_a_scan(spark, window, shingle, limit):
     docs = nasty.table(spark)
     rows = [(r[0], r[1]) for r in docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).select("c0", "c1").collect()]
