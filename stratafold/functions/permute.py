@@ -60,8 +60,9 @@ def permutation(x: np.ndarray, n: np.ndarray, rep: int, seed: int = 0) -> np.nda
     return out
 
 
-def permuted(df: DataFrame, number: str, size: str, reps: Sequence[int], name: str = "to", seed: int = 0) -> DataFrame:
-    """Every row once per replicate (column ``rep``) with the place ``name`` of row ``number`` (from 0) of ``size`` rows.
+def permuted(df: DataFrame, number: str, size: str, reps: Sequence[int], name: str = "to", seed: int = 0, drop: bool = False) -> DataFrame:
+    """Every row once per replicate (column ``rep``) with the place ``name`` of row ``number`` (from 0) of ``size`` rows; ``drop``
+    leaves those two columns out.
 
     Numbers and sizes may count inside groups. The rows of a batch stay the same arrays in every replicate, only the places are
     computed, and nothing is shuffled. As column expressions the rounds exceed what the JVM compiles in one method.
@@ -72,11 +73,13 @@ def permuted(df: DataFrame, number: str, size: str, reps: Sequence[int], name: s
         for b in batches:
             x = np.asarray(b.column(number), np.int64)
             n = np.asarray(b.column(size), np.int64)
+            own = [b.column(f.name) for f in kept]
             for r in reps:
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(x), r, np.int32)), pa.array(permutation(x, n, r, seed))], names)
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(x), r, np.int32)), pa.array(permutation(x, n, r, seed))], names)
 
-    names = [*df.columns, "rep", name]
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("rep", IntegerType()), StructField(name, LongType())]))
+    kept = [f for f in df.schema.fields if not (drop and f.name in (number, size))]
+    names = [*[f.name for f in kept], "rep", name]
+    return df.mapInArrow(run, StructType([*kept, StructField("rep", IntegerType()), StructField(name, LongType())]))
 
 
 def permutation_sql(source: str, number: str, size: str, rep: str, name: str = "to_", seed: int = 0, steps: int = 7) -> str:

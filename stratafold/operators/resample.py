@@ -5,6 +5,7 @@ where each row goes, looks the number up and streams into a partial aggregate. M
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.mix import draws
 from ..functions.permute import permuted
-from ..functions.ranks import average_ranks, null_safe_join, row_numbers, running_sums
+from ..functions.ranks import average_ranks, row_numbers, running_sums
 from ..functions.scalar import md5_order, md5_uniform
 from .gram import design_exprs, gram, leave_out, solve
 from .linear import probe_coefs
@@ -55,15 +56,17 @@ def numbered(df: DataFrame, key: str, group: Sequence[str]) -> DataFrame:
 
 def look_up(many: DataFrame, values: DataFrame, group: Sequence[str], rows: int) -> DataFrame:
     """Joins numbered values (column ``_to`` and more) to multiplied rows without sorting either side."""
-    return null_safe_join(many, F.broadcast(values) if rows <= LOOKUP_ROWS else values.hint("shuffle_hash"), [*group, "_to"])
+    v = values.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_to").alias("_at"), *[c for c in values.columns if c not in (*group, "_to")])
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)], F.col("_to") == F.col("_at"))
+    return many.join(F.broadcast(v) if rows <= LOOKUP_ROWS else v.hint("shuffle_hash"), on).drop("_to", "_at", *[f"_g{i}" for i in range(len(group))])
 
 
 def shuffled(df: DataFrame, cols: Sequence[str], key: str, group: Sequence[str], n: int, seed: int = 0) -> DataFrame:
     """(rep, rows) with the columns ``cols`` permuted together inside each group, once per replicate; the key is dropped."""
     d = numbered(df, key, group)
     values = d.select(*group, F.col("_i").alias("_to"), *cols)
-    many = permuted(d.drop(*cols, *([] if key in group else [key])), "_i", "_n", range(n), "_to", seed)
-    return look_up(many, values, group, d.count()).drop("_i", "_n", "_to")
+    many = permuted(d.drop(*cols, *([] if key in group else [key])), "_i", "_n", range(n), "_to", seed, drop=True)
+    return look_up(many, values, group, d.count())
 
 
 def _by_replicate(grams: dict) -> dict:
@@ -144,7 +147,7 @@ def stratified_splits(df: DataFrame, key: str, stratum: str, n: int, k: int = 5,
     """Every row once per re-split (``split``, ``fold``): a stratum is numbered once and dealt anew by a keyed permutation of its
     numbers, so its folds never differ by more than one row."""
     d = numbered(df, key, [stratum])
-    return permuted(d, "_i", "_n", range(n), "_to", seed).withColumn("fold", (F.col("_to") % k).cast("int")).withColumnRenamed("rep", "split").drop("_i", "_n", "_to")
+    return permuted(d, "_i", "_n", range(n), "_to", seed, drop=True).withColumn("fold", (F.col("_to") % k).cast("int")).withColumnRenamed("rep", "split").drop("_to")
 
 
 def resplit_gain(df: DataFrame, y: str, base_xs: Sequence[str], new_xs: Sequence[str], key: str, stratum: str, n: int = 40, seed: int = 0) -> DataFrame:
@@ -199,7 +202,7 @@ def neighbour_null(nb: DataFrame, values: DataFrame, n: int = 300, key: str = "i
     at = d.select(F.col(key).alias("nb"), F.col("_i"), "_n")
     near = nb.join(at, "nb").select(key, F.lit(False).alias("own"), "_i", "_n")
     own = d.join(nb.select(key).distinct(), key, "left_semi").select(key, F.lit(True).alias("own"), "_i", "_n")
-    many = permuted(written(near.unionByName(own), "places"), "_i", "_n", range(n), "_to", seed)
+    many = permuted(written(near.unionByName(own), "places"), "_i", "_n", range(n), "_to", seed, drop=True)
     many = look_up(many, d.select(F.col("_i").alias("_to"), F.col(value).alias("_v")), [], d.count())
     per = many.groupBy("rep", key).agg(F.max(F.when(F.col("own"), F.col("_v"))).alias("_r"), F.avg(F.when(~F.col("own"), F.col("_v"))).alias("_m"))
     null = per.groupBy("rep").agg(safe_corr("_r", "_m").alias("c"))
