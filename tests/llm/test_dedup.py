@@ -311,8 +311,10 @@ def test_repeated_rows_of_suffixes_send_each_place_once(spark):
     assert sum(r.n_removed == len(t.encode()) and r.n_spans == 1 for r in got) == n and len(got) == n + 1
 
 
-def test_lines_are_compared_by_their_words(spark):
+@pytest.mark.parametrize("numbers", [line_dedup.NUMBERS, 3])
+def test_lines_are_compared_by_their_words(spark, monkeypatch, numbers):
     """Words that share a sign are different words: five of five changed words stay far apart even if every sign agrees."""
+    monkeypatch.setattr(line_dedup, "NUMBERS", numbers)
     own = spark.range(60_000).select(F.concat(F.lit("w"), F.col("id")).alias("w"))
     twins = own.groupBy(line_dedup.word_signs(F.array("w")).alias("s")).agg(F.sort_array(F.collect_list("w")).alias("w")).where("size(w) > 1")
     pairs = [r.w[:2] for r in twins.orderBy("s").limit(10).collect()]
