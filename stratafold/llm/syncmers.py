@@ -5,7 +5,7 @@ depends on the k-mer alone, so an edit moves no anchor elsewhere: equal stretche
 A fingerprint holds the ``SIZE`` anchors with the smallest hashes over the whole text, each with its position; it is of
 bounded size and a pure function of the text. Likeness estimates the Jaccard similarity of the two anchor sets from the
 bottom of their union; an anchor that both hold counts only if it is placed consistently: its shift from one text to the
-other must be one that at least two common anchors share (all shifts count when the fingerprints hold few anchors).
+other must lie within ``SLACK`` of that of another common anchor, unless it is the only anchor of one of the texts.
 
 Defined cases: null text is empty; a text shorter than k has one anchor, itself; an empty text has none, and two empty
 fingerprints are alike (1.0). Rows are ordered by descending identifier, nulls last, rows of one identifier by text.
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .frames import partitions, pick, text_or_empty
 
 K, S, SIZE = 24, 8, 96
+SLACK = 7  # code points that small edits between two anchors may shift them against each other
 CHUNK = 1 << 18
 
 
@@ -98,10 +99,10 @@ def likeness(a: tuple, b: tuple, size: int = SIZE) -> float:
     union = np.union1d(a[0], b[0])[:size]
     both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     inside = both <= union[-1]
-    shift = (a[1][i] - b[1][j])[inside]
-    if len(shift) > 4:
-        _, back, times = np.unique(shift // 8, return_inverse=True, return_counts=True)
-        shift = shift[times[back] >= 2]
+    shift = np.sort((a[1][i] - b[1][j])[inside])
+    if min(len(a[0]), len(b[0])) > 1:
+        close = np.diff(shift) <= SLACK
+        shift = shift[np.append(False, close) | np.append(close, False)] if len(shift) else shift
     return min(1.0, len(shift) / len(union))
 
 
@@ -110,6 +111,12 @@ def written(s: tuple) -> str:
     return " ".join(f"{int(h):016x}@{int(p):x}" for h, p in zip(*s))
 
 
+def sliced(batch: pa.RecordBatch, rows: int = 200):
+    """Parts of few rows, so that few texts are Python objects at once."""
+    for lo in range(0, batch.num_rows, rows):
+        yield batch.slice(lo, rows)
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
@@ -119,7 +126,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     d = pick(docs, key, text).select(key, text_or_empty(text).alias("text"))
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in sliced(whole)):
             out = [written(sketch(code_points(t))) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], [key, "fingerprint"])
 
@@ -169,7 +176,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-        for b in batches:
+        for b in (part for whole in batches for part in sliced(whole)):
             for where, is_guest, doc, text in zip(*(c.to_pylist() for c in b.columns)):
                 if is_guest and last_guest == where:
                     continue  # rows of one identifier: the first in order is the successor

@@ -127,6 +127,85 @@ def test_likeness_follows_the_share_of_common_text():
     assert near[0] == 1.0 and near[0] > near[1] > near[2] > near[3] and abs(near[1] - 0.5) < 0.2 and near[3] < 0.02
 
 
+def smallest(code):
+    """The distinct anchors of smallest hash with their first places."""
+    first = {}
+    for h, p in zip(*(v.tolist() for v in syncmers.anchors(code))):
+        first.setdefault(h, p)
+    return sorted(first.items())[: syncmers.SIZE]
+
+
+def plain_likeness(x, y):
+    """By definition, on lists of Python numbers."""
+    a, b = dict(smallest(x)), dict(smallest(y))
+    if not a or not b:
+        return float(len(a) == len(b))
+    union = sorted({*a, *b})[: syncmers.SIZE]
+    shifts = [a[h] - b[h] for h in union if h in a and h in b]
+    alone = min(len(a), len(b)) == 1
+    return sum(alone or any(k != m and abs(u - v) <= syncmers.SLACK for m, v in enumerate(shifts)) for k, u in enumerate(shifts)) / len(union)
+
+
+def test_likeness_by_definition(docs):
+    rows = sorted(((i, t or "") for i, t in texts(docs)), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    code = [syncmers.code_points(t) for _, t in rows]
+    want = Counter()
+    for k, (i, t) in enumerate(rows):
+        other, n = code[(k + 1) % len(code)], len(t) // 3
+        edited = np.concatenate([code[k][: len(t) - n], other[:n]])
+        want[i, round(plain_likeness(code[k], edited), 12), round(plain_likeness(code[k], other), 12)] += 1
+    assert Counter((r.doc_id, round(r.near_edited, 12), round(r.near_next, 12)) for r in syncmers.edited_likeness(docs).collect()) == want
+    written = {" ".join(f"{h:016x}@{p:x}" for h, p in smallest(c)) for c in code}
+    assert {r.fingerprint for r in syncmers.fingerprints(docs).collect()} == written
+
+
+def test_shifts_one_place_apart_agree():
+    h = np.arange(1, 9, dtype=np.uint64)
+    near = syncmers.likeness((h, np.arange(8) * 100), (h, np.arange(8) * 100 + 7 + np.arange(8) % 2))
+    assert near == 1.0  # shifts of seven and eight places
+    assert syncmers.likeness((h, np.arange(8) * 100), (h, np.arange(8) * 900)) == 0.0
+    assert syncmers.likeness((h[:2], np.array([0, 50])), (h[1:3], np.array([10, 70]))) == 0.0
+
+
+def test_toxicity_by_a_plain_convolution(spark, docs):
+    d, y = training(spark, "toxic")
+    net = toxicity.fit(d, y, F.lit(True), per_class=60, epochs=1)
+    rows = [(i, t or "") for i, t in texts(docs) if t is None or len(t) < 8000]
+    small = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+
+    def plain(text):
+        a, b = toxicity.features([text.encode()])[0]
+        x = [net.word[i].astype(float) + net.head[j] for i, j in zip(a, b)] + [np.zeros(toxicity.DIM)] * 2
+        total = float(net.out_bias)
+        for f in range(toxicity.OUT):
+            k, lo = f // toxicity.FILTERS, toxicity.FILTERS * sum(toxicity.WIDTHS[: f // toxicity.FILTERS])
+            taps = [net.conv[:, lo + j * toxicity.FILTERS + f % toxicity.FILTERS] for j in range(toxicity.WIDTHS[k])]
+            best = max((sum(float(x[i + j] @ w) for j, w in enumerate(taps)) for i in range(len(a))), default=0.0)
+            total += max(best + net.bias[f], 0) * net.out[f]
+        return 1 / (1 + np.exp(-(net.scale * total + net.shift)))
+
+    want = sorted((i is None, i or 0, round(plain(t), 3)) for i, t in rows)
+    got = sorted((r.doc_id is None, r.doc_id or 0, round(r.score, 3)) for r in toxicity.score(small, net, ["doc_id"]).collect())
+    assert [w[:2] for w in want] == [g[:2] for g in got] and all(abs(w[2] - g[2]) <= 2e-3 for w, g in zip(want, got))
+
+
+def test_quality_by_plain_cosines(spark, docs):
+    d, y = training(spark, "quality")
+    v = quality.fit(d, y, F.lit(True), per_class=40)
+    rows = [(k, t or "") for k, (_, t) in enumerate(texts(docs))]
+    got = {r.doc_id: r.score for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), v, ["doc_id"]).collect()}
+    for i, t in rows:
+        w = next(iter(document_words([t.encode()])))
+        c = quality.counts(t.encode(), w).astype(float)
+        x = np.log1p(c) * v.idf
+        z = (x / max(np.sqrt((x * x).sum()), 1e-9)) @ v.basis
+        z = z / max(np.sqrt((z * z).sum()), 1e-9)
+        near = sorted(((float(z @ u), float(label)) for u, label in zip(v.vectors, v.labels)), reverse=True)[: quality.NEIGHBOURS]
+        weight = [max(s, 0.0) ** 8 for s, _ in near]
+        want = sum(a * label for a, (_, label) in zip(weight, near)) / sum(weight) if c.any() and sum(weight) > 1e-9 else v.prior
+        assert abs(got[i] - want) < 5e-3, (i, t[:40])
+
+
 def test_mixing(spark, docs):
     got = mixing.poisson_mix(docs, columns=("doc_id", "text", "source")).collect()
     assert {r.source for r in got} <= {"a", "b", None} and mixing.poisson_mix(nasty.empty(spark)).count() == 0
