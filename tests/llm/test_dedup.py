@@ -322,3 +322,37 @@ def test_lines_are_compared_by_their_words(spark, monkeypatch, numbers):
     rows = [(1, a), (2, b), (3, b.replace(pairs[0][1], "other"))]
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: a, 2: b, 3: ""}
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Every stage on a small folder of tables against plain rules on what the stage before it kept."""
+    r = random.Random(4)
+    rows, toxic = [], []
+    line = "this same line of words stands in many of the texts"
+    for i in range(240):
+        t = " ".join(f"{r.choice(nasty.WORDS)}{r.randrange(300)}" for _ in range(30)) + "\n" + line
+        if i % 4 == 1:
+            t = "vilexx grimuu " + t
+        toxic.append((i, int(i % 4 == 1)))
+        rows.append((i, t, "en", ("a", "b", None)[i % 3], len(t)))
+    rows += [(500 + i, rows[4 * i][1].split("\n")[0] + " tail", "en", "a", 9) for i in range(10)] + [(600, None, None, "a", None), (601, "", "en", "b", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(toxic, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    sf, kept = str(tmp_path), {}
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        d = corpus_pipeline.stored(stage(spark, d, sf), f"test-{name}")
+        kept[name] = d.collect()
+        assert d.columns == list(corpus_pipeline.COLUMNS)
+    bad = {i for i, y in toxic if y}
+    ids = {name: {x.doc_id for x in k} for name, k in kept.items()}
+    assert len(ids["toxicity"] & bad) <= 3 and len({i for i, *_ in rows} - bad - ids["toxicity"]) <= 3
+    same = [x.doc_id for x in kept["line_dedup"] if line in (x.text or "")]
+    assert same == [min(x.doc_id for x in kept["toxicity"] if line in (x.text or ""))]
+    # copies with one word more are lines of their first occurrence: nothing is left of them, and they go
+    assert ids["line_dedup"] == {i for i in ids["toxicity"] if not 500 <= i < 600 or 4 * (i - 500) not in ids["toxicity"]}
+    assert ids["ngram_join"] == ids["line_dedup"] and ids["mixing"] <= ids["ngram_join"]
+    out = corpus_pipeline.STAGES[-1][1](spark, d, sf).collect()
+    assert sorted(x.doc_id for x in out) == sorted(x.doc_id for x in kept["mixing"]) and all(x.exact for x in out)
+    whole = corpus_pipeline.run(spark, sf).collect()
+    assert Counter((x.doc_id, tuple(x.token_ids)) for x in whole) == Counter((x.doc_id, tuple(x.token_ids)) for x in out)
