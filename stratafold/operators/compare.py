@@ -251,7 +251,11 @@ def composite_fidelity(df: DataFrame, y: str, terms: Sequence[str], variants: di
     from .gram import gram, solve, total
 
     cols = list(dict.fromkeys([*terms, *(c for v in variants.values() for c in v.values())]))
-    g = total(gram(df, [F.lit(1.0), *cols, y]))
+    # sums of products of centred columns: plain ones lose the digits of a correlation as the rows grow
+    every = [*cols, y]
+    mid = df.dropna(subset=every).agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(every)]).first()
+    mid = np.array([m or 0.0 for m in mid], dtype=float)
+    g = total(gram(df, [F.lit(1.0), *[F.col(c) - F.lit(float(m)) for c, m in zip(every, mid)]]))
     n = g[0, 0]
     pos = [0, *[1 + cols.index(t) for t in terms], len(cols) + 1]
     beta = solve(g[np.ix_(pos, pos)])
@@ -259,8 +263,9 @@ def composite_fidelity(df: DataFrame, y: str, terms: Sequence[str], variants: di
     def vector(columns: Sequence[str]) -> np.ndarray:
         v = np.zeros(len(g))
         v[0] = beta[0]
-        for b, c in zip(beta[1:], columns):
+        for b, c, t in zip(beta[1:], columns, terms):
             v[1 + cols.index(c)] += b
+            v[0] += b * (mid[cols.index(c)] - mid[cols.index(t)])
         return v
 
     def unit(c: str) -> np.ndarray:
@@ -280,7 +285,7 @@ def composite_fidelity(df: DataFrame, y: str, terms: Sequence[str], variants: di
         f = vector([v[t] for t in terms])
         e = f - whole
         rows.append((name, corr(f, whole), float(np.sqrt(max(e @ g @ e, 0.0) / n)), float(g[0] @ e / n), [own[name][t] for t in terms], ",".join(v[t] for t in terms)))
-    top = max(rows, key=lambda r: r[1])[0]
+    top = min(rows, key=lambda r: (-round(r[1], 9), r[0]))[0]  # equal ones by name
     return df.sparkSession.createDataFrame([(*r, r[0] == top) for r in rows], "variant string, corr double, rmse double, bias double, term_corr array<double>, columns string, chosen boolean")
 
 
