@@ -13,6 +13,12 @@ from ..session import written
 from .joins import adjacency
 
 
+def sorted_join(a: DataFrame, b: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join of two tables that both grow with the pixels. Spark's guess of their size is that of packed files or of rows before they are
+    exploded, many times too small, and would send one of them through the driver to every task."""
+    return a.join(b.hint("merge"), list(on), how)
+
+
 def _label(v: np.ndarray, eight: bool) -> np.ndarray:
     """Smallest pixel index of each piece of equal value; -1 for background (negative values)."""
     h, w = v.shape
@@ -38,21 +44,29 @@ TILE = 256  # pixels along a side of the largest array in a task
 _COL = 1 << 32  # a pixel's number is y * _COL + x, so numbers order like (y, x)
 
 
+def _grid(y, x, v) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], int, int]:
+    """Values of one tile on the smallest array around its pixels, with the pixels' places and the array's first row and column."""
+    y, x = np.asarray(y, np.int64), np.asarray(x, np.int64)
+    y0, x0 = int(y.min()), int(x.min())
+    at = y - y0, x - x0
+    grid = np.full((at[0].max() + 1, at[1].max() + 1), -1, np.int64)
+    grid[at] = [-1 if k is None or k != k else k for k in v]
+    return grid, at, y0, x0
+
+
 def tile_labels(px: DataFrame, value, eight: bool = False, tile: int = TILE) -> DataFrame:
     """(img, y, x, v, label): pieces of equal value inside each tile, named by the number of their first pixel; NULL for background."""
     t = px.select("img", "y", "x", value.cast("int").alias("v"), F.floor(F.col("y") / tile).alias("ty"), F.floor(F.col("x") / tile).alias("tx"))
     t = t.groupBy("img", "ty", "tx").agg(F.collect_list(F.struct("y", "x", "v")).alias("p"))
-    t = t.select("img", "ty", "tx", *[F.col(f"p.{c}").alias(c) for c in ("y", "x", "v")])
+    t = t.select("img", *[F.col(f"p.{c}").alias(c) for c in ("y", "x", "v")])
 
     def run(batches):
         for b in batches:
             labels = []
-            for ty, tx, y, x, v in zip(b["ty"], b["tx"], b["y"], b["x"], b["v"]):
-                at = np.asarray(y, np.int64) - ty * tile, np.asarray(x, np.int64) - tx * tile
-                grid = np.full((tile, tile), -1, np.int64)
-                grid[at] = [-1 if k is None or k != k else k for k in v]
+            for y, x, v in zip(b["y"], b["x"], b["v"]):
+                grid, at, y0, x0 = _grid(y, x, v)
                 first = _label(grid, eight)[at]
-                name = (ty * tile + first // tile) * _COL + tx * tile + first % tile
+                name = (y0 + first // grid.shape[1]) * _COL + x0 + first % grid.shape[1]
                 labels.append([int(k) if f >= 0 else None for k, f in zip(name, first)])
             yield pd.DataFrame({"img": b["img"], "y": b["y"], "x": b["x"], "v": b["v"], "label": labels})
 
@@ -69,7 +83,7 @@ def _tile_edges(lab: DataFrame, eight: bool, tile: int) -> DataFrame:
     left = rim.withColumn("d", F.explode(F.array(*[F.struct(F.lit(a).alias("y"), F.lit(b).alias("x")) for a, b in steps])))
     left = left.where((y + F.col("d.y") >= tile) | (x + F.col("d.x") >= tile) | (x + F.col("d.x") < 0))
     left = left.select("img", (F.col("y") + F.col("d.y")).alias("y"), (F.col("x") + F.col("d.x")).alias("x"), "v", F.col("label").alias("a"))
-    return left.join(rim.select("img", "y", "x", "v", F.col("label").alias("b")), ["img", "y", "x", "v"]).select("img", "a", "b").distinct()
+    return sorted_join(left, rim.select("img", "y", "x", "v", F.col("label").alias("b")), ["img", "y", "x", "v"]).select("img", "a", "b").distinct()
 
 
 def raster_components(px: DataFrame, value, eight: bool = False, tile: int | None = None) -> DataFrame:
@@ -86,14 +100,14 @@ def raster_components(px: DataFrame, value, eight: bool = False, tile: int | Non
     if not edges.isEmpty():
         ends = edges.select("img", F.explode(F.array("a", "b")).alias("node")).distinct()
         root = connected_components(ends, edges).select("img", F.col("node").alias("label"), F.col("comp").alias("root"))
-        lab = lab.join(root, ["img", "label"], "left").withColumn("label", F.coalesce("root", "label"))
+        lab = sorted_join(lab, root, ["img", "label"], "left").withColumn("label", F.coalesce("root", "label"))
     first = F.floor(F.col("label") / _COL) * F.col("w") + F.col("label") % _COL
     return lab.join(width, "img").select("img", "y", "x", first.cast("int").alias("comp"))
 
 
 def component_table(px: DataFrame, comp: DataFrame, least: int, size: int) -> DataFrame:
     """Area, extent and span of every component with at least ``least`` pixels."""
-    j = px.join(comp.where("comp is not null"), ["img", "y", "x"])
+    j = sorted_join(px, comp.where("comp is not null"), ["img", "y", "x"])
     g = j.groupBy("img", "comp").agg(F.count(F.lit(1)).alias("area"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"),
                                      F.min("v").alias("vmin"), F.var_pop("y").alias("cyy"), F.var_pop("x").alias("cxx"), F.covar_pop("y", "x").alias("cxy"))
     span = ((F.col("y0") == 0) & (F.col("y1") == size - 1)) | ((F.col("x0") == 0) & (F.col("x1") == size - 1))
@@ -136,8 +150,8 @@ def connected_components(vertices: DataFrame, edges: DataFrame, keys: Sequence[s
 
     def round_(e: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(minima(both), [*keys, "u"]).where("v > u").select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        tied = large.join(minima(large), [*keys, "u"]).where("v <> m").select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
+        large = sorted_join(both, minima(both), [*keys, "u"]).where("v > u").select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        tied = sorted_join(large, minima(large), [*keys, "u"]).where("v <> m").select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
         return tied.unionByName(minima(large).select(*keys, "u", F.col("m").alias("v"))).distinct()
 
     def state(e: DataFrame):
@@ -155,13 +169,13 @@ def connected_components(vertices: DataFrame, edges: DataFrame, keys: Sequence[s
         if now == before:
             break
     root = e.select(*keys, F.col("u").alias(node), F.col("v").alias("comp"))
-    return vertices.select(*keys, node).join(root, [*keys, node], "left").select(*keys, node, F.coalesce("comp", node).alias("comp"))
+    return sorted_join(vertices.select(*keys, node), root, [*keys, node], "left").select(*keys, node, F.coalesce("comp", node).alias("comp"))
 
 
 def relabel_pieces(px: DataFrame, label: str) -> DataFrame:
     """Connected pieces of equal label; each pixel keeps the attributes of its source label."""
     comp = raster_components(px, F.col(label)).withColumnRenamed("comp", "piece")
-    return px.join(comp, ["img", "y", "x"])
+    return sorted_join(px, comp, ["img", "y", "x"])
 
 
 def merge_small_pieces(pieces: DataFrame, least: int) -> DataFrame:
@@ -171,9 +185,9 @@ def merge_small_pieces(pieces: DataFrame, least: int) -> DataFrame:
     small = size.where(F.col("n") < least).select("img", F.col("piece").alias("a"))
     touch = adjacency(pieces, "piece").where("l1 <> l2").select("img", F.inline(F.array(
         F.struct(F.col("l1").alias("a"), F.col("l2").alias("b")), F.struct(F.col("l2").alias("a"), F.col("l1").alias("b")))))
-    contact = touch.join(small, ["img", "a"], "left_semi").join(big, ["img", "b"], "left_semi").groupBy("img", "a", "b").agg(F.count(F.lit(1)).alias("c"))
+    contact = sorted_join(sorted_join(touch, small, ["img", "a"], "left_semi"), big, ["img", "b"], "left_semi").groupBy("img", "a", "b").agg(F.count(F.lit(1)).alias("c"))
     to = contact.groupBy("img", F.col("a").alias("piece")).agg(F.max_by("b", F.struct(F.col("c"), -F.col("b"))).alias("to"))
-    return pieces.join(to, ["img", "piece"], "left").withColumn("piece", F.coalesce("to", "piece")).drop("to")
+    return sorted_join(pieces, to, ["img", "piece"], "left").withColumn("piece", F.coalesce("to", "piece")).drop("to")
 
 
 def flagged_clusters(pieces: DataFrame, flag: str, size: int) -> DataFrame:
@@ -183,7 +197,7 @@ def flagged_clusters(pieces: DataFrame, flag: str, size: int) -> DataFrame:
     e = e.select("img", F.col("l1.piece").alias("a"), F.col("l2.piece").alias("b")).distinct()
     v = pieces.where(flag).groupBy("img", F.col("piece").alias("node")).agg(
         F.count(F.lit(1)).cast("double").alias("area"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
-    cl = connected_components(v, e).join(v, ["img", "node"])
+    cl = sorted_join(connected_components(v, e), v, ["img", "node"])
     c = cl.groupBy("img", "comp").agg(F.sum("area").alias("a"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
     span = ((F.col("y0") == 0) & (F.col("y1") == size - 1)) | ((F.col("x0") == 0) & (F.col("x1") == size - 1))
     px = float(size * size)

@@ -41,3 +41,21 @@ def test_tiles_give_the_labels_of_whole_images(spark, eight, tile):
         got[p.img][p.y, p.x] = -1 if p.comp is None else p.comp
     for v, g in zip(images, got):
         assert (g == flood(v, eight)).all()
+
+
+def test_pixels_are_never_broadcast(spark):
+    """Many equal images pack into a small file; its pixels must not be sent through the driver for that."""
+    px = spark.range(300).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(63)))).select(
+        F.col("id").alias("img"), F.floor(F.col("p") / 8).cast("int").alias("y"), (F.col("p") % 8).cast("int").alias("x"), (F.col("p") % 3 % 2).alias("lab"))
+    pieces = C.relabel_pieces(px, "lab")
+    out = C.merge_small_pieces(pieces, 3)
+    assert out.count() == 300 * 64
+    for df in (pieces, out, C.flagged_clusters(pieces.withColumn("dk", F.col("lab") == 0), "dk", 8)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join" in line and ("#" in line)]
+        assert all("strategy=merge" in j for j in joins if "(y#" in j or "piece#" in j or "node#" in j or "u#" in j), plan
+
+
+def test_a_tile_is_as_large_as_its_image():
+    grid, at, y0, x0 = C._grid([5, 5, 6], [9, 10, 9], [1, None, 2])
+    assert grid.tolist() == [[1, -1], [2, -1]] and (y0, x0) == (5, 9) and grid[at].tolist() == [1, -1, 2]
