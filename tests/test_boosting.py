@@ -80,3 +80,31 @@ def test_fit_beats_the_mean_and_empty_targets_are_predicted(spark):
     y = np.array([r[5] for r in rows])
     e = y - np.array([p[i] for i in range(len(y))])
     assert len(p) == len(y) and e.std() < 0.75 * y.std()
+
+
+def test_look_ups_give_the_leaves_of_a_walk_down_the_tree():
+    r = np.random.default_rng(3)
+    for depth in (1, 2, 4):
+        for _ in range(30):
+            t = B.Tree(depth)
+            for k in range(1, 1 << depth):
+                if k == 1 or (t.column[k // 2] >= 0 and r.random() < 0.8):
+                    t.column[k], t.cut[k] = r.integers(0, 3), r.integers(0, 20)
+            t.value = r.normal(size=len(t.value))
+            x = r.integers(0, 22, (500, 3)).astype(np.uint8)
+            nodes, values = B._applied(t)
+            assert np.array_equal(nodes(x.T.astype(np.intp)), t.nodes(x)) and np.array_equal(values(x.T.astype(np.intp)), t(x))
+
+
+def test_blocks_of_any_length_keep_their_rows(spark, monkeypatch):
+    """Rows of many short files, in blocks that do not fill up, keep keys and predictions together over written rounds."""
+    monkeypatch.setattr(B, "KEEP", 1)
+    monkeypatch.setattr(B, "BLOCK", 7)
+    monkeypatch.setattr(B, "SLICE", 16)
+    rows, df = table(spark)
+    d, _, b = B.crossfit_boosting(df, "y", ["a", "b", "c"], B.Settings(rounds=3, depth=2, rate=0.5, bins=16))
+    assert b.table.count() < len(rows) / 5
+    got = {x.id: x.pred for x in d.collect()}
+    for row in rows:
+        x = np.array([[0 if row[2 + c] is None else 1 + np.searchsorted(b.edges[c], row[2 + c], side="right") for c in range(3)]])
+        assert got[row[0]] == pytest.approx(np.mean([b.base[m] + sum(t(x)[0] for t in b.trees[m]) for m, (f, _) in enumerate(b.models) if f == row[1]]))
