@@ -83,6 +83,33 @@ def test_chat(spark):
     assert chat.read_back(chat.prefix_target_examples(t.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 60, 1000])
+def test_chat_reads_written_examples(spark, block):
+    rows = [(c, n, ("user", "assistant")[n % 2 or c == 2], f"{'<[' * (n % 3)}turn {n} of {c}") for c in (1, 2) for n in range(30 + c)] + [(3, 0, "user", "alone")]
+    ex = chat.prefix_target_examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = defaultdict(list)
+    for r in chat.pieces(ex, block).collect():
+        got[r.conv_id, r.example].append(r)
+    chars = defaultdict(int)
+    for c in (1, 2):
+        said, k = "", 0
+        for _, n, role, text in (r for r in rows if r[0] == c):
+            said += f"[TURN]{role}[TEXT]{esc(text)}</s>"
+            if role == "assistant":
+                parts = sorted(got.pop((c, k)), key=lambda r: r.piece)
+                assert "".join(p.text for p in parts) == said and [p.start for p in parts] == [sum(len(q.text) for q in parts[:i]) for i in range(len(parts))]
+                assert all(len(p.text) < block + 50 for p in parts)
+                assert chat.unescape(said[parts[-1].mask_start : parts[-1].mask_end]) == text
+                k, chars[c] = k + 1, chars[c] + len(said)
+    assert sorted(got) == [(1, None), (3, None)]
+    want = []
+    for c in (1, 2, 3):
+        own = [r for r in rows if r[0] == c]
+        loss = "".join(r[3] for r in own if r[2] == "assistant")
+        want.append((c, len(own), sha("".join(f"{r[2]}\n{r[3]}\n" for r in own).encode()), len(loss), sha(loss.encode()), chars[c]))
+    assert sorted(map(tuple, chat.read_back(ex, block).collect())) == want
+
+
 def esc(s):
     return s.replace("\\", "\\0").replace("<", "\\1").replace("[", "\\2")
 
