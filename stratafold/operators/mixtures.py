@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.mix import draws
 from ..functions.scalar import by_value
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from .metrics import kde
 from .raster import histograms
 
@@ -114,10 +114,12 @@ def _fit_surface(df: DataFrame, keep: Column, value: str, weight: str, size: flo
     return g.mapInPandas(run, "img bigint, beta array<double>")
 
 
-def _ratio(df: DataFrame, beta: DataFrame, value: str, size: float) -> DataFrame:
-    fit = sum((F.col("beta")[i] * t for i, t in enumerate(_surface_terms(size))), F.lit(0.0))
+def _ratio(df: DataFrame, beta: DataFrame, value: str, size: float, keep_fit: bool = False) -> DataFrame:
+    beta = beta.select("*", *[F.col("beta")[i].alias(f"_b{i}") for i in range(6)]).drop("beta")
+    fit = sum((F.col(f"_b{i}") * t for i, t in enumerate(_surface_terms(size))), F.lit(0.0))
     d = df.join(beta, "img").withColumn("_f", fit)
-    return d.withColumn("ratio", F.when(F.abs("_f") > 1e-12, F.col(value) / F.col("_f"))).drop("beta", "_f")
+    d = d.withColumn("ratio", F.when(F.abs("_f") > 1e-12, F.col(value) / F.col("_f"))).drop("_f")
+    return d if keep_fit else d.drop(*[f"_b{i}" for i in range(6)])
 
 
 def shading_ratio(df: DataFrame, value: str = "grey", weight: str = "area", size: float = 256.0, floor: float = 0.93, rounds: int = 4, big: float = 30.0) -> DataFrame:
@@ -132,30 +134,42 @@ def shading_ratio(df: DataFrame, value: str = "grey", weight: str = "area", size
     return d
 
 
-def valley_threshold(df: DataFrame, ratio: str, weight: str, lo: float, hi: float, cells: int, window: tuple[float, float]) -> DataFrame:
-    """Lowest point of the smoothed weighted histogram of each entity inside a window."""
+def _valley(ratio: str, weight: str, lo: float, hi: float, cells: int, window: tuple[float, float]) -> tuple[list[Column], Column]:
+    """Aggregates of one entity's rows, and the threshold from them.
+
+    A cell of the smoothed histogram is a weighted sum over the cells up to two away, so the few cells of the window are sums over rows.
+    """
     step = (hi - lo) / cells
     b = F.least(F.greatest(F.floor((F.col(ratio) - lo) / step), F.lit(0)), F.lit(cells - 1)).cast("int")
-    h = df.where(F.col(ratio).isNotNull()).groupBy("img", b.alias("b")).agg(F.sum(weight).alias("n"))
-    m = h.groupBy("img").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
-    ids = F.sequence(F.lit(0), F.lit(cells - 1))
-    m = m.select("img", F.transform(ids, lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("h"))
-    at = lambda i: F.coalesce(F.when((i >= 0) & (i < cells), F.get("h", i)), F.lit(0.0))
-    sm = F.transform(ids, lambda i: at(i - 2) + 2 * at(i - 1) + 3 * at(i) + 2 * at(i + 1) + at(i + 2))
-    a, z = int((window[0] - lo) / step), int((window[1] - lo) / step)
-    best = F.array_min(F.transform(F.sequence(F.lit(a), F.lit(z)), lambda i: F.struct(F.get("s", i).alias("v"), i.alias("i"))))
-    return m.withColumn("s", sm).select("img", (lo + step * (best["i"] + 0.5)).alias("thr"))
+    near = range(int((window[0] - lo) / step), int((window[1] - lo) / step) + 1)
+    sums = [F.sum(F.col(weight) * F.greatest(F.lit(3) - F.abs(b - i), F.lit(0))).alias(f"_s{i}") for i in near]
+    best = F.least(*[F.struct(F.col(f"_s{i}").alias("v"), F.lit(i).alias("i")) for i in near])
+    return sums, lo + step * (best["i"] + 0.5)
+
+
+def valley_threshold(df: DataFrame, ratio: str, weight: str, lo: float, hi: float, cells: int, window: tuple[float, float]) -> DataFrame:
+    """Lowest point of the smoothed weighted histogram of each entity inside a window."""
+    sums, thr = _valley(ratio, weight, lo, hi, cells, window)
+    return df.where(F.col(ratio).isNotNull()).groupBy("img").agg(*sums).select("img", thr.alias("thr"))
 
 
 def surface_and_phase(df: DataFrame, value: str = "grey", weight: str = "area", size: float = 256.0, rounds: int = 4,
                       window: tuple[float, float] = (0.8, 0.98)) -> DataFrame:
-    """Alternates a surface fitted to the bright phase with the valley threshold between the phases."""
-    d = cut_lineage(df.withColumn("keep", F.lit(True)))
+    """Alternates a surface fitted to the bright phase with the valley threshold between the phases.
+
+    Only the surface and the threshold of each entity pass from round to round, as a small table written every round; the rows
+    stay as they are and meet them again.
+    """
+    sums, thr = _valley("ratio", weight, 0.4, 1.6, 48, window)
+    found = None
+    phase = lambda f: _ratio(df, f, value, size).withColumn("keep", F.coalesce(F.col("ratio") > F.col("thr"), F.lit(False)))
     for _ in range(rounds):
-        r = _ratio(d.drop("ratio", "thr"), _fit_surface(d, F.col("keep"), value, weight, size), value, size)
-        r = cut_lineage(r)
-        d = cut_lineage(r.join(valley_threshold(r, "ratio", weight, 0.4, 1.6, 48, window), "img").withColumn("keep", F.coalesce(F.col("ratio") > F.col("thr"), F.lit(False))))
-    return d
+        d = df.withColumn("keep", F.lit(True)) if found is None else phase(found)
+        r = _ratio(df, _fit_surface(d, F.col("keep"), value, weight, size), value, size, keep_fit=True)
+        surface = [F.first(f"_b{i}").alias(f"_b{i}") for i in range(6)]
+        g = r.where("ratio is not null").groupBy("img").agg(*surface, *sums)
+        found = written(g.select("img", F.array(*[F.col(f"_b{i}") for i in range(6)]).alias("beta"), thr.alias("thr")), "phase")
+    return phase(found)
 
 
 def pass_share(df: DataFrame, score: str, cut: float, label: str) -> DataFrame:
