@@ -10,3 +10,8 @@ def test_partitions_of_pixels_follow_the_images(spark, monkeypatch):
     monkeypatch.setattr(V, "IMAGES", 5)
     p = V.pixels(spark, SF)
     assert p.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, -(-n // 5)) and p.count() == 64 * n
+
+
+def test_entity_table_is_aggregated_once(spark):
+    f = V.folds(spark, SF).inputFiles()
+    assert f and all("/samples/" in x for x in f)
