@@ -9,7 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .metrics import safe_corr
-from ..functions.ranks import average_ranks, row_numbers, running_sums
+from ..functions.ranks import row_numbers, running_sums
+from ..session import written
+
+ROWS = 1 << 19  # rows of one partition that meet their ranks
 
 
 def unpivot(df: DataFrame, keys: Sequence[str], cols: Sequence[str], name: str = "feature", value: str = "value") -> DataFrame:
@@ -19,16 +22,34 @@ def unpivot(df: DataFrame, keys: Sequence[str], cols: Sequence[str], name: str =
 def spearman_grid(df: DataFrame, cols: Sequence[str], targets: Sequence[str], subsets: dict) -> DataFrame:
     """Average-rank correlations of all columns with all targets on all subsets: (subset, target, feature, rho, n).
 
-    Every combination is a key of the same two rankings, so the input is ranked twice in all, whatever the grid.
+    Only distinct values are ranked. A row meets the ranks of its target once, whatever the columns: columns without NULLs share them,
+    another column has ranks over its own complete rows. The rows of one value of a column then travel as their count and the sums of
+    their target ranks, so no row is copied per column into a shuffle and no task holds the rows of a frequent value.
     """
-    labels = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in subsets.items()]))
-    pair = lambda names, n, v: F.inline(F.array(*[F.struct(F.lit(c).alias(n), F.col(c).cast("double").alias(v)) for c in names]))
-    d = df.select(F.explode(labels).alias("subset"), *dict.fromkeys([*targets, *cols]))
-    d = d.select("subset", *targets, pair(cols, "feature", "value")).where("value is not null")
-    d = d.select("subset", "feature", "value", pair(targets, "target", "_y")).where("_y is not null")
+    holes = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col(c).isNull(), 1)).alias(f"h{i}") for i, c in enumerate(cols)]).first()
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-holes["n"] * len(targets) // ROWS))
+    full = [i for i in range(len(cols)) if not holes[f"h{i}"]]
+    kinds = [k for k in (full, *[[i] for i in range(len(cols)) if holes[f"h{i}"]]) if k]  # columns whose complete rows are the same
+    groups = [(s, k) for s in subsets for k in kinds]
+    inside = [F.coalesce(subsets[s], F.lit(False)) if not holes[f"h{k[0]}"] else F.coalesce(subsets[s], F.lit(False)) & F.col(cols[k[0]]).isNotNull() for s, k in groups]
+    y = F.inline(F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"_t{j}").alias("_y")) for j, t in enumerate(targets)]))
+    d = df.select(*[m.alias(f"_in{g}") for g, m in enumerate(inside)], *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)],
+                  *[F.col(t).cast("double").alias(f"_t{j}") for j, t in enumerate(targets)])
+    members, values = [f"_in{g}" for g in range(len(groups))], [f"_x{i}" for i in range(len(cols))]
+    d = d.where(" or ".join(members)).select(*members, *values, y).where("_y is not null")
+    counts = d.groupBy("target", "_y").agg(*[F.count(F.when(F.col(m), 1)).alias(f"_n{g}") for g, m in enumerate(members)])
+    order = running_sums(counts, ["target"], ["_y"], {f"_n{g}": F.col(f"_n{g}") for g in range(len(groups))})
+    centred = lambda n: F.col(f"{n}_before") + (F.col(n) - F.col(f"{n}_total")) / 2  # noqa: E731  average rank less the mean of all ranks
+    ranks = order.select("target", "_y", *[centred(f"_n{g}").alias(f"_r{g}") for g in range(len(groups))])
+    cells = [F.when(F.col(f"_in{g}"), F.struct(F.lit(s).alias("subset"), F.lit(cols[i]).alias("feature"), F.col(f"_x{i}").alias("value"), F.col(f"_r{g}").alias("r")))
+             for g, (s, k) in enumerate(groups) for i in k]
+    met = d.repartition(parts, "target", "_y").join(ranks, ["target", "_y"]).select("target", F.inline(F.array_compact(F.array(*cells))))
     keys = ["subset", "target", "feature"]
-    r = average_ranks(average_ranks(d, keys, "value", "_rx"), keys, "_y", "_ry")
-    return r.groupBy(*keys).agg(safe_corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    sums = met.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("sy"), F.sum(F.col("r") * F.col("r")).alias("syy"))
+    x = running_sums(written(sums, "rank-sums"), keys, ["value"], {"n": F.col("n")}).withColumn("r", centred("n"))
+    x = x.groupBy(*keys).agg(F.sum(F.col("n") * F.col("r") * F.col("r")).alias("xx"), F.sum("syy").alias("yy"), F.sum(F.col("r") * F.col("sy")).alias("xy"), F.sum("n").alias("n"))
+    sd = F.sqrt("xx") * F.sqrt("yy")
+    return x.select(*keys, F.when(sd > 0, F.col("xy") / sd).alias("rho"), "n")
 
 
 def spearman(df: DataFrame, cols: Sequence[str], y: str) -> DataFrame:
