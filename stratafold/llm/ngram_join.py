@@ -13,6 +13,10 @@
    component, then, in cells of about HOT members, every other member.
 4. A distinct pair is verified once against the whole sets, after a suffix filter that compares the numbers of n-grams
    between common pivots.
+5. Near copies under the threshold never join a component, so all their pairs meet. In lists of more than CROWD members each member
+   brings the parities of its n-grams in 3 to 6 buckets an n-gram (``parities``, at most SKETCH bits). Two parities that differ need an n-gram
+   that only one set has, so the number of differing bits bounds the symmetric difference from below: a pair ruled out is no link,
+   and it is ruled out inside the list's task, before it becomes a row. Sets of more than about 3,000 n-grams are too large for SKETCH bits.
 
 Defined cases: null text is empty; an empty set links with nothing; rows of one identifier are one node; rows with a null
 identifier get a null component; an empty table gives an empty result; other columns are ignored.
@@ -39,6 +43,7 @@ PAIRS = 1 << 18
 LONG = 64
 BROADCAST_IDS = 1_000_000
 HEADS, PROBES = 4, 1
+CROWD, SKETCH = 4, 1 << 12
 
 
 def _sets(batch_column, n: int):
@@ -47,6 +52,60 @@ def _sets(batch_column, n: int):
             yield shingles(w, n)
 
 
+def parities(s: np.ndarray) -> bytes:
+    """One bit a bucket: whether an odd number of the set's n-grams falls into it. Half as many buckets are the two halves' sum."""
+    m = min(SKETCH, 1 << max(6, (3 * len(s) - 1).bit_length()))
+    return np.packbits((np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+class Unlike:
+    """Which pairs of entries of a block cannot reach the threshold by the parities of their sets; entries without them never."""
+
+    def __init__(self, doc, size, sketch, percent: int):
+        self.size, self.percent = size, percent
+        _, self.row = np.unique(doc, return_inverse=True)
+        self.bits = sketch
+        # of each entry: in a crowded list it has parities, in a short one of the same document it has none
+        self.words = np.array([len(x) // 8 if x is not None else 0 for x in sketch], np.int64)
+        best = np.lexsort((-self.words, self.row))
+        self.source = best[np.append(True, self.row[best][1:] != self.row[best][:-1])] if len(doc) else best
+        self.folded: dict[int, np.ndarray] = {}
+
+    def _at(self, w: int) -> np.ndarray:
+        """The parities of all documents in w words of 64 bits, zero for those with fewer."""
+        if w not in self.folded:
+            out = np.zeros((len(self.source), w), np.uint64)
+            size = self.words[self.source]
+            for k in np.unique(size[size >= w]):
+                at = np.flatnonzero(size == k)
+                x = np.frombuffer(b"".join(self.bits[self.source[i]] for i in at), "<u8").reshape(len(at), k)
+                out[at] = np.bitwise_xor.reduce(x.reshape(len(at), k // w, w), axis=1)
+            self.folded[w] = out
+        return self.folded[w]
+
+    def __call__(self, i, j) -> np.ndarray:
+        out = np.zeros(len(i), bool)
+        words = np.minimum(self.words[i], self.words[j])
+        for w in np.unique(words[words > 0]):
+            t, of = self._at(int(w)), np.flatnonzero(words == w)
+            for lo in range(0, len(of), 1 << 15):
+                x = of[lo : lo + (1 << 15)]
+                differ = np.bitwise_count(t[self.row[i[x]]] ^ t[self.row[j[x]]]).sum(axis=1, dtype=np.int64)
+                out[x] = (100 + self.percent) * differ > (100 - self.percent) * (self.size[i[x]] + self.size[j[x]])
+        return out
+
+
+def sketches(texts: DataFrame, n: int) -> DataFrame:
+    """(of, sketch) of the documents with one text; an identifier of several texts has no parities and is never ruled out."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([parities(s) for s in _sets(b.column(1), n)], pa.binary())], ["of", "sketch"])
+
+    t = texts.select("doc", "text").mapInArrow(run, "of long, sketch binary")
+    return stored(t.groupBy("of").agg(F.count(F.lit(1)).alias("texts"), F.max("sketch").alias("sketch")).where("texts = 1").drop("texts"), "ngram-parities")
+
+
 def _bucket(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - BITS)).astype(np.int64)
 
@@ -289,12 +348,13 @@ def crowded(e: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
     return F.broadcast(long.select("token")), F.broadcast(stored(crowd, "ngram-crowded"))  # each stands for more than ``hot`` entries
 
 
-def cross_pairs(entries: DataFrame, labels: DataFrame, percent: int, probe: bool = False, hot: int | None = None) -> DataFrame:
+def cross_pairs(entries: DataFrame, labels: DataFrame, percent: int, probe: bool = False, hot: int | None = None, known: DataFrame | None = None) -> DataFrame:
     """Distinct possible pairs (a, b) of list members that lie in different components.
 
     ``probe`` gives (a, b, times) instead: each member outside the most frequent component of a list with one member of that
     component, which is another in every list. Lists of more than ``hot`` entries are not gathered in one task: each member
     lies in one slice, each member outside the most frequent component also visits every slice, and only visitors meet members.
+    ``known`` holds the documents' parities, which travel with the members of crowded lists.
     """
     n = partitions(entries.sparkSession)
     e = entries.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", "size", "pos", F.coalesce("comp", "doc").alias("label"))
@@ -304,14 +364,19 @@ def cross_pairs(entries: DataFrame, labels: DataFrame, percent: int, probe: bool
         long, crowd = crowded(e, hot)
         hot_e = e.join(crowd, "token")
         e = e.join(long, "token", "left_anti")
-    mixed = e.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    e = e.join(mixed, "token", "left_semi").repartition(n, "token").sortWithinPartitions("token", "size", "doc")
+    mixed = e.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("many")).where("lo <> hi").select("token", "many")
+    e = e.join(mixed, "token")
+    if known is not None and not probe:
+        e = e.join(known, (F.col("doc") == F.col("of")) & (F.col("many") > CROWD), "left")
+    else:
+        e = e.withColumn("sketch", F.lit(None).cast("binary"))
+    e = e.select("token", "doc", "size", "pos", "label", "sketch").repartition(n, "token").sortWithinPartitions("token", "size", "doc")
 
     def lists(batches):
         """Whole lists as column tuples, gathered to blocks of several lists."""
         held = []
         for b in batches:
-            x = [np.asarray(c) for c in b.columns]
+            x = [np.array(c.to_pylist() + [None], object)[:-1] if pa.types.is_binary(c.type) else np.asarray(c) for c in b.columns]
             last = x[0][-1] if len(x[0]) else None
             cut = int(np.flatnonzero(x[0] != last)[-1]) + 1 if len(x[0]) and x[0][0] != last else 0
             if cut:
@@ -338,7 +403,7 @@ def cross_pairs(entries: DataFrame, labels: DataFrame, percent: int, probe: bool
         start = np.flatnonzero(np.append(True, (r[1:, :4] != r[:-1, :4]).any(axis=1)))
         return np.concatenate([r[start, :4], np.add.reduceat(r[:, 4:5], start), np.maximum.reduceat(r[:, 5:], start)], axis=1)
 
-    def short_lists(doc, size, pos, label, ends):
+    def short_lists(doc, size, pos, label, ends, unlike):
         """Pairs at growing distance in all lists at once; an entry leaves where its list ends or sizes grow too far apart."""
         live, step = np.arange(len(doc)), 1
         while True:
@@ -348,10 +413,12 @@ def cross_pairs(entries: DataFrame, labels: DataFrame, percent: int, probe: bool
                 return
             other = live + step
             ok = (label[live] != label[other]) & _possible(percent, size[live], pos[live], size[other], pos[other])
-            yield meeting(live[ok], other[ok], doc, size, pos)
+            i, j = live[ok], other[ok]
+            ok = ~unlike(i, j)
+            yield meeting(i[ok], j[ok], doc, size, pos)
             step += 1
 
-    def long_list(doc, size, pos, label):
+    def long_list(doc, size, pos, label, unlike):
         """All members outside the most frequent component against the whole list."""
         kinds, times = np.unique(label, return_counts=True)
         for i in np.flatnonzero(label != kinds[times.argmax()]):
@@ -360,7 +427,9 @@ def cross_pairs(entries: DataFrame, labels: DataFrame, percent: int, probe: bool
             j = np.arange(lo, hi)
             small, large = np.minimum(i, j), np.maximum(i, j)
             ok = (label[j] != label[i]) & _possible(percent, size[small], pos[small], size[large], pos[large])
-            yield meeting(np.full(int(ok.sum()), i), j[ok], doc, size, pos)
+            j = j[ok]
+            j = j[~unlike(np.full(len(j), i), j)]
+            yield meeting(np.full(len(j), i), j, doc, size, pos)
 
     def probes(batches):
         for tok, doc, size, pos, label in lists(batches):
@@ -379,17 +448,18 @@ def cross_pairs(entries: DataFrame, labels: DataFrame, percent: int, probe: bool
             yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(times)], ["a", "b", "times"])
 
     def found(batches):
-        for tok, doc, size, pos, label in lists(batches):
+        for tok, doc, size, pos, label, sketch in lists(batches):
             start = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
             length = np.diff(np.append(start, len(tok)))
             short = np.repeat(length <= LONG, length)
             count = np.repeat(length, length)[short]
             first = np.flatnonzero(np.append(True, tok[short][1:] != tok[short][:-1])) if short.any() else np.zeros(0, np.int64)
             ends = np.repeat(np.append(first[1:], int(short.sum())), np.diff(np.append(first, int(short.sum())))) if len(count) else count
-            yield from short_lists(doc[short], size[short], pos[short], label[short], ends)
+            cols = [c[short] for c in (doc, size, pos, label)]
+            yield from short_lists(*cols, ends, Unlike(*cols[:2], sketch[short], percent))
             for s, m in zip(start[length > LONG], length[length > LONG]):
                 at = slice(s, s + m)
-                yield from long_list(doc[at], size[at], pos[at], label[at])
+                yield from long_list(doc[at], size[at], pos[at], label[at], Unlike(doc[at], size[at], sketch[at], percent))
 
     def visits(batches):
         """Cells: guest is 2 for visitors, 1 for other members outside the most frequent component, else 0."""
@@ -423,9 +493,8 @@ def cross_pairs(entries: DataFrame, labels: DataFrame, percent: int, probe: bool
         if n_held:
             yield out(added(held))
 
-    e = e.select("token", "doc", "size", "pos", "label")
     if probe:
-        p = e.mapInArrow(probes, "a long, b long, times long")
+        p = e.select("token", "doc", "size", "pos", "label").mapInArrow(probes, "a long, b long, times long")
         if crowd is not None:
             sizes, places = (F.col("size"), F.col("head.size")), (F.col("pos"), F.col("head.pos"))
             most = F.least(*places) + F.least(*(x - y for x, y in zip(sizes, places)))
@@ -507,7 +576,8 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, hot: int = HOT)
     links = stored(verify(tried, texts, n, percent).unionByName(copies), "ngram-links")
     labels = components(links)
     for probe in (*[True] * PROBES, False):  # the last round leaves no pair between components unseen
-        more = stored(cross_pairs(entries, labels, percent, probe, None if whole_lists else hot).join(tried, ["a", "b"], "left_anti"), "ngram-cross")
+        known = None if probe else sketches(texts, n)
+        more = stored(cross_pairs(entries, labels, percent, probe, None if whole_lists else hot, known).join(tried, ["a", "b"], "left_anti"), "ngram-cross")
         if more.limit(1).count():
             links = links.unionByName(stored(verify(more, texts, n, percent), "ngram-links"))
             labels = components(links)
