@@ -356,3 +356,33 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(x.doc_id for x in out) == sorted(x.doc_id for x in kept["mixing"]) and all(x.exact for x in out)
     whole = corpus_pipeline.run(spark, sf).collect()
     assert Counter((x.doc_id, tuple(x.token_ids)) for x in whole) == Counter((x.doc_id, tuple(x.token_ids)) for x in out)
+
+
+def test_line_keys_meet_every_similar_pair(spark):
+    """Lines without any link yet: every similar pair shares enough keys, and a line has no key for each of its words."""
+    r = random.Random(21)
+    lines, want = [], set()
+    for i, n in enumerate([*range(4, 46), 63, 100, 164] * 3):
+        a = [f"{r.choice(nasty.WORDS)}{r.randrange(8)}" if i % 3 else r.choice(nasty.WORDS) for _ in range(n)]
+        b = list(a)
+        for _ in range(max(1, n // 5 - r.randrange(2))):
+            k = r.randrange(len(b))
+            b[k : k + 1] = r.choice([[], [f"v{r.random()}"], [b[k], f"v{r.random()}"], [r.choice(nasty.WORDS)]])
+        lines += [(2 * i, len(a), " ".join(a)), (2 * i + 1, len(b), " ".join(b))]
+        if a != b and max(len(a), len(b)) > 4 and edit(a, b) <= max(len(a), len(b)) // 5 and min(len(a), len(b)) > 3:
+            want.add((2 * i, 2 * i + 1))
+    d = spark.createDataFrame([x for x in lines if x[1] > 3], "id long, n int, t string")
+    keys = line_dedup.line_keys(d)
+    per = {x.id: x.c for x in keys.groupBy(F.expr("shiftright(line, 24)").alias("id")).agg(F.count("*").alias("c")).collect()}
+    assert all(per[i] <= 2 * (n // 5) + 2 + n // 20 for i, n, _ in lines if n > 3)
+    none = spark.createDataFrame([], "node long, comp long")
+    got = {tuple(x) for x in line_dedup.cross_pairs(line_dedup.shared_keys(keys), none).collect()}
+    assert len(want) > 80 and want <= got
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    count = lambda: sum("shuffle_" in str(files.getAllFiles().apply(i)) for i in range(files.getAllFiles().size()))
+    before = count()
+    corpus_pipeline.stored(spark.range(100_000).repartition(4, "id").groupBy(F.col("id") % 1000).count(), "no-shuffles")
+    assert count() <= before
