@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from stratafold.operators import joins as J
 
 
@@ -31,3 +32,11 @@ def test_wide_vectors_carry_no_vector_to_every_cell(spark, monkeypatch):
     assert (got == np.argsort(d, axis=1)[:, :5]).all()
     assert J.knn_blocks(df.limit(0), 5).isEmpty()
     assert [(p.id, p.nb) for p in J.knn_blocks(df.where("id < 2"), 5).orderBy("id").collect()] == [(0, 1), (1, 0)]
+
+
+@pytest.mark.parametrize("name", ["jon07", "rsm10"])
+def test_every_row_asks(spark, name):
+    """Before, only identifiers that 20 divides were asked."""
+    sf = "/root/testdata/sf0.001"
+    got, rows = entry.queries()[name](spark, sf), spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    assert (got.count() == 5 * rows) if name == "jon07" else (got.first().n == rows)
